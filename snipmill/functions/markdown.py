@@ -66,6 +66,33 @@ BLOCK_TYPE = (
 )
 
 
+_FIRST_KINDS = [
+    ("fence", r"\A {0,3}(?:`{3,}+[^`\n]*+(?:\n|\z)|~{3,})"),
+    ("heading", r"\A {0,3}#{1,6}(?:[ \t\n]|\z)"),
+    ("html_block", r"\A {0,3}<(?:[!?/]|[A-Za-z])"),
+    ("hr", r"\A" + _RULE),
+    ("code_block", r"\A(?: {4}| {0,3}\t)"),
+    ("blockquote", r"\A {0,3}>"),
+    ("bullet_list", r"\A {0,3}[-+*](?:[ \t\n]|\z)"),
+    ("ordered_list", r"\A {0,3}[0-9]{1,9}[.)](?:[ \t\n]|\z)"),
+    ("heading", r"\A[^\n]++\n(?:(?!" + _BREAK + r")[^\n]++\n)*+" + _UNDERLINE),
+]
+
+
+def first_block(text: Column) -> Column:
+    """struct(line, kind) of the first block that is not blank; NULL kind when none."""
+    lead = F.regexp_extract(T.unix_newlines(text), r"\A(?:[ \t]*+\n)*+", 0)
+    rest = F.substring(T.unix_newlines(text), F.length(lead) + 1, F.length(text))
+
+    def name(block: Column) -> Column:
+        chain = F.when(T.is_blank(block), F.lit(None).cast("string"))
+        for kind, pattern in _FIRST_KINDS:
+            chain = chain.when(block.rlike(pattern), F.lit(kind))
+        return chain.otherwise("paragraph")
+
+    return F.struct(T.newlines(lead).alias("line"), T.let(rest, name).alias("kind"))
+
+
 def may_hold_fence(text: Column) -> Column:
     return text.contains("```") | text.contains("~~~")
 

@@ -52,7 +52,8 @@ def turn_part() -> Column:
     )
 
 
-def turn_segments(turns: DataFrame, slice_size: int | None = None) -> DataFrame:
+def turn_segments(turns: DataFrame, top: int | None = None,
+                  slice_size: int | None = None) -> DataFrame:
     """Turns ``(doc_key, idx, role, content_md, ts)`` to segments, one per turn.
 
     A turn that leaves a fence open swallows the turns after it. Documents
@@ -66,7 +67,7 @@ def turn_segments(turns: DataFrame, slice_size: int | None = None) -> DataFrame:
         .where(M.ends_open(F.col("text")))
         .select("doc_key").distinct()
     )
-    top = top_position(parts, "seg_no")
+    top = top_position(turns, "idx") if top is None else top
     sizes = {} if slice_size is None else {"slice_size": slice_size}
 
     def placed(rows: DataFrame) -> DataFrame:
@@ -107,16 +108,17 @@ def turn_markers(segments: DataFrame) -> DataFrame:
 
 
 # ---- events with carried context -------------------------------------------------
-def block_events(segments: DataFrame, *, whole_paragraphs: bool = False,
+def block_events(segments: DataFrame, *, whole_paragraphs: bool = False, top: int | None = None,
                  slice_size: int | None = None) -> DataFrame:
     """Markers, headings, paragraphs and fences in order, each with its context.
 
     Adds ``turn, role`` (last marker at or before the line), ``heading_path``,
     ``fence_no``, ``para`` (a paragraph with nothing but text since) and
-    ``user_para`` (first paragraph of the latest earlier user turn).
+    ``user_para`` (first paragraph of the latest earlier user turn). ``top`` is
+    an upper bound of ``seg_no`` when the caller has one.
     """
     sizes = {"slice_size": slice_size or SLICE}
-    top = top_position(segments, "seg_no")
+    top = top_position(segments, "seg_no") if top is None else top
     sliced = top >= sizes["slice_size"]
     exploded = segments.select(
         "doc_key", "seg_no", "line_base", F.posexplode(M.events(F.col("text"))).alias("ev_no", "e")
@@ -207,10 +209,9 @@ def block_events(segments: DataFrame, *, whole_paragraphs: bool = False,
     )
 
 
-def extract_fences(segments: DataFrame, *, whole_paragraphs: bool = False,
-                   slice_size: int | None = None) -> DataFrame:
+def extract_fences(segments: DataFrame, **options) -> DataFrame:
     """Every fenced block with its label, body, lines and context."""
-    events = block_events(segments, whole_paragraphs=whole_paragraphs, slice_size=slice_size)
+    events = block_events(segments, **options)
     return events.where(F.col("kind") == "fence").select(
         "doc_key", F.col("fence_no").cast("int").alias("fence_no"), "lang_raw", "body",
         "line_start", "line_end", "closed", "turn", "role", "heading_path", "para", "user_para",
@@ -219,7 +220,8 @@ def extract_fences(segments: DataFrame, *, whole_paragraphs: bool = False,
 
 def document_fences(docs: DataFrame, **options) -> DataFrame:
     """Fences of whole documents; texts that cannot hold one are dropped at the scan."""
-    return extract_fences(strip_front_matter(docs.where(M.may_hold_fence(F.col("text")))), **options)
+    segments = strip_front_matter(docs.where(M.may_hold_fence(F.col("text"))))
+    return extract_fences(segments, top=0, **options)
 
 
 # ---- classification --------------------------------------------------------------

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from snipmill.session import cut_lineage
+
 SLICE = 50_000
 
 
@@ -43,18 +45,24 @@ def _plus(spec: Running, a: Column, b: Column) -> Column:
     return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
 
 
+def _running(specs: list[Running], window) -> dict[str, Column]:
+    return {
+        s.name: _total(s).over(
+            window.rowsBetween(Window.unboundedPreceding, 0 if s.current else -1)
+        )
+        for s in specs
+    }
+
+
 def add_running(df: DataFrame, key: list[str], position: str, order: list[str],
                 specs: list[Running], top: int, slice_size: int = SLICE) -> DataFrame:
     """Add one column per spec; ``order`` must start with or follow ``position``."""
     if top < slice_size:
-        window = Window.partitionBy(*key).orderBy(*order)
-        for spec in specs:
-            frame = window.rowsBetween(Window.unboundedPreceding, 0 if spec.current else -1)
-            value = _total(spec).over(frame)
-            df = df.withColumn(
-                spec.name, F.coalesce(value, F.lit(0)) if spec.kind == "sum" else value
-            )
-        return df
+        running = _running(specs, Window.partitionBy(*key).orderBy(*order))
+        return df.withColumns({
+            s.name: F.coalesce(running[s.name], F.lit(0)) if s.kind == "sum" else running[s.name]
+            for s in specs
+        })
 
     sliced = df.withColumn("_slice", F.floor(F.col(position) / slice_size))
     group = [*key, "_slice"]
@@ -69,15 +77,10 @@ def add_running(df: DataFrame, key: list[str], position: str, order: list[str],
             for s in specs
         ],
     )
-    window = Window.partitionBy(*group).orderBy(*order)
-    for spec in specs:
-        frame = window.rowsBetween(Window.unboundedPreceding, 0 if spec.current else -1)
-        sliced = sliced.withColumn(spec.name, _total(spec).over(frame))
-    joined = sliced.join(carried, group, "left")
-    for spec in specs:
-        joined = joined.withColumn(
-            spec.name, _plus(spec, F.col(f"_c_{spec.name}"), F.col(spec.name))
-        )
+    sliced = sliced.withColumns(_running(specs, Window.partitionBy(*group).orderBy(*order)))
+    joined = sliced.join(carried, group, "left").withColumns({
+        s.name: _plus(s, F.col(f"_c_{s.name}"), F.col(s.name)) for s in specs
+    })
     return joined.drop("_slice", *[f"_c_{s.name}" for s in specs])
 
 
@@ -88,3 +91,30 @@ def add_total(df: DataFrame, key: list[str], name: str, value: Column, top: int,
         return df.withColumn(name, F.sum(value).over(Window.partitionBy(*key)))
     totals = df.groupBy(*key).agg(F.sum(value).alias(name))
     return df.join(totals, key, "left")
+
+
+def add_rank(df: DataFrame, key: list[str], order: list[str], name: str,
+             partitions: int | None = None) -> DataFrame:
+    """1-based rank per key in an order that has no integer position.
+
+    Rows are range partitioned on (key, order), so a hot key is spread over
+    many ranges. The rank is the place inside the range plus the rows of the
+    key in earlier ranges. The ranged rows are written once, which pins the
+    range numbers for every later task and retry. ``order`` must be unique per
+    key, or ties may be numbered in any order.
+    """
+    spark = df.sparkSession
+    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(
+        df.repartitionByRange(count, *key, *order).withColumn("_range", F.spark_partition_id())
+    )
+    group = [*key, "_range"]
+    sizes = ranged.groupBy(*group).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    placed = ranged.withColumn(
+        name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    )
+    return placed.join(offsets, group).withColumn(
+        name, F.col(name) + F.col("_offset")
+    ).drop("_range", "_offset")

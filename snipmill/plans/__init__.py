@@ -1,3 +1,3 @@
 """Queries over the driver tables, by section."""
 
-SECTIONS = ["secrets", "extract"]
+SECTIONS = ["secrets", "extract", "emit"]

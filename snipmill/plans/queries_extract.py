@@ -19,8 +19,13 @@ FROM documents
 """
 
 
-def fences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.extract_fences(X.turn_segments(turns(spark, sf_dir)))
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.turn_segments(turns(spark, sf_dir), fence_bound(spark, sf_dir))
+
+
+def fences(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    top = fence_bound(spark, sf_dir)
+    return X.extract_fences(X.turn_segments(turns(spark, sf_dir), top), top=top, **options)
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +33,8 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fence_bound(spark: SparkSession, sf_dir: str) -> int:
-    """Upper bound of fence numbers here: the recipe adds one fence to a turn."""
-    return X.top_position(turns(spark, sf_dir), "idx")
+    """Highest turn number; also bounds fence numbers, as a turn has one fence here."""
+    return X.top_position(table(spark, sf_dir, "conversations"), "turn") + 1
 
 
 def revised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +53,7 @@ def strip_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.turn_markers(X.turn_segments(turns(spark, sf_dir)))
+    return X.turn_markers(segments(spark, sf_dir))
 
 
 def turn_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +73,7 @@ def heading_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paragraph_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = X.turn_segments(turns(spark, sf_dir))
-    rows = X.extract_fences(segments, whole_paragraphs=True)
+    rows = fences(spark, sf_dir, whole_paragraphs=True)
     return rows.select("doc_key", "fence_no", "para", "user_para")
 
 
@@ -131,9 +135,7 @@ def extract_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = X.turn_segments(turns(spark, sf_dir))
-    rows = X.candidates(X.extract_fences(segments), fixed.LANGUAGES)
-    return X.document_stats(rows, segments)
+    return X.document_stats(found(spark, sf_dir), segments(spark, sf_dir))
 
 
 def fence_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -21,7 +22,7 @@ def rows_of(frame) -> tuple[list[str], list[tuple]]:
     out = []
     for row in frame[columns].itertuples(index=False):
         out.append(tuple(
-            "NULL" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
+            "NULL" if v is None or v is pd.NA or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
             for v in row
         ))
     return columns, sorted(out)
