@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from snipmill import fixed
 from snipmill.functions import markdown as M
 from snipmill.functions import text as T
+from snipmill.functions.sqllex import sql_scan
 from snipmill.operators import emit
 
 
@@ -120,40 +121,57 @@ def parse_front_matter(text: Column) -> Column:
             F.struct((i + 2).alias("line"), key.alias("key"), raw.alias("raw"), fault.alias("fault")),
         ).otherwise(F.lit(None).cast(line_type))
 
-    def split(p: Column) -> Column:
-        lines, at = p["lines"], p["at"]
-        rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
-        matter = F.when(at > 0, F.slice(rest, F.lit(1), at - 1)).otherwise(rest)
-        read_lines = F.array_compact(F.transform(matter, read))
-        good = F.filter(read_lines, lambda e: e["fault"].isNull())
-        first = F.filter(
-            good,
-            lambda e: F.array_min(F.transform(
-                F.filter(good, lambda o: o["key"] == e["key"]), lambda o: o["line"])) == e["line"],
+    def first_seen(e: Column) -> Column:
+        """Entries with valid JSON whose key has not come before."""
+        good = F.filter(e["entries"], lambda x: x["fault"].isNull())
+        keys = F.transform(good, lambda x: x["key"])
+        lines = F.transform(good, lambda x: x["line"])
+        return F.struct(
+            e["entries"].alias("entries"), e["rest"].alias("rest"), e["at"].alias("at"),
+            e["head"].alias("head"),
+            T.let(
+                F.struct(good.alias("good"), keys.alias("keys"), lines.alias("lines")),
+                lambda g: F.filter(g["good"], lambda x: F.get(
+                    g["lines"], (F.array_position(g["keys"], x["key"]) - 1).cast("int")) == x["line"]),
+            ).alias("first"),
         )
-        faults = F.filter(read_lines, lambda e: e["fault"].isNotNull() | ~F.array_contains(
-            F.transform(first, lambda f: f["line"]), e["line"]))
-        problems = F.transform(faults, lambda e: F.concat(
-            F.lit("line "), e["line"].cast("string"), F.lit(": "),
-            F.coalesce(e["fault"], F.concat(F.lit("key '"), e["key"], F.lit("' appears more than once"))),
+
+    def result(p: Column) -> Column:
+        present, at = p["head"] == "---", p["at"]
+        first_lines = F.transform(p["first"], lambda f: f["line"])
+        faults = T.let(first_lines, lambda known: F.filter(
+            p["entries"],
+            lambda x: x["fault"].isNotNull() | ~F.array_contains(known, x["line"])))
+        problems = F.transform(faults, lambda x: F.concat(
+            F.lit("line "), x["line"].cast("string"), F.lit(": "),
+            F.coalesce(x["fault"], F.concat(F.lit("key '"), x["key"], F.lit("' appears more than once"))),
         ))
-        present = F.get(lines, F.lit(0)) == "---"
-        fields = F.map_from_entries(F.transform(first, lambda e: F.struct(e["key"], e["raw"])))
+        fields = F.map_from_entries(F.transform(p["first"], lambda x: F.struct(x["key"], x["raw"])))
+        rest = p["rest"]
         body = F.array_join(F.slice(rest, at + 1, F.greatest(F.size(rest) - at, F.lit(0))), "\n")
         return F.struct(
             present.alias("present"), (present & (at > 0)).alias("closed"),
             F.when(present, fields).otherwise(F.create_map().cast("map<string,string>")).alias("fields"),
             F.when(present, problems).otherwise(F.array().cast("array<string>")).alias("problems"),
-            F.when(~present, F.array_join(lines, "\n")).when(at > 0, body).alias("body"),
+            F.when(~present, text).when(at > 0, body).alias("body"),
             F.when(~present, 1).otherwise(at + 2).alias("body_line"),
         )
 
+    def split(p: Column) -> Column:
+        matter = F.when(p["head"] != "---", F.array().cast("array<string>")).when(
+            p["at"] > 0, F.slice(p["rest"], F.lit(1), p["at"] - 1)).otherwise(p["rest"])
+        entries = F.array_compact(F.transform(matter, read))
+        bound = F.struct(entries.alias("entries"), p["rest"].alias("rest"), p["at"].alias("at"),
+                         p["head"].alias("head"))
+        return T.let(T.let(bound, first_seen), result)
+
     def locate(lines: Column) -> Column:
         rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
-        return T.let(
-            F.struct(lines.alias("lines"), F.array_position(rest, "---").cast("int").alias("at")),
+        return T.let(rest, lambda r: T.let(
+            F.struct(r.alias("rest"), F.array_position(r, "---").cast("int").alias("at"),
+                     F.get(lines, F.lit(0)).alias("head")),
             split,
-        )
+        ))
 
     return T.let(_lines(text), locate)
 
@@ -291,6 +309,34 @@ def lint_unlabeled_fences(artifacts: DataFrame) -> DataFrame:
             F.lit("code fences without a language label at lines "), F.array_join("at", ", ")))))
 
 
+def sql_lexical_profile(artifacts: DataFrame) -> DataFrame:
+    """Statements, open quotes, parentheses and the last terminator of SQL files."""
+    dialect = header_dialect(F.col("text"))
+    frame = artifacts.select("ref", "text", dialect.alias("dialect")).withColumn(
+        "family", T.lookup(fixed.SQL_FAMILIES, F.lower("dialect"))
+    ).withColumn("scan", sql_scan("text", "family"))
+    scan = F.col("scan")
+    hint = F.when(F.col("family").isNotNull(), "").otherwise(F.concat(
+        F.lit(" (dialect "), F.coalesce("dialect", F.lit("unspecified")),
+        F.lit(": only standard SQL quoting is recognized; label the fence or set a default dialect)")))
+    ender = F.when(F.col("family").eqNullSafe(F.lit("tsql")), "';' or a GO line").otherwise("';'")
+    problem = (
+        F.when(scan["error"].isNotNull(), F.concat(scan["error"], hint))
+        .when(scan["open_line"].isNotNull(), F.concat(
+            F.lit("'(' opened on line "), scan["open_line"].cast("string"),
+            F.lit(" is never closed"), hint))
+        .when((scan["statements"] == 0) & scan["trailing"].isNull(), "no SQL statement below the header")
+        .when(scan["trailing"].isNotNull(), F.concat(
+            F.lit("the last statement (from line "), scan["trailing"].cast("string"),
+            F.lit(") does not end with "), ender, hint))
+    )
+    return frame.select(
+        "ref", "dialect", F.lit("sql-lexical").alias("check_name"),
+        F.when(problem.isNull(), "passed").otherwise("failed").alias("status"),
+        F.coalesce(problem, F.lit("")).alias("detail"), scan["statements"].alias("statements"),
+    )
+
+
 # ---- verdicts ------------------------------------------------------------------------
 def decide_verdict(results: DataFrame, planned: DataFrame) -> DataFrame:
     """Verdict per ref from ``results`` and ``planned(ref, complete, notes)``.

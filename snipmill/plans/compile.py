@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Collection, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snipmill import fixed
 from snipmill.functions import secrets as S
-from snipmill.operators import emit, extract, refuse
+from snipmill.operators import emit, extract, refuse, verify
 from snipmill.session import cut_lineage
 
 
@@ -65,3 +66,45 @@ def compile_corpus(segments: DataFrame, taken: DataFrame, context: emit.RenderCo
             "doc_key", "fence_no", "kind", "name_proposal"
         ),
     )
+
+
+def run_checks(artifacts: DataFrame, external: DataFrame | None = None) -> DataFrame:
+    """Plan rows of every artifact with the status of each check.
+
+    Built-in checks run here; ``external(ref, check_name, status, detail)``
+    brings what linters and parsers found. A check nobody ran is ``not-run``.
+    """
+    planned = verify.rebuild_plan(artifacts)
+
+    def of(kind: str, extension: str) -> DataFrame:
+        return artifacts.where(F.col("ref").startswith(f"{kind}/") & F.col("ref").endswith(extension))
+
+    prompts, runbooks = of("prompts", ".md"), of("runbooks", ".md")
+    outcomes = [
+        verify.lint_front_matter(prompts, "prompt"),
+        verify.lint_prompt_body(prompts),
+        verify.lint_placeholders(prompts),
+        verify.lint_front_matter(runbooks, "runbook"),
+        verify.lint_runbook_title(runbooks),
+        verify.lint_unlabeled_fences(runbooks),
+        verify.sql_lexical_profile(of("scripts", ".sql")).drop("dialect", "statements"),
+    ]
+    if external is not None:
+        outcomes.append(external.select("ref", "check_name", "status", "detail"))
+    found = reduce(DataFrame.unionByName, outcomes)
+    return planned.join(found, ["ref", "check_name"], "left").withColumns({
+        "status": F.coalesce("status", F.lit("not-run")),
+        "detail": F.coalesce("detail", F.lit("no result for this check")),
+    })
+
+
+def verify_corpus(artifacts: DataFrame, verified_at: str, external: DataFrame | None = None
+                  ) -> DataFrame:
+    """One verification record per artifact ``(ref, text, state, compiled)``."""
+    results = run_checks(artifacts, external)
+    planned = verify.rebuild_plan(artifacts).select("ref", "emitter", "complete", "notes").distinct()
+    verdicts = verify.decide_verdict(results, planned)
+    return artifacts.select(
+        "ref", "state", "compiled", F.sha2("text", 256).alias("sha256"),
+        F.lit(verified_at).alias("verified_at"),
+    ).join(verdicts, "ref").join(planned.select("ref", "emitter"), "ref")

@@ -175,7 +175,7 @@ def _front_sql(kind: str, extra: str = "") -> str:
 
 
 _BARE = "regexp_replace(body, '^#![^\\n]*\\n', '')"
-_CHECKS = "(VALUES " + ", ".join(
+CHECK_ROWS = "(VALUES " + ", ".join(
     f"('{e}', {s}, '{n}', '{k}', {str(r).upper()}, {'NULL' if t is None else repr(t)}, {len(a)}, "
     + ("NULL" if len(a) < 4 else "'" + a[3].replace("'", "''") + "'") + ")"
     for e, s, n, k, r, t, a in fixed.CHECKS
@@ -236,5 +236,5 @@ ORACLES = {
             CASE WHEN d.emitter = 'sql' AND dialect IS NULL THEN 'dialect ''unspecified'' has no sqlfluff mapping; the sqlfluff parse uses ''ansi''' END,
             CASE WHEN flags <> '' THEN 'risk flags present (' || replace(flags, ',', ', ')
               || '): review these lines during manual verification' END) AS notes
-        FROM drafts d JOIN {_CHECKS} ON d.emitter = c.emitter""",
+        FROM drafts d JOIN {CHECK_ROWS} ON d.emitter = c.emitter""",
 }
