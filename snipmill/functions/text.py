@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import wraps
+from typing import Any
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +17,31 @@ SPACE = r"[\s\x1c-\x1f]"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
+_BUILT: dict[tuple, Any] = {}
+
+
+def built_once(build: Callable) -> Callable:
+    """Keep the Columns a builder returns for the life of the session.
+
+    A Column is a tree of JVM objects and a large one takes thousands of calls
+    to build. Builders marked with this name their input columns and take only
+    hashable arguments, so the tree can be used again in any frame.
+    """
+    @wraps(build)
+    def builder(*args):
+        key = (build, args, id(SparkContext._active_spark_context))
+        if key not in _BUILT:
+            _BUILT[key] = build(*args)
+        return _BUILT[key]
+
+    return builder
+
+
+def table(rows: Iterable) -> tuple:
+    """A pattern table as a hashable value."""
+    return tuple(tuple(row) for row in rows)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times in ``body``.
 

@@ -150,6 +150,7 @@ def _front_matter(rows: list[tuple[str, Column]]) -> Column:
     return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n"))
 
 
+@T.built_once
 def render(context: RenderContext) -> Column:
     """Whole text of a draft, from the columns of ``name_drafts`` and ``source``."""
     body, flags = F.col("body"), F.col("flags")
@@ -197,6 +198,7 @@ def render_drafts(named: DataFrame, context: RenderContext) -> DataFrame:
 
 
 # ---- check plans ---------------------------------------------------------------------
+@T.built_once
 def _plan_notes(default_dialect: str | None) -> Column:
     """Notes of a plan: what a pass would not show, then the risk note."""
     emitter, body, flags = F.col("emitter"), F.col("body"), F.col("flags")
@@ -234,6 +236,11 @@ def plans(drafts: DataFrame, default_dialect: str | None = None) -> DataFrame:
 
 def plan_checks(drafts: DataFrame, default_dialect: str | None = None) -> DataFrame:
     """Each draft with its checks in order, one row per check."""
+    return plans(drafts, default_dialect).select("*", F.inline(_check_rows(default_dialect)))
+
+
+@T.built_once
+def _check_rows(default_dialect: str | None) -> Column:
     dialect = F.coalesce(F.col("dialect"), F.lit(default_dialect))
     linter = T.lookup(fixed.SQL_LINT_DIALECTS, F.lower(dialect), F.lit(fixed.SQL_LINT_FALLBACK))
     listed = None
@@ -249,4 +256,4 @@ def plan_checks(drafts: DataFrame, default_dialect: str | None = None) -> DataFr
             for owner, seq, name, kind, required, tool, argv in fixed.CHECKS if owner == emitter
         ]
         listed = (F if listed is None else listed).when(F.col("emitter") == emitter, F.array(*rows))
-    return plans(drafts, default_dialect).select("*", F.inline(listed))
+    return listed

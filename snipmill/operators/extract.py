@@ -26,6 +26,16 @@ from snipmill.session import cut_lineage
 FRONT_MATTER_LINES = 10  # of a rendered transcript, see render.front_matter
 
 
+@T.built_once
+def _events() -> Column:
+    return M.events(F.col("text"))
+
+
+@T.built_once
+def _ends_open() -> Column:
+    return M.ends_open(F.col("text"))
+
+
 # ---- segments ----------------------------------------------------------------
 def strip_front_matter(docs: DataFrame) -> DataFrame:
     """``(doc_key, text)`` to one segment each; ``line_base`` counts the lines dropped."""
@@ -38,6 +48,7 @@ def strip_front_matter(docs: DataFrame) -> DataFrame:
     )
 
 
+@T.built_once
 def turn_part() -> Column:
     """Marker line and content of one turn, as the transcript holds it."""
     content = T.strip_newlines(T.unix_newlines(F.col("content_md")))
@@ -64,7 +75,7 @@ def turn_segments(turns: DataFrame, top: int | None = None,
                          turn_part().alias("text"))
     open_docs = (
         parts.where(M.may_hold_fence(F.col("text")))
-        .where(M.ends_open(F.col("text")))
+        .where(_ends_open())
         .select("doc_key").distinct()
     )
     top = top_position(turns, "idx") if top is None else top
@@ -121,7 +132,7 @@ def block_events(segments: DataFrame, *, whole_paragraphs: bool = False, top: in
     top = top_position(segments, "seg_no") if top is None else top
     sliced = top >= sizes["slice_size"]
     exploded = segments.select(
-        "doc_key", "seg_no", "line_base", F.posexplode(M.events(F.col("text"))).alias("ev_no", "e")
+        "doc_key", "seg_no", "line_base", F.posexplode(_events()).alias("ev_no", "e")
     )
     text = F.col("e.text")
     if not whole_paragraphs:
@@ -227,12 +238,17 @@ def document_fences(docs: DataFrame, **options) -> DataFrame:
 # ---- classification --------------------------------------------------------------
 def classify_label(fences: DataFrame) -> DataFrame:
     """Language, artifact type and dialect of a fence label; NULL when unknown."""
+    return fences.withColumns(_label_columns())
+
+
+@T.built_once
+def _label_columns() -> dict[str, Column]:
     label = F.col("lang_raw")
-    return fences.withColumns({
+    return {
         "lang": T.lookup({k: v[0] for k, v in fixed.LABELS.items()}, label),
         "artifact_type": T.lookup({k: v[1] for k, v in fixed.LABELS.items()}, label),
         "dialect": T.lookup({k: v[2] for k, v in fixed.LABELS.items() if v[2]}, label),
-    })
+    }
 
 
 def skip_reason(classified: DataFrame, languages: Collection[str] = fixed.DEFAULT_LANGUAGES, *,
@@ -241,6 +257,12 @@ def skip_reason(classified: DataFrame, languages: Collection[str] = fixed.DEFAUL
     unknown = sorted(set(languages) - set(fixed.LANGUAGES))
     if unknown:
         raise ValueError(f"unknown languages {unknown}; known are {list(fixed.LANGUAGES)}")
+    reason, detail = _reason_columns(tuple(languages), include_user)
+    return classified.withColumn("reason", reason).withColumn("detail", detail)
+
+
+@T.built_once
+def _reason_columns(languages: tuple[str, ...], include_user: bool) -> tuple[Column, Column]:
     label, lang = F.col("lang_raw"), F.col("lang")
     rules = [
         (T.is_blank(F.col("body")), "empty"),
@@ -256,7 +278,7 @@ def skip_reason(classified: DataFrame, languages: Collection[str] = fixed.DEFAUL
         .when(lang.isNull(), "unrecognized label")
         .when(F.col("reason").isNotNull(), F.concat(lang, F.lit(" not selected")))
     )
-    return classified.withColumn("reason", T.first_of(rules)).withColumn("detail", detail)
+    return T.first_of(rules), detail
 
 
 def fence_secrets(fences: DataFrame, patterns: S.Patterns | None = None) -> DataFrame:
@@ -291,34 +313,43 @@ def _comment_name(body: Column, lang: Column) -> Column:
     return chain
 
 
+@T.built_once
+def _name_column() -> Column:
+    heading = T.slug(F.get(F.col("heading_path"), F.size("heading_path") - 1))
+    return F.coalesce(
+        F.nullif(heading, F.lit("")),
+        _comment_name(F.col("body"), F.col("lang")),
+        F.format_string("block-%02d", F.col("fence_no")),
+    )
+
+
 def candidate_name(frame: DataFrame) -> DataFrame:
     """Slug of the last heading, else of the first comment, else ``block-NN``."""
-    heading = T.slug(F.get(F.col("heading_path"), F.size("heading_path") - 1))
-    return frame.withColumn(
-        "name_proposal",
-        F.coalesce(
-            F.nullif(heading, F.lit("")),
-            _comment_name(F.col("body"), F.col("lang")),
-            F.format_string("block-%02d", F.col("fence_no")),
-        ),
+    return frame.withColumn("name_proposal", _name_column())
+
+
+@T.built_once
+def _description_column() -> Column:
+    empty = F.lit("")
+    return F.coalesce(
+        F.nullif(T.first_sentence(F.col("user_para")), empty),
+        F.nullif(T.strip_lead_in(T.first_sentence(F.col("para"))), empty),
+        F.array_join("heading_path", " / "),
     )
 
 
 def candidate_description(frame: DataFrame) -> DataFrame:
     """Earlier user question, else the paragraph above, else the heading path."""
-    empty = F.lit("")
-    return frame.withColumn(
-        "description",
-        F.coalesce(
-            F.nullif(T.first_sentence(F.col("user_para")), empty),
-            F.nullif(T.strip_lead_in(T.first_sentence(F.col("para"))), empty),
-            F.array_join("heading_path", " / "),
-        ),
-    )
+    return frame.withColumn("description", _description_column())
+
+
+@T.built_once
+def _normal_body() -> Column:
+    return T.normalize(F.col("body"))
 
 
 def normalize_and_hash(frame: DataFrame) -> DataFrame:
-    return frame.withColumn("body_norm", T.normalize(F.col("body"))).withColumn(
+    return frame.withColumn("body_norm", _normal_body()).withColumn(
         "sha256", F.sha2(F.col("body_norm"), 256)
     )
 
@@ -328,15 +359,20 @@ def risk_flags(frame: DataFrame, generic: S.Patterns | None = None,
     """Distinct labels in table order: the shared table, then that of the language."""
     generic = fixed.RISK_PATTERNS if generic is None else generic
     by_language = fixed.LANGUAGE_RISK_PATTERNS if by_language is None else by_language
-    body, lang = F.col("body"), F.col("lang")
+    special = [(lang, *row) for lang, rows in by_language.items() for row in rows]
+    return frame.withColumn("flags", _flags_column(T.table(generic), T.table(special)))
+
+
+@T.built_once
+def _flags_column(generic: tuple, special: tuple) -> Column:
+    body = F.col("body")
     hits = [F.when(body.rlike(pattern), F.lit(label)) for label, pattern in generic]
-    for language, rows in by_language.items():
-        hits += [
-            F.when((lang == language) & body.rlike(pattern), F.lit(label))
-            for label, pattern in rows
-        ]
+    hits += [
+        F.when((F.col("lang") == lang) & body.rlike(pattern), F.lit(label))
+        for lang, label, pattern in special
+    ]
     found = F.array(*hits) if hits else F.array().cast("array<string>")
-    return frame.withColumn("flags", F.array_distinct(F.array_compact(found)))
+    return F.array_distinct(F.array_compact(found))
 
 
 def candidates(fences: DataFrame, languages: Collection[str] = fixed.DEFAULT_LANGUAGES, *,

@@ -18,9 +18,24 @@ KEY_BEGIN = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
 KEY_END = r"-----END [A-Z ]*PRIVATE KEY-----"
 
 
+@T.built_once
+def _hit(patterns: tuple) -> Column:
+    return S.find_secret(F.col("text"), list(patterns))
+
+
+@T.built_once
+def _any_hit(patterns: tuple) -> Column:
+    return S.has_secret(F.col("text"), list(patterns))
+
+
+@T.built_once
+def _redacted(patterns: tuple) -> Column:
+    return S.redact(F.col("text"), list(patterns))
+
+
 def secret_scan(docs: DataFrame, patterns: S.Patterns | None = None) -> DataFrame:
     """``(doc_key, label, line)`` of each document that holds a secret."""
-    hits = docs.select("doc_key", S.find_secret(F.col("text"), patterns).alias("hit"))
+    hits = docs.select("doc_key", _hit(T.table(patterns or fixed.SECRET_PATTERNS)).alias("hit"))
     return hits.where(F.col("hit").isNotNull()).select("doc_key", "hit.label", "hit.line")
 
 
@@ -38,7 +53,7 @@ def kv_literals(docs: DataFrame) -> DataFrame:
 def refuse_documents(docs: DataFrame, patterns: S.Patterns | None = None
                      ) -> tuple[DataFrame, DataFrame]:
     """``(accepted, refused)``; a document is one row, so this is a plain filter."""
-    hit = S.has_secret(F.col("text"), patterns)
+    hit = _any_hit(T.table(patterns or fixed.SECRET_PATTERNS))
     return docs.where(~hit), secret_scan(docs, patterns)
 
 
@@ -51,7 +66,7 @@ def segment_secrets(segments: DataFrame, patterns: S.Patterns | None = None) ->
     table = patterns or fixed.SECRET_PATTERNS
     rank = F.array_position(F.array(*[F.lit(label) for label, _ in table]), F.col("hit.label"))
     found = segments.select(
-        "doc_key", "line_base", S.find_secret(F.col("text"), table).alias("hit")
+        "doc_key", "line_base", _hit(T.table(table)).alias("hit")
     ).where(F.col("hit").isNotNull())
     hits = found.select(
         "doc_key", F.struct(rank.alias("rank"), (F.col("line_base") + F.col("hit.line")).alias("line"),
@@ -85,7 +100,7 @@ def refuse_segments(segments: DataFrame, patterns: S.Patterns | None = None
 
 
 def redact_text(docs: DataFrame, patterns: S.Patterns | None = None) -> DataFrame:
-    return docs.withColumn("text", S.redact(F.col("text"), patterns))
+    return docs.withColumn("text", _redacted(T.table(patterns or fixed.SECRET_PATTERNS)))
 
 
 def _redact_value(value: Column, dtype: DataType, patterns: S.Patterns | None) -> Column:

@@ -77,7 +77,7 @@ def header_fields(artifacts: DataFrame) -> DataFrame:
     is_md = F.col("filename").endswith(".md")
     named = split_ref(artifacts).withColumn("emitter", emitter_of(F.col("kind"), F.col("filename")))
     return named.withColumn(
-        "_fm", F.when(is_md, parse_front_matter(F.col("text")))
+        "_fm", F.when(is_md, _front_matter())
     ).withColumns({
         "dialect": F.when(F.col("emitter") == "sql", header_dialect(F.col("text"))),
         "flags": F.when(is_md, F.coalesce(listed, F.array().cast("array<string>")))
@@ -176,6 +176,11 @@ def parse_front_matter(text: Column) -> Column:
     return T.let(_lines(text), locate)
 
 
+@T.built_once
+def _front_matter() -> Column:
+    return parse_front_matter(F.col("text"))
+
+
 def _outcome(frame: DataFrame, check: str, problems: Column) -> DataFrame:
     listed = F.array_compact(problems)
     return frame.select(
@@ -186,7 +191,7 @@ def _outcome(frame: DataFrame, check: str, problems: Column) -> DataFrame:
 
 
 def _parsed(artifacts: DataFrame) -> DataFrame:
-    return artifacts.select("ref", "text", parse_front_matter(F.col("text")).alias("fm"))
+    return artifacts.select("ref", "text", _front_matter().alias("fm"))
 
 
 NEVER_CLOSED = "front matter opened on line 1 is never closed with a '---' line"

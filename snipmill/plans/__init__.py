@@ -1,3 +1,3 @@
 """Queries over the driver tables, by section."""
 
-SECTIONS = ["secrets", "extract", "emit", "verify"]
+SECTIONS = ["secrets", "imports", "extract", "emit", "verify"]

@@ -185,7 +185,7 @@ _REF = "kind || '/f' || doc_key || '-' || fence_no || extension"
 _PROMPT = f"WITH p AS ({PROMPTS}), q AS (SELECT *, id % 11 = 10 AS bare, id % 8 = 7 AND id % 11 <> 10 AS open FROM p)"
 _BOOK = f"WITH r AS ({RUNBOOKS}), q AS (SELECT *, id % 6 = 5 AS open FROM r)"
 _OPEN = "'front matter opened on line 1 is never closed with a ''---'' line'"
-_PLAIN = ("regexp_replace(regexp_replace(regexp_replace(text, '''[^'']*''', 'x', 'g'),"
+_PLAIN = ("regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '''[^'']*''', 'x', 'g'), '\"[^\"]*\"', 'x', 'g'),"
           " '--[^\\n]*', '', 'g'), '/\\*.*?\\*/', '', 'g')")
 ORACLES = {
     "header_fields": DRAFTS + f"SELECT {_REF} AS ref, emitter, dialect, flags FROM drafts",
