@@ -164,8 +164,10 @@ def list_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def select_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.select_conversation(derived(spark, sf_dir, SELECTORS, "orders"),
+    rows = I.select_conversation(derived(spark, sf_dir, SELECTORS, "orders"),
                                  derived(spark, sf_dir, TITLES, "part"))
+    return rows.select("selector_id", "outcome", F.coalesce("stage", F.lit(-1)).alias("stage"),
+                       F.coalesce("doc_key", F.lit(-1)).alias("doc_key"))
 
 
 def render_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,8 +271,8 @@ ORACLES = {
             row_number() OVER (PARTITION BY selector_id ORDER BY stage) AS r
           FROM hits WHERE stage IS NOT NULL GROUP BY selector_id, stage)
         SELECT selector_id, CASE WHEN stage IS NULL THEN 'not_found' WHEN stage = 1 OR n = 1 THEN 'selected'
-            ELSE 'ambiguous' END AS outcome, CAST(stage AS INT) AS stage,
-          CASE WHEN stage = 1 OR n = 1 THEN doc_key END AS doc_key
+            ELSE 'ambiguous' END AS outcome, CAST(coalesce(stage, -1) AS INT) AS stage,
+          CASE WHEN stage = 1 OR n = 1 THEN doc_key ELSE -1 END AS doc_key
         FROM s LEFT JOIN best USING (selector_id) WHERE r IS NULL OR r = 1""",
     "render_transcript": CORPUS + f""",
         {_HEADERS},
