@@ -55,7 +55,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    """Run a recipe over the parquet tables it names."""
+    """Run a recipe over the parquet tables it names; ``sha256`` as DuckDB has it."""
+    if "sha256(" in sql:
+        spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION sha256(x STRING) RETURNS STRING "
+                  "RETURN sha2(x, 256)")
     for name in tables:
         sql = sql.replace(f"FROM {name}", f"FROM parquet.`{sf_dir}/{name}.parquet` {name}")
         sql = sql.replace(f"JOIN {name}", f"JOIN parquet.`{sf_dir}/{name}.parquet` {name}")

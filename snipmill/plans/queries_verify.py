@@ -144,7 +144,7 @@ def decide_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, RUNS.replace("sha256(event_type)", "sha2(event_type, 256)"), "events")
+    return derived(spark, sf_dir, RUNS, "events")
 
 
 def record_verification_run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,9 +152,8 @@ def record_verification_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verification_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = FILES.replace("sha256(CASE", "sha2(CASE").replace("'view' END)", "'view' END, 256)")
     rows = verify.verification_freshness(
-        verify.record_verification_run(_runs(spark, sf_dir)), derived(spark, sf_dir, sql, "events")
+        verify.record_verification_run(_runs(spark, sf_dir)), derived(spark, sf_dir, FILES, "events")
     )
     return rows.select("ref", "verdict", "fresh")
 
