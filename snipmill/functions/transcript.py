@@ -10,10 +10,15 @@ from snipmill.functions import text as T
 
 
 def iso_millis(seconds: Column) -> Column:
-    """Epoch seconds as ISO-8601 with milliseconds and ``+00:00``."""
+    """Epoch seconds as ISO-8601 with milliseconds and ``+00:00``, in any session zone."""
     whole = F.floor(seconds)
-    micros = whole * 1_000_000 + F.bround((seconds - whole) * 1e6).cast("bigint")
-    return F.date_format(F.timestamp_micros(micros.cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss.SSSxxx")
+    micros = F.bround((seconds - whole) * 1e6)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    moment = epoch + F.make_dt_interval(
+        secs=(whole + micros / 1e6).cast("decimal(18,6)"))
+    return T.let(moment.cast("string"), lambda s: F.concat(
+        F.replace(F.substring(s, 1, 19), F.lit(" "), F.lit("T")), F.lit("."),
+        F.rpad(F.substring(s, 21, 3), 3, "0"), F.lit("+00:00")))
 
 
 def yaml_scalar(value: Column) -> Column:

@@ -67,43 +67,32 @@ def turn_segments(turns: DataFrame, top: int | None = None,
                   slice_size: int | None = None) -> DataFrame:
     """Turns ``(doc_key, idx, role, content_md, ts)`` to segments, one per turn.
 
-    A turn that leaves a fence open swallows the turns after it. Documents
-    that hold such a turn are parsed as one row each, like a file; all others
-    stay one row per turn.
+    A turn that leaves a fence open makes the turns after it fence text, and a
+    fence body is one value. So from the first such turn on a document becomes
+    one segment; all turns before it, and all other documents, stay as they are.
+    ``top`` is an upper bound of ``idx`` when the caller has one.
     """
     parts = turns.select("doc_key", F.col("idx").cast("int").alias("seg_no"),
                          turn_part().alias("text"))
-    open_docs = (
-        parts.where(M.may_hold_fence(F.col("text")))
-        .where(_ends_open())
-        .select("doc_key").distinct()
+    opened = (
+        parts.where(M.may_hold_fence(F.col("text"))).where(_ends_open())
+        .groupBy("doc_key").agg(F.min("seg_no").alias("_from"))
     )
     top = top_position(turns, "idx") if top is None else top
-    sizes = {} if slice_size is None else {"slice_size": slice_size}
-
-    def placed(rows: DataFrame) -> DataFrame:
-        height = T.newlines(F.col("text")) + 2
-        based = add_running(
-            rows, ["doc_key"], "seg_no", ["seg_no"],
-            [Running("line_base", "sum", height, current=False)], top, **sizes,
-        )
-        return based.withColumn(
-            "line_base", (F.col("line_base") + FRONT_MATTER_LINES + 1).cast("int")
-        ).select("doc_key", "seg_no", "line_base", "text")
-
-    if open_docs.isEmpty():
-        return placed(parts)
-    whole = (
-        parts.join(open_docs, "doc_key", "left_semi")
-        .groupBy("doc_key")
-        .agg(F.array_sort(F.collect_list(F.struct("seg_no", "text"))).alias("p"))
-        .select(
-            "doc_key", F.lit(0).alias("seg_no"),
-            F.lit(FRONT_MATTER_LINES + 1).alias("line_base"),
-            F.array_join(F.col("p.text"), "\n\n").alias("text"),
-        )
+    if not opened.isEmpty():
+        marked = parts.join(opened, "doc_key", "left")
+        tail = F.coalesce(F.col("seg_no") >= F.col("_from"), F.lit(False))
+        glued = marked.where(tail).groupBy("doc_key", "_from").agg(
+            F.array_sort(F.collect_list(F.struct("seg_no", "text"))).alias("p")
+        ).select("doc_key", F.col("_from").alias("seg_no"), F.array_join("p.text", "\n\n").alias("text"))
+        parts = marked.where(~tail).drop("_from").unionByName(glued)
+    height = T.newlines(F.col("text")) + 2
+    based = add_running(
+        parts, ["doc_key"], "seg_no", ["seg_no"],
+        [Running("line_base", "sum", height, current=False)], top, slice_size or SLICE,
     )
-    return placed(parts.join(open_docs, "doc_key", "left_anti")).unionByName(whole)
+    base = (F.col("line_base") + FRONT_MATTER_LINES + 1).cast("int")
+    return based.select("doc_key", "seg_no", base.alias("line_base"), "text")
 
 
 # ---- turn markers --------------------------------------------------------------
@@ -415,7 +404,7 @@ def _mark_revisions(found: DataFrame, group: list[str], target: Column, all_revi
         ],
         top, **sizes,
     )
-    kept = add_total(kept, group, "_all", open_row.cast("int"), top, **sizes)
+    kept = add_total(kept, group, Running("_all", "sum", open_row.cast("int")), top, **sizes)
     last = F.col("_before") == F.col("_all") - 1
     return kept.withColumns({
         "supersedes": F.when(open_row & last, F.col("_prev.sha256")),
@@ -480,12 +469,17 @@ def supersede_by_similarity(found: DataFrame, *, all_revisions: bool = False,
         .sortWithinPartitions("doc_key", "lang", "fence_no")
         .mapInArrow(_number_revisions, schema)
     )
-    last = F.max(F.when(F.col("reason").isNull(), F.struct("fence_no", "name_proposal")))
+    top = top_position(found, "fence_no") if top is None else top
+    limit = slice_size or SLICE
+    if top >= limit:
+        numbered = cut_lineage(numbered)  # the sliced form reads the rows more than once
+    last = Running("_last", "max", F.when(
+        F.col("reason").isNull(), F.struct("fence_no", "name_proposal")))
     group = ["doc_key", "lang", "revision_group"]
-    named = numbered.withColumn("_last_name", last.over(Window.partitionBy(*group))["name_proposal"])
+    named = add_total(numbered, group, last, top, limit)
     return _mark_revisions(
-        named, group, F.col("_last_name"), False, top, slice_size
-    ).drop("_last_name", "revision_group")
+        named, group, F.col("_last.name_proposal"), False, top, slice_size
+    ).drop("_last", "revision_group")
 
 
 def dedup_against_library(found: DataFrame, library: DataFrame) -> DataFrame:

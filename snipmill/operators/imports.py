@@ -152,7 +152,7 @@ def linearize_tree(nodes: DataFrame, heads: DataFrame, most_nodes: int | None =
         sound, ["conv_key"], "depth", ["depth"],
         [Running("_after", "sum", F.lit(1), current=False)], top,
     )
-    counted = add_total(counted, ["conv_key"], "_all", F.lit(1), top)
+    counted = add_total(counted, ["conv_key"], Running("_all", "sum", F.lit(1)), top)
     turns = counted.select(
         "conv_key", "node_id", (F.col("_all") - F.col("_after")).cast("int").alias("idx")
     )
@@ -281,43 +281,47 @@ def select_conversation(selectors: DataFrame, headers: DataFrame) -> DataFrame:
     known = headers.select("export_key", "doc_key", "conversation_id", "title", "position")
     asked = selectors.where(F.col("wanted").isNotNull())
 
-    def stage(hits: DataFrame, number: int) -> DataFrame:
-        return hits.groupBy("selector_id").agg(
-            F.count("*").alias("n"), F.min_by("doc_key", "position").alias("doc_key")
-        ).withColumn("stage", F.lit(number))
-
-    by_id = stage(asked.join(known, (asked["export_key"] == known["export_key"])
-                             & (asked["wanted"] == known["conversation_id"])), 1)
-    by_title = stage(asked.join(known, (asked["export_key"] == known["export_key"])
-                                & (asked["wanted"] == known["title"])), 2)
-
-    needle = F.lower("wanted")
-    size = F.least(F.lit(3), F.length(needle))
-    titles = known.withColumn("low", F.lower("title"))
-    pieces = titles.select("export_key", "doc_key", "position", "low", F.explode(F.array_distinct(
+    def merged(column: Column) -> DataFrame:
+        """Conversations that share a value as one row, so no pairs multiply."""
+        return known.withColumn("value", column).where(F.col("value").isNotNull()).groupBy(
+            "export_key", "value"
+        ).agg(F.count("*").alias("n"), F.min(F.struct("position", "doc_key")).alias("first"))
+
+    def exact(column: Column, number: int) -> DataFrame:
+        held = merged(column).withColumnRenamed("value", "wanted")
+        return asked.join(held, ["export_key", "wanted"]).select(
+            "selector_id", F.lit(number).alias("stage"), "n", F.col("first.doc_key").alias("doc_key"))
+
+    # One row per distinct needle and per distinct title, whatever their number.
+    low = asked.withColumn("needle", F.lower("wanted"))
+    needles = low.select("export_key", "needle").distinct()
+    titles = merged(F.lower("title")).withColumnRenamed("value", "low")
+    size = F.least(F.lit(3), F.length("needle"))
+    pieces = titles.select("export_key", "low", "n", "first", F.explode(F.array_distinct(
         F.concat(*[_grams(F.col("low"), n) for n in (1, 2, 3)]))).alias("gram"))
     counts = pieces.groupBy("export_key", "gram").agg(F.count("*").alias("titles"))
-    cut = asked.where(needle != "").select(
-        "selector_id", "export_key", needle.alias("needle"),
-        F.explode(F.when(size == 3, _grams(needle, 3)).when(size == 2, _grams(needle, 2))
-                  .otherwise(_grams(needle, 1))).alias("gram"),
-    )
-    rarest = cut.join(counts, ["export_key", "gram"], "left").groupBy(
-        "selector_id", "export_key", "needle"
-    ).agg(F.min(F.struct(F.coalesce("titles", F.lit(0)).alias("titles"), "gram")).alias("g")).select(
-        "selector_id", "export_key", "needle", F.col("g.gram").alias("gram")
+    cut = needles.where("needle <> ''").select(
+        "export_key", "needle",
+        F.explode(F.when(size == 3, _grams(F.col("needle"), 3)).when(size == 2, _grams(F.col("needle"), 2))
+                  .otherwise(_grams(F.col("needle"), 1))).alias("gram"),
     )
+    rarest = cut.join(counts, ["export_key", "gram"], "left").groupBy("export_key", "needle").agg(
+        F.min(F.struct(F.coalesce("titles", F.lit(0)).alias("titles"), "gram")).alias("g")
+    ).select("export_key", "needle", F.col("g.gram").alias("gram"))
     hits = rarest.join(pieces, ["export_key", "gram"]).where(F.col("low").contains(F.col("needle")))
-    empty_needle = asked.where(needle == "").join(known, "export_key").select(
-        "selector_id", "doc_key", "position")
-    by_part = stage(hits.select("selector_id", "doc_key", "position").unionByName(empty_needle), 3)
+    found = hits.groupBy("export_key", "needle").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first")
+    ).unionByName(titles.groupBy("export_key").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first")).withColumn("needle", F.lit("")))
+    by_part = low.join(found, ["export_key", "needle"]).select(
+        "selector_id", F.lit(3).alias("stage"), "n", F.col("first.doc_key").alias("doc_key"))
 
     sizes = known.groupBy("export_key").agg(
         F.count("*").alias("n"), F.min_by("doc_key", "position").alias("doc_key"))
     unnamed = selectors.where(F.col("wanted").isNull()).join(sizes, "export_key", "left").select(
-        "selector_id", F.coalesce("n", F.lit(0)).alias("n"), "doc_key", F.lit(0).alias("stage"))
-    best = by_id.unionByName(by_title).unionByName(by_part).unionByName(unnamed).groupBy(
-        "selector_id").agg(F.min(F.struct("stage", "n", "doc_key")).alias("b")).select("selector_id", "b.*")
+        "selector_id", F.lit(0).alias("stage"), F.coalesce("n", F.lit(0)).alias("n"), "doc_key")
+    best = exact(F.col("conversation_id"), 1).unionByName(exact(F.col("title"), 2)).unionByName(
+        by_part).unionByName(unnamed).groupBy("selector_id").agg(F.min(F.struct("stage", "n", "doc_key")).alias("b")).select("selector_id", "b.*")
     single = (F.col("stage") == 1) | (F.col("n") == 1)
     return selectors.join(best, "selector_id", "left").select(
         "selector_id",

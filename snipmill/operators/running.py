@@ -84,13 +84,12 @@ def add_running(df: DataFrame, key: list[str], position: str, order: list[str],
     return joined.drop("_slice", *[f"_c_{s.name}" for s in specs])
 
 
-def add_total(df: DataFrame, key: list[str], name: str, value: Column, top: int,
+def add_total(df: DataFrame, key: list[str], spec: Running, top: int,
               slice_size: int = SLICE) -> DataFrame:
-    """Add the sum of ``value`` per key; a partial aggregate and a join beyond one slice."""
+    """Add a maximum or sum per key; a partial aggregate and a join beyond one slice."""
     if top < slice_size:
-        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*key)))
-    totals = df.groupBy(*key).agg(F.sum(value).alias(name))
-    return df.join(totals, key, "left")
+        return df.withColumn(spec.name, _total(spec).over(Window.partitionBy(*key)))
+    return df.join(df.groupBy(*key).agg(_total(spec).alias(spec.name)), key, "left")
 
 
 def add_rank(df: DataFrame, key: list[str], order: list[str], name: str,

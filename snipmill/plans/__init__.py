@@ -1,3 +1,3 @@
 """Queries over the driver tables, by section."""
 
-SECTIONS = ["secrets", "imports", "extract", "emit", "verify", "curate", "records", "events"]
+SECTIONS = ["secrets", "imports", "extract", "emit", "verify", "curate", "records", "events", "sources"]

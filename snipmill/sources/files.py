@@ -41,9 +41,14 @@ def _utf8(content: Column) -> Column:
 
 
 def scan_markdown(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(docs, errors)``: one row per ``.md``/``.markdown`` file below ``path``."""
+    """``(docs, errors)``: one row per Markdown file below ``path``."""
+    return markdown_rows(_binary(spark, path, "*.{md,markdown,MD}"))
+
+
+def markdown_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(docs, errors)`` of ``(path, content)``; bytes that are no UTF-8 are errors."""
     name = F.regexp_extract("path", r"([^/]+)\z", 1)
-    rows = _binary(spark, path, "*.{md,markdown,MD}").select(
+    rows = files.select(
         F.col("path").alias("doc_key"), F.regexp_replace(name, r"\.[^.]*\z", "").alias("stem"),
         _utf8(F.col("content")).alias("text"))
     good = rows.where(F.col("text").isNotNull())
@@ -73,7 +78,11 @@ def _unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan_inputs(spark: SparkSession, path: str) -> DataFrame:
     """Every input below ``path`` as ``(path, text, error)``; archives are opened."""
-    files = _binary(spark, path)
+    return input_rows(_binary(spark, path))
+
+
+def input_rows(files: DataFrame) -> DataFrame:
+    """``(path, text, error)`` of ``(path, content)`` rows."""
     is_zip = F.lower("path").endswith(".zip")
     plain = files.where(~is_zip).withColumn("error", F.lit(None).cast("string"))
     unzipped = files.where(is_zip).mapInArrow(_unzip, "path string, content binary, error string")
@@ -165,10 +174,14 @@ def compiled_stamp(text: Column) -> Column:
 
 
 def scan_library(spark: SparkSession, root: str) -> DataFrame:
-    """Draft and approved files as ``(ref, state, compiled, text, sha256)``."""
-    rows = _binary(spark, f"{root}/artifacts")
+    """Draft and approved files of a library folder."""
+    return library_rows(_binary(spark, f"{root}/artifacts"))
+
+
+def library_rows(files: DataFrame) -> DataFrame:
+    """``(ref, state, compiled, text, sha256)`` of ``(path, content)`` rows."""
     place = r"/artifacts/(drafts|approved)/((?:scripts|prompts|runbooks)/[^/]+)\z"
-    return rows.select(
+    return files.select(
         F.regexp_extract("path", place, 2).alias("ref"),
         F.when(F.regexp_extract("path", place, 1) == "drafts", "draft").otherwise("approved").alias("state"),
         _utf8(F.col("content")).alias("text"), F.sha2("content", 256).alias("sha256"),
@@ -183,8 +196,13 @@ def _checked(rows: DataFrame, faults: list[tuple[Column, str]]) -> DataFrame:
 
 
 def scan_tags(spark: SparkSession, path: str, schema: str = "tags/1") -> DataFrame:
-    """Tag registry documents as ``(ref, compiled, tag)``."""
-    docs = _binary(spark, path).select("path", F.from_json(_utf8(F.col("content")), TAG_DOC).alias("d"))
+    """Tag registry documents below ``path``."""
+    return tag_rows(_binary(spark, path), schema)
+
+
+def tag_rows(files: DataFrame, schema: str = "tags/1") -> DataFrame:
+    """``(ref, compiled, tag)`` of tag registry documents ``(path, content)``."""
+    docs = files.select("path", F.from_json(_utf8(F.col("content")), TAG_DOC).alias("d"))
     whole = _checked(docs, [
         (~F.col("d.schema").eqNullSafe(F.lit(schema)), "wrong schema or not JSON"),
         (F.col("d.artifacts").isNull(), "`artifacts` must be an object"),
@@ -202,9 +220,14 @@ def scan_tags(spark: SparkSession, path: str, schema: str = "tags/1") -> DataFra
 
 def scan_collections(spark: SparkSession, path: str, schema: str = "collection/1"
                      ) -> tuple[DataFrame, DataFrame]:
-    """``(collections, members)`` of collection documents; other file names are ignored."""
+    """Collection documents below ``path``."""
+    return collection_rows(_binary(spark, path, "*.json"), schema)
+
+
+def collection_rows(files: DataFrame, schema: str = "collection/1") -> tuple[DataFrame, DataFrame]:
+    """``(collections, members)`` of ``(path, content)``; other file names are ignored."""
     stem = F.regexp_extract("path", r"([^/]+)\.json\z", 1)
-    docs = _binary(spark, path, "*.json").select(
+    docs = files.select(
         "path", stem.alias("stem"), F.from_json(_utf8(F.col("content")), COLLECTION_DOC).alias("d")
     ).where(F.col("stem").rlike(fixed.NAME_RULE))
     refs = F.col("d.members.ref")
