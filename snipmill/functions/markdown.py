@@ -109,7 +109,7 @@ def _inner(block: Column) -> Column:
     """The lines of a fence block between opener and closer, opener indent removed."""
     opener = F.regexp_extract(block, r"\A[0-9]+\x01( {0,3})((`|~)\3{2,})", 2)
     indent = F.length(F.regexp_extract(block, r"\A[0-9]+\x01( {0,3})", 1))
-    lines = F.split(F.regexp_replace(_unnumber(block), r"\n\z", ""), "\n", -1)
+    lines = F.split(_unnumber(F.regexp_replace(block, r"\n\z", "")), "\n", -1)
 
     def build(parts: Column) -> Column:
         last = F.trim(F.element_at(parts["lines"], -1))
@@ -197,7 +197,9 @@ def _classify(block: Column) -> Column:
 def ends_open(text: Column) -> Column:
     """Whether the text ends inside a fence: only the last block can be open."""
     plain = F.regexp_replace(T.unix_newlines(text), r"\n\z", "")
-    cut = F.regexp_extract_all(plain, F.lit(BLOCKS.replace(_NO, "")), F.lit(0))
+    # Without line numbers a blank block could be empty, so ask for one character.
+    some = r"(?=[\s\S])(?:" + BLOCKS.replace(_NO, "") + ")"
+    cut = F.regexp_extract_all(plain, F.lit(some), F.lit(0))
     return T.let(
         F.get(cut, F.size(cut) - 1),
         lambda last: last.rlike(_TICK_TOKEN.replace(_NO, ""))
