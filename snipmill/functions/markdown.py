@@ -194,8 +194,29 @@ def _classify(block: Column) -> Column:
     )
 
 
+def _plainly_closed(text: Column) -> Column:
+    """A cheap sign that no fence stays open: ``` lines in pairs, each second one bare.
+
+    Other runs, tildes or an HTML comment beyond one marker need the full test.
+    """
+    marks = F.regexp_extract_all(text, F.lit(r"(?m)(?d)^ {0,3}(?:`{3,}|~{3,})[^\n]*"), F.lit(0))
+
+    def paired(found: Column) -> Column:
+        fits = F.transform(found, lambda m, i: F.when(i % 2 == 1, m == "```").otherwise(
+            m.rlike(r"^ {0,3}```[^`]*\z")))
+        return ~F.array_contains(fits, False)
+
+    one_comment = F.size(F.split(text, "<!--", 3)) <= 2
+    return one_comment & T.let(marks, lambda found: (F.size(found) % 2 == 0) & paired(found))
+
+
 def ends_open(text: Column) -> Column:
-    """Whether the text ends inside a fence: only the last block can be open."""
+    """Whether the text ends inside a fence."""
+    return F.when(_plainly_closed(text), F.lit(False)).otherwise(_last_block_open(text))
+
+
+def _last_block_open(text: Column) -> Column:
+    """The full test: cut the text into blocks; only the last one can be open."""
     plain = F.regexp_replace(T.unix_newlines(text), r"\n\z", "")
     # Without line numbers a blank block could be empty, so ask for one character.
     some = r"(?=[\s\S])(?:" + BLOCKS.replace(_NO, "") + ")"

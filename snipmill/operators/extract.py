@@ -74,12 +74,10 @@ def turn_segments(turns: DataFrame, top: int | None = None,
     """
     parts = turns.select("doc_key", F.col("idx").cast("int").alias("seg_no"),
                          turn_part().alias("text"))
-    opened = (
-        parts.where(M.may_hold_fence(F.col("text"))).where(_ends_open())
-        .groupBy("doc_key").agg(F.min("seg_no").alias("_from"))
-    )
+    open_parts = parts.where(M.may_hold_fence(F.col("text"))).where(_ends_open())
     top = top_position(turns, "idx") if top is None else top
-    if not opened.isEmpty():
+    if not open_parts.isEmpty():
+        opened = open_parts.groupBy("doc_key").agg(F.min("seg_no").alias("_from"))
         marked = parts.join(opened, "doc_key", "left")
         tail = F.coalesce(F.col("seg_no") >= F.col("_from"), F.lit(False))
         glued = marked.where(tail).groupBy("doc_key", "_from").agg(

@@ -157,7 +157,9 @@ def verify_manifest(revisions: DataFrame, contents: DataFrame) -> DataFrame:
     stored = contents.select(
         F.col("revision_id").alias("id"), "path", F.octet_length("content").alias("_size"),
         F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("_sha"))
-    entries = whole.where(F.col("own").isNull()).select("id", F.posexplode("m.entries").alias("at", "e")).select(
+    # Rows that already failed are not filtered here: a filter would parse the
+    # manifest a second time, and their own failure wins below anyway.
+    entries = whole.select("id", F.posexplode("m.entries").alias("at", "e")).select(
         "id", "at", "e.path", "e.size", "e.sha256")
     bad = entries.join(stored, ["id", "path"], "left").where(
         F.col("_sha").isNull() | (F.col("_size") != F.col("size")) | (F.col("_sha") != F.col("sha256"))
