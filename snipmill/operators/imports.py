@@ -347,6 +347,19 @@ def render_parts(headers: DataFrame, turns: DataFrame, title: str | None = None)
     return heads.unionByName(body)
 
 
+def part_segments(parts: DataFrame, top: int | None = None) -> DataFrame:
+    """Transcript parts as segments of the file, for the secret scan.
+
+    The front matter is part of the scan, as a title can hold a secret too.
+    """
+    top = top_position(parts, "part_no") if top is None else top
+    height = T.newlines(F.col("text")) + 2
+    based = add_running(parts, ["doc_key"], "part_no", ["part_no"],
+                        [Running("line_base", "sum", height, current=False)], top)
+    return based.select("doc_key", F.col("part_no").alias("seg_no"),
+                        F.col("line_base").cast("int").alias("line_base"), "text")
+
+
 def transcript_texts(parts: DataFrame, limit: int = ROW_LIMIT) -> tuple[DataFrame, DataFrame]:
     """``(texts, oversize)``: whole texts of conversations that fit one row.
 

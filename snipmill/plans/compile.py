@@ -6,15 +6,49 @@ from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snipmill import fixed
 from snipmill.functions import secrets as S
-from snipmill.operators import emit, extract, refuse, verify
+from snipmill.operators import emit, events, extract, imports, refuse, verify
 from snipmill.session import cut_lineage
 
 
+@dataclass(frozen=True)
+class Imported:
+    """Frames of one import."""
+
+    parts: DataFrame         # transcript parts of accepted conversations
+    destinations: DataFrame  # where each accepted transcript goes
+    refused: DataFrame       # conversations that hold a secret
+    ledger: DataFrame        # one event row per conversation; empty on a dry run
+
+
+def import_corpus(headers: DataFrame, turns: DataFrame, taken: DataFrame, *, year: str, month: str,
+                  ts: Column, title: str | None = None, dry_run: bool = False,
+                  patterns: S.Patterns | None = None, top: int | None = None) -> Imported:
+    """Render, refuse, name and log imported conversations.
+
+    ``headers`` carry ``source_path`` beside the header columns. A refused
+    conversation gets a ``refused`` event and nothing else.
+    """
+    parts = imports.render_parts(headers, turns, title)
+    segments = imports.part_segments(parts, top)
+    # Read by the parts, the names and the ledger: scan the texts once.
+    refused = cut_lineage(refuse.segment_secrets(segments, patterns))
+    accepted = headers.join(refused.select("doc_key"), "doc_key", "left_anti")
+    named = accepted if title is None else accepted.withColumn("title", F.lit(title))
+    destinations = imports.transcript_destinations(named, taken, year, month)
+    counts = turns.groupBy("doc_key").agg(F.count("*").cast("int").alias("turns"))
+    logged = headers.join(counts, "doc_key", "left").withColumn("turns", F.coalesce("turns", F.lit(0)))
+    return Imported(
+        parts=parts.join(refused.select("doc_key"), "doc_key", "left_anti"),
+        destinations=destinations, refused=refused,
+        ledger=events.import_events(logged, refused, destinations, ts, dry_run),
+    )
+
+
 @dataclass(frozen=True)
 class Compiled:
     """Frames of one compile: nothing is written until a sink is given them."""

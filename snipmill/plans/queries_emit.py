@@ -113,7 +113,19 @@ def compile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def compile_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same compile with revisions by name only, so that SQL can follow it."""
+    out = compile_corpus(segments(spark, sf_dir), taken(spark, sf_dir), CONTEXT, enabled=EMITTERS,
+                         similarity=False, top=fence_bound(spark, sf_dir))
+    drafted = out.drafts.select("doc_key", "fence_no", F.lit("draft").alias("outcome"),
+                                F.col("filename").alias("what"))
+    skipped = out.skipped.select("doc_key", "fence_no", F.lit("skipped").alias("outcome"),
+                                 F.col("reason").alias("what"))
+    return drafted.unionByName(skipped)
+
+
 QUERIES = {
+    "compile_by_name": compile_by_name,
     "assign_emitter": assign_emitter,
     "propose_filename": propose_filename,
     "resolve_collisions": resolve_names,
@@ -181,7 +193,32 @@ CHECK_ROWS = "(VALUES " + ", ".join(
     for e, s, n, k, r, t, a in fixed.CHECKS
 ) + ") AS c(emitter, seq, check_name, check_kind, required, tool, n_argv, fourth_arg)"
 
+# The k-th draft of a proposal takes the k-th number not in use for it.
+NAMED = DRAFTS + f""",
+files AS ({TAKEN}),
+queued AS (SELECT *, row_number() OVER (PARTITION BY kind, extension, name_proposal ORDER BY doc_key, fence_no) AS k
+  FROM drafts WHERE emitter IN ({_NAMES})),
+used AS (SELECT p.kind, p.extension, p.name_proposal, t, row_number() OVER (
+    PARTITION BY p.kind, p.extension, p.name_proposal ORDER BY t) AS j
+  FROM (SELECT DISTINCT kind, extension, name_proposal FROM queued) p, LATERAL (
+    SELECT CAST(coalesce(nullif(regexp_extract(filename, '-([0-9]+)\\.[a-z0-9]+$', 1), ''), '1') AS INT) AS t
+    FROM files WHERE kind = p.kind AND p.extension <> '.py' AND (filename = p.name_proposal || p.extension
+      OR regexp_replace(filename, '-[0-9]+(\\.[a-z0-9]+)$', '\\1') = p.name_proposal || p.extension
+        AND filename <> p.name_proposal || p.extension)) f),
+numbered AS (SELECT p.doc_key, p.fence_no, p.kind, p.extension, p.name_proposal, k + count(j) AS n
+  FROM queued p LEFT JOIN used u ON u.kind = p.kind AND u.extension = p.extension
+    AND u.name_proposal = p.name_proposal AND t - j < k
+  GROUP BY p.doc_key, p.fence_no, p.kind, p.extension, p.name_proposal, k),
+final AS (SELECT doc_key, fence_no, kind, n, CASE WHEN extension = '.py'
+    THEN replace(name_proposal || CASE WHEN n = 1 THEN '' ELSE '-' || n END, '-', '_')
+    ELSE name_proposal || CASE WHEN n = 1 THEN '' ELSE '-' || n END END || extension AS filename FROM numbered)"""
+
 ORACLES = {
+    "name_drafts": NAMED + " SELECT doc_key, fence_no, kind, filename, n > 1 AS renamed FROM final",
+    "compile_by_name": NAMED + f"""
+        SELECT doc_key, fence_no, 'draft' AS outcome, filename AS what FROM final
+        UNION ALL SELECT doc_key, fence_no, 'skipped', coalesce(reason, 'unsupported-emitter') FROM revised
+        WHERE reason IS NOT NULL OR lang = 'powershell'""",
     "assign_emitter": FENCES + f"""
         SELECT doc_key, fence_no, rules.emitter, rules.extension, rules.kind,
           coalesce(rules.executable, FALSE) AS executable_when_approved,

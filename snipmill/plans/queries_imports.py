@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from snipmill import fixed
 from snipmill.operators import imports as I
+from snipmill.plans import compile as C
 from snipmill.plans.corpus import derived, table, turns
 from snipmill.plans.queries_extract import CORPUS, slug_sql
 
@@ -188,7 +189,18 @@ def transcript_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
         _headers(spark, sf_dir), derived(spark, sf_dir, TAKEN, "part"), "2026", "01")
 
 
+def import_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole import; every thirteenth conversation says a password in one turn."""
+    leak = F.when((F.col("doc_key") % 13 == 0) & (F.col("idx") == 2), F.concat(
+        "content_md", F.lit("\npassword = hunter2hunter2"))).otherwise(F.col("content_md"))
+    headers = _headers(spark, sf_dir).withColumn("source_path", F.concat(F.lit("in/"), "doc_key"))
+    out = C.import_corpus(headers, turns(spark, sf_dir).withColumn("content_md", leak),
+                          derived(spark, sf_dir, TAKEN, "part"), year="2026", month="01", ts=F.lit("now"))
+    return out.ledger.select("source_path", "result", "detail", "turns")
+
+
 QUERIES = {
+    "import_corpus": import_corpus,
     "linearize_tree": linearize_tree,
     "linearize_errors": linearize_errors,
     "export_messages_a": export_messages_a,
@@ -210,7 +222,27 @@ _HEADERS = """headers AS (
         SELECT conv_id + 1000000000 FROM conversations WHERE conv_id % 5 = 0))"""
 _MILLIS = "strftime(make_timestamp(CAST(({}) * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%g') || '+00:00'"
 
+def _slugs(where: str) -> str:
+    return f"""{_HEADERS}, taken AS ({TAKEN}),
+        used AS (SELECT t, row_number() OVER (ORDER BY t) AS j FROM (SELECT CAST(coalesce(
+          nullif(regexp_extract(filename, '-([0-9]+)\\.md$', 1), ''), '1') AS INT) AS t FROM taken)),
+        slugs AS (SELECT doc_key, coalesce(nullif({slug_sql('title', 64)}, ''), 'untitled') AS slug
+          FROM headers WHERE {where}),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY doc_key) AS k FROM slugs),
+        numbered AS (SELECT doc_key, slug, k + count(j) AS n FROM ranked
+          LEFT JOIN used ON slug = 'shared-tool' AND t - j < k GROUP BY doc_key, slug, k),
+        placed AS (SELECT doc_key, slug, 'transcripts/2026/01/' || slug || CASE WHEN n = 1 THEN '' ELSE '-' || n END
+          || '.md' AS destination FROM numbered)"""
+
+
 ORACLES = {
+    "import_corpus": f"""
+        WITH leaks AS (SELECT conv_id FROM conversations WHERE conv_id % 13 = 0 AND turn = 1),
+        {_slugs('doc_key NOT IN (SELECT conv_id FROM leaks)')},
+        counts AS (SELECT conv_id, CAST(count(*) AS INT) AS n FROM conversations GROUP BY 1)
+        SELECT 'in/' || h.doc_key AS source_path, CASE WHEN p.doc_key IS NULL THEN 'refused' ELSE 'ok' END AS result,
+          coalesce(destination, 'secret:kv-secret') AS detail, CAST(coalesce(n, 0) AS INT) AS turns
+        FROM headers h LEFT JOIN placed p USING (doc_key) LEFT JOIN counts ON conv_id = h.doc_key""",
     "linearize_tree": f"""
         WITH RECURSIVE nodes AS ({NODES}), heads AS ({HEADS}),
         walk AS (
@@ -298,14 +330,5 @@ ORACLES = {
           WHEN 6 THEN 'missing fields: conversation_id' WHEN 7 THEN 'malformed quoted value: "bad ' || chr(92) || 'x"'
           WHEN 8 THEN 'declares 2 turns but has 1' WHEN 9 THEN 'turns is not an integer: few' END AS error
         FROM ({CANONICAL})""",
-    "transcript_slug": f"""
-        WITH {_HEADERS}, taken AS ({TAKEN}),
-        used AS (SELECT t, row_number() OVER (ORDER BY t) AS j FROM (SELECT CAST(coalesce(
-          nullif(regexp_extract(filename, '-([0-9]+)\\.md$', 1), ''), '1') AS INT) AS t FROM taken)),
-        slugs AS (SELECT doc_key, coalesce(nullif({slug_sql('title', 64)}, ''), 'untitled') AS slug FROM headers),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY doc_key) AS k FROM slugs),
-        numbered AS (SELECT doc_key, slug, k + count(j) AS n FROM ranked
-          LEFT JOIN used ON slug = 'shared-tool' AND t - j < k GROUP BY doc_key, slug, k)
-        SELECT doc_key, slug, 'transcripts/2026/01/' || slug || CASE WHEN n = 1 THEN '' ELSE '-' || n END
-          || '.md' AS destination FROM numbered""",
+    "transcript_slug": f"WITH {_slugs('TRUE')} SELECT * FROM placed",
 }

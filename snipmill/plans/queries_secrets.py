@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snipmill import fixed
 from snipmill.operators import refuse
 from snipmill.operators.extract import turn_segments
 from snipmill.plans.corpus import table
+from snipmill.sources.files import scan_pattern_table as read_patterns
 
 KV = r"(?i)\b(password|passwd|pwd|token|secret|api[_-]?key)\b(\s*[=:]\s*)(\S+)"
 LITERAL = """(bare <> '' AND NOT regexp_matches(bare, '^[$({<`]') AND bare NOT LIKE '"$%'
@@ -86,7 +88,22 @@ def redact_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PATTERN_FILE = """
+[patterns]
+broken = "("
+marked = "MODULE|\\\\bheron"
+long-run = "[a-z]{14,}"
+"""
+
+
+def scan_pattern_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents scanned with a pattern file instead of the built-in table."""
+    patterns = read_patterns(PATTERN_FILE, fixed.SECRET_PATTERNS, "(?is)")
+    return refuse.secret_scan(_docs(spark, sf_dir), patterns)
+
+
 QUERIES = {
+    "scan_pattern_table": scan_pattern_table,
     "secret_scan": secret_scan,
     "kv_literal_filter": kv_literal_filter,
     "refuse_documents": refuse_documents,
@@ -101,6 +118,12 @@ _REDACTED = (
     r"(\s*[=:]\s*)\S*(\S{4})', '\1\2[REDACTED:kv-secret:\3]', 'g')"
 )
 ORACLES = {
+    "scan_pattern_table": """
+        WITH m AS (SELECT doc_id, text, regexp_extract(text, '(?is)^(.*?)(?:MODULE|\\bheron)', 1) AS a,
+            regexp_matches(text, '(?is)MODULE|\\bheron') AS ha, regexp_extract(text, '(?is)^(.*?)[a-z]{14,}', 1) AS b,
+            regexp_matches(text, '(?is)[a-z]{14,}') AS hb FROM documents)
+        SELECT doc_id AS doc_key, CASE WHEN ha THEN 'marked' ELSE 'long-run' END AS label,
+          CAST(len(string_split(CASE WHEN ha THEN a ELSE b END, chr(10))) AS INT) AS line FROM m WHERE ha OR hb""",
     "secret_scan": HITS + f"""
         SELECT doc_id AS doc_key, 'kv-secret' AS label, CAST({_LINE} AS INT) AS line FROM hits""",
     "kv_literal_filter": "WITH " + MATCHES.format(extra="source") + f"""

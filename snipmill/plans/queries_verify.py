@@ -249,6 +249,16 @@ ORACLES = {
         SELECT ref, CASE WHEN failed IS NOT NULL THEN 'failed' WHEN doubts IS NOT NULL THEN 'inconclusive'
             ELSE 'passed' END AS verdict,
           coalesce(failed, doubts, 'all ' || n || ' required check(s) passed') AS reasons FROM d""",
+    "verify_corpus": DRAFTS + f"""
+        SELECT {_REF} AS ref, emitter,
+          CASE WHEN emitter IN ('bash', 'python', 'powershell') THEN 'inconclusive' ELSE 'passed' END AS verdict,
+          CASE emitter WHEN 'bash' THEN 'required check bash-syntax did not run: no result for this check'
+              || ' | required check shellcheck did not run: no result for this check'
+            WHEN 'python' THEN 'required check python-ast-parse did not run: no result for this check'
+            WHEN 'powershell' THEN 'plan is incomplete: cannot auto-verify (no required check: PowerShell can only be '
+              || 'parsed by pwsh, which is not run here; treat as cannot-auto-verify) | plan has no required check'
+            WHEN 'sql' THEN 'all 1 required check(s) passed' ELSE 'all 3 required check(s) passed' END AS reasons
+        FROM drafts""",
     "record_verification_run": f"""
         WITH r AS ({RUNS}) SELECT ref, arg_max(compiled, verified_at || sha256) AS compiled,
           arg_max(verdict, verified_at || sha256) AS verdict FROM r GROUP BY ref""",
