@@ -31,7 +31,7 @@ def import_events(headers: DataFrame, refused: DataFrame, destinations: DataFram
         F.when(hit, F.concat(F.lit("secret:"), "label")).otherwise(F.col("destination")).alias("detail"),
         "source_path", "adapter", "conversation_id", "turns", F.lit(dry_run).alias("dry_run"),
     )
-    return events.limit(0) if dry_run else events
+    return events.where(F.lit(not dry_run))
 
 
 def import_envelopes(ledger: DataFrame) -> DataFrame:

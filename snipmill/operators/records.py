@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from snipmill import fixed
 from snipmill.functions import text as T
 
-STORE = "snippet-store"
-SCHEMAS = "record"
+SCHEMAS = "record"  # prefix of schema names in manifests
 
 
 # ---- predicates --------------------------------------------------------------
