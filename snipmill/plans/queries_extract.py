@@ -114,6 +114,11 @@ def risk_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_key", "fence_no", F.array_join("flags", ",").alias("flags"))
 
 
+def fence_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fence scan with a pattern of its own, as the built-in ones hit nothing here."""
+    return X.fence_secrets(fences(spark, sf_dir), [("escalates", r"(?U)\bsudo\b")])
+
+
 def supersede_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revised(spark, sf_dir).select(
         "doc_key", "fence_no", "reason", "detail", "supersedes", "superseded_count"
@@ -168,6 +173,7 @@ QUERIES = {
     "candidate_description": candidate_description,
     "normalize_and_hash": normalize_and_hash,
     "risk_flags": risk_flags,
+    "fence_secrets": fence_secrets,
     "supersede_by_name": supersede_by_name,
     "supersede_by_similarity": supersede_by_similarity,
     "dedup_against_library": dedup_against_library,
@@ -296,6 +302,9 @@ ORACLES = {
     "candidate_description": FENCES + "SELECT doc_key, fence_no, description FROM named",
     "normalize_and_hash": f"SELECT doc_id, {hash_sql('text')} AS sha256 FROM documents",
     "risk_flags": FENCES + "SELECT doc_key, fence_no, flags FROM named",
+    "fence_secrets": FENCES + """
+        SELECT doc_key, fence_no, 'escalates' AS label, CAST(line_start + 3 AS INT) AS line
+        FROM fences WHERE body LIKE '%sudo %'""",
     "supersede_by_name": FENCES + """
         SELECT doc_key, fence_no, reason, detail, supersedes, superseded_count FROM revised""",
     "dedup_against_library": FENCES + f""",

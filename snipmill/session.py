@@ -15,6 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Text work is bound by CPU, not by bytes: keep small shuffles on all cores.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    "spark.sql.files.openCostInBytes": "1m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
