@@ -14,6 +14,10 @@ from snipmill import fixed
 
 # Whitespace as str.strip() and str.split() see it.
 SPACE = r"[\s\x1c-\x1f]"
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+)
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -52,15 +56,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U){SPACE}+\z", "")
+    return F.rtrim(text, F.lit(SPACES))
 
 
 def strip_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, r"\A\n+|\n+\z", "")
+    return F.btrim(text, F.lit("\n"))
 
 
 def one_line(text: Column) -> Column:
@@ -77,7 +81,8 @@ def unix_newlines(text: Column) -> Column:
 
 
 def rstrip_lines(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)[\s\x1c-\x1f&&[^\n]]++(?=\n|\z)", "")
+    """Trim each line from its end, without a regex at every blank of the text."""
+    return F.array_join(F.transform(F.split(text, "\n", -1), rstrip), "\n")
 
 
 def slug(text: Column, max_len: int = fixed.ARTIFACT_SLUG_MAX) -> Column:
@@ -89,7 +94,7 @@ def slug(text: Column, max_len: int = fixed.ARTIFACT_SLUG_MAX) -> Column:
 def normalize(body: Column) -> Column:
     """Normal form that is hashed: LF ends, no trailing blanks, one final newline."""
     return F.concat(
-        F.regexp_replace(rstrip_lines(unix_newlines(body)), r"\n+\z", ""), F.lit("\n")
+        F.rtrim(rstrip_lines(unix_newlines(body)), F.lit("\n")), F.lit("\n")
     )
 
 
@@ -103,7 +108,7 @@ def artifact_body(body: Column, *, strip_shebang: bool = False) -> Column:
     if strip_shebang:
         text = F.regexp_replace(text, r"\A#![^\n]*\n?", "")
     return F.concat(
-        F.regexp_replace(rstrip_lines(text), r"\A\n+|\n+\z", ""), F.lit("\n")
+        strip_newlines(rstrip_lines(text)), F.lit("\n")
     )
 
 
