@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from snipmill.llm import simhash
+from snipmill.llm import mixing, quality, simhash
 
-_MODULES = [simhash]
+_MODULES = [quality, mixing, simhash]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
