@@ -149,6 +149,23 @@ def batched(rows: Iterator, size: int) -> Iterator[list]:
         yield held
 
 
+def frequent_from(counts: DataFrame, most: int) -> int:
+    """The least ``n`` at which at most ``most`` rows of ``counts`` have that much or more.
+
+    Counts are compared by their four leading bits, so a few hundred numbers reach the driver.
+    """
+    drop = F.greatest(F.length(F.bin("n")) - 4, F.lit(0)).cast("int")
+    low = F.expr("shiftleft(shiftright(n, drop), drop)")
+    rows = counts.select("n", drop.alias("drop")).select(low.alias("low")).groupBy("low").count().collect()
+    total, cut = 0, 1 << 62
+    for low, count in sorted(map(tuple, rows), reverse=True):
+        total += count
+        if total > most:
+            break
+        cut = low
+    return cut
+
+
 def tokenizer_file(name: str) -> str:
     """Where a public tokenizer file lies on this machine; every executor has the package."""
     import public_tokenizers
