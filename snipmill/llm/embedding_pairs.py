@@ -281,7 +281,7 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_
     tiles = [t.asDict() for t in staged(_write_tiles(routed, folder, axes, found.width), "tile-index").collect()]
     index.write(json.dumps(tiles).encode())  # a line for each tile of 2,048 vectors
     at = index.close()
-    numbers = spark.range(len(tiles)).repartition(max(1, min(len(tiles), 4096)), F.rand(5))
+    numbers = spark.range(len(tiles)).repartition(max(1, min(len(tiles), 4096)))
     results = staged(numbers.mapInArrow(
         _compare(at, folder, found.width, threshold), "a long, b long, n long"), "vector-links")
     # Rows with an equal vector link with each other and share the links of their class.

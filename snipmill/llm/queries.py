@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from snipmill.llm import embedding_pairs, mixing, quality, simhash, token_counts, token_files, toxicity
+from snipmill.llm import embedding_pairs, mixing, quality, simhash, token_counts, token_files, toxicity, warc
 
-_MODULES = [token_files, token_counts, quality, mixing, toxicity, simhash, embedding_pairs]
+_MODULES = [token_files, warc, token_counts, quality, mixing, toxicity, simhash, embedding_pairs]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -207,7 +207,7 @@ def read_parts(manifest: DataFrame, folder: str, parts: int) -> DataFrame:
                         [keys, pa.array(off[a:b] + part["base"]), pa.array(np.diff(off[a:b + 1])), pa.array(crc, pa.int64())],
                         ["key", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.repartition(parts, F.rand(7)).mapInArrow(read, "key long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartition(parts).mapInArrow(read, "key long, start long, n_tokens long, ids_crc32 long")
 
 
 def op1_token_files(spark, sf_dir: str) -> DataFrame:
