@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from snipmill.llm import (
-    embedding_pairs, language_model, mixing, quality, simhash, token_counts, token_files, toxicity, warc,
+    embedding_pairs, language_model, mixing, pieces, quality, simhash, token_counts, token_files, toxicity, warc,
 )
 
-_MODULES = [token_files, warc, token_counts, language_model, quality, mixing, toxicity, simhash, embedding_pairs]
+_MODULES = [token_files, pieces, warc, token_counts, language_model, quality, mixing, toxicity, simhash, embedding_pairs]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
