@@ -63,17 +63,18 @@ class NewFile:
 
 
 class Forest:
-    """Groups of ``size`` numbered items that links join step by step."""
+    """Groups of ``size`` numbered items that links join step by step; keeps the links that joined two groups."""
 
     def __init__(self, size: int) -> None:
         self.label = np.arange(size)
+        self.links: list[tuple[int, int]] = []
 
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        a, b = self.label[a], self.label[b]
-        differ = a != b
-        if not differ.any():
+        x, y = self.label[a], self.label[b]
+        differ = np.flatnonzero(x != y)
+        if not len(differ):
             return
-        low, high = np.minimum(a, b)[differ], np.maximum(a, b)[differ]
+        low, high = np.minimum(x, y)[differ], np.maximum(x, y)[differ]
         size = len(self.label)
         parent: dict[int, int] = {}
 
@@ -82,20 +83,21 @@ class Forest:
                 parent[x] = x = parent.get(up, up)
             return x
 
-        for pair in np.unique(low * size + high).tolist():
+        pairs, at = np.unique(low * size + high, return_index=True)
+        for pair, i in zip(pairs.tolist(), differ[at].tolist(), strict=True):
             x, y = root(pair // size), root(pair % size)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-        if parent:
-            keys = np.array(sorted(parent))
-            move = np.arange(size)
-            move[keys] = [root(k) for k in keys.tolist()]
-            self.label = move[self.label]
+                self.links.append((int(a[i]), int(b[i])))
+        keys = np.array(sorted(parent))
+        move = np.arange(size)
+        move[keys] = [root(k) for k in keys.tolist()]
+        self.label = move[self.label]
 
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
-        """Every item that is not its group's label, with that label."""
-        items = np.flatnonzero(self.label != np.arange(len(self.label)))
-        return items, self.label[items]
+        """The links that hold the groups together, one less than a group has items."""
+        pairs = np.array(self.links, np.int64).reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1]
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from snipmill.llm.common import table, tokenizer_file
 
@@ -344,7 +345,7 @@ def encode(docs: DataFrame, name: str, text: str = "text", to: str = "piece_ids"
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), lists], ["row", "ids"])
                 at += len(texts)
 
-    return rows.mapInArrow(of, rows.select("row").schema.add("ids", "array<int>")).select("row.*", F.col("ids").alias(to))
+    return rows.mapInArrow(of, rows.select("row").schema.add("ids", T.ArrayType(T.IntegerType()))).select("row.*", F.col("ids").alias(to))
 
 
 def _groups(column: pa.Array) -> Iterator[list[str]]:

@@ -56,8 +56,11 @@ def majority(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.n
     return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprints(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp long) of every row; texts that are null or without a word get fingerprint zero."""
+def fingerprints(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+    """(key, fp long) of every row; texts that are null or without a word get fingerprint zero.
+
+    With ``digest`` a column ``words`` names the sequence of lower-cased words, else it is null.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,11 +80,14 @@ def fingerprints(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str
                     if len(held) > 100_000:
                         settle()
             settle()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["key", "fp"])
+            names = [xxhash.xxh3_128_digest(b" ".join((t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()))
+                     if digest else None for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(out.view(np.int64)), pa.array(names, pa.binary())], ["key", "fp", "words"])
 
     kind = docs.schema[key].dataType.simpleString()
     thin = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return thin.mapInArrow(of, f"key {kind}, fp long").withColumnRenamed("key", key)
+    return thin.mapInArrow(of, f"key {kind}, fp long, words binary").withColumnRenamed("key", key)
 
 
 # --- plan -------------------------------------------------------------------------------
@@ -247,10 +253,8 @@ def link_tile(table: pa.Table, groups: list[Group], max_distance: int) -> pa.Tab
     low = group.values(fps) & ((1 << width) - 1)
     members = np.flatnonzero(left < 0)
     members = members[np.argsort(low[members], kind="stable")]
-    items, number = np.unique(fps, return_inverse=True)
+    items, number = np.unique(nodes, return_inverse=True)
     forest, sorted_low = Forest(len(items)), low[members]
-    name = np.full(len(items), np.iinfo(np.int64).max)
-    np.minimum.at(name, number, nodes)
     for most in np.unique(left[left >= 0]).tolist():
         probes = np.flatnonzero(left == most)
         probes = probes[np.argsort(low[probes], kind="stable")]
@@ -268,15 +272,18 @@ def link_tile(table: pa.Table, groups: list[Group], max_distance: int) -> pa.Tab
                 n = many[some]
                 a = np.repeat(probes[some], n)
                 b = members[np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                near = np.bitwise_count(fps[a] ^ fps[b]) <= max_distance
-                forest.join(number[a[near]], number[b[near]])
+                apart = np.bitwise_count(fps[a] ^ fps[b])
+                near = np.flatnonzero(apart <= max_distance)
+                a, b, apart = number[a[near]], number[b[near]], apart[near]
+                for distance in np.unique(apart).tolist():  # the closest links first
+                    forest.join(a[apart == distance], b[apart == distance])
                 done = stop
     a, b = forest.edges()
-    return pa.table({"a": name[a], "b": name[b]})
+    return pa.table({"a": items[a], "b": items[b]})
 
 
 def near_links(classes: DataFrame, max_distance: int) -> DataFrame:
-    """Edges (a, b) that connect all ``classes`` (fp, node; fp unique) within ``max_distance`` bits."""
+    """Links (a, b) that connect all ``classes`` (fp, node; node unique) within ``max_distance`` bits."""
     n = classes.count()
     groups = plan(_together(classes), n, max_distance)
     routed = _routed(classes, groups, _hot(classes, groups))
@@ -284,32 +291,79 @@ def near_links(classes: DataFrame, max_distance: int) -> DataFrame:
         lambda t: link_tile(t, groups, max_distance), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, max_distance: int = 4,
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """(node, hashes) of ``docs`` (node, text): the distinct shingles of each text, sorted."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.array(shingle_hashes(t.as_py(), words), np.uint64)).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
+
+    return docs.mapInArrow(of, "node long, hashes array<long>")
+
+
+def similar(edges: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """Those ``edges`` (a, b) whose texts in ``docs`` (node, text) share ``least`` of their shingles or more."""
+    edges = staged(edges.distinct(), "near")
+    wanted = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    # One text for each node: rows that repeat an id are one document.
+    texts = docs.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    sets = staged(_sets(texts, words), "shingles")
+    x, y = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    either = F.size("x") + F.size("y") - both
+    return edges.join(x, "a").join(y, "b").where((either == 0) | (both >= least * either)).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, max_distance: int = 4, least: float | None = None,
                     key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fingerprint, component_id) of every row of ``docs``.
 
+    With ``least``, fingerprints only find candidates, the closest first: texts link if
+    they also share that much of their shingles, as sets. Of links that connect the same texts in a tile one
+    is checked, so two groups may stay apart if just that one falls short.
+
     Null and empty texts have fingerprint zero and link like any other. Rows with a
     null key get a fingerprint, link with nothing and have a null component. Rows that
     repeat a key stand for one document. An empty table gives none. Other columns of
     ``docs``, whatever their names, are not read.
     """
-    found = staged(fingerprints(docs, words, key, text).withColumnRenamed(key, "node"), "fingerprints")
+    found = staged(fingerprints(docs, words, key, text, least is not None).withColumnRenamed(key, "node"), "fingerprints")
     known = found.where("node IS NOT NULL")
-    classes = staged(known.groupBy("fp").agg(F.min("node").alias("node")), "classes")
-    edges = near_links(classes, max_distance)
-    # A key that repeats with another text links the fingerprints of its texts.
-    twice = known.groupBy("node").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("node")
-    more = (known.join(twice, "node").select("fp", F.col("node").alias("a"))
-            .join(classes, "fp").select("a", F.col("node").alias("b")))
+    # Rows of a class link without a check: by fingerprint, or by their words where texts count.
+    by = ["fp"] if least is None else ["fp", "words"]
+    classes = staged(known.groupBy(*by).agg(F.min("node").alias("node")), "classes")
+    distinct = classes.select("fp", "node").distinct()
+    edges = near_links(distinct, max_distance)
+    if least is not None:
+        edges = similar(edges, docs.select(F.col(key).alias("node"), F.col(text).cast("string").alias("text")), words, least)
+    # A key that repeats with another text links the classes of its texts.
+    twice = known.groupBy("node").agg(F.countDistinct(*by).alias("n")).where("n > 1").select("node")
+    more = (known.join(twice, "node").select(*by, F.col("node").alias("a"))
+            .join(classes, by).select("a", F.col("node").alias("b")))
     roots = components(edges.unionByName(more))
     named = staged(classes.join(roots, classes.node == roots.node, "left")
-                   .select("fp", F.coalesce("root", classes.node).alias("component")), "named")
-    return found.join(named, "fp", "left").select(
+                   .select(*by, F.coalesce("root", classes.node).alias("component")), "named")
+    return found.join(named, by, "left").select(
         F.col("node").alias(key),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("node").isNotNull(), F.col("component")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, words: int = 5, max_distance: int = 12, least: float = 0.8,
+                key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, the one with the smallest key.
+
+    Of rows that repeat a key one stays; rows without a key all stay.
+    """
+    found = near_duplicates(docs, words, max_distance, least, key, text)
+    gone = staged(found.where(f"`{key}` <> component_id").select(key).distinct(), "duplicates")
+    named = docs.where(F.col(f"`{key}`").isNotNull())
+    # Dropping repeated keys needs the rows by key, as the join brings them.
+    left = named.join(gone, key, "left_anti").dropDuplicates([key]).select(docs.columns)
+    return left.unionByName(docs.where(F.col(f"`{key}`").isNull()))
+
+
 # --- queries ----------------------------------------------------------------------------
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -157,21 +157,23 @@ def logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarr
     return b, w
 
 
-def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score double) of every row; null and empty texts have the score of the bias."""
+def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "toxic_score") -> DataFrame:
+    """``docs`` with a double ``name`` from 0 to 1; null and empty texts have the score of the bias.
+
+    Repeated rows are rows like any other, and an empty table gives none. A column called
+    ``name`` is replaced; other columns stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES numbers
+    columns = [c for c in docs.columns if c != name]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(text).cast("string").alias("text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, known = shared.value, {}
         for batch in batches:
-            out = np.empty(batch.num_rows)
-            for i, value in enumerate(batch.column(1)):
-                out[i] = _score((value.as_py() or ""), found, known)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["key", "score"])
+            out = [_score(value.as_py() or "", found, known) for value in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["row", "score"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
-        of, f"key {kind}, score double").withColumnRenamed("key", key)
+    return rows.mapInArrow(of, rows.select("row").schema.add("score", "double")).select("row.*", F.col("score").alias(name))
 
 
 def _score(text: str, model: Model, known: dict[str, float]) -> float:
@@ -202,7 +204,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "d
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(spark, docs, table(spark, sf_dir, "labels"))
-    return scores(docs, model).select(
+    return scored(docs.select("doc_id", "text"), model, name="score").select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
