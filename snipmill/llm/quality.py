@@ -114,18 +114,19 @@ def learn(measured: DataFrame, labels: DataFrame) -> DataFrame:
                    .groupBy("stratum", "r.rule", "r.exceeds").agg(
                        F.sum((F.col("quality") > 0).cast("long")).alias("good"),
                        F.sum((F.col("quality") <= 0).cast("long")).alias("bad")), "quality-counts")
-    # Cutoff i rejects what exceeds at least i + 1 of them.
+    # Cutoffs fall, so cutoff i rejects what exceeds the last ones from it on.
     grid = F.when(F.lit(False), F.array().cast("array<double>"))
     for name, (_, cutoffs) in RULES.items():
         grid = grid.when(F.col("rule") == name, F.array(*[F.lit(float(c)) for c in cutoffs]))
     rules = found.select("stratum", "rule").distinct()
-    cells = rules.select("stratum", "rule", F.posexplode(grid).alias("i", "cutoff"))
+    cells = rules.select("stratum", "rule", F.size(grid).alias("many"), F.posexplode(grid).alias("i", "cutoff"))
     f = found.alias("f")
+    rejected = F.col("exceeds") >= F.col("many") - F.col("i")
     sums = cells.alias("c").join(f, F.col("c.stratum").eqNullSafe(F.col("f.stratum")) & (F.col("c.rule") == F.col("f.rule"))).groupBy(
         "c.stratum", "c.rule", "i", "cutoff").agg(
         F.sum("good").alias("n"),
-        F.sum(F.when(F.col("exceeds") > F.col("i"), F.col("good")).otherwise(0)).alias("k"),
-        F.sum(F.when(F.col("exceeds") > F.col("i"), F.col("bad")).otherwise(0)).alias("bad"))
+        F.sum(F.when(rejected, F.col("good")).otherwise(0)).alias("k"),
+        F.sum(F.when(rejected, F.col("bad")).otherwise(0)).alias("bad"))
     risk = RISK / len(RULES)
     tests = F.size(F.collect_set(F.coalesce(F.concat(F.lit("s"), F.col("stratum").cast("string")), F.lit("null"))).over(
         Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))) * len(RULES)
