@@ -126,7 +126,7 @@ def symbols_of(docs: DataFrame, shared) -> DataFrame:
                 words = words_of(value.as_py() or "")
                 at = np.array([get(w, -1) for w in words], np.int64)
                 rare = np.flatnonzero(at < 0).tolist()
-                symbol = lex.symbol[at] if len(lex.symbol) else at
+                symbol = lex.symbol[at] if len(lex.symbol) else at.copy()
                 for i in rare:
                     symbol[i] = WORDS + class_of(words[i])
                 others = Counter(words[i] for i in rare)
