@@ -139,7 +139,7 @@ def write_parts(docs: DataFrame, folder: str, vocabulary: str, end_id: int,
                 key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every text, write the parts to ``folder`` and return the manifest with ``base``.
 
-    Rows without a key come first; rows that repeat one are in the order of their texts.
+    Rows without a key come first; rows that repeat one are in the order of a hash of their texts.
     A null or empty text is the end id alone. An empty table gives an empty manifest. Other
     columns are not read.
     """
@@ -170,8 +170,9 @@ def write_parts(docs: DataFrame, folder: str, vocabulary: str, end_id: int,
             yield pa.RecordBatch.from_pylist([dict(zip(NAMES, row, strict=True))], SCHEMA)
 
     thin = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    ordered = thin.repartitionByRange(F.col("key").asc_nulls_first(), "text").sortWithinPartitions(
-        F.col("key").asc_nulls_first(), "text")
+    # The bounds of ranges come from a sample on the driver, so the key is short: a hash parts a key that repeats.
+    order = [F.col("key").asc_nulls_first(), F.xxhash64("text")]
+    ordered = thin.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     parts = staged(ordered.mapInArrow(write, MANIFEST), "manifest")
     # One row a part: their prefix sum is small, whatever the texts.
     before = Window.orderBy(F.col("first").asc_nulls_first(), F.col("n_nulls").desc(), "tok").rowsBetween(
