@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -139,16 +138,24 @@ def with_component(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
             .withColumn("component_id", F.coalesce("root", key)).drop("root"))
 
 
-def batched(rows: Iterator, size: int) -> Iterator[list]:
-    """Lists of up to ``size`` items; the rest comes in a last, shorter list."""
-    held: list = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield held
-            held = []
-    if held:
-        yield held
+class Remembered(dict):
+    """What a worker process has found, in two generations of about ``most`` entries.
+
+    A full generation becomes the old one. What is used again comes back from there; the rest goes with it.
+    """
+
+    def __init__(self, most: int) -> None:
+        self.most, self.old = most, {}
+
+    def new(self, wanted: set) -> set:
+        """What of ``wanted`` is not known; all that is known can be looked up afterwards."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        new = wanted.difference(self)
+        for key in new & self.old.keys():
+            self[key] = self.old[key]
+        return new.difference(self.old)
 
 
 def frequent_from(counts: DataFrame, most: int) -> int:

@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snipmill.llm.common import table, tokenizer_file
+from snipmill.llm.common import Remembered, table, tokenizer_file
 
 MARK = "▁"
-#: Characters of cuts that are matched at once, and cuts that a task remembers.
-AT_ONCE, REMEMBERED, LONG = 400_000, 1 << 19, 256
+#: Characters of cuts that are matched at once, and cuts of a generation that a worker remembers.
+AT_ONCE, REMEMBERED, LONG = 400_000, 1 << 17, 256
 #: Characters of texts that are encoded together.
 TOGETHER = 4 << 20
 
@@ -286,16 +286,15 @@ def cuts_of(text: str) -> list[str]:
     return _CUT.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-class Memory(dict):
+class Memory(Remembered):
     """The ids of cuts as bytes."""
 
     def __init__(self, name: str) -> None:
+        super().__init__(REMEMBERED)
         self.vocabulary = vocabulary(name)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [cuts_of(t) for t in texts]
-        if len(self) > REMEMBERED:
-            self.clear()
         own: dict[str, bytes] = {}
         some, size = [], 0
 
@@ -303,7 +302,7 @@ class Memory(dict):
             for text, ids in zip(some, self.vocabulary.encode_cuts(some), strict=True):
                 (self if len(text) <= LONG else own)[text] = ids
 
-        for text in set().union(*cut).difference(self):
+        for text in self.new(set().union(*cut)):
             if text.startswith(MARK * 3):
                 (self if len(text) <= LONG else own)[text] = self.vocabulary.merge(text)
                 continue

@@ -25,13 +25,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snipmill.llm.common import NewFile, open_folder, staged, table, tokenizer_file
+from snipmill.llm.common import NewFile, Remembered, open_folder, staged, table, tokenizer_file
 from snipmill.session import new_folder
 
-#: Bytes of text in a part, about.
-PART_BYTES = 32 << 20
-#: Pre-tokens whose ids a task remembers before it starts anew.
-REMEMBERED = 1 << 20
+#: Pre-tokens of a generation that a worker remembers.
+REMEMBERED = 1 << 17
 #: What the last piece of each word ends with in the vocabulary.
 END = "</w>"
 
@@ -75,10 +73,11 @@ def tokenizer(name: str):
     return found
 
 
-class Ids(dict):
-    """The ids of pre-tokens as bytes; remembers up to ``REMEMBERED`` of them."""
+class Ids(Remembered):
+    """The ids of pre-tokens as bytes."""
 
     def __init__(self, name: str) -> None:
+        super().__init__(REMEMBERED)
         self.tokenizer = tokenizer(name)
         self.dtype = dtype_of(name)
         vocabulary = self.tokenizer.get_vocab()
@@ -87,9 +86,7 @@ class Ids(dict):
 
     def learn(self, pieces: set[str]) -> None:
         """Encode in one call what is new; an id with the word end closes each pre-token."""
-        if len(self) > REMEMBERED:
-            self.clear()
-        new = list(pieces.difference(self))
+        new = list(self.new(pieces))
         words = [p for p in new if _LATIN.fullmatch(p)]
         if words:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
