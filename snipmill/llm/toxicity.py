@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snipmill.llm.common import staged, table
+from snipmill.llm.common import Remembered, staged, table
 
 #: Lengths of n-grams in characters, with the marks of word ends.
 GRAMS = (3, 4, 5)
@@ -30,7 +30,9 @@ PLACES = 1 << 20
 FEATURES = 1_000
 SAMPLE = 20_000
 #: Words whose share a task remembers, and the longest word that is remembered.
-REMEMBERED, LONG = 400_000, 64
+REMEMBERED, LONG = 200_000, 64
+#: Words of a generation whose n-grams are kept, and documents whose features are held at once.
+GENERATION, ROWS = 50_000, 64
 SMOOTH, PENALTY, ROUNDS = 0.5, 1e-4, 400
 #: A feature's value is its share of the words times this.
 SCALE = 100.0
@@ -51,15 +53,25 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def features(text: str) -> tuple[list[int], list[float]]:
-    """Places and how many words have them, by the word."""
+class Grams(Remembered):
+    """The n-grams of words as arrays."""
+
+    def of(self, words: Counter) -> list[np.ndarray]:
+        for word in self.new(set(words)):
+            self[word] = np.fromiter(grams(word), np.int32)
+        return [self[word] for word in words]
+
+
+def features(text: str, known: Grams) -> tuple[np.ndarray, np.ndarray]:
+    """Places and the share of words that have them."""
     words = Counter(words_of(text))
-    found: Counter = Counter()
-    for word, n in words.items():
-        for place in grams(word):
-            found[place] += n
-    total = max(1, sum(words.values()))
-    return list(found), [n / total for n in found.values()]
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    arrays = known.of(words)
+    counts = np.fromiter(words.values(), np.float64)
+    places, at = np.unique(np.concatenate(arrays), return_inverse=True)
+    sums = np.bincount(at, np.repeat(counts, [len(x) for x in arrays]))
+    return places, (sums / counts.sum()).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -86,11 +98,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from ``docs`` (key, text) with ``labels`` (key, toxic); without both classes all score alike."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Grams(GENERATION)
         for batch in batches:
-            pairs = [features(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([p[0] for p in pairs], pa.list_(pa.int32())),
-                 pa.array([p[1] for p in pairs], pa.list_(pa.float32()))], ["toxic", "place", "value"])
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                pairs = [features(t.as_py(), known) for t in some.column(1)]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), pa.array([p[0] for p in pairs], pa.list_(pa.int32())),
+                     pa.array([p[1] for p in pairs], pa.list_(pa.float32()))], ["toxic", "place", "value"])
 
     rows = staged(_sample(docs, labels).select(F.col("toxic").cast("int"), "text").mapInArrow(
         of, "toxic int, place array<int>, value array<float>"), "toxic-features")
