@@ -88,7 +88,7 @@ def propose_filename(assigned: DataFrame) -> DataFrame:
 
 
 def name_drafts(assigned: DataFrame, taken: DataFrame, namespace: Column | None = None) -> DataFrame:
-    """Give each assigned candidate its file name; ``suffix`` NULL means refused.
+    """Give each assigned candidate its file name within its ``namespace``, a library.
 
     Names are settled on thin rows read several times over, so pass a frame
     that is cheap to read again (``cut_lineage``).

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snipmill import fixed
@@ -35,13 +35,18 @@ def import_events(headers: DataFrame, refused: DataFrame, destinations: DataFram
 
 
 def import_envelopes(ledger: DataFrame) -> DataFrame:
-    """The same imports for the shared log: type, payload and a seed for ids."""
+    """The same imports for the shared log: type, payload and a seed for ids.
+
+    The seed is the whole row, with a number among rows that are equal in all, so that no two
+    events share an id.
+    """
     payload = F.struct("result", "detail", "source_path", "adapter", "conversation_id", "turns", "dry_run")
-    body = F.to_json(payload, {"ignoreNullFields": "false"})
-    return ledger.select(
+    rows = ledger.withColumn("_body", F.to_json(payload, {"ignoreNullFields": "false"}))
+    place = F.row_number().over(Window.partitionBy("ts", "_body").orderBy(F.lit(0)))
+    return rows.select(
         T.lookup(fixed.IMPORT_EVENT_TYPES, F.col("result")).alias("event_type"),
-        F.col("ts").alias("occurred_at"), body.alias("payload"),
-        F.sha2(F.concat_ws("|", "ts", "source_path", "conversation_id"), 256).alias("seed"),
+        F.col("ts").alias("occurred_at"), F.col("_body").alias("payload"),
+        F.sha2(F.concat_ws("|", F.coalesce("ts", F.lit("")), "_body", place.cast("string")), 256).alias("seed"),
     )
 
 

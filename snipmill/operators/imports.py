@@ -19,9 +19,6 @@ from snipmill.operators.names import resolve_collisions
 from snipmill.operators.running import Running, add_running, add_total, top_position
 from snipmill.session import cut_lineage
 
-ROW_LIMIT = 64 * 1024 * 1024  # characters of a transcript that may be one row
-
-
 # ---- variant helpers ---------------------------------------------------------
 def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
@@ -360,20 +357,15 @@ def part_segments(parts: DataFrame, top: int | None = None) -> DataFrame:
                         F.col("line_base").cast("int").alias("line_base"), "text")
 
 
-def transcript_texts(parts: DataFrame, limit: int = ROW_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """``(texts, oversize)``: whole texts of conversations that fit one row.
+def transcript_pieces(parts: DataFrame) -> DataFrame:
+    """``parts`` with the line ends between them: in ``part_no`` order the texts are the file.
 
-    Conversations beyond ``limit`` characters keep their parts as rows; their
-    order is ``part_no``. Sizes are counted first and combine map-side, so no
-    task ever gathers more than ``limit``.
+    A transcript is never one row, whatever its size.
     """
-    sizes = parts.groupBy("doc_key").agg(F.sum(F.length("text") + 2).alias("chars"))
-    big = sizes.where(F.col("chars") > limit).select("doc_key")
-    small = parts.join(big, "doc_key", "left_anti")
-    texts = small.groupBy("doc_key").agg(
-        F.array_sort(F.collect_list(F.struct("part_no", "text"))).alias("p")
-    ).select("doc_key", F.concat(F.array_join(F.col("p.text"), "\n\n"), F.lit("\n")).alias("text"))
-    return texts, parts.join(big, "doc_key", "left_semi")
+    ends = parts.groupBy("doc_key").agg(F.max("part_no").alias("_last"))
+    return parts.join(ends, "doc_key").select(
+        "doc_key", "part_no",
+        F.concat("text", F.when(F.col("part_no") == F.col("_last"), "\n").otherwise("\n\n")).alias("text"))
 
 
 def parse_turns(docs: DataFrame) -> DataFrame:
@@ -435,7 +427,7 @@ def transcript_destinations(headers: DataFrame, taken: DataFrame, year: str, mon
         "doc_key", F.lit(folder).alias("namespace"), F.lit("transcripts").alias("kind"),
         F.lit(".md").alias("extension"), slug.alias("name"),
     )
-    named = resolve_collisions(rows, taken, ["doc_key"], max_suffix=None)
+    named = resolve_collisions(rows, taken, ["doc_key"])
     return named.select(
         "doc_key", F.col("name").alias("slug"),
         F.concat(F.lit(folder + "/"), "final_name", F.lit(".md")).alias("destination"),

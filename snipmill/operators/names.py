@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -23,12 +23,11 @@ from snipmill.operators.running import Running, add_rank, add_running, top_posit
 FAMILY = ["namespace", "kind", "extension", "family"]
 
 
-def _family(name: Column, max_suffix: int | None) -> Column:
-    suffixes = r"(?:-(?:[2-9]|[1-9][0-9]+))+\z" if max_suffix is None else fixed.FAMILY_SUFFIXES
-    return F.regexp_replace(name, suffixes, "")
+def _family(name: Column) -> Column:
+    return F.regexp_replace(name, fixed.FAMILY_SUFFIXES, "")
 
 
-def _taken_names(taken: DataFrame, max_suffix: int | None) -> DataFrame:
+def _taken_names(taken: DataFrame) -> DataFrame:
     """File names in use, as the proposal that would produce them."""
     stem = F.regexp_replace("filename", r"\.[a-z0-9]+\z", "")
     python = F.col("extension") == ".py"
@@ -43,63 +42,47 @@ def _taken_names(taken: DataFrame, max_suffix: int | None) -> DataFrame:
     return (
         rows.withColumn("name", name).where(F.col("name").isNotNull())
         .select("namespace", "kind", "extension", "name",
-                _family(F.col("name"), max_suffix).alias("family"))
+                _family(F.col("name")).alias("family"))
         .distinct()
     )
 
 
-def _stream(max_suffix: int | None):
+def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sequential first-free search over rows sorted by family, then order."""
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, used, tried = None, set(), {}
-        for batch in batches:
-            suffixes = []
-            keys = zip(*[batch.column(c).to_pylist() for c in FAMILY], strict=True)
-            names, is_taken = batch.column("name").to_pylist(), batch.column("is_taken").to_pylist()
-            for key, name, held in zip(keys, names, is_taken, strict=True):
-                if key != current:
-                    current, used, tried = key, set(), {}
-                if held:
-                    used.add(name)
-                    suffixes.append(None)
-                    continue
-                n = tried.get(name, 1)
-                while max_suffix is None or n <= max_suffix:
-                    full = name if n == 1 else f"{name}-{n}"
-                    if full not in used:
-                        break
-                    n += 1
-                tried[name] = n
-                if max_suffix is not None and n > max_suffix:
-                    suffixes.append(None)
-                    continue
-                used.add(full)
-                suffixes.append(n)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(suffixes, pa.int32())],
-                names=[*batch.schema.names, "suffix"],
-            )
-    return assign
-
-
-def resolve_collisions(drafts: DataFrame, taken: DataFrame, order: list[str],
-                       max_suffix: int | None = fixed.MAX_SUFFIX) -> DataFrame:
+    current, used, tried = None, set(), {}
+    for batch in batches:
+        suffixes = []
+        keys = zip(*[batch.column(c).to_pylist() for c in FAMILY], strict=True)
+        names, is_taken = batch.column("name").to_pylist(), batch.column("is_taken").to_pylist()
+        for key, name, held in zip(keys, names, is_taken, strict=True):
+            if key != current:
+                current, used, tried = key, set(), {}
+            if held:
+                used.add(name)
+                suffixes.append(None)
+                continue
+            n = tried.get(name, 1)
+            while (full := name if n == 1 else f"{name}-{n}") in used:
+                n += 1
+            tried[name] = n
+            used.add(full)
+            suffixes.append(n)
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(suffixes, pa.int32())],
+            names=[*batch.schema.names, "suffix"],
+        )
+
+
+def resolve_collisions(drafts: DataFrame, taken: DataFrame, order: list[str]) -> DataFrame:
     """Number each draft ``(namespace, kind, extension, name, *order)``.
 
-    Adds ``suffix`` (1 = bare name; NULL = no free name within ``max_suffix``)
-    and ``final_name``. Of one proposal only the first ``max_suffix`` drafts
-    can ever get a name, so the others are settled before any grouping.
+    Adds ``suffix`` (1 = bare name) and ``final_name``. Numbers have no upper end,
+    so every draft gets a name.
     """
     proposal = ["namespace", "kind", "extension", "name"]
-    held = _taken_names(taken, max_suffix)
-    rows = drafts.select(*proposal, *order, _family(F.col("name"), max_suffix).alias("family"))
-    if max_suffix is None:
-        ranked = add_rank(rows, proposal, order, "rank")
-    else:
-        by_proposal = Window.partitionBy(*proposal).orderBy(*order)
-        ranked = rows.withColumn("rank", F.row_number().over(by_proposal)).where(
-            F.col("rank") <= max_suffix
-        )
+    held = _taken_names(taken)
+    rows = drafts.select(*proposal, *order, _family(F.col("name")).alias("family"))
+    ranked = add_rank(rows, proposal, order, "rank")
     chained = (
         rows.where(F.col("name") != F.col("family")).select(*FAMILY).distinct()
         .withColumn("chained", F.lit(True))
@@ -115,17 +98,12 @@ def resolve_collisions(drafts: DataFrame, taken: DataFrame, order: list[str],
         (F.col("name") == F.col("family"))
         | (F.regexp_replace("name", r"-(?:[2-9]|[1-9][0-9]+)\z", "") == F.col("family"))
     ).select(*FAMILY, number.alias("number"))
-    if max_suffix is not None:
-        direct = direct.where(F.col("number") <= max_suffix)
-
-    def highest(frame: DataFrame, column: str) -> int:
-        return max_suffix if max_suffix is not None else top_position(frame, column)
 
     # The k-th free number is k plus the taken numbers below it. For the j-th
     # taken number t (counted from 1), t - j numbers below it are free, so t
     # shifts every candidate with k > t - j.
     counted = add_running(direct, FAMILY, "number", ["number"],
-                          [Running("j", "sum", F.lit(1))], highest(direct, "number"))
+                          [Running("j", "sum", F.lit(1))], top_position(direct, "number"))
     shifts = counted.select(
         *FAMILY, ((F.col("number") - F.col("j")) * 2 + 1).alias("_at"), F.lit(1).alias("_shift")
     )
@@ -135,12 +113,10 @@ def resolve_collisions(drafts: DataFrame, taken: DataFrame, order: list[str],
     )
     settled = add_running(
         plain.unionByName(shifts, allowMissingColumns=True), FAMILY, "_at", ["_at"],
-        [Running("_skipped", "sum", F.col("_shift"))], 2 * highest(ranked, "rank") + 1,
+        [Running("_skipped", "sum", F.col("_shift"))], 2 * top_position(ranked, "rank") + 1,
     ).where(F.col("rank").isNotNull()).select(
         *proposal, *order, (F.col("rank") + F.col("_skipped")).cast("int").alias("suffix")
     )
-    if max_suffix is not None:
-        settled = settled.where(F.col("suffix") <= max_suffix)
 
     queue = ranked.where("chained").select(
         *FAMILY, "name", *order, F.lit(False).alias("is_taken")
@@ -152,7 +128,7 @@ def resolve_collisions(drafts: DataFrame, taken: DataFrame, order: list[str],
     streamed = (
         queue.repartition(*FAMILY)
         .sortWithinPartitions(*FAMILY, F.desc("is_taken"), *order)
-        .mapInArrow(_stream(max_suffix), schema)
+        .mapInArrow(_assign, schema)
         .where(~F.col("is_taken") & F.col("suffix").isNotNull())
         .select(*proposal, *order, "suffix")
     )

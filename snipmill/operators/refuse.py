@@ -6,6 +6,9 @@ callers take ``accepted`` as the only input of later stages.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
@@ -53,7 +56,7 @@ def kv_literals(docs: DataFrame) -> DataFrame:
 def refuse_documents(docs: DataFrame, patterns: S.Patterns | None = None
                      ) -> tuple[DataFrame, DataFrame]:
     """``(accepted, refused)``; a document is one row, so this is a plain filter."""
-    hit = _any_hit(T.table(patterns or fixed.SECRET_PATTERNS))
+    hit = F.coalesce(_any_hit(T.table(patterns or fixed.SECRET_PATTERNS)), F.lit(False))
     return docs.where(~hit), secret_scan(docs, patterns)
 
 
@@ -92,10 +95,20 @@ def segment_secrets(segments: DataFrame, patterns: S.Patterns | None = None) ->
     )
 
 
-def refuse_segments(segments: DataFrame, patterns: S.Patterns | None = None
-                    ) -> tuple[DataFrame, DataFrame]:
-    """``(accepted, refused)`` for documents in segments: any hit drops all segments."""
+def refuse_segments(segments: DataFrame, patterns: S.Patterns | None = None,
+                    also: Sequence[DataFrame] = ()) -> tuple[DataFrame, DataFrame]:
+    """``(accepted, refused)`` for documents in segments: any hit drops all segments.
+
+    ``also`` are further texts ``(doc_key, text)`` of the same documents that become part
+    of results: whole files with their header, titles, source labels. A hit there refuses as well,
+    and comes first, as these stand at the head of a document.
+    """
     refused = segment_secrets(segments, patterns)
+    if also:
+        heads = reduce(DataFrame.unionByName, [secret_scan(a.select("doc_key", "text"), patterns) for a in also])
+        every = heads.withColumn("place", F.lit(0)).unionByName(refused.withColumn("place", F.lit(1)))
+        refused = every.groupBy("doc_key").agg(F.min(F.struct("place", "line", "label")).alias("first")).select(
+            "doc_key", "first.label", "first.line")
     return segments.join(refused.select("doc_key"), "doc_key", "left_anti"), refused
 
 

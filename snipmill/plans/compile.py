@@ -56,7 +56,13 @@ class Compiled:
     refused: DataFrame      # documents that hold a secret
     drafts: DataFrame       # one row per draft, with name and content
     skipped: DataFrame      # one row per fence that made no draft
-    overflow: DataFrame     # candidates without a free name
+
+    def outcomes(self) -> DataFrame:
+        """One row for each fence and each refused document: (doc_key, fence_no, outcome, what)."""
+        none = F.lit(None).cast("int")
+        return self.drafts.select("doc_key", "fence_no", F.lit("draft").alias("outcome"), F.col("filename").alias("what")).unionByName(
+            self.skipped.select("doc_key", "fence_no", F.lit("skipped").alias("outcome"), F.col("reason").alias("what"))
+        ).unionByName(self.refused.select("doc_key", none.alias("fence_no"), F.lit("refused").alias("outcome"), F.col("label").alias("what")))
 
 
 def compile_corpus(segments: DataFrame, taken: DataFrame, context: emit.RenderContext, *,
@@ -64,14 +70,20 @@ def compile_corpus(segments: DataFrame, taken: DataFrame, context: emit.RenderCo
                    enabled: Sequence[str] | None = None,
                    languages: Collection[str] = fixed.LANGUAGES, include_user: bool = False,
                    similarity: bool = True, patterns: S.Patterns | None = None,
+                   raw: DataFrame | None = None, namespace: Column | None = None,
                    top: int | None = None) -> Compiled:
     """Scan, refuse, extract, assign, name and render every document of a corpus.
 
-    ``sources(doc_key, source)`` gives the header's source label; ``top`` bounds
-    segment and fence numbers when the caller knows them. Refusal comes
-    first and removes whole documents; no later frame sees a row of them.
+    ``sources(doc_key, source)`` gives the header's source label; ``raw(doc_key, text)`` are
+    the whole files, when ``segments`` lack their front matter. Both are scanned too. Refusal comes
+    first and removes whole documents; no later frame sees a row of them. ``namespace`` names
+    the library of a candidate from its columns; names clash within one only. ``top`` bounds
+    segment and fence numbers when the caller knows them.
     """
-    accepted, refused = refuse.refuse_segments(segments, patterns)
+    heads = [] if raw is None else [raw]
+    if sources is not None:
+        heads.append(sources.select("doc_key", F.col("source").alias("text")))
+    accepted, refused = refuse.refuse_segments(segments, patterns, heads)
     found = extract.candidates(
         extract.extract_fences(accepted, top=top), languages, include_user=include_user
     )
@@ -87,18 +99,15 @@ def compile_corpus(segments: DataFrame, taken: DataFrame, context: emit.RenderCo
                F.col("lang")).otherwise(F.col("lang_raw")).alias("lang"),
         "detail", "line_start", "line_end", "turn", "role",
     )
-    named = emit.name_drafts(assigned, taken)
+    named = emit.name_drafts(assigned, taken, namespace)
     if sources is None:
         named = named.withColumn("source", F.lit("-"))
     else:
         named = named.join(sources.select("doc_key", "source"), "doc_key", "left")
     return Compiled(
         refused=refused,
-        drafts=emit.render_drafts(named.where(F.col("suffix").isNotNull()), context),
+        drafts=emit.render_drafts(named, context),
         skipped=skipped,
-        overflow=named.where(F.col("suffix").isNull()).select(
-            "doc_key", "fence_no", "kind", "name_proposal"
-        ),
     )
 
 

@@ -10,8 +10,9 @@ from snipmill.plans.corpus import derived
 
 _REF = "'scripts/' || replace(p_name, ' ', '-') || '-' || (p_partkey % 400) || '.sh'"
 FILES = f"""
-SELECT ref, CASE WHEN k % 2 = 0 THEN 'draft' ELSE 'approved' END AS state, 'gen-' || (k % 4) AS compiled
-FROM (SELECT {_REF} AS ref, min(p_partkey) AS k FROM part GROUP BY 1) f WHERE k % 9 <> 8
+SELECT CASE WHEN k % 9 = 8 THEN 'scripts/other-' || k || '.sh' ELSE ref END AS ref,
+  CASE WHEN k % 2 = 0 THEN 'draft' ELSE 'approved' END AS state, 'gen-' || (k % 4) AS compiled
+FROM (SELECT {_REF} AS ref, min(p_partkey) AS k FROM part GROUP BY 1) f
 UNION ALL
 SELECT ref, 'approved', 'gen-x' FROM (SELECT {_REF} AS ref, min(p_partkey) AS k FROM part GROUP BY 1) g
 WHERE k % 22 = 0
@@ -20,7 +21,7 @@ TAGS = f"""
 SELECT DISTINCT ref, 'gen-' || (CASE WHEN k % 7 = 6 THEN 9 ELSE k % 4 END) AS compiled, tag FROM (
   SELECT {_REF} AS ref, min(p_partkey) OVER (PARTITION BY {_REF}) AS k,
     CASE WHEN p_partkey % 3 = 0 THEN 'shared' ELSE lower(replace(p_brand, '#', '-')) END AS tag, p_partkey
-  FROM part) t WHERE p_partkey % 4 <> 3
+  FROM part) t
 """
 TAG_REQUESTS = f"""
 SELECT p_partkey AS request_id,
@@ -28,18 +29,17 @@ SELECT p_partkey AS request_id,
   CASE i WHEN 0 THEN 'shared' WHEN 1 THEN CASE WHEN p_partkey % 13 = 12 THEN 'Bad Name' ELSE lower(p_type) END
     ELSE lower(replace(p_brand, '#', '-')) END AS tag
 FROM (SELECT part.*, 0 AS i FROM part UNION ALL SELECT part.*, 1 FROM part UNION ALL SELECT part.*, 2 FROM part) n
-WHERE p_partkey % 2 = 0
 """
 COLLECTIONS = """
 SELECT DISTINCT lower(replace(p_brand, '#', '-')) AS name, 'Brand ' || p_brand AS title, 'd' AS description
-FROM part WHERE p_partkey % 3 <> 2 UNION ALL SELECT 'Not Legal', 't', 'd'
+FROM part UNION ALL SELECT 'Not Legal', 't', 'd'
 """
 MEMBERS = f"""
 SELECT name, CAST(row_number() OVER (PARTITION BY name ORDER BY k) AS INT) AS pos, ref,
   'gen-' || (CASE WHEN k % 37 = 36 THEN 9 ELSE k0 % 4 END) AS compiled FROM (
   SELECT lower(replace(p_brand, '#', '-')) AS name, ref, min(p_partkey) AS k, min(k0) AS k0 FROM (
     SELECT *, {_REF} AS ref, min(p_partkey) OVER (PARTITION BY {_REF}) AS k0 FROM part) r
-  WHERE p_partkey % 5 = 0 GROUP BY 1, 2) m
+  GROUP BY 1, 2) m
 """
 CREATE_REQUESTS = """
 SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 17 = 16 THEN 'UPPER' || (o_orderkey % 3)

@@ -16,13 +16,13 @@ from snipmill.session import cut_lineage
 CONTEXT = emit.RenderContext(compiled_at="2026-01-01T00:00:00.000+00:00")
 EMITTERS = ["bash", "python", "sql", "prompt", "runbook"]  # powershell left out on purpose
 
-# Names a library already holds: every third part name, as one kind of file.
+# Names a library already holds; most of them clash with nothing.
 TAKEN = """
 SELECT DISTINCT 'library' AS namespace, 'scripts' AS kind,
-  CASE WHEN p_partkey % 7 < 5 THEN 'shared-tool' ELSE 'restart-service-' || (p_partkey % 5) END
+  CASE WHEN p_partkey % 17 > 2 THEN 'other-' || p_partkey WHEN p_partkey % 7 < 5 THEN 'shared-tool' ELSE 'restart-service-' || (p_partkey % 5) END
   || CASE WHEN p_partkey % 13 = 0 THEN '' ELSE '-' || (p_partkey % 13 + 1) END
   || CASE p_partkey % 3 WHEN 0 THEN '.sh' WHEN 1 THEN '.sql' ELSE '.ps1' END AS filename
-FROM part WHERE p_partkey % 17 < 3
+FROM part
 """
 
 
@@ -108,7 +108,9 @@ def compile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 F.length("content").alias("chars"))
     skipped = out.skipped.select(F.lit("skipped").alias("outcome"), F.col("reason").alias("what"),
                                  F.lit(0).alias("chars"))
-    return drafted.unionByName(skipped).groupBy("outcome", "what").agg(
+    refused = out.refused.select(F.lit("refused").alias("outcome"), F.col("label").alias("what"),
+                                 F.lit(0).alias("chars"))
+    return drafted.unionByName(skipped).unionByName(refused).groupBy("outcome", "what").agg(
         F.count("*").alias("n"), F.sum("chars").alias("chars")
     )
 
@@ -117,11 +119,7 @@ def compile_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same compile with revisions by name only, so that SQL can follow it."""
     out = compile_corpus(segments(spark, sf_dir), taken(spark, sf_dir), CONTEXT, enabled=EMITTERS,
                          similarity=False, top=fence_bound(spark, sf_dir))
-    drafted = out.drafts.select("doc_key", "fence_no", F.lit("draft").alias("outcome"),
-                                F.col("filename").alias("what"))
-    skipped = out.skipped.select("doc_key", "fence_no", F.lit("skipped").alias("outcome"),
-                                 F.col("reason").alias("what"))
-    return drafted.unionByName(skipped)
+    return out.outcomes()
 
 
 QUERIES = {

@@ -19,15 +19,15 @@ SELECT event_id AS arrival, CASE WHEN event_id % 3 = 0 THEN 'k0' ELSE 'k' || use
   'sha256:' || sha256(event_type) AS request_fingerprint FROM events
 """
 STORE = """
-SELECT 'k' || c_custkey AS idempotency_key, 'sha256:' || sha256(CASE WHEN c_custkey % 2 = 0 THEN 'click' ELSE 'view' END)
+SELECT CASE WHEN c_custkey % 4 = 1 THEN 'k' ELSE 'other' END || c_custkey AS idempotency_key, 'sha256:' || sha256(CASE WHEN c_custkey % 2 = 0 THEN 'click' ELSE 'view' END)
     AS request_fingerprint, 'op' AS operation_type,
   CASE WHEN c_custkey % 3 = 0 THEN 'unknown' ELSE 'completed' END AS disposition,
   'r' || c_custkey AS result_json, 't' AS created_at
-FROM customer WHERE c_custkey % 4 = 1
+FROM customer
 """
 RESULTS = """
-SELECT 'k' || c_custkey AS idempotency_key, CASE c_custkey % 5 WHEN 0 THEN 'refused' WHEN 1 THEN 'lost' ELSE 'completed' END AS status,
-  'done ' || c_custkey AS result_json FROM customer WHERE c_custkey % 7 <> 6
+SELECT CASE WHEN c_custkey % 7 = 6 THEN 'none' ELSE 'k' END || c_custkey AS idempotency_key, CASE c_custkey % 5 WHEN 0 THEN 'refused' WHEN 1 THEN 'lost' ELSE 'completed' END AS status,
+  'done ' || c_custkey AS result_json FROM customer
 """
 IMPORTS = """
 SELECT conv_id AS doc_key, 'in/' || conv_id || '.json' AS source_path, 'chat-v1' AS adapter,
@@ -37,7 +37,8 @@ FROM conversations GROUP BY conv_id
 PRODUCED = """
 SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN 'p0' ELSE 'p' || user_id END AS producer, event_type, value FROM events
 """
-WRITTEN = "SELECT DISTINCT 'p' || user_id AS producer, user_id % 10 * 100 AS lines FROM events WHERE user_id % 2 = 0"
+WRITTEN = """SELECT DISTINCT CASE WHEN user_id % 2 = 0 THEN 'p' ELSE 'q' END || user_id AS producer,
+  user_id % 10 * 100 AS lines FROM events"""
 MUTATIONS = """
 SELECT o_orderkey AS request_id, CASE o_orderkey % 5 WHEN 0 THEN 'artifact.create_script_revision'
     WHEN 1 THEN 'artifact.approve_revision' WHEN 2 THEN 'artifact.publish_revision'
@@ -119,7 +120,7 @@ def event_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = E.event_envelope(events, F.lit("act_0"))
     return rows.select("event_type", "event_id", "operation_id", F.col("subject.kind").alias("subject_kind"),
                        F.col("subject.id").alias("subject_id"), F.col("producer.module_id").alias("module_id"),
-                       "payload")
+                       "occurred_at", "payload")
 
 
 def producer_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +174,6 @@ ledger AS (SELECT CAST(1 AS INT) AS schema, 'transcript.import' AS event, '{NOW}
   CASE WHEN doc_key % 7 = 6 THEN 'refused' ELSE 'ok' END AS result,
   CASE WHEN doc_key % 7 = 6 THEN 'secret:bearer' ELSE 'transcripts/2026/01/c-' || doc_key || '.md' END AS detail,
   source_path, adapter, conversation_id, turns, FALSE AS dry_run FROM h)"""
-_SEED = "sha256(concat_ws('|', ts, source_path, conversation_id))"
 ORACLES = {
     "request_fingerprint": f"""
         SELECT conv_id, turn, 'sha256:' || sha256('{{"adapter":"' || role || '","conversation_id":'
@@ -206,15 +206,16 @@ ORACLES = {
           'event ' || min(arrival) AS result_json FROM q
         WHERE CAST(idempotency_key[2:] AS BIGINT) % 5 <> 4 GROUP BY idempotency_key""",
     "import_events": _LEDGER + "SELECT * FROM ledger",
-    "event_envelope": _LEDGER + f""",
-        e AS (SELECT *, {_SEED} AS seed FROM ledger),
+    "event_envelope": _LEDGER + """,
+        b AS (SELECT *, '{"result":"' || result || '","detail":"' || detail || '","source_path":"' || source_path
+          || '","adapter":"chat-v1","conversation_id":' || coalesce('"' || conversation_id || '"', 'null') || ',"turns":'
+          || turns || ',"dry_run":false}' AS payload FROM ledger),
+        e AS (SELECT *, sha256(concat_ws('|', ts, payload, row_number() OVER (PARTITION BY ts, payload))) AS seed FROM b),
         i AS (SELECT *, 'evt_0' || upper(left(sha256('evt' || seed), 25)) AS event_id,
           'op_0' || upper(left(sha256('op' || seed), 25)) AS operation_id FROM e)
         SELECT CASE result WHEN 'ok' THEN 'transcript.import_completed' ELSE 'transcript.import_refused' END AS event_type,
           event_id, operation_id, 'transcript_import_operation' AS subject_kind, operation_id AS subject_id,
-          'snipmill' AS module_id, '{{"result":"' || result || '","detail":"' || detail || '","source_path":"' || source_path
-          || '","adapter":"chat-v1","conversation_id":' || coalesce('"' || conversation_id || '"', 'null') || ',"turns":'
-          || turns || ',"dry_run":false}}' AS payload FROM i""",
+          'snipmill' AS module_id, ts AS occurred_at, payload FROM i""",
     "producer_sequence": f"""
         WITH p AS ({PRODUCED}), w AS ({WRITTEN})
         SELECT event_id, p.producer, row_number() OVER (PARTITION BY p.producer ORDER BY ts, event_id) - 1

@@ -75,8 +75,9 @@ FROM conversations
 """.replace("\\x", "' || chr(92) || 'x")
 TAKEN = """
 SELECT DISTINCT 'transcripts/2026/01' AS namespace, 'transcripts' AS kind,
-  'shared-tool' || CASE WHEN p_partkey % 9 = 0 THEN '' ELSE '-' || (p_partkey % 9 + 1) END || '.md' AS filename
-FROM part WHERE p_partkey % 9 IN (0, 2, 3, 7)
+  CASE WHEN p_partkey % 9 IN (0, 2, 3, 7) THEN 'shared-tool' ELSE 'other-' || p_partkey END
+  || CASE WHEN p_partkey % 9 = 0 THEN '' ELSE '-' || (p_partkey % 9 + 1) END || '.md' AS filename
+FROM part
 """
 
 
@@ -172,8 +173,7 @@ def select_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def render_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts, _ = I.transcript_texts(I.render_parts(_headers(spark, sf_dir), turns(spark, sf_dir)))
-    return texts
+    return I.transcript_pieces(I.render_parts(_headers(spark, sf_dir), turns(spark, sf_dir)))
 
 
 def parse_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +225,7 @@ _MILLIS = "strftime(make_timestamp(CAST(({}) * 1000000 AS BIGINT)), '%Y-%m-%dT%H
 def _slugs(where: str) -> str:
     return f"""{_HEADERS}, taken AS ({TAKEN}),
         used AS (SELECT t, row_number() OVER (ORDER BY t) AS j FROM (SELECT CAST(coalesce(
-          nullif(regexp_extract(filename, '-([0-9]+)\\.md$', 1), ''), '1') AS INT) AS t FROM taken)),
+          nullif(regexp_extract(filename, '-([0-9]+)\\.md$', 1), ''), '1') AS INT) AS t FROM taken WHERE filename LIKE 'shared-tool%')),
         slugs AS (SELECT doc_key, coalesce(nullif({slug_sql('title', 64)}, ''), 'untitled') AS slug
           FROM headers WHERE {where}),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY doc_key) AS k FROM slugs),
@@ -235,6 +235,19 @@ def _slugs(where: str) -> str:
           || '.md' AS destination FROM numbered)"""
 
 
+# A whole transcript in one text.
+WHOLE_TEXTS = CORPUS + f""",
+        {_HEADERS},
+        parts AS (SELECT conv_id, count(*) AS n, string_agg('<!-- turn ' || idx || ' role=' || role || ' -->'
+            || chr(10) || content_md, chr(10) || chr(10) ORDER BY idx) AS body FROM corpus GROUP BY conv_id)
+        SELECT doc_key, '---' || chr(10) || 'kind: transcript' || chr(10) || 'schema: 1' || chr(10)
+          || 'source: chat' || chr(10) || 'adapter: chat-v1' || chr(10) || 'conversation_id: '
+          || coalesce('"' || conversation_id || '"', 'null') || chr(10) || 'title: '
+          || CASE WHEN title = 'Shared tool' THEN title ELSE '"' || title || '"' END || chr(10)
+          || 'exported_at: "2026-01-01T00:00:00.000+00:00"' || chr(10) || 'turns: ' || coalesce(n, 0) || chr(10)
+          || '---' || coalesce(chr(10) || chr(10) || body, '') || chr(10) AS text
+        FROM headers LEFT JOIN parts ON conv_id = doc_key"""
+
 ORACLES = {
     "import_corpus": f"""
         WITH leaks AS (SELECT conv_id FROM conversations WHERE conv_id % 13 = 0 AND turn = 1),
@@ -308,15 +321,18 @@ ORACLES = {
         FROM s LEFT JOIN best USING (selector_id) WHERE r IS NULL OR r = 1""",
     "render_transcript": CORPUS + f""",
         {_HEADERS},
-        parts AS (SELECT conv_id, count(*) AS n, string_agg('<!-- turn ' || idx || ' role=' || role || ' -->'
-            || chr(10) || content_md, chr(10) || chr(10) ORDER BY idx) AS body FROM corpus GROUP BY conv_id)
-        SELECT doc_key, '---' || chr(10) || 'kind: transcript' || chr(10) || 'schema: 1' || chr(10)
+        parts AS (SELECT conv_id, count(*) AS n, max(idx) AS last FROM corpus GROUP BY conv_id)
+        SELECT doc_key, 0 AS part_no, '---' || chr(10) || 'kind: transcript' || chr(10) || 'schema: 1' || chr(10)
           || 'source: chat' || chr(10) || 'adapter: chat-v1' || chr(10) || 'conversation_id: '
           || coalesce('"' || conversation_id || '"', 'null') || chr(10) || 'title: '
           || CASE WHEN title = 'Shared tool' THEN title ELSE '"' || title || '"' END || chr(10)
           || 'exported_at: "2026-01-01T00:00:00.000+00:00"' || chr(10) || 'turns: ' || coalesce(n, 0) || chr(10)
-          || '---' || coalesce(chr(10) || chr(10) || body, '') || chr(10) AS text
-        FROM headers LEFT JOIN parts ON conv_id = doc_key""",
+          || '---'
+          || CASE WHEN n > 0 THEN chr(10) ELSE '' END || chr(10) AS text
+        FROM headers LEFT JOIN parts ON conv_id = doc_key
+        UNION ALL SELECT conv_id, CAST(idx AS INT), '<!-- turn ' || idx || ' role=' || role || ' -->' || chr(10) || content_md
+          || CASE WHEN idx = last THEN '' ELSE chr(10) END || chr(10)
+        FROM corpus JOIN parts USING (conv_id)""",
     "parse_turns": """
         SELECT conv_id * 8 + turn AS doc_key, CAST(p AS INT) AS place, CAST(p AS INT) AS idx,
           CASE p WHEN 1 THEN 'user' ELSE 'unknown' END AS role,

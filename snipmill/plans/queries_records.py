@@ -38,7 +38,8 @@ SELECT p_partkey, id, artifact_id, artifact_type, manifest,
 CONTENTS = f"""
 SELECT {_id('rev', 'p_partkey')} AS revision_id, 'bin/run.sh' AS path,
   'echo ' || p_name || CASE WHEN p_partkey % 19 = 18 THEN '!' ELSE '' END AS content FROM part
-UNION ALL SELECT {_id('rev', 'p_partkey')}, 'lib/x.sh', 'x=' || p_size FROM part WHERE p_partkey % 17 <> 16
+UNION ALL SELECT {_id('rev', 'p_partkey')}, CASE WHEN p_partkey % 17 = 16 THEN 'lib/y.sh' ELSE 'lib/x.sh' END, 'x=' || p_size
+FROM part
 """
 VERIFICATIONS = f"""
 SELECT {_id('ver', 'l_orderkey * 100000 + l_linenumber * 10000 + l_suppkey')} AS id, r.id AS revision_id,
@@ -59,7 +60,7 @@ SELECT {_id('pub', 'o_orderkey')} AS id, r.id AS revision_id,
   CASE WHEN o_orderkey % 5 = 4 THEN 'preview' ELSE 'execution' END AS channel,
   CASE WHEN o_orderkey % 7 = 6 THEN 'withdrawn' ELSE 'published' END AS publication_state,
   CAST(o_orderkey % 3 + 1 AS INT) AS record_version
-FROM orders JOIN ({REVISIONS}) r ON r.p_partkey = o_custkey WHERE o_custkey % 3 <> 2
+FROM orders JOIN ({REVISIONS}) r ON r.p_partkey = o_custkey + CASE WHEN o_custkey % 3 = 2 THEN 1 ELSE 0 END
 """
 PUBLISH = f"""
 SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 61 = 60 THEN 'rev_bad' ELSE {_id('rev', 'o_custkey + 7')} END AS revision_id,
@@ -71,9 +72,9 @@ SELECT o_orderkey AS request_id, {_id('pub', 'o_custkey')} AS publication_id, {A
   CASE WHEN o_orderkey % 5 = 4 THEN '' ELSE 'old ' || o_orderkey END AS reason FROM orders
 """
 RESOLVE = f"""
-SELECT l_orderkey * 1000 + l_linenumber * 100 + l_suppkey AS request_id,
+SELECT l_orderkey * 100000 + l_linenumber * 10000 + l_suppkey AS request_id,
   CASE WHEN l_orderkey % 71 = 70 THEN 'nope' ELSE {_id('pub', 'l_orderkey')} END AS publication_id
-FROM lineitem WHERE l_linenumber = 1
+FROM lineitem
 """
 ELIGIBLE = f"""
 SELECT l_orderkey * 100000 + l_linenumber * 10000 + l_suppkey AS request_id, {_id('rev', 'l_partkey')} AS revision_id,
@@ -95,9 +96,10 @@ SELECT o_orderkey AS request_id,
 FROM orders
 """
 ARTIFACTS = f"""
-SELECT DISTINCT {_id('art', 'o_custkey % 60')} AS id,
+SELECT DISTINCT CASE WHEN o_custkey % 60 % 10 = 9 THEN {_id('art', 'o_custkey % 60 + 100')}
+    ELSE {_id('art', 'o_custkey % 60')} END AS id,
   CASE WHEN o_custkey % 60 % 6 = 5 THEN 'archived' ELSE 'active' END AS lifecycle
-FROM orders WHERE o_custkey % 60 % 10 <> 9
+FROM orders
 """
 BOUND = f"""
 SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 53 = 52 THEN 'rev_1' ELSE {_id('rev', 'o_custkey * 2')} END AS revision_id,

@@ -165,7 +165,7 @@ ORACLES = {
         UNION ALL SELECT 'member', 'c' || p_partkey, unnest(['scripts/a.sh', 'prompts/b.md']),
           unnest(['g', CAST(p_size AS VARCHAR)]) FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 10 <> 9""",
     "sink_transcripts": f"""
-        WITH texts AS ({queries_imports.ORACLES["render_transcript"]}),
+        WITH texts AS ({queries_imports.WHOLE_TEXTS}),
         names AS ({queries_imports.ORACLES["transcript_slug"]}),
         counts AS (SELECT conv_id AS doc_key, count(*) AS n FROM conversations GROUP BY 1)
         SELECT string_split(destination, '/')[4] AS file, '2026' AS year, '01' AS month,

@@ -69,9 +69,9 @@ SELECT 'scripts/u' || user_id || '.sh' AS ref, CAST(ts AS STRING) AS verified_at
 FROM events
 """
 FILES = """
-SELECT DISTINCT 'scripts/u' || user_id || '.sh' AS ref, 'gen-' || (user_id % 3) AS compiled,
+SELECT DISTINCT CASE WHEN user_id % 6 = 5 THEN 'scripts/v' ELSE 'scripts/u' END || user_id || '.sh' AS ref, 'gen-' || (user_id % 3) AS compiled,
   sha256(CASE WHEN user_id % 2 = 0 THEN 'click' ELSE 'view' END) AS sha256
-FROM events WHERE user_id % 6 <> 5
+FROM events
 """
 
 

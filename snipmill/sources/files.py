@@ -7,12 +7,12 @@ what they should be become rows with an ``error``.
 from __future__ import annotations
 
 import io
-import re
 import tomllib
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,7 +151,7 @@ def scan_chat_export(inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
 # ---- library and registries ----------------------------------------------------------
 def compiled_stamp(text: Column) -> Column:
     """The ``compiled`` value of a header or front matter; body lines never count."""
-    lines = F.slice(F.split(text, "\n", -1), 1, fixed.HEADER_SCAN_LINES)
+    lines = F.split(text, "\n", -1)
 
     def before(l: Column, stop) -> Column:
         at = F.array_position(F.transform(l, stop), True)
@@ -251,6 +251,16 @@ def scan_record_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ---- pattern tables ---------------------------------------------------------------------
+def _compiles(pattern: str) -> bool:
+    """Whether the JVM, which runs the scans, takes the pattern."""
+    spark = SparkSession.active()
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def scan_pattern_table(text: str | None, defaults: S.Patterns, flags: str = "") -> S.Patterns:
     """Patterns of a TOML text ``[patterns] label = "regex"``; a table replaces the defaults.
 
@@ -265,9 +275,7 @@ def scan_pattern_table(text: str | None, defaults: S.Patterns, flags: str = "")
         rows = {}
     kept = []
     for label, pattern in rows.items():
-        try:
-            re.compile(pattern)
-        except (re.error, TypeError):
-            continue
-        kept.append((label, f"{flags}(?U)(?d){pattern}"))
+        full = f"{flags}(?U)(?d){pattern}"
+        if isinstance(pattern, str) and _compiles(full):
+            kept.append((label, full))
     return kept or list(defaults)

@@ -21,6 +21,7 @@ STORE = (
     "idempotency_key string, request_fingerprint string, operation_type string, "
     "disposition string, result_json string, created_at string"
 )
+RESULT = "idempotency_key string, status string, result_json string"
 REMOVED = "removed"
 
 
@@ -40,24 +41,39 @@ def run_requests(requests: DataFrame, folder: str, run: Callable[[DataFrame], Da
     """Start the stream of ``(arrival, idempotency_key, request_fingerprint, …)``.
 
     ``run`` gets the new requests of a batch and returns
-    ``(idempotency_key, status, result_json)``. Unknown is written before it
-    runs, so an interrupted batch is never silently repeated by a later one.
-    Decisions land in ``<folder>/decisions``.
+    ``(idempotency_key, status, result_json)``, which is written once and read from there.
+    Unknown is written before it runs. A batch that starts again after a failure keeps the
+    results if they are whole; if they are not, its new requests may have run, so they are not
+    sent again: their outcome is unknown. Decisions land in ``<folder>/decisions``.
     """
     spark = requests.sparkSession
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+
+    def done(path: str) -> bool:
+        mark = files.Path(f"{path}/_SUCCESS")
+        return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
     spark.createDataFrame([], STORE).write.mode("overwrite").parquet(f"{folder}/store/batch=-1/stage=0")
 
     def batch(df: DataFrame, batch_id: int) -> None:
         def stage(rows: DataFrame, number: int) -> None:
             rows.write.mode("overwrite").parquet(f"{folder}/store/batch={batch_id}/stage={number}")
 
-        path = f"{folder}/decisions/batch={batch_id}"
-        idempotency.decide(df, read_store(spark, folder, batch_id)).write.mode("overwrite").parquet(path)
-        decided = spark.read.parquet(path)
-        stage(idempotency.in_flight(decided, F.lit(operation_type), F.lit(created_at)), 0)
-        pending = spark.read.schema(STORE).parquet(f"{folder}/store/batch={batch_id}/stage=0")
+        sent = f"{folder}/store/batch={batch_id}/stage=0"
+        plan, outcome = f"{folder}/planned/batch={batch_id}", f"{folder}/results/batch={batch_id}"
+        again = done(sent)
+        if not again:
+            idempotency.decide(df, read_store(spark, folder, batch_id)).write.mode("overwrite").parquet(plan)
+            stage(idempotency.in_flight(spark.read.parquet(plan), F.lit(operation_type), F.lit(created_at)), 0)
+        decided, pending = spark.read.parquet(plan), spark.read.schema(STORE).parquet(sent)
         new = decided.where(F.col("decision") == "new")
-        results = run(new).select("idempotency_key", "status", "result_json")
+        if not again:
+            run(new).select("idempotency_key", "status", "result_json").write.mode("overwrite").parquet(outcome)
+        known = done(outcome)
+        results = spark.read.schema(RESULT).parquet(outcome) if known else spark.createDataFrame([], RESULT)
+        unsure = F.lit(again and not known) & (F.col("decision") == "new")
+        decided.withColumn("decision", F.when(unsure, "outcome_unknown").otherwise(F.col("decision"))).write.mode(
+            "overwrite").parquet(f"{folder}/decisions/batch={batch_id}")
         settled = idempotency.settle(pending, results)
         freed = pending.join(
             results.where(F.col("status") == "refused").select("idempotency_key"),

@@ -35,7 +35,7 @@ def test_outcomes(compiled):
     assert {(r["doc_key"], r["fence_no"], r["reason"], r["lang"]) for r in compiled.skipped.collect()} == {
         (2, 2, "unsupported-emitter", "powershell"), (4, 2, "console", "console")}
     assert [tuple(r) for r in compiled.refused.collect()] == [(3, "kv-secret", 7)]
-    assert compiled.overflow.count() == 0
+    assert compiled.outcomes().groupBy().count().first()[0] == 7
 
 
 def test_content(compiled):
@@ -82,3 +82,30 @@ def test_import(spark):
     assert {r["doc_key"] for r in out.parts.collect()} == {1, 3}
     dry = import_corpus(headers, turns, none, year="2026", month="01", ts=F.lit("t"), dry_run=True)
     assert dry.ledger.count() == 0
+
+
+def _compile(spark, docs, sources=None, **more):
+    frame = spark.createDataFrame(docs, "doc_key int, text string")
+    none = spark.createDataFrame([], "namespace string, kind string, filename string")
+    return compile_corpus(X.strip_front_matter(frame), none, CONTEXT, sources=sources, raw=frame, top=0, **more)
+
+
+def test_secrets_of_headers_and_labels_refuse(spark):
+    body = "# T\n\n```bash\nls\n```\n"
+    sources = spark.createDataFrame([(1, "chat"), (2, "chat password: hunter2hunter2"), (3, "chat")], "doc_key int, source string")
+    out = _compile(spark, [(1, "---\ntitle: a\npassword: hunter2hunter2\n---\n" + body), (2, body), (3, body)], sources)
+    assert sorted(r["doc_key"] for r in out.drafts.collect()) == [3]
+    assert {(r["doc_key"], r["line"]) for r in out.refused.collect()} == {(1, 3), (2, 1)}
+
+
+def test_equal_headings_all_get_a_draft(spark):
+    docs = [(i, f"# Setup\n\n```bash\necho {i}\n```\n") for i in range(1100)]
+    out = _compile(spark, docs, similarity=False).outcomes().groupBy("outcome").agg(
+        F.count("*").alias("n"), F.countDistinct("what").alias("names")).collect()
+    assert [tuple(r) for r in out] == [("draft", 1100, 1100)]
+
+
+def test_names_clash_within_a_library_only(spark):
+    docs = [(i, f"# Setup\n\n```bash\necho {i}\n```\n") for i in range(4)]
+    drafts = _compile(spark, docs, similarity=False, namespace=F.concat(F.lit("lib"), F.col("doc_key") % 2)).drafts.collect()
+    assert sorted(r["filename"] for r in drafts) == ["setup-2.sh", "setup-2.sh", "setup.sh", "setup.sh"]

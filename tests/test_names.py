@@ -9,14 +9,14 @@ import pytest
 from snipmill.operators.names import resolve_collisions
 
 
-def brute(rows, taken, cap):
+def brute(rows, taken):
     used, out = {}, {}
     for ns, kind, name in taken:
         used.setdefault((ns, kind), set()).add(name)
     for ns, kind, ext, name, order in sorted(rows, key=lambda r: r[4]):
         held = used.setdefault((ns, kind), set())
         n = 1
-        while cap is None or n <= cap:
+        while True:
             full = name if n == 1 else f"{name}-{n}"
             file = (full.replace("-", "_") if ext == ".py" else full) + ext
             if file not in held:
@@ -24,14 +24,11 @@ def brute(rows, taken, cap):
                 out[order] = n
                 break
             n += 1
-        else:
-            out[order] = None
     return out
 
 
-@pytest.mark.parametrize("cap", [1000, None])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_matches_sequential_search(spark, cap, seed):
+def test_matches_sequential_search(spark, seed):
     rng = random.Random(seed)
     names = ["foo", "foo", "foo", "foo-2", "foo-2-3", "foo-10", "bar", "bar", "block-01", "block-01", "x-1", "x-0"]
     rows = [
@@ -44,23 +41,17 @@ def test_matches_sequential_search(spark, cap, seed):
     ]
     drafts = spark.createDataFrame(rows, "namespace string, kind string, extension string, name string, at int")
     files = spark.createDataFrame(taken, "namespace string, kind string, filename string")
-    got = {r["at"]: r["suffix"] for r in resolve_collisions(drafts, files, ["at"], cap).collect()}
-    assert got == brute(rows, taken, cap)
-
-
-def test_names_run_out(spark):
-    rows = [("lib", "scripts", ".sh", "hot", i) for i in range(1005)]
-    rows += [("lib", "scripts", ".sh", "hot-2", 2000 + i) for i in range(3)]
-    drafts = spark.createDataFrame(rows, "namespace string, kind string, extension string, name string, at int")
-    files = spark.createDataFrame([("lib", "scripts", "hot-5.sh")], "namespace string, kind string, filename string")
-    got = {r["at"]: r["suffix"] for r in resolve_collisions(drafts, files, ["at"]).collect()}
-    assert got == brute(rows, [("lib", "scripts", "hot-5.sh")], 1000)
-    assert sum(v is None for v in got.values()) == 6
-
-
-def test_plain_family_runs_out(spark):
-    rows = [("lib", "scripts", ".sh", "hot", i) for i in range(1005)]
-    drafts = spark.createDataFrame(rows, "namespace string, kind string, extension string, name string, at int")
-    files = spark.createDataFrame([("lib", "scripts", "hot-5.sh")], "namespace string, kind string, filename string")
     got = {r["at"]: r["suffix"] for r in resolve_collisions(drafts, files, ["at"]).collect()}
-    assert got == brute(rows, [("lib", "scripts", "hot-5.sh")], 1000)
+    assert got == brute(rows, taken)
+
+
+def test_names_never_run_out(spark):
+    rows = [("lib", "scripts", ".sh", "hot", i) for i in range(1105)]
+    files = spark.createDataFrame([("lib", "scripts", "hot-5.sh"), ("lib", "scripts", "hot-1050.sh")],
+                                  "namespace string, kind string, filename string")
+    taken = [("lib", "scripts", "hot-5.sh"), ("lib", "scripts", "hot-1050.sh")]
+    for more in ([], [("lib", "scripts", ".sh", "hot-2", 2000 + i) for i in range(3)]):
+        drafts = spark.createDataFrame(rows + more, "namespace string, kind string, extension string, name string, at int")
+        got = {r["at"]: r["suffix"] for r in resolve_collisions(drafts, files, ["at"]).collect()}
+        assert got == brute(rows + more, taken)
+        assert max(got.values()) >= 1107

@@ -101,3 +101,9 @@ def test_pattern_table(spark):
 def test_literal_values(spark, value, literal):
     frame = spark.createDataFrame([(value,)], "v string")
     assert frame.select(S.is_literal_value(F.col("v"))).first()[0] is literal
+
+
+def test_rows_without_text_are_accepted(spark):
+    docs = spark.createDataFrame([(1, None), (2, "fine")], "doc_key int, text string")
+    accepted, refused = refuse.refuse_documents(docs)
+    assert (accepted.count(), refused.count()) == (2, 0)

@@ -7,6 +7,8 @@ import zipfile
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from snipmill.operators import imports as I
 from snipmill.operators.curate import reference_status
 from snipmill.operators.records import scan_records
@@ -121,8 +123,11 @@ def test_round_trip(spark):
     ], "doc_key int, idx int, role string, content_md string, ts string")
     headers = spark.createDataFrame([(1, "s", "a-v1", None, 'Say "hi": yes\n', "2026"), (2, "-", "null", " x", "true", "")],
                                     "doc_key int, source string, adapter string, conversation_id string, title string, exported_at string")
-    texts, oversize = I.transcript_texts(I.render_parts(headers, turns))
-    assert oversize.count() == 0
+    def whole(parts):
+        return I.transcript_pieces(parts).groupBy("doc_key").agg(
+            F.array_join(F.array_sort(F.collect_list(F.struct("part_no", "text")))["text"], "").alias("text"))
+
+    texts = whole(I.render_parts(headers, turns))
     heads, back, errors = I.scan_canonical(texts)
     assert errors.count() == 0
     assert [(r["idx"], r["role"], r["content_md"], r["ts"]) for r in back.orderBy("idx").collect()] == [
@@ -130,10 +135,8 @@ def test_round_trip(spark):
         (3, "assistant", "<!-- note -->\n\n```sh\nx\n```", None)]
     fields = ("source", "adapter", "conversation_id", "title", "exported_at")
     assert {tuple(r[f] for f in fields) for r in heads.collect()} == {tuple(r[f] for f in fields) for r in headers.collect()}
-    renamed = I.transcript_texts(I.render_parts(headers, turns, title="Other"))[0]
+    renamed = whole(I.render_parts(headers, turns, title="Other"))
     assert all("title: Other\n" in r["text"] for r in renamed.collect())
-    small, parts = I.transcript_texts(I.render_parts(headers, turns), limit=150)
-    assert {r["doc_key"] for r in small.collect()} == {2} and parts.count() == 4
 
 
 def test_select(spark):

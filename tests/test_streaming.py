@@ -72,3 +72,34 @@ def test_sequences_continue(spark):
     for producer, offset in (("p", 7), ("q", 0)):
         mine = sorted((r["ts"], r["event_id"], r["producer_sequence"]) for r in got if r["producer"] == producer)
         assert [m[2] for m in mine] == list(range(offset, offset + len(mine)))
+
+
+def test_a_batch_that_breaks_off_is_not_sent_again(spark, tmp_path):
+    """A run that fails after it was sent leaves its keys unknown; the next start does not call it again."""
+    spark.createDataFrame([(1, "a", "f"), (2, "b", "f")], SCHEMA).write.parquet(str(tmp_path / "in"))
+    calls = []
+
+    def breaks(new):
+        calls.append(new.count())
+        raise RuntimeError("lost")
+
+    def start(run):
+        stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+        return run_requests(stream, str(tmp_path), run, "op", "now", availableNow=True)
+
+    try:
+        start(breaks).awaitTermination()
+    except Exception:
+        pass
+    start(breaks).awaitTermination()
+    assert calls == [2]
+    rows = spark.read.parquet(str(tmp_path / "decisions")).collect()
+    assert {r["arrival"]: r["decision"] for r in rows} == {1: "outcome_unknown", 2: "outcome_unknown"}
+    assert {r["idempotency_key"]: r["disposition"] for r in read_store(spark, str(tmp_path)).collect()} == {"a": "unknown", "b": "unknown"}
+
+
+def test_equal_imports_get_ids_of_their_own(spark):
+    row = ("ok", "x.md", "in/1", "v", None, 2, False)
+    ledger = spark.createDataFrame([("t", *row), ("t", *row), ("t", "ok", "y.md", "in/1", "v", None, 2, False)],
+                                   "ts string, result string, detail string, source_path string, adapter string, conversation_id string, turns int, dry_run boolean")
+    assert E.import_envelopes(ledger).select("seed").distinct().count() == 3
