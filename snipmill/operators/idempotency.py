@@ -46,7 +46,7 @@ def decide(requests: DataFrame, store: DataFrame) -> DataFrame:
 
     ``new``, ``replay`` (with the stored result), ``conflict`` or
     ``outcome_unknown``. Of requests that share a new key the first by arrival
-    is new and the others are judged against it. The first one is found by an
+    is new and the others are judged against it (``in_batch``). The first one is found by an
     aggregate that combines map-side, so a key with very many requests costs
     one small row per task.
     """
@@ -67,7 +67,23 @@ def decide(requests: DataFrame, store: DataFrame) -> DataFrame:
     )
     return rows.withColumn("decision", decision).withColumn(
         "result_json", F.when(F.col("decision") == "replay", F.col("result_json"))
-    ).drop("_print", "_first", "disposition")
+    ).withColumn("in_batch", unseen & (F.col("_first.arrival") != F.col("arrival"))).drop(
+        "_print", "_first", "disposition")
+
+
+def settle_repeats(decided: DataFrame, results: DataFrame) -> DataFrame:
+    """``decided`` once the results of its new requests are known.
+
+    A repeat within the batch has the result of the first one if that completed. After a refusal the key is
+    free again: the repeat is ``released`` and may be sent anew. Otherwise its outcome is unknown.
+    """
+    found = results.select("idempotency_key", F.col("status").alias("_status"), F.col("result_json").alias("_result"))
+    repeat = F.col("in_batch") & (F.col("decision") == "replay")
+    done, refused = F.col("_status") == "completed", F.col("_status") == "refused"
+    return decided.join(found, "idempotency_key", "left").withColumns({
+        "result_json": F.when(repeat & done, F.col("_result")).otherwise(F.col("result_json")),
+        "decision": F.when(~repeat | done, F.col("decision")).when(refused, "released").otherwise("outcome_unknown"),
+    }).drop("_status", "_result", "in_batch")
 
 
 def in_flight(decisions: DataFrame, operation_type: Column, created_at: Column) -> DataFrame:

@@ -56,6 +56,7 @@ class Compiled:
     refused: DataFrame      # documents that hold a secret
     drafts: DataFrame       # one row per draft, with name and content
     skipped: DataFrame      # one row per fence that made no draft
+    accounting: DataFrame   # counts by document; reading it fails if a fence is in neither
 
     def outcomes(self) -> DataFrame:
         """One row for each fence and each refused document: (doc_key, fence_no, outcome, what)."""
@@ -84,9 +85,8 @@ def compile_corpus(segments: DataFrame, taken: DataFrame, context: emit.RenderCo
     if sources is not None:
         heads.append(sources.select("doc_key", F.col("source").alias("text")))
     accepted, refused = refuse.refuse_segments(segments, patterns, heads)
-    found = extract.candidates(
-        extract.extract_fences(accepted, top=top), languages, include_user=include_user
-    )
+    fences = extract.extract_fences(accepted, top=top)
+    found = extract.candidates(fences, languages, include_user=include_user)
     revise = extract.supersede_by_similarity if similarity else extract.supersede_by_name
     revised = revise(found, top=top)
     if library is not None:
@@ -104,10 +104,13 @@ def compile_corpus(segments: DataFrame, taken: DataFrame, context: emit.RenderCo
         named = named.withColumn("source", F.lit("-"))
     else:
         named = named.join(sources.select("doc_key", "source"), "doc_key", "left")
+    drafts = emit.render_drafts(named, context)
+    unsupported = F.col("reason") == "unsupported-emitter"
+    outcomes = drafts.select("doc_key", F.lit("draft").alias("outcome")).unionByName(
+        skipped.select("doc_key", F.when(unsupported, "unsupported").otherwise("skipped").alias("outcome")))
     return Compiled(
-        refused=refused,
-        drafts=emit.render_drafts(named, context),
-        skipped=skipped,
+        refused=refused, drafts=drafts, skipped=skipped,
+        accounting=extract.fence_accounting(fences, outcomes),
     )
 
 

@@ -71,7 +71,8 @@ def operation_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def idempotency_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return idempotency.decide(derived(spark, sf_dir, REQUESTS, "events"), derived(spark, sf_dir, STORE, "customer"))
+    return idempotency.decide(derived(spark, sf_dir, REQUESTS, "events"),
+                              derived(spark, sf_dir, STORE, "customer")).drop("in_batch")
 
 
 def idempotency_state(spark: SparkSession, sf_dir: str) -> DataFrame:

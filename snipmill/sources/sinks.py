@@ -20,8 +20,13 @@ def sink_transcripts(parts: DataFrame, destinations: DataFrame, path: str) -> No
         "year", "month").parquet(path)
 
 
-def sink_drafts(drafts: DataFrame, path: str) -> None:
-    """Append rendered drafts by kind; names were settled before this job runs."""
+def sink_drafts(drafts: DataFrame, path: str, accounting: DataFrame | None = None) -> None:
+    """Append rendered drafts by kind; names were settled before this job runs.
+
+    With ``accounting`` nothing is written unless every fence of the compile is accounted for.
+    """
+    if accounting is not None:
+        accounting.write.format("noop").mode("overwrite").save()
     rows = drafts.select("filename", "emitter", "content", "renamed", "namespace", "kind")
     rows.write.mode("append").partitionBy("kind").parquet(path)
 

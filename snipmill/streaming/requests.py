@@ -72,7 +72,8 @@ def run_requests(requests: DataFrame, folder: str, run: Callable[[DataFrame], Da
         known = done(outcome)
         results = spark.read.schema(RESULT).parquet(outcome) if known else spark.createDataFrame([], RESULT)
         unsure = F.lit(again and not known) & (F.col("decision") == "new")
-        decided.withColumn("decision", F.when(unsure, "outcome_unknown").otherwise(F.col("decision"))).write.mode(
+        final = idempotency.settle_repeats(decided, results)
+        final.withColumn("decision", F.when(unsure, "outcome_unknown").otherwise(F.col("decision"))).write.mode(
             "overwrite").parquet(f"{folder}/decisions/batch={batch_id}")
         settled = idempotency.settle(pending, results)
         freed = pending.join(

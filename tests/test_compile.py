@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from snipmill.operators import emit
 from snipmill.operators import extract as X
 from snipmill.plans.compile import compile_corpus, import_corpus
+from snipmill.sources import sinks
 
 CONTEXT = emit.RenderContext(compiled_at="T0")
 DOCS = [
@@ -109,3 +110,13 @@ def test_names_clash_within_a_library_only(spark):
     docs = [(i, f"# Setup\n\n```bash\necho {i}\n```\n") for i in range(4)]
     drafts = _compile(spark, docs, similarity=False, namespace=F.concat(F.lit("lib"), F.col("doc_key") % 2)).drafts.collect()
     assert sorted(r["filename"] for r in drafts) == ["setup-2.sh", "setup-2.sh", "setup.sh", "setup.sh"]
+
+
+def test_accounting_balances_and_a_lost_fence_stops_the_sink(spark, compiled, tmp_path):
+    counts = {r["doc_key"]: (r["fences_seen"], r["drafts"], r["skipped"], r["unsupported"]) for r in compiled.accounting.collect()}
+    assert counts == {1: (2, 2, 0, 0), 2: (2, 1, 0, 1), 4: (2, 1, 1, 0)}
+    seen = spark.createDataFrame([(1,), (1,)], "doc_key int")
+    lost = X.fence_accounting(seen, spark.createDataFrame([(1, "draft")], "doc_key int, outcome string"))
+    with pytest.raises(Exception, match="fences lost in document 1"):
+        sinks.sink_drafts(compiled.drafts, str(tmp_path / "drafts"), lost)
+    assert not (tmp_path / "drafts").exists()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from snipmill.operators import events as E
+from snipmill.operators import idempotency
 from snipmill.streaming.logs import dual_write, event_log_scan, event_log_stream
 from snipmill.streaming.requests import read_store, run_requests
 
@@ -32,12 +33,24 @@ def test_requests_over_batches(spark, tmp_path):
     assert order == list(range(1, 11))
     if rows and {r["batch"] for r in rows if r["arrival"] <= 5} == {0}:   # files are taken in order of age
         assert first == {
-            1: ("new", None), 2: ("replay", None), 3: ("conflict", None), 4: ("new", None), 5: ("new", None),
+            1: ("new", None), 2: ("replay", "r1"), 3: ("conflict", None), 4: ("new", None), 5: ("new", None),
             6: ("replay", "r1"), 7: ("conflict", None), 8: ("new", None), 9: ("outcome_unknown", None), 10: ("new", None)}
     store = {r["idempotency_key"]: r["disposition"] for r in read_store(spark, str(tmp_path)).collect()}
     assert store == {"a": "completed", "b": "completed", "lose": "unknown"}
 
 
+def test_repeats_follow_the_first_of_their_batch(spark):
+    requests = spark.createDataFrame(
+        [(1, "a", "f"), (2, "a", "f"), (3, "a", "g"), (4, "b", "f"), (5, "b", "f"), (6, "c", "f"), (7, "c", "f")], SCHEMA)
+    store = spark.createDataFrame([], "idempotency_key string, request_fingerprint string, disposition string, result_json string")
+    results = spark.createDataFrame([("a", "completed", "r"), ("b", "refused", None), ("c", "lost", None)],
+                                    "idempotency_key string, status string, result_json string")
+    found = idempotency.settle_repeats(idempotency.decide(requests, store), results).collect()
+    assert {r["arrival"]: (r["decision"], r["result_json"]) for r in found} == {
+        1: ("new", None), 2: ("replay", "r"), 3: ("conflict", None), 4: ("new", None), 5: ("released", None),
+        6: ("new", None), 7: ("outcome_unknown", None)}
+
+
 def test_two_logs(spark, tmp_path):
     headers = spark.createDataFrame([(1, "in/1", "v", "c", 2), (2, "in/2", "v", None, 0)],
                                     "doc_key int, source_path string, adapter string, conversation_id string, turns int")
