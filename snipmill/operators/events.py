@@ -37,7 +37,7 @@ def import_events(headers: DataFrame, refused: DataFrame, destinations: DataFram
 def import_envelopes(ledger: DataFrame) -> DataFrame:
     """The same imports for the shared log: type, payload and a seed for ids.
 
-    The seed is the whole row, with a number among rows that are equal in all, so that no two
+    Times in UTC are spelled with ``Z`` there. The seed is the whole row, with a number among rows that are equal in all, so that no two
     events share an id.
     """
     payload = F.struct("result", "detail", "source_path", "adapter", "conversation_id", "turns", "dry_run")
@@ -45,7 +45,7 @@ def import_envelopes(ledger: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("ts", "_body").orderBy(F.lit(0)))
     return rows.select(
         T.lookup(fixed.IMPORT_EVENT_TYPES, F.col("result")).alias("event_type"),
-        F.col("ts").alias("occurred_at"), F.col("_body").alias("payload"),
+        F.regexp_replace("ts", r"\+00:00\z", "Z").alias("occurred_at"), F.col("_body").alias("payload"),
         F.sha2(F.concat_ws("|", F.coalesce("ts", F.lit("")), "_body", place.cast("string")), 256).alias("seed"),
     )
 

@@ -216,7 +216,7 @@ ORACLES = {
           'op_0' || upper(left(sha256('op' || seed), 25)) AS operation_id FROM e)
         SELECT CASE result WHEN 'ok' THEN 'transcript.import_completed' ELSE 'transcript.import_refused' END AS event_type,
           event_id, operation_id, 'transcript_import_operation' AS subject_kind, operation_id AS subject_id,
-          'snipmill' AS module_id, ts AS occurred_at, payload FROM i""",
+          'snipmill' AS module_id, replace(ts, '+00:00', 'Z') AS occurred_at, payload FROM i""",
     "producer_sequence": f"""
         WITH p AS ({PRODUCED}), w AS ({WRITTEN})
         SELECT event_id, p.producer, row_number() OVER (PARTITION BY p.producer ORDER BY ts, event_id) - 1

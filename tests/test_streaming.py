@@ -116,3 +116,10 @@ def test_equal_imports_get_ids_of_their_own(spark):
     ledger = spark.createDataFrame([("t", *row), ("t", *row), ("t", "ok", "y.md", "in/1", "v", None, 2, False)],
                                    "ts string, result string, detail string, source_path string, adapter string, conversation_id string, turns int, dry_run boolean")
     assert E.import_envelopes(ledger).select("seed").distinct().count() == 3
+
+
+def test_times_of_the_shared_log_end_in_z(spark):
+    row = ("2026-01-01T00:00:00.000+00:00", "ok", "x", "in/1", "v", "c", 2, False)
+    ledger = spark.createDataFrame([row, ("t", *row[1:])], "ts string, result string, detail string, source_path string, adapter string, "
+                                   "conversation_id string, turns int, dry_run boolean")
+    assert sorted(r["occurred_at"] for r in E.import_envelopes(ledger).collect()) == ["2026-01-01T00:00:00.000Z", "t"]
