@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -253,10 +255,10 @@ def scan_record_files(spark: SparkSession, path: str) -> DataFrame:
 # ---- pattern tables ---------------------------------------------------------------------
 def _compiles(pattern: str) -> bool:
     """Whether the JVM, which runs the scans, takes the pattern."""
-    spark = SparkSession.active()
+    SparkContext._ensure_initialized()
     try:
-        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError:
+        SparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
         return False
     return True
 
