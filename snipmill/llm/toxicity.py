@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snipmill.llm.common import Remembered, staged, table
+from snipmill.llm.token_files import chunks
 
 #: Lengths of n-grams in characters, with the marks of word ends.
 GRAMS = (3, 4, 5)
@@ -29,8 +30,8 @@ GRAMS = (3, 4, 5)
 PLACES = 1 << 20
 FEATURES = 1_000
 SAMPLE = 20_000
-#: Words whose share a task remembers, and the longest word that is remembered.
-REMEMBERED, LONG = 200_000, 64
+#: Words of a generation whose share a worker remembers, and the longest that is remembered.
+REMEMBERED, LONG = 100_000, 64
 #: Words of a generation whose n-grams are kept, and documents whose features are held at once.
 GENERATION, ROWS = 50_000, 64
 SMOOTH, PENALTY, ROUNDS = 0.5, 1e-4, 400
@@ -41,6 +42,9 @@ SCALE = 100.0
 def grams(word: str) -> set[int]:
     """Hashed n-grams of a word, lower-cased, with its ends marked."""
     marked = f"\x02{word}\x03"
+    if marked.isascii():
+        data = marked.encode()
+        return {zlib.crc32(data[i:i + size]) % PLACES for size in GRAMS for i in range(len(data) - size + 1)}
     encoded = [c.encode("utf-8", "surrogatepass") for c in marked]
     found = set()
     for size in GRAMS:
@@ -80,8 +84,7 @@ class Model:
     weights: dict[int, float]
 
     def share(self, word: str) -> float:
-        get = self.weights.get
-        return sum(get(place, 0.0) for place in grams(word))
+        return sum(self.weights[place] for place in sorted(self.weights.keys() & grams(word)))
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -183,26 +186,42 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "toxic
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(text).cast("string").alias("text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, known = shared.value, {}
+        found = scorer(shared.value)
         for batch in batches:
-            out = [_score(value.as_py() or "", found, known) for value in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["row", "score"])
+            out = [found.of(texts) for texts in chunks(batch.column(1))]
+            values = np.concatenate(out) if out else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["row", "score"])
 
     return rows.mapInArrow(of, rows.select("row").schema.add("score", "double")).select("row.*", F.col("score").alias(name))
 
 
-def _score(text: str, model: Model, known: dict[str, float]) -> float:
-    words, total = words_of(text), 0.0
-    for word in words:
-        share = known.get(word)
-        if share is None:
-            share = model.share(word)
-            if len(word) <= LONG:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[word] = share
-        total += share
-    return float(1 / (1 + np.exp(-np.clip(model.bias + total / max(1, len(words)), -700, 700))))
+class Scorer(Remembered):
+    """The share of each word in a model's value."""
+
+    def __init__(self, model: Model) -> None:
+        super().__init__(REMEMBERED)
+        self.model = model
+
+    def of(self, texts: list[str]) -> np.ndarray:
+        cut = [words_of(t) for t in texts]
+        new = self.new(set().union(*cut))
+        for word in new:
+            self[word] = self.model.share(word)
+        values = np.array([sum(map(self.__getitem__, words)) / max(1, len(words)) for words in cut])
+        for word in new:
+            if len(word) > LONG:
+                del self[word]
+        return 1 / (1 + np.exp(-np.clip(self.model.bias + values, -700, 700)))
+
+
+_SCORER: list[Scorer] = []
+
+
+def scorer(model: Model) -> Scorer:
+    """One memory for all tasks of a worker process that have the same model."""
+    if not _SCORER or _SCORER[0].model is not model:
+        _SCORER[:] = [Scorer(model)]
+    return _SCORER[0]
 
 
 def held_out(key) -> "F.Column":
