@@ -8,7 +8,8 @@ fingerprint is then probed, per group, against those that differ in no more bits
 than the threshold, and the full distance verifies each candidate.
 
 Equal fingerprints are merged first. Candidates are compared within tiles of bounded
-size, and a tile returns a forest of its links, never all pairs.
+size, and a tile returns a forest of its links, never all pairs. Where the similarity of
+texts counts, candidates only say which texts meet; those are compared pair by pair.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ BITS = 64
 TILE = 1 << 15
 #: Candidate pairs that a tile holds in memory at once.
 PAIRS = 1 << 21
+#: Shingles of a chunk of texts that are compared pair by pair; above so many chunks they grow, until they have 16 times that.
+SHINGLES, CHUNKS = 1 << 15, 16
 
 
 # --- fingerprints -----------------------------------------------------------------------
@@ -292,36 +295,101 @@ def near_links(classes: DataFrame, max_distance: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(node, hashes) of ``docs`` (node, text): the distinct shingles of each text, sorted."""
+    """(node, root, hashes) of ``docs`` (node, root, text): the distinct shingles of each text, sorted."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(np.array(shingle_hashes(t.as_py(), words), np.uint64)).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
+            sets = [np.unique(np.array(shingle_hashes(t.as_py(), words), np.uint64)).view(np.int64) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["node", "root", "hashes"])
+
+    return docs.select("node", "root", "text").mapInArrow(of, "node long, root long, hashes array<long>")
+
 
-    return docs.mapInArrow(of, "node long, hashes array<long>")
+def check_tile(table: pa.Table, least: float) -> pa.Table:
+    """Edges of a forest of all pairs of a tile (node, chunk, hashes) that share ``least`` of their shingles or more.
+
+    A tile of two chunks compares across them only. Two sets that similar have one of the rarest
+    ``n - ceil(least * n) + 1`` shingles of either in common, so others are never counted.
+    """
+    nodes, chunk = table.column("node").to_numpy(), table.column("chunk").to_numpy()
+    hashes = table.column("hashes").combine_chunks()
+    flat, sizes = hashes.flatten().to_numpy(), np.diff(hashes.offsets.to_numpy())
+    items, number = np.unique(nodes, return_inverse=True)
+    forest, across = Forest(len(items)), chunk.min() != chunk.max()
+    starts = np.cumsum(sizes) - sizes
+    _, code = np.unique(flat, return_inverse=True)
+    often = np.bincount(code)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    holders = owner[np.argsort(code, kind="stable")]
+    first = np.cumsum(often) - often
+    mine = np.zeros(len(often), bool)
+    empty = np.flatnonzero(sizes == 0)
+    forest.join(number[empty[:1].repeat(len(empty))], number[empty])
+
+    def runs(at: np.ndarray, many: np.ndarray) -> np.ndarray:
+        return np.repeat(at - (np.cumsum(many) - many), many) + np.arange(many.sum())
+
+    for i in range(len(sizes)):
+        n = int(sizes[i])
+        own = code[starts[i]:starts[i] + n]
+        rare = own[np.lexsort((own, often[own]))[:n - math.ceil(least * n - 1e-9) + 1]]
+        rare = rare[often[rare] > 1]
+        if not len(rare):
+            continue
+        near = holders[runs(first[rare], often[rare])]
+        near = near[(forest.label[number[near]] != forest.label[number[i]])
+                    & (np.minimum(sizes[near], n) >= least * np.maximum(sizes[near], n) - 1e-9)]
+        near = np.unique(near[chunk[near] != chunk[i]] if across else near)
+        near = near[near > i]
+        mine[own] = True
+        ends = np.cumsum(sizes[near])
+        done = 0
+        while done < len(near):
+            stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS, "right")))
+            some = near[done:stop]
+            both = np.add.reduceat(mine[code[runs(starts[some], sizes[some])]], np.cumsum(sizes[some]) - sizes[some], dtype=np.int64)
+            linked = number[some[both >= least * (n + sizes[some] - both)]]
+            forest.join(np.full(len(linked), number[i]), linked)
+            done = stop
+        mine[own] = False
+    a, b = forest.edges()
+    return pa.table({"a": items[a], "b": items[b]})
 
 
 def similar(edges: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """Those ``edges`` (a, b) whose texts in ``docs`` (node, text) share ``least`` of their shingles or more."""
-    edges = staged(edges.distinct(), "near")
-    wanted = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    # One text for each node: rows that repeat an id are one document.
-    texts = docs.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    """Links that connect all ``docs`` (node, text) sharing ``least`` of their shingles or more among those
+    that candidate ``edges`` (a, b) connect, directly or by way of others.
+
+    ``edges`` only say which texts meet: every pair of a component is compared, so they may be a forest. Small
+    components share tiles; one with more than ``SHINGLES`` shingles is cut into chunks, each of which meets every other.
+    """
+    roots = components(edges)
+    members = staged(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "members")
+    # Rows that repeat an id and a text are one; all texts of an id count.
+    texts = docs.join(members, "node").groupBy("node", "root", "text").agg(F.lit(1))
     sets = staged(_sets(texts, words), "shingles")
-    x, y = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    either = F.size("x") + F.size("y") - both
-    return edges.join(x, "a").join(y, "b").where((either == 0) | (both >= least * either)).select("a", "b")
+    weights = staged(sets.groupBy("root").agg(F.sum(F.size("hashes")).alias("n")), "weights")
+    tiles = (weights.agg(F.sum("n")).first()[0] or 0) // SHINGLES + 1
+    large = weights.where(F.col("n") > SHINGLES).select("root", F.greatest(
+        F.least(F.ceil(F.col("n") / SHINGLES), F.lit(CHUNKS)), F.ceil(F.col("n") / (16 * SHINGLES))).cast("int").alias("parts"))
+    # At most one row for SHINGLES shingles of the input is broadcast.
+    dealt = (sets.join(F.broadcast(large), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+             .withColumn("chunk", F.expr("CAST(pmod(xxhash64(node), parts) AS int)"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .select(F.when(F.col("parts") > 1, F.col("root")).alias("tile_of"),
+                     F.when(F.col("parts") > 1, F.least("chunk", "other")).otherwise(
+                         F.pmod(F.xxhash64("root"), F.lit(tiles)).cast("int")).alias("low"),
+                     F.greatest("chunk", "other").alias("high"), "node", "chunk", "hashes"))
+    return dealt.groupBy("tile_of", "low", "high").applyInArrow(lambda t: check_tile(t, least), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, max_distance: int = 4, least: float | None = None,
                     key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fingerprint, component_id) of every row of ``docs``.
 
-    With ``least``, fingerprints only find candidates, the closest first: texts link if
-    they also share that much of their shingles, as sets. Of links that connect the same texts in a tile one
-    is checked, so two groups may stay apart if just that one falls short.
+    With ``least``, fingerprints only find candidates: texts link if they share that much of their
+    shingles, as sets. All pairs among texts that candidates connect are checked.
 
     Null and empty texts have fingerprint zero and link like any other. Rows with a
     null key get a fingerprint, link with nothing and have a null component. Rows that

@@ -83,6 +83,53 @@ def test_the_stage_keeps_one_of_each_similar_group(documents):
     assert sorted(k or 0 for k in kept) == [0, 0, 1, 3, 4]
 
 
+def shingles_of(text, words=5):
+    found = text.encode().lower().split()
+    return {tuple(found[i:i + words]) for i in range(max(1, len(found) - words + 1))}
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b)
+
+
+def changed(text, seed, spots):
+    """``text`` with so many words replaced, at places far from each other."""
+    out = text.split()
+    for k in range(spots):
+        out[(k * len(out)) // spots + seed % (len(out) // spots)] = f"c{seed}x{k}"
+    return " ".join(out)
+
+
+def test_candidates_that_fail_hide_no_true_link(spark):
+    """The only candidates lead over a text that is like neither of the two that are alike."""
+    texts = {1: text_of(1, 200), 2: text_of(2, 200), 3: changed(text_of(1, 200), 5, 3)}
+    docs = spark.createDataFrame(list(texts.items()), "node long, text string")
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    assert {frozenset(r) for r in simhash.similar(edges, docs, 5, 0.8).collect()} == {frozenset((1, 3))}
+
+
+@pytest.mark.parametrize("shingles", [500, 1 << 15])
+def test_every_pair_of_a_component_is_compared(spark, monkeypatch, shingles):
+    monkeypatch.setattr(simhash, "SHINGLES", shingles)  # few shingles: components are cut into chunks
+    texts = {}
+    for b in range(4):
+        base = text_of(b, 120)
+        texts |= {100 * b + k: changed(base, 7 * k, k % 5 + 1) for k in range(20)}
+    sets = {i: shingles_of(t) for i, t in texts.items()}
+    want = Forest(len(texts))
+    ids = sorted(texts)
+    links = [(x, y) for x, a in enumerate(ids) for y, b in enumerate(ids) if x < y and likeness(sets[a], sets[b]) >= 0.8]
+    want.join(*np.array(links).T)
+    docs = spark.createDataFrame(list(texts.items()), "node long, text string").repartition(3)
+    edges = spark.createDataFrame([(a, b) for a, b in zip(ids, ids[1:], strict=False)], "a long, b long")
+    found = Forest(len(texts))
+    for a, b in simhash.similar(edges, docs, 5, 0.8).collect():
+        assert likeness(sets[a], sets[b]) >= 0.8
+        found.join(np.array([ids.index(a)]), np.array([ids.index(b)]))
+    assert 4 <= len(set(want.label.tolist())) < len(texts)
+    assert len(set(zip(want.label.tolist(), found.label.tolist(), strict=True))) == len(set(want.label.tolist())) == len(set(found.label.tolist()))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=2, max_size=2), st.integers(1, 12), st.integers(0, 12))
 def test_thresholds_reach_every_pair(pair, distance, flips):
