@@ -130,6 +130,20 @@ def test_every_pair_of_a_component_is_compared(spark, monkeypatch, shingles):
     assert len(set(zip(want.label.tolist(), found.label.tolist(), strict=True))) == len(set(want.label.tolist())) == len(set(found.label.tolist()))
 
 
+def test_no_two_kept_texts_are_similar(documents):
+    """Pairs just above 0.8, many of them with fingerprints more than 12 bits apart."""
+    texts = {}
+    for b in range(80):
+        base = text_of(b, 150)
+        texts |= {2 * b: base, 2 * b + 1: changed(base, 11 + b % 10, 3)}
+    sets = {i: shingles_of(t) for i, t in texts.items()}
+    assert all(0.8 <= likeness(sets[2 * b], sets[2 * b + 1]) < 0.85 for b in range(80))
+    far = [b for b in range(80) if (plain_fingerprint(texts[2 * b], 5) ^ plain_fingerprint(texts[2 * b + 1], 5)).bit_count() > 12]
+    assert len(far) > 3
+    kept = [r.doc_id for r in simhash.one_of_each(documents(texts.items())).collect()]
+    assert sorted(kept) == [2 * b for b in range(80)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=2, max_size=2), st.integers(1, 12), st.integers(0, 12))
 def test_thresholds_reach_every_pair(pair, distance, flips):
