@@ -2,14 +2,16 @@
 
 Words are lower-cased runs without ASCII white space; an end closes each text. The most
 frequent words are symbols of the model, and so is each class of the others, a class
-being the words with the same hash of their last bytes. The model predicts a symbol from the
-two before it: the product of their vectors, weighted by position, with the symbol's own.
-A word of a class gets its smoothed share of the class.
+being the words with the same hash of their last bytes. Every word with ``LEAST`` occurrences has vectors
+of its own, so the model grows with the corpus; the rarer words of a class stand as one word.
+The model predicts a symbol from the two words before it: the product of their vectors,
+weighted by position, with the symbol's own; then the word within its class in the same way.
+A rarer word gets its smoothed share of the rest of its class.
 
 Counts and training go over all documents outside the held-out tenth. In a round each task
 trains on its share, from the same start, and the results are averaged by tokens. Noise
 comes from the symbol counts and is shared by a batch, so that scores are matrix products.
-As there are few symbols, the sum that normalises is found once for each pair of them.
+The sums that normalise are exact: over all symbols, and over the words of one class.
 """
 
 from __future__ import annotations
@@ -30,12 +32,18 @@ from snipmill.llm.common import frequent_from, staged, table
 #: Frequent words of the model, classes of the others, and length of vectors.
 WORDS, CLASSES, WIDTH = 448, 64, 16
 SYMBOLS = WORDS + CLASSES
-#: Words whose counts are broadcast; the rest is joined by shuffle.
+#: Words from this count on have vectors of their own, however many they are.
+LEAST = 50
+#: Words whose counts are broadcast; the rest, unless it has vectors, is joined by shuffle.
 HEAD = 200_000
+#: Numbers of a model that travel in one row, and of scores held at once.
+BLOCK, SCORES = 1 << 14, 1 << 21
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 400_000
 #: Smoothing of counts, rounds of training, tokens of a step, noise symbols of a step, step size.
 ADD, ROUNDS, STEP, NOISE, RATE = 0.1, 2, 4096, 48, 0.15
+#: What the histories of vectors that move by single occurrences begin with.
+PAST = {"context": 1e2, "fine": 1e2, "fine_bias": 1e4}
 #: The end of a text, also in front of its first word; no word is empty.
 END = b""
 
@@ -84,38 +92,49 @@ class Lexicon:
     total: int
     distinct: int
     place: dict[bytes, int]
-    symbol: np.ndarray
+    number: np.ndarray
     base: np.ndarray
     within: np.ndarray
     log_noise: np.ndarray
+    #: The words with vectors, WORDS at least; the rests of classes are numbered after them.
+    vocabulary: int
+    #: The symbol of each number, and the noise of those after WORDS.
+    symbol: np.ndarray
+    log_fine: np.ndarray
     end: int
 
 
 def lexicon(counts: DataFrame) -> tuple[Lexicon, int, np.ndarray]:
     """The lexicon, the count from which words are in it, and the base of each class's shares."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    cut = frequent_from(counts, HEAD)
-    head = counts.where((F.col("n") >= cut) | (F.length("word") == 0)).toArrow()  # at most HEAD rows and the end
+    cut = min(frequent_from(counts, HEAD), LEAST)
+    # At most HEAD rows, the end, and the words that have vectors.
+    head = counts.where((F.col("n") >= cut) | (F.length("word") == 0)).toArrow()
     words, classes, n = head.column("word").to_pylist(), head.column("class").to_numpy(), head.column("n").to_numpy()
     order = sorted(range(len(words)), key=lambda i: (words[i] != END, -n[i], words[i]))
     words, classes, n = [words[i] for i in order], classes[order].astype(int), n[order].astype(float)
-    symbol = np.where(np.arange(len(words)) < WORDS, np.arange(len(words)), WORDS + classes)
+    vocabulary = max(WORDS, int((n >= LEAST).sum()) + bool(len(n) and n[0] < LEAST))  # the end is always one
+    number = np.where(np.arange(len(words)) < vocabulary, np.arange(len(words)), vocabulary + classes)
+    symbol = np.concatenate([np.arange(WORDS), WORDS + classes[WORDS:vocabulary], WORDS + np.arange(CLASSES)])
     of_class = np.zeros((CLASSES, 2))
     for c, tokens, kinds in counts.groupBy("class").agg(F.sum("n"), F.count("*")).collect():
         of_class[c] = tokens, kinds
     for c, tokens in zip(classes[:WORDS], n[:WORDS], strict=True):
         of_class[c] -= tokens, 1
-    share = of_class[:, 0] + ADD * (of_class[:, 1] + 1)
     noise = np.concatenate([np.pad(n[:WORDS], (0, WORDS - len(n[:WORDS]))), of_class[:, 0]]) + 1.0
+    for c, tokens in zip(classes[WORDS:vocabulary], n[WORDS:vocabulary], strict=True):
+        of_class[c] -= tokens, 1
+    share = of_class[:, 0] + ADD * (of_class[:, 1] + 1)
+    fine = np.concatenate([n[WORDS:vocabulary], share])
     return Lexicon(
-        total, distinct, {w: i for i, w in enumerate(words)}, symbol,
+        total, distinct, {w: i for i, w in enumerate(words)}, number,
         np.log10((n + ADD) / (total + ADD * (distinct + 1))),
-        np.where(symbol < WORDS, 0.0, np.log10((n + ADD) / share[classes])) if len(words) else np.zeros(0),
-        np.log(noise / noise.sum()), 0), cut, share
+        np.where(number < vocabulary, 0.0, np.log10((n + ADD) / share[classes])) if len(words) else np.zeros(0),
+        np.log(noise / noise.sum()), vocabulary, symbol, np.log(fine / fine.sum()), 0), cut, share
 
 
 def symbols_of(docs: DataFrame, shared) -> DataFrame:
-    """Each document as symbols, with what the frequent words add, and its other words."""
+    """Each document as numbers of words and rests of classes, with what the frequent words add, and its other words."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
@@ -126,17 +145,17 @@ def symbols_of(docs: DataFrame, shared) -> DataFrame:
                 words = words_of(value.as_py() or "")
                 at = np.array([get(w, -1) for w in words], np.int64)
                 rare = np.flatnonzero(at < 0).tolist()
-                symbol = lex.symbol[at] if len(lex.symbol) else at.copy()
+                symbol = lex.number[at] if len(lex.number) else at.copy()
                 for i in rare:
-                    symbol[i] = WORDS + class_of(words[i])
+                    symbol[i] = lex.vocabulary + class_of(words[i])
                 others = Counter(words[i] for i in rare)
                 at = at[at >= 0]
-                end = len(lex.symbol) > 0
+                end = len(lex.number) > 0
                 row += 1
                 for name, x in (("row", row), ("n_tokens", len(words) + 1), ("known", len(at) + end),
                                 ("base", float(lex.base[at].sum() + (lex.base[0] if end else 0))),
                                 ("within", float(lex.within[at].sum())),
-                                ("symbols", np.append(symbol, lex.end).astype("<u2").tobytes()),
+                                ("symbols", np.append(symbol, lex.end).astype("<u4").tobytes()),
                                 ("words", list(others)), ("classes", list(map(class_of, others))),
                                 ("freqs", list(others.values()))):
                     out[name].append(x)
@@ -155,49 +174,69 @@ def symbols_of(docs: DataFrame, shared) -> DataFrame:
 
 # --- the model --------------------------------------------------------------------------
 
+NAMES = ("context", "target", "position", "bias", "fine", "fine_bias")
+
+
 @dataclass
 class Model:
-    """Vectors of symbols as context and as target, weights of the two positions, and biases."""
+    """Vectors of words as context and of symbols as target, weights of the two positions, and biases.
+
+    ``fine`` has the vectors of the words after WORDS and of the rests of classes as targets within their class.
+    """
 
     context: np.ndarray
     target: np.ndarray
     position: np.ndarray
     bias: np.ndarray
+    fine: np.ndarray
+    fine_bias: np.ndarray
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.context, self.target, self.position, self.bias)])
+        return np.concatenate([getattr(self, name).ravel() for name in NAMES])
 
     @staticmethod
     def of(flat: np.ndarray) -> Model:
-        cuts = np.cumsum([SYMBOLS * WIDTH, SYMBOLS * WIDTH, 2 * WIDTH])
-        a, b, c, d = np.split(np.asarray(flat, np.float32), cuts)
-        return Model(a.reshape(SYMBOLS, WIDTH), b.reshape(SYMBOLS, WIDTH), c.reshape(2, WIDTH), d)
+        # A context for each word, a fine vector and a fine bias for all but WORDS of them.
+        known = (len(flat) - SYMBOLS * (WIDTH + 1) - 2 * WIDTH + WORDS * (WIDTH + 1)) // (2 * WIDTH + 1)
+        cuts = np.cumsum([known * WIDTH, SYMBOLS * WIDTH, 2 * WIDTH, SYMBOLS, (known - WORDS) * WIDTH])
+        a, b, c, d, e, f = np.split(np.asarray(flat, np.float32), cuts)
+        return Model(a.reshape(-1, WIDTH), b.reshape(SYMBOLS, WIDTH), c.reshape(2, WIDTH), d, e.reshape(-1, WIDTH), f)
 
     def hidden(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
         return self.context[before] * self.position[0] + self.context[last] * self.position[1]
 
     def normaliser(self) -> np.ndarray:
-        """Logarithm of the sum over all symbols, for every pair of preceding symbols."""
-        out = np.empty((SYMBOLS, SYMBOLS), np.float32)
+        """Logarithm of the sum over all symbols, for every pair of the first SYMBOLS words."""
         everyone = np.arange(SYMBOLS)
-        for before in range(SYMBOLS):
-            scores = self.hidden(np.full(SYMBOLS, before), everyone) @ self.target.T + self.bias
-            top = scores.max(axis=1)
-            out[before] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
-        return out
+        return np.stack([log_sum(self.hidden(np.full(SYMBOLS, x), everyone), self.target, self.bias) for x in everyone])
 
 
-def start(log_noise: np.ndarray) -> Model:
-    """Random vectors; the biases are the noise, so the first model is the symbol counts."""
+def log_sum(hidden: np.ndarray, target: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of exponentials of all scores, for each row of ``hidden``."""
+    out = np.empty(len(hidden), np.float32)
+    rows = max(1, SCORES // max(1, len(bias)))
+    for at in range(0, len(hidden), rows):
+        scores = hidden[at:at + rows] @ target.T
+        scores += bias
+        top = scores.max(axis=1)
+        scores -= top[:, None]
+        out[at:at + rows] = top + np.log(np.exp(scores, out=scores).sum(axis=1))
+    return out
+
+
+def start(log_noise: np.ndarray, symbol: np.ndarray | None = None, log_fine: np.ndarray | None = None) -> Model:
+    """Random vectors, those of a class alike; the biases are the noise, so the first model is the symbol counts."""
     random = np.random.default_rng(11)
     draw = lambda *shape: random.normal(0, 0.3, shape).astype(np.float32)
-    return Model(draw(SYMBOLS, WIDTH), draw(SYMBOLS, WIDTH), np.array([[0.5], [1.0]], np.float32).repeat(WIDTH, 1),
-                 log_noise.astype(np.float32))
+    symbol = np.arange(SYMBOLS) if symbol is None else symbol
+    log_fine = np.full(len(symbol) - WORDS, -np.log(len(symbol) - WORDS)) if log_fine is None else log_fine
+    return Model(draw(SYMBOLS, WIDTH)[symbol], draw(SYMBOLS, WIDTH), np.array([[0.5], [1.0]], np.float32).repeat(WIDTH, 1),
+                 log_noise.astype(np.float32), np.zeros((len(log_fine), WIDTH), np.float32), log_fine.astype(np.float32))
 
 
 def triples(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(second last, last, next) of every symbol; ends stand before the first."""
-    pad = np.array([end, end], np.uint16)
+    pad = np.array([end, end], np.uint32)
     line = np.concatenate([x for t in texts for x in (pad, t)])
     sizes = np.array([len(t) + 2 for t in texts])
     starts = np.cumsum(sizes) - sizes
@@ -210,89 +249,141 @@ def triples(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray,
 class Trainer:
     """Noise-contrastive steps with step sizes that shrink by each number's own history."""
 
-    def __init__(self, model: Model, log_noise: np.ndarray, seed: int) -> None:
+    def __init__(self, model: Model, log_noise: np.ndarray, seed: int, symbol: np.ndarray | None = None,
+                 log_fine: np.ndarray | None = None) -> None:
         self.model, self.log_noise = model, log_noise.astype(np.float32)
         self.random = np.random.default_rng(seed)
         self.cumulated = np.cumsum(np.exp(log_noise))
-        self.past = {name: np.full_like(getattr(model, name), 1e-2) for name in ("context", "target", "position", "bias")}
+        self.symbol = np.arange(SYMBOLS) if symbol is None else symbol
+        self.log_fine = model.fine_bias.copy() if log_fine is None else log_fine.astype(np.float32)
+        self.cumulated_fine = np.cumsum(np.exp(self.log_fine.astype(float)))
+        self.past = {name: np.full_like(getattr(model, name), PAST.get(name, 1e-2)) for name in NAMES}
 
     def _move(self, name: str, gradient: np.ndarray) -> None:
         past, value = self.past[name], getattr(self.model, name)
         past += gradient * gradient
         value += RATE * gradient / np.sqrt(past)
 
+    def _move_rows(self, name: str, index: np.ndarray, rows: np.ndarray) -> None:
+        """As ``_move`` for the rows that occur: a rare word moves by its own occurrences, whatever the step's size."""
+        found, at = np.unique(index, return_inverse=True)
+        gradient = _sums(at, rows, len(found)).astype(np.float32)
+        gradient = gradient if getattr(self.model, name).ndim > 1 else gradient[:, 0]
+        past = self.past[name][found] + gradient * gradient
+        self.past[name][found] = past
+        getattr(self.model, name)[found] += RATE * gradient / np.sqrt(past)
+
+    def _contrast(self, hidden, nxt, target, bias, log_noise, cumulated):
+        """Noise symbols, and by how much the true ones and the noise should rise and fall."""
+        noise = np.minimum(np.searchsorted(cumulated, self.random.random(NOISE)), len(bias) - 1)
+        right, log_k = target[nxt], np.float32(np.log(NOISE))
+        true = np.einsum("ij,ij->i", hidden, right) + bias[nxt] - log_noise[nxt] - log_k
+        false = hidden @ target[noise].T + bias[noise] - log_noise[noise] - log_k
+        up = 1 / (1 + np.exp(np.clip(true, -30, 30)))
+        down = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
+        return noise, up, down, up[:, None] * right - down @ target[noise]
+
     def step(self, before: np.ndarray, last: np.ndarray, nxt: np.ndarray) -> None:
         m, size = self.model, len(nxt)
-        noise = np.minimum(np.searchsorted(self.cumulated, self.random.random(NOISE)), SYMBOLS - 1)
         context_0, context_1 = m.context[before], m.context[last]
         hidden = context_0 * m.position[0] + context_1 * m.position[1]
-        right = m.target[nxt]
-        log_k = np.float32(np.log(NOISE))
-        true = np.einsum("ij,ij->i", hidden, right) + m.bias[nxt] - self.log_noise[nxt] - log_k
-        false = hidden @ m.target[noise].T + m.bias[noise] - self.log_noise[noise] - log_k
-        up = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        down = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
-        to_hidden = up[:, None] * right - down @ m.target[noise]
-        to_target = _sums(nxt, up[:, None] * hidden)
+        symbol = self.symbol[nxt]
+        noise, up, down, to_hidden = self._contrast(hidden, symbol, m.target, m.bias, self.log_noise, self.cumulated)
+        to_target = _sums(symbol, up[:, None] * hidden, SYMBOLS)
         np.subtract.at(to_target, noise, down.T @ hidden)
-        to_bias = np.bincount(nxt, up, SYMBOLS)
+        to_bias = np.bincount(symbol, up, SYMBOLS)
         np.subtract.at(to_bias, noise, down.sum(axis=0))
-        to_context = _sums(before, to_hidden * m.position[0]) + _sums(last, to_hidden * m.position[1])
+        inside = np.flatnonzero(nxt >= WORDS)
+        if len(inside):
+            # Contrasted with all words after WORDS: what is right up to a factor is right within a class.
+            own, word = hidden[inside], nxt[inside] - WORDS
+            noise, up, down, more = self._contrast(own, word, m.fine, m.fine_bias, self.log_fine, self.cumulated_fine)
+            to_hidden[inside] += more
+            index = np.concatenate([word, noise])
+            self._move_rows("fine", index, np.concatenate([up[:, None] * own, -(down.T @ own)]))
+            self._move_rows("fine_bias", index, np.concatenate([up, -down.sum(axis=0)])[:, None])
         to_position = np.stack([(to_hidden * context_0).sum(axis=0), (to_hidden * context_1).sum(axis=0)])
-        for name, gradient in (("context", to_context), ("target", to_target), ("bias", to_bias), ("position", to_position)):
+        self._move_rows("context", np.concatenate([before, last]),
+                        np.concatenate([to_hidden * m.position[0], to_hidden * m.position[1]]))
+        for name, gradient in (("target", to_target), ("bias", to_bias), ("position", to_position)):
             self._move(name, (gradient / size).astype(np.float32))
 
 
-def _sums(index: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _sums(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     """Rows added up by index."""
-    flat = (index[:, None] * WIDTH + np.arange(WIDTH, dtype=index.dtype)).ravel()
-    return np.bincount(flat, rows.ravel(), SYMBOLS * WIDTH).reshape(SYMBOLS, WIDTH)
+    width = rows.shape[1]
+    flat = (index[:, None] * width + np.arange(width, dtype=index.dtype)).ravel()
+    return np.bincount(flat, rows.ravel(), size * width).reshape(size, width)
 
 
 def _texts(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), "<u2") for x in column]
+    return [np.frombuffer(x.as_buffer(), "<u4") for x in column]
 
 
 def train(symbols: DataFrame, lex_shared) -> Model:
-    """Rounds of training on all rows of ``symbols``; a task gives its model as rows (i, x, tokens)."""
+    """Rounds of training on all rows of ``symbols``; a task gives its model as blocks of numbers with its tokens."""
     spark = symbols.sparkSession
     lex = lex_shared.value
-    model = start(lex.log_noise)
+    model = start(lex.log_noise, lex.symbol, lex.log_fine)
     for number in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model.flat())
 
         def of(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
-            noise, end = lex_shared.value.log_noise, lex_shared.value.end
-            trainer = Trainer(Model.of(shared.value.copy()), noise, 1000 * number + TaskContext.get().partitionId())
+            lex = lex_shared.value
+            trainer = Trainer(Model.of(shared.value.copy()), lex.log_noise, 1000 * number + TaskContext.get().partitionId(),
+                              lex.symbol, lex.log_fine)
             seen = 0
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                data = triples(_texts(batch.column(0)), end)
+                data = triples(_texts(batch.column(0)), lex.end)
                 order = trainer.random.permutation(len(data[0]))
                 for at in range(0, len(order), STEP):
                     trainer.step(*(x[order[at:at + STEP]] for x in data))
                 seen += len(order)
             if seen:
-                flat = trainer.model.flat().astype(float)
+                flat = trainer.model.flat()
+                cuts = range(0, len(flat), BLOCK)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen))], ["i", "x", "n"])
-
-        rows = symbols.select("symbols").mapInArrow(of, "i long, x double, n long").groupBy("i").agg(
-            (F.sum("x") / F.sum("n")).alias("x")).orderBy("i").toPandas()  # a row for each number of the model
-        if len(rows):
-            model = Model.of(rows.x.to_numpy())
+                    [pa.array(range(len(cuts)), pa.int64()), pa.array([flat[c:c + BLOCK].tobytes() for c in cuts], pa.binary()),
+                     pa.array([seen] * len(cuts), pa.int64())], ["i", "x", "n"])
+
+        def mean(t: pa.Table) -> pa.Table:
+            n = t.column("n").to_numpy().astype(float)
+            x = np.stack([np.frombuffer(v.as_buffer(), np.float32) for v in t.column("x")])
+            return pa.table({"i": t.column("i")[:1], "x": pa.array([((n / n.sum()) @ x).astype(np.float32).tobytes()], pa.binary())})
+
+        rows = symbols.select("symbols").mapInArrow(of, "i long, x binary, n long").groupBy("i").applyInArrow(
+            mean, "i long, x binary").collect()  # the model, in blocks
+        if rows:
+            model = Model.of(np.concatenate([np.frombuffer(r.x, np.float32) for r in sorted(rows, key=lambda r: r.i)]))
     return model
 
 
-def score_texts(texts: list[np.ndarray], model: Model, normaliser: np.ndarray, end: int) -> np.ndarray:
-    """Logarithm to base 10 of the probability of the symbols of each text."""
+def log_probabilities(before: np.ndarray, last: np.ndarray, nxt: np.ndarray, model: Model, symbol: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the probability of each number ``nxt``: its symbol, then the word in its class."""
+    hidden, of = model.hidden(before, last), symbol[nxt]
+    out = np.einsum("ij,ij->i", hidden, model.target[of]) + model.bias[of] - log_sum(hidden, model.target, model.bias)
+    members = np.argsort(symbol[WORDS:], kind="stable")
+    cuts = np.searchsorted(symbol[WORDS:][members], np.arange(WORDS, SYMBOLS + 1))
+    order = np.argsort(of, kind="stable")
+    ends = np.searchsorted(of[order], np.arange(WORDS, SYMBOLS + 1))
+    for c in range(CLASSES):
+        at, own = order[ends[c]:ends[c + 1]], members[cuts[c]:cuts[c + 1]]
+        if len(at) and len(own) > 1:
+            word = nxt[at] - WORDS
+            out[at] += (np.einsum("ij,ij->i", hidden[at], model.fine[word]) + model.fine_bias[word]
+                        - log_sum(hidden[at], model.fine[own], model.fine_bias[own]))
+    return out
+
+
+def score_texts(texts: list[np.ndarray], model: Model, symbol: np.ndarray, end: int) -> np.ndarray:
+    """Logarithm to base 10 of the probability of the words and rests of classes of each text."""
     before, last, nxt = triples(texts, end)
     values = np.empty(len(nxt))
     for at in range(0, len(nxt), 1 << 16):
         x, y, z = (v[at:at + (1 << 16)] for v in (before, last, nxt))
-        values[at:at + (1 << 16)] = (
-            np.einsum("ij,ij->i", model.hidden(x, y), model.target[z]) + model.bias[z] - normaliser[x, y])
+        values[at:at + (1 << 16)] = log_probabilities(x, y, z, model, symbol)
     sizes = np.array([len(t) for t in texts])
     return np.add.reduceat(values, np.cumsum(sizes) - sizes) / np.log(10)
 
@@ -308,16 +399,16 @@ def language_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     thin = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("held_out", held_out("key"))
     counts = staged(counts_of(thin.where(~F.col("held_out"))), "word-counts")
     lex, cut, share = lexicon(counts)
-    lex_shared = spark.sparkContext.broadcast(lex)  # HEAD words at most
+    lex_shared = spark.sparkContext.broadcast(lex)  # HEAD words, or those with vectors
     symbols = staged(symbols_of(thin, lex_shared), "symbols")
     model = train(symbols.where(~F.col("held_out")), lex_shared)
-    shared = spark.sparkContext.broadcast((model, model.normaliser()))
+    shared = spark.sparkContext.broadcast(model)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, normaliser = shared.value
+        found, lex = shared.value, lex_shared.value
         for batch in batches:
             if batch.num_rows:
-                values = score_texts(_texts(batch.column(1)), found, normaliser, lex_shared.value.end)
+                values = score_texts(_texts(batch.column(1)), found, lex.symbol, lex.end)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["row", "model"])
 
     by_row = staged(symbols.select("row", "symbols").mapInArrow(of, "row long, model double"), "model-scores")

@@ -131,6 +131,44 @@ def test_noise_contrastive_steps_learn_what_follows():
     assert (scores.argmax(axis=1) == nxt[:500]).mean() > 0.9
 
 
+@pytest.mark.parametrize("words", [600, 1800])
+def test_vectors_grow_with_the_words_that_are_frequent(documents, words):
+    texts = [" ".join(f"w{i}" for i in range(words))] * language_model.LEAST + ["seldom"]
+    lex, _, _ = language_model.lexicon(language_model.counts_of(documents(enumerate(texts))))
+    assert lex.vocabulary == words + 1  # and the end
+    model = language_model.start(lex.log_noise, lex.symbol, lex.log_fine)
+    assert len(model.context) == words + 1 + language_model.CLASSES
+    assert language_model.Model.of(model.flat()).fine.shape == model.fine.shape
+
+
+def test_words_beyond_the_symbols_are_learned():
+    """Words of one class, each followed by one other: only vectors of their own can tell them apart."""
+    random_ = np.random.default_rng(3)
+    first, n = language_model.WORDS, 100
+    symbol = np.concatenate([np.arange(first), np.full(n, first), first + np.arange(64)])
+    noise = np.log(np.full(language_model.SYMBOLS, 1 / language_model.SYMBOLS))
+    trainer = language_model.Trainer(language_model.start(noise, symbol), noise, 1, symbol)
+    last, before = first + random_.integers(0, n, 600_000), first + random_.integers(0, n, 600_000)
+    nxt = first + (last - first + 37) % n
+    for at in range(0, len(last), language_model.STEP):
+        trainer.step(*(x[at:at + language_model.STEP].astype(np.int32) for x in (before, last, nxt)))
+    found = language_model.log_probabilities(before[:2000], last[:2000], nxt[:2000], trainer.model, symbol)
+    assert found.mean() > np.log(1 / n) + 1
+
+
+def test_words_of_all_classes_sum_to_one():
+    random_ = np.random.default_rng(5)
+    symbol = np.concatenate([np.arange(language_model.WORDS), language_model.WORDS + random_.integers(0, 64, 900),
+                             language_model.WORDS + np.arange(64)])
+    model = language_model.start(np.log(np.full(language_model.SYMBOLS, 1 / language_model.SYMBOLS)), symbol)
+    model.fine += random_.normal(size=model.fine.shape).astype(np.float32)
+    everyone = np.arange(len(symbol))
+    for before, last in ((0, 0), (3, 700), (1400, 450)):
+        found = language_model.log_probabilities(
+            np.full(len(symbol), before), np.full(len(symbol), last), everyone, model, symbol)
+        assert np.exp(found).sum() == pytest.approx(1, rel=1e-4)
+
+
 @pytest.mark.parametrize("head", [10, 200_000])
 def test_base_scores_equal_brute_force_and_the_model_beats_them(documents, by_id, monkeypatch, head):
     monkeypatch.setattr(language_model, "HEAD", head)
