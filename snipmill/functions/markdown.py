@@ -5,9 +5,9 @@ numbered text into blocks that cover it without gaps, so each block carries its
 own line number and no running count is needed. Loops over lines are
 possessive, which keeps the JVM regex engine from recursing per line.
 
-Supported: fences with backticks or tildes, ATX and setext headings,
-paragraphs, thematic breaks, HTML comments, indented code and, one level deep,
-list items and quotes. Nested containers are a known gap.
+This cuts fences with backticks or tildes, ATX and setext headings, paragraphs,
+thematic breaks, HTML comments and indented code. Texts with a sign of quotes, lists,
+other HTML or link definitions go through the automaton of ``containers`` instead.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from snipmill import fixed
+from snipmill.functions import containers as C
 from snipmill.functions import text as T
 
 _NO = r"[0-9]++\x01"  # the number of a line
@@ -105,6 +106,11 @@ def _unnumber(block: Column) -> Column:
     return F.regexp_replace(block, r"(?m)(?d)^[0-9]+\x01", "")
 
 
+def _outdent(line: Column, most: int) -> Column:
+    """The line without up to ``most`` columns of indent; what is left of a tab becomes spaces."""
+    return F.regexp_replace(F.regexp_replace(line, rf"^ {{0,{most - 1}}}\t", " " * 4), rf"^ {{1,{most}}}", "")
+
+
 def _inner(block: Column) -> Column:
     """The lines of a fence block between opener and closer, opener indent removed."""
     opener = F.regexp_extract(block, r"\A[0-9]+\x01( {0,3})((`|~)\3{2,})", 2)
@@ -123,9 +129,9 @@ def _inner(block: Column) -> Column:
         body = F.transform(
             F.slice(parts["lines"], F.lit(2), F.greatest(keep, F.lit(0))),
             lambda l: F.when(parts["indent"] == 0, l)
-            .when(parts["indent"] == 1, F.regexp_replace(l, "^ ", ""))
-            .when(parts["indent"] == 2, F.regexp_replace(l, "^ {1,2}", ""))
-            .otherwise(F.regexp_replace(l, "^ {1,3}", "")),
+            .when(parts["indent"] == 1, _outdent(l, 1))
+            .when(parts["indent"] == 2, _outdent(l, 2))
+            .otherwise(_outdent(l, 3)),
         )
         return F.struct(
             F.concat(F.array_join(body, "\n"), F.when(keep > 0, F.lit("\n")).otherwise("")).alias("body"),
@@ -210,9 +216,26 @@ def _plainly_closed(text: Column) -> Column:
     return one_comment & T.let(marks, lambda found: (F.size(found) % 2 == 0) & paired(found))
 
 
+@T.built_once
+def _container_udfs() -> tuple:
+    """Blocks of a text, and whether it ends open; both give null for null."""
+    return F.arrow_udf(C.blocks_of, f"array<{BLOCK_TYPE}>"), F.arrow_udf(C.open_ends_of, "boolean")
+
+
+def _nested(text: Column) -> Column:
+    """The text if it needs the automaton, else null, which costs the automaton nothing."""
+    return F.when(text.rlike(C.NEEDED), text)
+
+
+def may_stay_open(text: Column) -> Column:
+    """A cheap sign of a fence, or of HTML that goes on over blank lines."""
+    return may_hold_fence(text) | text.rlike(r"(?i)<(?:script|pre|style|textarea|\?|![a-z\[])")
+
+
 def ends_open(text: Column) -> Column:
-    """Whether the text ends inside a fence."""
-    return F.when(_plainly_closed(text), F.lit(False)).otherwise(_last_block_open(text))
+    """Whether the text ends inside a fence, or HTML with an end of its own, that no container holds."""
+    plain = F.when(_plainly_closed(text), F.lit(False)).otherwise(_last_block_open(text))
+    return F.coalesce(_container_udfs()[1](_nested(text)), plain)
 
 
 def _last_block_open(text: Column) -> Column:
@@ -229,7 +252,12 @@ def _last_block_open(text: Column) -> Column:
 
 
 def blocks(text: Column) -> Column:
-    """Fences, headings and paragraphs in line order; lines count from 0."""
+    """Fences, headings and paragraphs in line order, those in containers too; lines count from 0."""
+    return F.coalesce(_container_udfs()[0](_nested(text)), flat_blocks(text))
+
+
+def flat_blocks(text: Column) -> Column:
+    """Blocks of a text without containers."""
     numbered = F.array_join(
         F.transform(_lines(text), lambda l, i: F.concat(i.cast("string"), F.lit("\x01"), l)), "\n"
     )

@@ -67,14 +67,14 @@ def turn_segments(turns: DataFrame, top: int | None = None,
                   slice_size: int | None = None) -> DataFrame:
     """Turns ``(doc_key, idx, role, content_md, ts)`` to segments, one per turn.
 
-    A turn that leaves a fence open makes the turns after it fence text, and a
+    A turn that leaves a fence (or an HTML block with an end tag) open makes the turns after it fence text, and a
     fence body is one value. So from the first such turn on a document becomes
     one segment; all turns before it, and all other documents, stay as they are.
     ``top`` is an upper bound of ``idx`` when the caller has one.
     """
     parts = turns.select("doc_key", F.col("idx").cast("int").alias("seg_no"),
                          turn_part().alias("text"))
-    open_parts = parts.where(M.may_hold_fence(F.col("text"))).where(_ends_open())
+    open_parts = parts.where(M.may_stay_open(F.col("text"))).where(_ends_open())
     top = top_position(turns, "idx") if top is None else top
     if not open_parts.isEmpty():
         opened = open_parts.groupBy("doc_key").agg(F.min("seg_no").alias("_from"))
@@ -118,8 +118,9 @@ def block_events(segments: DataFrame, *, whole_paragraphs: bool = False, top: in
     sizes = {"slice_size": slice_size or SLICE}
     top = top_position(segments, "seg_no") if top is None else top
     sliced = top >= sizes["slice_size"]
-    exploded = segments.select(
-        "doc_key", "seg_no", "line_base", F.posexplode(_events()).alias("ev_no", "e")
+    # The automaton of containers is a function of its own column, so it comes before the generator.
+    exploded = segments.select("doc_key", "seg_no", "line_base", _events().alias("_events")).select(
+        "doc_key", "seg_no", "line_base", F.posexplode("_events").alias("ev_no", "e")
     )
     text = F.col("e.text")
     if not whole_paragraphs:

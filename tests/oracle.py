@@ -19,6 +19,9 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def rows_of(frame) -> tuple[list[str], list[tuple]]:
     columns = sorted(frame.columns)
+    # Integers with nulls come as floats from one side and as integers from the other.
+    whole = [c for c in columns if frame[c].dtype.kind == "f" and frame[c].isna().any() and (frame[c].dropna() % 1 == 0).all()]
+    frame = frame.astype({c: "Int64" for c in whole})
     out = []
     for row in frame[columns].itertuples(index=False):
         out.append(tuple(
