@@ -79,8 +79,8 @@ class _Block:
         self.terms: list[int] = []
         self.often: list[int] = []
 
-    def full(self) -> bool:
-        return len(self.keys) >= BLOCK or len(self.terms) >= POSTINGS
+    def full(self, most: int) -> bool:
+        return len(self.keys) >= most or len(self.terms) >= POSTINGS
 
     def rows(self, block: int) -> pa.RecordBatch:
         docs = np.repeat(np.arange(len(self.keys), dtype="<u4"), self.hits)
@@ -106,7 +106,7 @@ _LISTS_ARROW = pa.schema([("block", pa.int64()), ("term", pa.int32()), ("docs",
                           ("n_docs", pa.int64()), ("total", pa.int64()), ("most", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
-def posting_lists(docs: DataFrame, number: dict[bytes, int], key: str, text: str) -> DataFrame:
+def posting_lists(docs: DataFrame, number: dict[bytes, int], key: str, text: str, block_size: int = BLOCK) -> DataFrame:
     """Posting lists of the terms in ``number``, and the lengths of documents that have terms, by block."""
     wanted = docs.sparkSession.sparkContext.broadcast(number)
 
@@ -126,7 +126,7 @@ def posting_lists(docs: DataFrame, number: dict[bytes, int], key: str, text: str
                 block.hits.append(len(hits))
                 block.terms.extend(map(known.__getitem__, hits))
                 block.often.extend(map(counts.__getitem__, hits))
-                if block.full():
+                if block.full(block_size):
                     yield block.rows(at)
                     block, at = _Block(), at + 1
         if block.keys:
@@ -225,10 +225,10 @@ _ARROW = {"long": pa.int64(), "integer": pa.int32(), "string": pa.string()}
 
 
 def search(docs: DataFrame, items: DataFrame, best: int = 50, key: str = "doc_id", text: str = "text",
-           item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+           item_key: str = "item_id", item_text: str = "text", block_size: int = BLOCK) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``best`` documents of each item with a score above 0.
 
-    Document keys are integers. Equal scores are in ascending order of keys, a null key first. Null and empty texts have no
+    A block has ``block_size`` documents. Document keys are integers. Equal scores are in ascending order of keys, a null key first. Null and empty texts have no
     terms; they are no documents and no items. Each of repeated document rows has a rank of its own. Item rows with the same
     key (null is a key too) are one item with the terms of all. Empty tables give no rows. Other columns are not read.
     """
@@ -236,7 +236,8 @@ def search(docs: DataFrame, items: DataFrame, best: int = 50, key: str = "doc_id
     kind = items.schema[item_key].dataType
     pairs = staged(item_terms(items, item_key, item_text), "item-terms")
     rounds = math.ceil(pairs.count() / ROUND)
-    parts = [_round(docs, pairs.where(F.pmod(F.xxhash64("item"), F.lit(rounds)) == r), best, key, text, kind) for r in range(rounds)]
+    parts = [_round(docs, pairs.where(F.pmod(F.xxhash64("item"), F.lit(rounds)) == r), best, key, text, kind, block_size)
+             for r in range(rounds)]
     if not parts:
         return spark.createDataFrame([], T.StructType([
             T.StructField("item_id", kind), T.StructField("rank", T.IntegerType()),
@@ -246,14 +247,14 @@ def search(docs: DataFrame, items: DataFrame, best: int = 50, key: str = "doc_id
             .select("item_id", "rank", "doc_id", "score"))
 
 
-def _round(docs: DataFrame, pairs: DataFrame, best: int, key: str, text: str, kind: T.DataType) -> DataFrame:
+def _round(docs: DataFrame, pairs: DataFrame, best: int, key: str, text: str, kind: T.DataType, block_size: int) -> DataFrame:
     """The best of each block for the items of ``pairs``, at most about ``ROUND`` rows."""
     spark = docs.sparkSession
     number: dict[bytes, int] = {}
     items: dict[object, list[int]] = defaultdict(list)
     for item, term in pairs.orderBy("item", "term").collect():
         items[item].append(number.setdefault(bytes(term), len(number)))
-    lists = staged(posting_lists(docs, number, key, text), "postings")
+    lists = staged(posting_lists(docs, number, key, text, block_size), "postings")
     sizes = lists.groupBy("term").agg(F.sum("n_docs"), F.sum("total"), F.max("most")).collect()  # a row a term of the round
     spread = [(term, df, most) for term, df, _, most in sizes if term != _LENGTHS]
     whole = next(((n, total) for term, n, total, _ in sizes if term == _LENGTHS), (0, 0))
