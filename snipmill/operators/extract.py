@@ -8,18 +8,16 @@ counts carry over between segments as running maxima and sums.
 
 from __future__ import annotations
 
-from collections.abc import Collection, Iterator
-from difflib import SequenceMatcher
+from collections.abc import Collection
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from snipmill import fixed
 from snipmill.functions import markdown as M
 from snipmill.functions import secrets as S
 from snipmill.functions import text as T
+from snipmill.operators.revisions import revision_groups
 from snipmill.operators.running import SLICE, Running, add_running, add_total, top_position
 from snipmill.session import cut_lineage
 
@@ -413,61 +411,18 @@ def _mark_revisions(found: DataFrame, group: list[str], target: Column, all_revi
     }).drop("_prev", "_before", "_all")
 
 
-def _similar(earlier: str, later: str) -> bool:
-    matcher = SequenceMatcher(None, earlier, later)
-    limit = fixed.SIMILARITY_THRESHOLD
-    # The two quick ratios are upper bounds, so they only save work.
-    return (matcher.real_quick_ratio() >= limit and matcher.quick_ratio() >= limit
-            and matcher.ratio() >= limit)
-
-
-def _number_revisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First-fit groups over rows sorted by (document, language, fence).
-
-    Keeps one latest body per open group, not the rows of the document.
-    """
-    current, groups = None, []
-    for batch in batches:
-        numbers = []
-        columns = ("doc_key", "lang", "reason", "name_proposal", "body_norm")
-        for doc, lang, reason, name, body in zip(
-            *[batch.column(c).to_pylist() for c in columns], strict=True
-        ):
-            if reason is not None:
-                numbers.append(None)
-                continue
-            if (doc, lang) != current:
-                current, groups = (doc, lang), []
-            for number, (held_name, held_body) in enumerate(groups):
-                if name == held_name or _similar(held_body, body):
-                    break
-            else:
-                number = len(groups)
-                groups.append(None)
-            groups[number] = (name, body)
-            numbers.append(number)
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(numbers, pa.int64())],
-            names=[*batch.schema.names, "revision_group"],
-        )
-
-
 def supersede_by_similarity(found: DataFrame, *, all_revisions: bool = False,
                             top: int | None = None, slice_size: int | None = None) -> DataFrame:
     """Like ``supersede_by_name``, but bodies that are 70 % alike are revisions too.
 
-    The rule is greedy and depends on order, so one (document, language) is one
-    sequence; different ones run in parallel. The function streams sorted rows
-    and only adds a group number to them.
+    The rule is greedy and depends on order; ``revisions.revision_groups`` settles it in rounds, so that
+    no task compares more than a chunk of a document with a tile of its groups.
     """
     if all_revisions:
         return supersede_by_name(found, all_revisions=True)
-    schema = StructType([*found.schema.fields, StructField("revision_group", LongType())])
-    numbered = (
-        found.repartition("doc_key", "lang")
-        .sortWithinPartitions("doc_key", "lang", "fence_no")
-        .mapInArrow(_number_revisions, schema)
-    )
+    found = cut_lineage(found)  # read for the groups and for the rows
+    groups = revision_groups(found).withColumnsRenamed({"doc_key": "_doc", "fence_no": "_no"})
+    numbered = found.join(groups, found.doc_key.eqNullSafe(F.col("_doc")) & (found.fence_no == F.col("_no")), "left").drop("_doc", "_no")
     top = top_position(found, "fence_no") if top is None else top
     limit = slice_size or SLICE
     if top >= limit:

@@ -10,7 +10,7 @@ from snipmill.operators import emit
 from snipmill.operators.names import resolve_collisions
 from snipmill.plans.compile import compile_corpus
 from snipmill.plans.corpus import derived, table, turns
-from snipmill.plans.queries_extract import FENCES, fence_bound, revised, segments
+from snipmill.plans.queries_extract import ALIKE, FENCES, fence_bound, revised, segments
 from snipmill.session import cut_lineage
 
 CONTEXT = emit.RenderContext(compiled_at="2026-01-01T00:00:00.000+00:00")
@@ -211,7 +211,22 @@ final AS (SELECT doc_key, fence_no, kind, n, CASE WHEN extension = '.py'
     THEN replace(name_proposal || CASE WHEN n = 1 THEN '' ELSE '-' || n END, '-', '_')
     ELSE name_proposal || CASE WHEN n = 1 THEN '' ELSE '-' || n END END || extension AS filename FROM numbered)"""
 
+_CONTENT = f"""CASE emitter
+          WHEN 'bash' THEN '#!/usr/bin/env bash' || chr(10) || {_lines_sql('#')}
+            || 'set -euo pipefail' || chr(10) || 'IFS=$''\\n\\t''' || chr(10) || chr(10) || {_BARE}
+          WHEN 'python' THEN '#!/usr/bin/env python3' || chr(10) || {_lines_sql('#')} || chr(10) || body
+          WHEN 'powershell' THEN {_lines_sql('#')} || chr(10) || body
+          WHEN 'sql' THEN {_lines_sql('--', True)} || chr(10) || body
+          WHEN 'prompt' THEN {_front_sql('prompt', "'[\"ticket\", \"team\"]'")} || body
+          ELSE {_front_sql('runbook')} || body END"""
+
 ORACLES = {
+    "compile_corpus": NAMED.replace(FENCES, ALIKE) + f"""
+        SELECT outcome, what, count(*) AS n, CAST(sum(chars) AS BIGINT) AS chars FROM (
+          SELECT 'draft' AS outcome, emitter AS what, length({_CONTENT}) AS chars FROM (
+            SELECT d.* REPLACE (f.filename AS filename, '-' AS source) FROM drafts d JOIN final f USING (doc_key, fence_no))
+          UNION ALL SELECT 'skipped', coalesce(reason, 'unsupported-emitter'), 0 FROM revised
+          WHERE reason IS NOT NULL OR lang = 'powershell') GROUP BY ALL""",
     "name_drafts": NAMED + " SELECT doc_key, fence_no, kind, filename, n > 1 AS renamed FROM final",
     "compile_by_name": NAMED + f"""
         SELECT doc_key, fence_no, 'draft' AS outcome, filename AS what FROM final
@@ -247,14 +262,7 @@ ORACLES = {
           CASE WHEN n = 1 THEN name WHEN n <= 1000 THEN name || '-' || n END AS final_name
         FROM numbered""",
     "render_drafts": DRAFTS + f"""
-        SELECT doc_key, fence_no, emitter, CASE emitter
-          WHEN 'bash' THEN '#!/usr/bin/env bash' || chr(10) || {_lines_sql('#')}
-            || 'set -euo pipefail' || chr(10) || 'IFS=$''\\n\\t''' || chr(10) || chr(10) || {_BARE}
-          WHEN 'python' THEN '#!/usr/bin/env python3' || chr(10) || {_lines_sql('#')} || chr(10) || body
-          WHEN 'powershell' THEN {_lines_sql('#')} || chr(10) || body
-          WHEN 'sql' THEN {_lines_sql('--', True)} || chr(10) || body
-          WHEN 'prompt' THEN {_front_sql('prompt', "'[\"ticket\", \"team\"]'")} || body
-          ELSE {_front_sql('runbook')} || body END AS content
+        SELECT doc_key, fence_no, emitter, {_CONTENT} AS content
         FROM drafts""",
     "find_placeholders": """
         SELECT conv_id, turn, role || ',x' || turn AS placeholders FROM conversations""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from snipmill import fixed
 from snipmill.functions import text as T
 from snipmill.operators import extract as X
+from snipmill.operators.revisions import revision_groups as groups_of
 from snipmill.plans.corpus import TURNS, derived, table, turns
 
 FRONTED = """
@@ -130,6 +131,14 @@ def supersede_by_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_key", "fence_no", "reason", "detail", "supersedes", "superseded_count")
 
 
+def revision_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long documents with bodies of many lengths, in chunks that take several rounds."""
+    body = F.concat(F.expr("repeat('x', CAST(xs AS INT))"), F.expr("repeat('y', CAST(ys AS INT))"), F.lit("\n"))
+    rows = derived(spark, sf_dir, RUNS, "conversations").select(
+        "doc_key", "fence_no", "lang", "name_proposal", "reason", body.alias("body_norm"))
+    return groups_of(rows, chunk=64)
+
+
 def dedup_against_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = X.dedup_against_library(revised(spark, sf_dir), library(spark, sf_dir))
     return rows.select("doc_key", "fence_no", "reason", "detail", "sha256")
@@ -176,6 +185,7 @@ QUERIES = {
     "fence_secrets": fence_secrets,
     "supersede_by_name": supersede_by_name,
     "supersede_by_similarity": supersede_by_similarity,
+    "revision_groups": revision_groups,
     "dedup_against_library": dedup_against_library,
     "extract_stats": extract_stats,
     "document_stats": document_stats,
@@ -253,7 +263,8 @@ ruled AS (
     WHEN lang_raw IN ('console', 'terminal') THEN 'console' WHEN lang IS NULL THEN 'non-target-lang'
     WHEN role = 'user' THEN 'user-turn' END AS reason FROM named),
 grouped AS (
-  SELECT *, count(*) OVER g AS n_all, row_number() OVER o AS n_at, lag(sha256) OVER o AS prev
+  SELECT *, count(*) OVER g AS n_all, row_number() OVER o AS n_at, lag(sha256) OVER o AS prev,
+    arg_max(name_proposal, fence_no) OVER g AS last_name
   FROM ruled WHERE reason IS NULL
   WINDOW g AS (PARTITION BY doc_key, lang, name_proposal),
          o AS (PARTITION BY doc_key, lang, name_proposal ORDER BY fence_no)),
@@ -261,7 +272,7 @@ revised AS (
   SELECT doc_key, fence_no, sha256, name_proposal, description, body, flags, lang, artifact_type, dialect,
     lang_raw, turn, role, line_start, line_end, heading_path,
     CASE WHEN n_at < n_all THEN 'superseded' END AS reason,
-    CASE WHEN n_at < n_all THEN '→ ' || name_proposal END AS detail,
+    CASE WHEN n_at < n_all THEN '→ ' || last_name END AS detail,
     CASE WHEN n_at = n_all THEN prev END AS supersedes,
     CAST(CASE WHEN n_at = n_all THEN n_all - 1 ELSE 0 END AS INT) AS superseded_count
   FROM grouped
@@ -271,8 +282,20 @@ revised AS (
     CASE WHEN reason = 'non-target-lang' THEN 'unrecognized label' ELSE '' END, NULL, 0
   FROM ruled WHERE reason IS NOT NULL)
 """
+# Bodies of one language are the same within a conversation of the recipe, so similarity makes them one group.
+ALIKE = FENCES.replace("PARTITION BY doc_key, lang, name_proposal", "PARTITION BY doc_key, lang")
 _FRONT = f"WITH fronted AS ({FRONTED})"
 
+# Two runs of letters: what two such bodies match is the shorter x run, the shorter y run and the line end.
+RUNS = """
+SELECT conv_id % 10 AS doc_key, conv_id * 100 + turn AS fence_no, CASE WHEN turn % 2 = 0 THEN 'bash' ELSE 'sql' END AS lang,
+  CASE WHEN (conv_id + turn) % 7 = 3 THEN 'shared' WHEN (conv_id + turn) % 7 = 5 THEN 'other' || (conv_id % 4)
+    ELSE 'n' || conv_id || '-' || turn END AS name_proposal,
+  1 + (conv_id * 7 + turn * 13 + length(text)) % 60 AS xs, (conv_id * 11 + turn * 5) % 40 AS ys,
+  CASE WHEN (conv_id + turn) % 9 = 8 THEN 'user-turn' END AS reason
+FROM conversations
+"""
+
 ORACLES = {
     "strip_front_matter": _FRONT + """
         SELECT doc_key, CAST(CASE doc_key % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 0 END AS INT) AS line_base,
@@ -307,6 +330,23 @@ ORACLES = {
         FROM fences WHERE body LIKE '%sudo %'""",
     "supersede_by_name": FENCES + """
         SELECT doc_key, fence_no, reason, detail, supersedes, superseded_count FROM revised""",
+    "supersede_by_similarity": ALIKE + """
+        SELECT doc_key, fence_no, reason, detail, supersedes, superseded_count FROM revised""",
+    "revision_groups": f"""
+        WITH RECURSIVE blocks AS (
+          SELECT *, row_number() OVER (PARTITION BY doc_key, lang ORDER BY fence_no) AS place FROM ({RUNS}) WHERE reason IS NULL),
+        walk AS (
+          SELECT DISTINCT doc_key, lang, CAST(0 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS fence_no, CAST(NULL AS BIGINT) AS spot,
+            CAST([] AS STRUCT(xs BIGINT, ys BIGINT, name VARCHAR)[]) AS latest FROM blocks
+          UNION ALL
+          SELECT doc_key, lang, place, fence_no, spot, latest[:spot - 1] || [{{'xs': xs, 'ys': ys, 'name': name}}] || latest[spot + 1:]
+          FROM (
+            SELECT b.doc_key, b.lang, b.place, b.fence_no, b.xs, b.ys, b.name_proposal AS name, w.latest,
+              coalesce(nullif(list_position(list_transform(w.latest, lambda r: r.name = b.name_proposal
+                OR 2.0 * (least(r.xs, b.xs) + least(r.ys, b.ys) + 1) / (r.xs + r.ys + b.xs + b.ys + 2) >= 0.7), TRUE), 0),
+                len(w.latest) + 1) AS spot
+            FROM walk w JOIN blocks b ON b.doc_key = w.doc_key AND b.lang = w.lang AND b.place = w.place + 1))
+        SELECT doc_key, fence_no, CAST(spot - 1 AS BIGINT) AS revision_group FROM walk WHERE place > 0""",
     "dedup_against_library": FENCES + f""",
         held AS (SELECT DISTINCT {hash_sql("body || CASE WHEN body = '' THEN '' ELSE chr(10) END")} AS sha256
           FROM corpus WHERE conv_id % 11 = 0)
