@@ -1,11 +1,16 @@
 """First free ``name[-N]`` per library, kind and extension.
 
-Names whose trailing ``-N`` parts are removed share a *family*; a name can only
-clash inside its family. In a plain family every proposal is the bare name, and
-the k-th candidate gets the k-th number that is not taken: a rank and no loop.
-A family where a proposal itself ends in ``-N`` needs the candidates one after
-the other; its rows stream through one sorted pass that keeps only the names
-taken so far.
+The k-th draft of a proposal gets the k-th number that is not blocked for it: a rank and a count, no loop.
+Blocked are the numbers of names in use and of names that another proposal has got first.
+Two proposals can want the same name only if one of them is the other with ``-N`` behind it (``x`` reaches
+``x-2`` as its second number, ``x-2`` as its first), and then the earlier draft gets it:
+
+* The first draft of ``x-2`` asks for the bare name at its own place in the order, whatever happens to ``x``.
+* ``x`` reaches number N with its draft number (free numbers up to N) - (numbers below N that other
+  proposals got first). It is in time if that draft comes before the first one of ``x-N``.
+
+So who gets the name follows from one count per contested number, in the order of numbers. Contests of ``x`` come
+before those of ``x-2``, since it may lose its bare name to ``x``: one round for each ``-N`` that names end in.
 """
 
 from __future__ import annotations
@@ -15,16 +20,24 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from snipmill import fixed
 from snipmill.operators.running import Running, add_rank, add_running, top_position
+from snipmill.session import cut_lineage
+
+PLACE = ["namespace", "kind", "extension"]
+PROPOSAL = [*PLACE, "name"]
+_NUMBER = r"-([2-9]|[1-9][0-9]+)\z"
 
-FAMILY = ["namespace", "kind", "extension", "family"]
 
+def _parent(name: Column) -> Column:
+    return F.regexp_replace(name, _NUMBER, "")
 
-def _family(name: Column) -> Column:
-    return F.regexp_replace(name, fixed.FAMILY_SUFFIXES, "")
+
+def _number(name: Column) -> Column:
+    """The number that ``name`` is of its parent; NULL if it ends in none that a parent can reach."""
+    return F.nullif(F.regexp_extract(name, _NUMBER, 1), F.lit("")).try_cast("bigint")
 
 
 def _taken_names(taken: DataFrame) -> DataFrame:
@@ -39,101 +52,106 @@ def _taken_names(taken: DataFrame) -> DataFrame:
     name = F.when(~python, F.col("stem")).when(
         ~F.col("stem").contains("-"), F.replace("stem", F.lit("_"), F.lit("-"))
     )
-    return (
-        rows.withColumn("name", name).where(F.col("name").isNotNull())
-        .select("namespace", "kind", "extension", "name",
-                _family(F.col("name")).alias("family"))
-        .distinct()
-    )
+    return rows.withColumn("name", name).where(F.col("name").isNotNull()).select(*PROPOSAL).distinct()
+
+
+def _numbers(names: DataFrame) -> DataFrame:
+    """Both proposals that a name blocks, and the number it has for each: itself with 1, its parent with N."""
+    number = _number(F.col("name"))
+    own = F.struct(F.col("name").alias("name"), F.lit(1).cast("bigint").alias("number"))
+    other = F.when(number.isNotNull(), F.struct(_parent(F.col("name")).alias("name"), number.alias("number")))
+    return names.select(*PLACE, F.explode(F.array_compact(F.array(own, other))).alias("b")).select(*PLACE, "b.*")
+
+
+def _contests(rows: DataFrame, firsts: DataFrame, held: DataFrame, order: list[str]) -> DataFrame:
+    """Contested names: parent ``name`` and ``number``, the ``child`` that wants it bare, and ``earlier``, the parent's
+    drafts before the child's first one. Names in use are not contested."""
+    children = firsts.select(*PLACE, _parent(F.col("name")).alias("name"), _number(F.col("name")).alias("number"),
+                             F.col("name").alias("child"), *order).where(F.col("number").isNotNull())
+    open_names = children.join(held.withColumnRenamed("name", "child"), [*PLACE, "child"], "left_anti")
+    return cut_lineage(open_names.join(firsts.select(*PROPOSAL), PROPOSAL, "left_semi"))
 
 
-def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sequential first-free search over rows sorted by family, then order."""
-    current, used, tried = None, set(), {}
+def _win_or_lose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether the child gets the name, for contests sorted by parent and number: a count of those it got so far."""
+    current, lost = None, 0
     for batch in batches:
-        suffixes = []
-        keys = zip(*[batch.column(c).to_pylist() for c in FAMILY], strict=True)
-        names, is_taken = batch.column("name").to_pylist(), batch.column("is_taken").to_pylist()
-        for key, name, held in zip(keys, names, is_taken, strict=True):
+        wins = []
+        for key, ahead in zip(zip(*(batch.column(c).to_pylist() for c in PROPOSAL), strict=True),
+                              batch.column("ahead").to_pylist(), strict=True):
             if key != current:
-                current, used, tried = key, set(), {}
-            if held:
-                used.add(name)
-                suffixes.append(None)
-                continue
-            n = tried.get(name, 1)
-            while (full := name if n == 1 else f"{name}-{n}") in used:
-                n += 1
-            tried[name] = n
-            used.add(full)
-            suffixes.append(n)
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(suffixes, pa.int32())],
-            names=[*batch.schema.names, "suffix"],
-        )
+                current, lost = key, 0
+            wins.append(ahead > lost)
+            lost += ahead > lost
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(wins, pa.bool_())], names=[*batch.schema.names, "wins"])
+
+
+def _settle_contests(rows: DataFrame, contests: DataFrame, blocked: DataFrame, order: list[str]) -> DataFrame:
+    """(proposal, number) that contests block: the number for the parent, or the bare name for the child."""
+    # Drafts of the parent before the child's first one: places in both orders, less the contests among them.
+    parents = contests.select(*PROPOSAL).distinct()
+    marks = contests.select(*PROPOSAL, *order, "child", "number")
+    both = rows.join(parents, PROPOSAL, "left_semi").select(*PROPOSAL, *order).unionByName(marks, allowMissingColumns=True)
+    placed = add_rank(both, PROPOSAL, order, "_all").where("child IS NOT NULL")
+    counted = add_rank(placed, PROPOSAL, order, "_marks").withColumn("earlier", F.col("_all") - F.col("_marks"))
+    # Blocked numbers below the contested one.
+    below = counted.select(*PROPOSAL, "number", "child", "earlier").unionByName(
+        blocked.join(parents, PROPOSAL, "left_semi").select(*PROPOSAL, "number"), allowMissingColumns=True)
+    freed = cut_lineage(add_running(below, PROPOSAL, "number", ["number"], [
+        Running("_blocked", "sum", F.when(F.col("child").isNull(), 1).otherwise(0), current=False)],
+        top_position(below, "number")).where("child IS NOT NULL").select(
+            *PROPOSAL, "number", "child", (F.col("number") - F.col("_blocked") - F.col("earlier")).alias("ahead"),
+            F.length(F.regexp_replace(F.regexp_extract("name", fixed.FAMILY_SUFFIXES, 0), "[^-]", "")).alias("depth")))
+    out, bare = None, None
+    for level in range(top_position(freed, "depth") + 1):
+        now = freed.where(F.col("depth") == level)
+        if bare is not None:  # a parent that lost its bare name has one free number less
+            now = now.join(bare.withColumn("_lost", F.lit(1)), PROPOSAL, "left").withColumn(
+                "ahead", F.col("ahead") - F.coalesce("_lost", F.lit(0))).drop("_lost")
+        schema = StructType([*now.schema.fields, StructField("wins", BooleanType())])
+        settled = cut_lineage(now.repartition(*PROPOSAL).sortWithinPartitions(*PROPOSAL, "number").mapInArrow(_win_or_lose, schema))
+        bare = settled.where("NOT wins").select(*PLACE, F.col("child").alias("name"))
+        part = settled.where("wins").select(*PROPOSAL, "number").unionByName(
+            bare.withColumn("number", F.lit(1).cast("bigint")))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def resolve_collisions(drafts: DataFrame, taken: DataFrame, order: list[str]) -> DataFrame:
     """Number each draft ``(namespace, kind, extension, name, *order)``.
 
     Adds ``suffix`` (1 = bare name) and ``final_name``. Numbers have no upper end,
-    so every draft gets a name.
+    so every draft gets a name. ``order`` must tell drafts apart.
     """
-    proposal = ["namespace", "kind", "extension", "name"]
+    rows = drafts.select(*PROPOSAL, *order)
+    first = F.min(F.struct(*order))
+    firsts = cut_lineage(rows.groupBy(*PROPOSAL).agg(first.alias("_first"), F.count("*").alias("_n"))).select(
+        *PROPOSAL, "_n", *[F.col(f"_first.{c}").alias(c) for c in order])
     held = _taken_names(taken)
-    rows = drafts.select(*proposal, *order, _family(F.col("name")).alias("family"))
-    ranked = add_rank(rows, proposal, order, "rank")
-    chained = (
-        rows.where(F.col("name") != F.col("family")).select(*FAMILY).distinct()
-        .withColumn("chained", F.lit(True))
-    )
-    ranked = ranked.join(chained, FAMILY, "left").withColumn(
-        "chained", F.coalesce("chained", F.lit(False))
-    )
-
-    number = F.when(F.col("name") == F.col("family"), 1).otherwise(
-        F.regexp_extract("name", r"-([0-9]+)\z", 1).cast("bigint")
-    )
-    direct = held.where(
-        (F.col("name") == F.col("family"))
-        | (F.regexp_replace("name", r"-(?:[2-9]|[1-9][0-9]+)\z", "") == F.col("family"))
-    ).select(*FAMILY, number.alias("number"))
-
-    # The k-th free number is k plus the taken numbers below it. For the j-th
-    # taken number t (counted from 1), t - j numbers below it are free, so t
-    # shifts every candidate with k > t - j.
-    counted = add_running(direct, FAMILY, "number", ["number"],
-                          [Running("j", "sum", F.lit(1))], top_position(direct, "number"))
+    blocked = _numbers(held).join(firsts.select(*PROPOSAL), PROPOSAL, "left_semi")
+    contests = _contests(rows, firsts, held, order)
+    if not contests.isEmpty():
+        blocked = blocked.unionByName(_settle_contests(rows, contests, cut_lineage(blocked), order))
+    blocked = cut_lineage(blocked)
+    top = top_position(firsts, "_n")
+
+    # The k-th free number is k plus the blocked numbers below it. For the j-th
+    # blocked number t (counted from 1), t - j numbers below it are free, so t
+    # shifts every draft with k > t - j. Proposals without one have their rank.
+    counted = add_running(blocked, PROPOSAL, "number", ["number"],
+                          [Running("j", "sum", F.lit(1))], top_position(blocked, "number"))
     shifts = counted.select(
-        *FAMILY, ((F.col("number") - F.col("j")) * 2 + 1).alias("_at"), F.lit(1).alias("_shift")
-    )
-    plain = ranked.where(~F.col("chained")).select(
-        *FAMILY, "name", *order, "rank", (F.col("rank") * 2).cast("bigint").alias("_at"),
-        F.lit(0).alias("_shift"),
-    )
-    settled = add_running(
-        plain.unionByName(shifts, allowMissingColumns=True), FAMILY, "_at", ["_at"],
-        [Running("_skipped", "sum", F.col("_shift"))], 2 * top_position(ranked, "rank") + 1,
+        *PROPOSAL, ((F.col("number") - F.col("j")) * 2 + 1).alias("_at"), F.lit(1).alias("_shift")
+    ).where(F.col("_at") <= 2 * top)
+    ranked = add_rank(rows, PROPOSAL, order, "rank")
+    plain = ranked.select(*PROPOSAL, *order, "rank", (F.col("rank") * 2).cast("bigint").alias("_at"), F.lit(0).alias("_shift"))
+    named = add_running(
+        plain.unionByName(shifts, allowMissingColumns=True), PROPOSAL, "_at", ["_at"],
+        [Running("_skipped", "sum", F.col("_shift"))], 2 * top + 1,
     ).where(F.col("rank").isNotNull()).select(
-        *proposal, *order, (F.col("rank") + F.col("_skipped")).cast("int").alias("suffix")
-    )
-
-    queue = ranked.where("chained").select(
-        *FAMILY, "name", *order, F.lit(False).alias("is_taken")
-    ).unionByName(
-        held.join(chained.drop("chained"), FAMILY, "left_semi").withColumn("is_taken", F.lit(True)),
-        allowMissingColumns=True,
-    )
-    schema = StructType([*queue.schema.fields, StructField("suffix", IntegerType())])
-    streamed = (
-        queue.repartition(*FAMILY)
-        .sortWithinPartitions(*FAMILY, F.desc("is_taken"), *order)
-        .mapInArrow(_assign, schema)
-        .where(~F.col("is_taken") & F.col("suffix").isNotNull())
-        .select(*proposal, *order, "suffix")
+        *PROPOSAL, *order, (F.col("rank") + F.col("_skipped")).cast("int").alias("suffix")
     )
-    named = settled.unionByName(streamed)
-    return drafts.join(named, [*proposal, *order], "left").withColumn(
+    return drafts.join(named, [*PROPOSAL, *order], "left").withColumn(
         "final_name",
         F.when(F.col("suffix") == 1, F.col("name")).otherwise(
             F.concat("name", F.lit("-"), F.col("suffix").cast("string"))
