@@ -7,7 +7,6 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from snipmill import fixed
 from snipmill.plans.corpus import derived
 from snipmill.session import new_folder
 from snipmill.sources import json_arrays as J
+from snipmill.sources.stores import locate
 
 # Every 8 conversations are an export with one element for each turn and its whole text. Of 8 exports two are
 # archives, one is a folder with a neighbour, and four have a fault.
@@ -40,8 +40,7 @@ def write_exports(rows: DataFrame, folder: str) -> DataFrame:
     """Writes (export, place, role, text) as one array for each export; a task writes one file after the other."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = (pafs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")) if folder.startswith(("file:", "/")) \
-            else pafs.FileSystem.from_uri(folder)
+        fs, root = locate(folder)
         current, out, member, archive, last, more = None, None, None, None, b"", b""
         count = 0
 

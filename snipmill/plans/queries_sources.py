@@ -106,6 +106,18 @@ def sink_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("n_parts"), F.sum(F.length("text")).alias("chars"))
 
 
+def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every transcript as a Markdown file, read back whole."""
+    folder = new_folder(spark, "transcript-files")
+    headers = _headers(spark, sf_dir)
+    places = I.transcript_destinations(headers, derived(spark, sf_dir, TAKEN, "part"), "2026", "01")
+    written = sinks.sink_transcript_files(I.transcript_pieces(I.render_parts(headers, turns(spark, sf_dir))), places, folder)
+    docs, _ = files.scan_markdown(spark, folder)
+    read = docs.select(F.regexp_extract("doc_key", "(transcripts/.*)$", 1).alias("destination"), F.md5("text").alias("digest"),
+                       F.sha2("text", 256).alias("read"))
+    return read.join(written, "destination").select("destination", "n_parts", "n_bytes", "digest", (F.col("read") == F.col("sha256")).alias("whole"))
+
+
 def sink_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "drafts")
     rows = emit.render_drafts(drafts(spark, sf_dir), CONTEXT).withColumns({
@@ -128,7 +140,7 @@ def sink_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     name: globals()[name] for name in (
         "detect_format", "scan_chat_export", "scan_markdown", "scan_canonical_transcript",
-        "scan_library_artifacts", "scan_registry_tables", "sink_transcripts", "sink_drafts", "sink_events",
+        "scan_library_artifacts", "scan_registry_tables", "sink_transcripts", "transcript_files", "sink_drafts", "sink_events",
     )
 }
 
@@ -171,6 +183,12 @@ ORACLES = {
         SELECT string_split(destination, '/')[4] AS file, '2026' AS year, '01' AS month,
           coalesce(n, 0) + 1 AS n_parts, CAST(length(text) - 1 - 2 * coalesce(n, 0) AS BIGINT) AS chars
         FROM texts JOIN names USING (doc_key) LEFT JOIN counts USING (doc_key)""",
+    "transcript_files": f"""
+        WITH texts AS ({queries_imports.WHOLE_TEXTS}),
+        names AS ({queries_imports.ORACLES["transcript_slug"]}),
+        counts AS (SELECT conv_id AS doc_key, count(*) AS n FROM conversations GROUP BY 1)
+        SELECT destination, coalesce(n, 0) + 1 AS n_parts, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS digest, TRUE AS whole
+        FROM texts JOIN names USING (doc_key) LEFT JOIN counts USING (doc_key)""",
     "sink_drafts": f"""
         WITH d AS ({queries_emit.ORACLES["render_drafts"]})
         SELECT CASE emitter WHEN 'prompt' THEN 'prompts' WHEN 'runbook' THEN 'runbooks' ELSE 'scripts' END AS kind,

@@ -18,16 +18,15 @@ from __future__ import annotations
 import zipfile
 import zlib
 from collections.abc import Iterator
-from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from snipmill import fixed
 from snipmill.session import cut_lineage
+from snipmill.sources.stores import locate
 
 #: Byte ranges whose starts are broadcast (some 20 MB); beyond that the pieces are shuffled to them.
 BROADCAST = 200_000
@@ -275,15 +274,6 @@ def file_parts(read: DataFrame, inputs: DataFrame) -> DataFrame:
 
 
 # ---- archives --------------------------------------------------------------------------------
-def _open(uri: str) -> pa.NativeFile:
-    """A file for random access, through Arrow's file systems."""
-    if "://" in uri and not uri.startswith("file:"):
-        fs, path = pafs.FileSystem.from_uri(uri)
-    else:
-        fs, path = pafs.LocalFileSystem(), "/" + unquote(uri.removeprefix("file:")).lstrip("/")
-    return fs.open_input_file(path)
-
-
 def member_parts(archives: DataFrame) -> DataFrame:
     """Elements of the first member of each archive whose name ends with the export's file name, and faults."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +287,8 @@ def member_parts(archives: DataFrame) -> DataFrame:
 def _member(path: str) -> Iterator[pa.RecordBatch]:
     found, rest = Elements(), b""
     try:
-        with _open(path) as raw, zipfile.ZipFile(raw) as archive:
+        fs, place = locate(path)
+        with fs.open_input_file(place) as raw, zipfile.ZipFile(raw) as archive:
             names = [n for n in archive.namelist() if n.endswith(fixed.EXPORT_FILE)]
             if not names:
                 yield _fault(path, f"no {fixed.EXPORT_FILE} in the archive")

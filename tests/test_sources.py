@@ -215,3 +215,20 @@ def test_event_lines(spark, tmp_path):
     sinks.sink_events(frame, str(tmp_path / "log"))
     sinks.sink_events(frame, str(tmp_path / "log"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "log")).collect()] == ['{"a":1,"b":null,"c":"é"}'] * 2
+
+
+def test_transcript_files_are_whole(spark, tmp_path):
+    pieces = spark.createDataFrame(
+        [(d, n, f"part {n} of {d} é\n\n" * (n + 1)) for d in range(7) for n in range(5)] + [(7, 0, None)],
+        "doc_key long, part_no int, text string").repartition(6)
+    places = spark.createDataFrame([(d, f"transcripts/2026/0{d % 3 + 1}/t {d}.md") for d in range(8)], "doc_key long, destination string")
+    for _ in range(2):  # a second run, like a task that runs again, gives the same files
+        written = {r.destination: r for r in sinks.sink_transcript_files(pieces, places, str(tmp_path)).collect()}
+    assert len(written) == 8
+    for d in range(8):
+        name = f"transcripts/2026/0{d % 3 + 1}/t {d}.md"
+        text = "".join(f"part {n} of {d} é\n\n" * (n + 1) for n in range(5)) if d < 7 else ""
+        assert (tmp_path / name).read_text() == text
+        assert (written[name].n_parts, written[name].n_bytes) == (5 if d < 7 else 1, len(text.encode()))
+    assert not list(tmp_path.rglob("*.part"))
+    assert sinks.sink_transcript_files(pieces.limit(0), places, str(tmp_path)).collect() == []
