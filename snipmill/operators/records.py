@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from snipmill import fixed
 from snipmill.functions import text as T
+from snipmill.session import cut_lineage
 
 SCHEMAS = "record"  # prefix of schema names in manifests
 
@@ -182,7 +183,8 @@ def bound_record(requests: DataFrame, revisions: DataFrame, integrity: DataFrame
     """
     known = revisions.select(F.col("id").alias("revision_id"), "content_hash").join(
         integrity.select(F.col("id").alias("revision_id"), "failure"), "revision_id", "left")
-    rows = requests.join(known, "revision_id", "left").withColumn("code", T.first_of([
+    asked = requests.select("revision_id").distinct()
+    rows = _with_status(requests, asked.join(known, "revision_id", "left"), ["revision_id"]).withColumn("code", T.first_of([
         (~is_id(F.col("revision_id"), "rev"), "validation_error"),
         (~is_id(F.col("created_by"), "act"), "validation_error"),
         (F.col("content_hash").isNull(), "revision_not_found"),
@@ -210,6 +212,55 @@ def record_approval(requests: DataFrame, revisions: DataFrame, integrity: DataFr
         created_at=created_at)
 
 
+# ---- what a batch of requests asks for -----------------------------------------------------
+def asked_records(requests: DataFrame, revisions: DataFrame, contents: DataFrame, verifications: DataFrame,
+                  approvals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(revisions, integrity, governance)`` of the revisions that ``requests`` name, and of no others.
+
+    The stores are cut down before anything is hashed or folded, so a batch costs what it asks for. Null
+    ids ask for nothing.
+    """
+    asked = cut_lineage(requests.select("revision_id").where(F.col("revision_id").isNotNull()).distinct())
+    some = revisions.join(asked.withColumnRenamed("revision_id", "id"), "id", "left_semi")
+
+    def of(records: DataFrame) -> DataFrame:
+        return records.join(asked, "revision_id", "left_semi")
+
+    return some, verify_manifest(some, of(contents)), governance_binding(some, of(verifications), of(approvals))
+
+
+def asked_by_publication(requests: DataFrame, publications: DataFrame, revisions: DataFrame, contents: DataFrame
+                         ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(publications, revisions, integrity)`` that requests by publication lead to."""
+    asked = requests.select(F.col("publication_id").alias("id")).distinct()
+    pubs = cut_lineage(publications.join(asked, "id", "left_semi"))
+    some = revisions.join(pubs.select(F.col("revision_id").alias("id")).distinct(), "id", "left_semi")
+    stored = contents.join(pubs.select("revision_id").distinct(), "revision_id", "left_semi")
+    return pubs, some, verify_manifest(some, stored)
+
+
+def _with_status(requests: DataFrame, status: DataFrame, keys: list[str]) -> DataFrame:
+    """``requests`` with the one row that ``status`` has for their keys; null keys are keys.
+
+    ``status`` is written first: the join is then the only one on its exchange, and adaptive execution can split a
+    key that very many requests share.
+    """
+    held = cut_lineage(status).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & requests[k].eqNullSafe(F.col(f"_k_{k}"))
+    return requests.join(held, same, "left").drop(*[f"_k_{k}" for k in keys])
+
+
+def _channel_status(requests: DataFrame, known: DataFrame, publications: DataFrame) -> DataFrame:
+    """A row for each asked (revision_id, channel): what is known of the revision, and its publication there."""
+    pairs = requests.select("revision_id", "channel").distinct()
+    published = publication_lookup(publications.join(pairs.select("revision_id").distinct(), "revision_id", "left_semi")).select(
+        "revision_id", "channel", F.col("id").alias("_pub"), F.col("publication_state").alias("_pub_state"),
+        F.col("content_hash").alias("_pub_hash"))
+    return pairs.join(known, "revision_id", "left").join(published, ["revision_id", "channel"], "left")
+
+
 # ---- latest records ---------------------------------------------------------------------
 def latest_record(records: DataFrame) -> DataFrame:
     """Per revision the record with the greatest (created_at, id), compared as strings."""
@@ -250,13 +301,10 @@ def publish(requests: DataFrame, revisions: DataFrame, integrity: DataFrame, gov
     A published revision is given back, a withdrawn one refused. Of several
     requests for one revision in a batch the first creates the publication.
     """
-    current = publication_lookup(publications).select(
-        "revision_id", "channel", F.col("id").alias("_pub"), F.col("publication_state").alias("_pub_state"))
     known = revisions.select(F.col("id").alias("revision_id"), "artifact_id", "content_hash").join(
         integrity.select(F.col("id").alias("revision_id"), "failure"), "revision_id", "left").join(
         governance.withColumnRenamed("id", "revision_id"), "revision_id", "left")
-    rows = requests.join(known, "revision_id", "left").join(
-        current, ["revision_id", "channel"], "left")
+    rows = _with_status(requests, _channel_status(requests, known, publications), ["revision_id", "channel"])
     state_ok = F.coalesce(F.col("verification_state").isin(*fixed.EXECUTABLE_STATES), F.lit(False))
     judged = rows.withColumn("code", T.first_of([
         (~is_id(F.col("revision_id"), "rev"), "validation_error"),
@@ -273,7 +321,7 @@ def publish(requests: DataFrame, revisions: DataFrame, integrity: DataFrame, gov
     first = judged.where(F.col("code").isNull()).groupBy("revision_id", "channel").agg(
         F.min("request_id").alias("_first"))
     made_id = new_id("pub", F.col("_first").cast("string"))
-    settled = judged.join(first, ["revision_id", "channel"], "left")
+    settled = _with_status(judged, first, ["revision_id", "channel"])
     outcomes = settled.select(
         "request_id",
         F.when(F.col("code").isNull(), F.when(F.col("_first") == F.col("request_id"), "published")
@@ -330,7 +378,8 @@ def resolve_publication(requests: DataFrame, publications: DataFrame, revisions:
         F.col("content_hash").alias("_pub_hash"))
     revs = revisions.select(F.col("id").alias("revision_id"), "content_hash", "manifest").join(
         integrity.select(F.col("id").alias("revision_id"), "failure"), "revision_id", "left")
-    rows = requests.join(pubs, "publication_id", "left").join(revs, "revision_id", "left")
+    asked = requests.select("publication_id").distinct()
+    rows = _with_status(requests, asked.join(pubs, "publication_id", "left").join(revs, "revision_id", "left"), ["publication_id"])
     code = T.first_of([
         (~is_id(F.col("publication_id"), "pub"), "validation_error"),
         (F.col("publication_state").isNull(), "artifact_not_published"),
@@ -355,10 +404,7 @@ def execution_eligibility(requests: DataFrame, revisions: DataFrame, integrity:
         F.col("id").alias("revision_id"), "artifact_type", "entries", F.col("content_hash").alias("_hash")
     ).join(integrity.select(F.col("id").alias("revision_id"), "failure"), "revision_id", "left").join(
         governance.withColumnRenamed("id", "revision_id"), "revision_id", "left")
-    pubs = publication_lookup(publications).select(
-        "revision_id", "channel", F.col("publication_state").alias("_pub_state"),
-        F.col("content_hash").alias("_pub_hash"))
-    rows = requests.join(revs, "revision_id", "left").join(pubs, ["revision_id", "channel"], "left")
+    rows = _with_status(requests, _channel_status(requests, revs, publications), ["revision_id", "channel"])
     state_ok = F.coalesce(F.col("verification_state").isin(*fixed.EXECUTABLE_STATES), F.lit(False))
     runs = F.exists("entries", lambda e: (e["path"] == F.col("entrypoint")) & e["executable"])
     code = T.first_of([

@@ -43,9 +43,10 @@ def revised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashes a library already holds: the bodies of every eleventh conversation."""
-    bodies = derived(spark, sf_dir, TURNS, "conversations").where("conv_id % 11 = 0")
-    return bodies.select(T.content_hash(F.col("body")).alias("sha256"))
+    """Hashes of all bodies, as a library holds them; in ten of eleven conversations the library's body goes on."""
+    bodies = derived(spark, sf_dir, TURNS, "conversations")
+    more = F.when(F.col("conv_id") % 11 == 0, "").otherwise("\n# changed since")
+    return bodies.select(T.content_hash(F.concat("body", more)).alias("sha256"))
 
 
 def strip_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,8 +349,8 @@ ORACLES = {
             FROM walk w JOIN blocks b ON b.doc_key = w.doc_key AND b.lang = w.lang AND b.place = w.place + 1))
         SELECT doc_key, fence_no, CAST(spot - 1 AS BIGINT) AS revision_group FROM walk WHERE place > 0""",
     "dedup_against_library": FENCES + f""",
-        held AS (SELECT DISTINCT {hash_sql("body || CASE WHEN body = '' THEN '' ELSE chr(10) END")} AS sha256
-          FROM corpus WHERE conv_id % 11 = 0)
+        held AS (SELECT DISTINCT {hash_sql("body || CASE WHEN conv_id % 11 = 0 THEN '' ELSE chr(10) || '# changed since' END")} AS sha256
+          FROM corpus)
         SELECT doc_key, fence_no, sha256,
           CASE WHEN reason IS NULL AND sha256 IN (SELECT sha256 FROM held) THEN 'dupe-in-library'
             ELSE reason END AS reason,

@@ -147,15 +147,18 @@ def _governance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.governance_binding(revisions(spark, sf_dir), verifications(spark, sf_dir), approvals(spark, sf_dir))
 
 
+def _asked(requests: DataFrame, revs: DataFrame, spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return G.asked_records(requests, revs, contents(spark, sf_dir), verifications(spark, sf_dir), approvals(spark, sf_dir))
+
+
 def validate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = G.validate_ids(derived(spark, sf_dir, IDS, "orders"))
     return rows.select("row_id", F.array_join("violations", ",").alias("violations"))
 
 
 def canonical_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived(spark, sf_dir, "SELECT conv_id, turn, role, split_part(text, ' ', 1) AS word FROM conversations",
-                   "conversations")
-    doc = F.to_json(F.struct("conv_id", "role", "turn", "word"))
+    rows = derived(spark, sf_dir, "SELECT conv_id, turn, role, text FROM conversations", "conversations")
+    doc = F.to_json(F.struct("conv_id", "role", "text", "turn"))
     return rows.select("conv_id", "turn", G.canonical_hash(doc).alias("content_hash"))
 
 
@@ -175,14 +178,16 @@ def create_revisions_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, refused = G.record_verification(derived(spark, sf_dir, BOUND, "orders"), revisions(spark, sf_dir),
-                                          verify_manifest(spark, sf_dir), F.lit(NOW))
+    requests = derived(spark, sf_dir, BOUND, "orders")
+    some, integrity, _ = _asked(requests, revisions(spark, sf_dir), spark, sf_dir)
+    rows, refused = G.record_verification(requests, some, integrity, F.lit(NOW))
     return _bound_counts(rows, refused, "verification_state")
 
 
 def record_approval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, refused = G.record_approval(derived(spark, sf_dir, BOUND, "orders"), revisions(spark, sf_dir),
-                                      verify_manifest(spark, sf_dir), F.lit(NOW))
+    requests = derived(spark, sf_dir, BOUND, "orders")
+    some, integrity, _ = _asked(requests, revisions(spark, sf_dir), spark, sf_dir)
+    rows, refused = G.record_approval(requests, some, integrity, F.lit(NOW))
     return _bound_counts(rows, refused, "approval_state")
 
 
@@ -205,9 +210,9 @@ def publication_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def publish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcomes, _ = G.publish(
-        derived(spark, sf_dir, PUBLISH, "orders"), revisions(spark, sf_dir), verify_manifest(spark, sf_dir),
-        _governance(spark, sf_dir), publications(spark, sf_dir), F.lit(NOW))
+    requests = derived(spark, sf_dir, PUBLISH, "orders")
+    some, integrity, governance = _asked(requests, revisions(spark, sf_dir), spark, sf_dir)
+    outcomes, _ = G.publish(requests, some, integrity, governance, publications(spark, sf_dir), F.lit(NOW))
     return outcomes.select("request_id", "outcome", F.col("publication_id").isNotNull().alias("has_publication"))
 
 
@@ -224,17 +229,19 @@ def withdraw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolve_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = G.resolve_publication(derived(spark, sf_dir, RESOLVE, "lineitem"), publications(spark, sf_dir),
-                                 revisions(spark, sf_dir), verify_manifest(spark, sf_dir))
+    requests = derived(spark, sf_dir, RESOLVE, "lineitem")
+    pubs, some, integrity = G.asked_by_publication(
+        requests, publications(spark, sf_dir), revisions(spark, sf_dir), contents(spark, sf_dir))
+    rows = G.resolve_publication(requests, pubs, some, integrity)
     return rows.select("request_id", "code", "revision_id", F.length("manifest").isNotNull().alias("resolved"))
 
 
 def execution_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     revs = revisions(spark, sf_dir).withColumn("entries", F.from_json(
         "manifest", "entries array<struct<path string, executable boolean>>")["entries"])
-    return G.execution_eligibility(
-        derived(spark, sf_dir, ELIGIBLE, "lineitem", "part"), revs, verify_manifest(spark, sf_dir),
-        _governance(spark, sf_dir), publications(spark, sf_dir))
+    requests = derived(spark, sf_dir, ELIGIBLE, "lineitem", "part")
+    some, integrity, governance = _asked(requests, revs, spark, sf_dir)
+    return G.execution_eligibility(requests, some, integrity, governance, publications(spark, sf_dir))
 
 
 def lifecycle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,8 +319,8 @@ ORACLES = {
           CASE WHEN path <> 'bin/inventory.sh' THEN 'path' END, CASE WHEN title = '' THEN 'title' END) AS violations
         FROM q""",
     "canonical_hash": """
-        SELECT conv_id, turn, 'sha256:' || sha256('{"conv_id":' || conv_id || ',"role":"' || role || '","turn":'
-          || turn || ',"word":"' || replace(split_part(text, ' ', 1), chr(10), chr(92) || 'n') || '"}') AS content_hash
+        SELECT conv_id, turn, 'sha256:' || sha256('{"conv_id":' || conv_id || ',"role":"' || role || '","text":'
+          || to_json(text) || ',"turn":' || turn || '}') AS content_hash
         FROM conversations""",
     "create_revisions": _MADE + f""",
         m AS (SELECT *, coalesce(artifact_id, {_new_id('art', 'request_id')}) AS art, {_new_id('rev', 'request_id')} AS rev
