@@ -70,6 +70,24 @@ def targets(sizes: DataFrame) -> DataFrame:
         F.when(F.col("full"), cap.cast("double")).otherwise(F.col("weight") * shared).alias("target"))
 
 
+#: Sources whose row is broadcast, some MB; beyond that a source's rows are dealt to this many salted keys.
+BROADCAST, SALTS = 50_000, 64
+
+
+def by_source(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (source, draw, ...) with the columns of their source's one row of ``plan``, which is staged.
+
+    No task gets all rows of a source: the plan goes to the rows, or a source's rows to salted copies of its row.
+    """
+    if plan.count() <= BROADCAST:
+        small = F.broadcast(plan)
+        return rows.join(small, rows.source.eqNullSafe(small.source)).drop(plan.source)
+    salted = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("draw"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, dealt.source.eqNullSafe(salted.source) & (dealt._salt == salted._salt)).drop(
+        plan.source, salted._salt, dealt._salt)
+
+
 def mix_plan(thin: DataFrame) -> DataFrame:
     """(source, source_size, target, epochs, last_key) from ``thin`` (source, size, draw)."""
     spread = staged(thin.repartitionByRange("source", "draw").withColumn("slice", F.spark_partition_id()), "draws")
@@ -85,15 +103,15 @@ def mix_plan(thin: DataFrame) -> DataFrame:
     on_source = offsets.source.eqNullSafe(plan.source)
     ends = staged(offsets.join(plan, on_source).where("epochs < {} AND before < rest AND before + slice_size > 0".format(EPOCHS))
                   .select(offsets.source, "slice", "before", "rest"), "mix-offsets")
-    rows = spread.join(ends, spread.source.eqNullSafe(ends.source) & (spread.slice == ends.slice)).select(
-        spread.source, spread.slice, "draw", "size", "before", "rest")
+    rows = by_source(spread, ends.withColumnRenamed("slice", "end")).where("slice = end").select(
+        "source", "slice", "draw", "size", "before", "rest")
     # Equal draws count as one: the frame takes in all of them.
     running = Window.partitionBy("source", "slice").orderBy("draw").rangeBetween(Window.unboundedPreceding, 0)
     taken = rows.withColumn("sum", F.col("before") + F.sum("size").over(running)).where(
         F.col("sum") - F.col("size") / 2 <= F.col("rest"))
     last = taken.groupBy("source").agg(F.max("draw").alias("last_key"))
-    return plan.join(last, plan.source.eqNullSafe(last.source), "left").select(
-        plan.source, "source_size", "target", F.col("epochs").cast("int").alias("epochs"), "last_key")
+    return staged(plan.join(last, plan.source.eqNullSafe(last.source), "left").select(
+        plan.source, "source_size", "target", F.col("epochs").cast("int").alias("epochs"), "last_key"), "mix-plan")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
@@ -113,7 +131,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     kept = kept.withColumn("draw", draw_key(F.col("key"), F.col("size"), weight)).drop("quality", "key")
     plan = mix_plan(kept.select("source", "size", "draw"))
     copies = F.col("epochs") + F.when(F.col("draw") <= F.col("last_key"), 1).otherwise(0)
-    out = kept.join(plan, kept.source.eqNullSafe(plan.source)).withColumn("copies", copies)
+    out = by_source(kept, plan).withColumn("copies", copies)
     columns = [c for c in docs.columns if c != name]
     return out.select(
         *[F.col(f"row.`{c}`") for c in columns],
@@ -128,7 +146,7 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
     drawn = thin.withColumn("draw", draw_key(F.col("doc_id"), F.col("size"), F.col("quality")))
     plan = mix_plan(drawn.select("source", "size", "draw"))
     copies = F.col("epochs") + F.when(F.col("draw") <= F.col("last_key"), 1).otherwise(0)
-    return drawn.join(plan, drawn.source.eqNullSafe(plan.source)).select(
+    return by_source(drawn, plan).select(
         "doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"))
 
 
