@@ -36,13 +36,17 @@ def _ends_open() -> Column:
 
 # ---- segments ----------------------------------------------------------------
 def strip_front_matter(docs: DataFrame) -> DataFrame:
-    """``(doc_key, text)`` to one segment each; ``line_base`` counts the lines dropped."""
+    """``(doc_key, text)`` to one segment each; ``line_base`` counts the lines dropped.
+
+    ``head`` is the front matter itself: a compile scans it for secrets, though no block comes from it.
+    """
     matter = F.regexp_extract(F.col("text"), fixed.DOCUMENT_FRONT_MATTER, 0)
     return docs.select(
         "doc_key",
         F.lit(0).alias("seg_no"),
         T.newlines(matter).alias("line_base"),
         F.substring(F.col("text"), F.length(matter) + 1, F.length("text")).alias("text"),
+        matter.alias("head"),
     )
 
 

@@ -75,13 +75,16 @@ def compile_corpus(segments: DataFrame, taken: DataFrame, context: emit.RenderCo
                    top: int | None = None) -> Compiled:
     """Scan, refuse, extract, assign, name and render every document of a corpus.
 
-    ``sources(doc_key, source)`` gives the header's source label; ``raw(doc_key, text)`` are
-    the whole files, when ``segments`` lack their front matter. Both are scanned too. Refusal comes
+    ``sources(doc_key, source)`` gives the header's source label; it is scanned too, as is the front matter that
+    ``segments`` carry in ``head``. ``raw(doc_key, text)`` are whole files, for segments that were cut
+    from files without ``head``; segments with neither are a conversation's own turns. Refusal comes
     first and removes whole documents; no later frame sees a row of them. ``namespace`` names
     the library of a candidate from its columns; names clash within one only. ``top`` bounds
     segment and fence numbers when the caller knows them.
     """
     heads = [] if raw is None else [raw]
+    if "head" in segments.columns:
+        heads.append(segments.select("doc_key", F.col("head").alias("text")).where("text <> ''"))
     if sources is not None:
         heads.append(sources.select("doc_key", F.col("source").alias("text")))
     accepted, refused = refuse.refuse_segments(segments, patterns, heads)

@@ -110,9 +110,17 @@ def compile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  F.lit(0).alias("chars"))
     refused = out.refused.select(F.lit("refused").alias("outcome"), F.col("label").alias("what"),
                                  F.lit(0).alias("chars"))
+    counted = out.accounting.select(F.lit("accounted").alias("outcome"), F.lit("fences").alias("what"), F.sum("fences_seen").alias("n"),
+                                    F.lit(0).cast("long").alias("chars"))
     return drafted.unionByName(skipped).unionByName(refused).groupBy("outcome", "what").agg(
         F.count("*").alias("n"), F.sum("chars").alias("chars")
-    )
+    ).unionByName(counted)
+
+
+def fence_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a compile says of every document: fences as extracted against drafts and skips as they come out."""
+    return compile_corpus(segments(spark, sf_dir), taken(spark, sf_dir), CONTEXT, enabled=EMITTERS,
+                          similarity=False, top=fence_bound(spark, sf_dir)).accounting
 
 
 def compile_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +132,7 @@ def compile_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "compile_by_name": compile_by_name,
+    "fence_accounting": fence_accounting,
     "assign_emitter": assign_emitter,
     "propose_filename": propose_filename,
     "resolve_collisions": resolve_names,
@@ -226,7 +235,12 @@ ORACLES = {
           SELECT 'draft' AS outcome, emitter AS what, length({_CONTENT}) AS chars FROM (
             SELECT d.* REPLACE (f.filename AS filename, '-' AS source) FROM drafts d JOIN final f USING (doc_key, fence_no))
           UNION ALL SELECT 'skipped', coalesce(reason, 'unsupported-emitter'), 0 FROM revised
-          WHERE reason IS NOT NULL OR lang = 'powershell') GROUP BY ALL""",
+          WHERE reason IS NOT NULL OR lang = 'powershell') GROUP BY ALL
+        UNION ALL SELECT 'accounted', 'fences', count(*), 0 FROM revised""",
+    "fence_accounting": FENCES + """
+        SELECT doc_key, count(*) AS fences_seen, count(*) FILTER (WHERE reason IS NULL AND lang <> 'powershell') AS drafts,
+          count(reason) AS skipped, count(*) FILTER (WHERE reason IS NULL AND lang = 'powershell') AS unsupported
+        FROM revised GROUP BY doc_key""",
     "name_drafts": NAMED + " SELECT doc_key, fence_no, kind, filename, n > 1 AS renamed FROM final",
     "compile_by_name": NAMED + f"""
         SELECT doc_key, fence_no, 'draft' AS outcome, filename AS what FROM final

@@ -153,14 +153,6 @@ def document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.document_stats(found(spark, sf_dir), segments(spark, sf_dir))
 
 
-def fence_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = fences(spark, sf_dir)
-    outcomes = revised(spark, sf_dir).withColumn(
-        "outcome", F.when(F.col("reason").isNull(), "draft").otherwise("skipped")
-    )
-    return X.fence_accounting(seen, outcomes)
-
-
 def fence_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: conversations to fences to outcomes, by language and type."""
     return found(spark, sf_dir).groupBy("lang", "artifact_type", "reason").agg(
@@ -190,7 +182,6 @@ QUERIES = {
     "dedup_against_library": dedup_against_library,
     "extract_stats": extract_stats,
     "document_stats": document_stats,
-    "fence_accounting": fence_accounting,
     "fence_census": fence_census,
 }
 
@@ -365,9 +356,6 @@ ORACLES = {
         SELECT conv_id AS doc_key, count(fence_no) AS fences_seen, max(idx) AS turns,
           TRUE AS transcript_mode, count(*) FILTER (WHERE fence_no IS NOT NULL AND reason IS NULL) AS candidates
         FROM corpus LEFT JOIN ruled ON conv_id = doc_key AND idx = turn GROUP BY conv_id""",
-    "fence_accounting": FENCES + """
-        SELECT doc_key, count(*) AS fences_seen, count(*) FILTER (WHERE reason IS NULL) AS drafts,
-          count(reason) AS skipped, CAST(0 AS BIGINT) AS unsupported FROM revised GROUP BY doc_key""",
     "fence_census": FENCES + """
         SELECT lang, artifact_type, reason, count(*) AS n_fences, count(DISTINCT doc_key) AS n_docs,
           count(DISTINCT sha256) AS n_bodies FROM ruled GROUP BY ALL""",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snipmill.operators import imports as I
+from snipmill.operators.extract import fence_accounting
 from snipmill.plans.corpus import derived, turns
 from snipmill.plans.queries_emit import drafts, CONTEXT
 from snipmill.plans.queries_imports import CANONICAL, TAKEN, _headers
@@ -120,9 +121,10 @@ def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sink_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "drafts")
-    rows = emit.render_drafts(drafts(spark, sf_dir), CONTEXT).withColumns({
+    found = drafts(spark, sf_dir)
+    rows = emit.render_drafts(found, CONTEXT).withColumns({
         "namespace": F.lit("library"), "renamed": F.lit(False)})
-    sinks.sink_drafts(rows, folder)
+    sinks.sink_drafts(rows, folder, fence_accounting(found, rows.select("doc_key", F.lit("draft").alias("outcome"))))
     read = spark.read.schema("filename string, emitter string, content string, kind string").parquet(folder)
     return read.groupBy("kind", "emitter").agg(
         F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))

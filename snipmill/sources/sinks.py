@@ -71,13 +71,12 @@ def sink_transcript_files(pieces: DataFrame, destinations: DataFrame, root: str)
 _WRITTEN = pa.schema([("destination", pa.string()), ("n_parts", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string())])
 
 
-def sink_drafts(drafts: DataFrame, path: str, accounting: DataFrame | None = None) -> None:
+def sink_drafts(drafts: DataFrame, path: str, accounting: DataFrame) -> None:
     """Append rendered drafts by kind; names were settled before this job runs.
 
-    With ``accounting`` nothing is written unless every fence of the compile is accounted for.
+    Nothing is written unless ``accounting`` (of the compile that made the drafts) accounts for every fence.
     """
-    if accounting is not None:
-        accounting.write.format("noop").mode("overwrite").save()
+    accounting.write.format("noop").mode("overwrite").save()
     rows = drafts.select("filename", "emitter", "content", "renamed", "namespace", "kind")
     rows.write.mode("append").partitionBy("kind").parquet(path)
 

@@ -88,7 +88,7 @@ def test_import(spark):
 def _compile(spark, docs, sources=None, **more):
     frame = spark.createDataFrame(docs, "doc_key int, text string")
     none = spark.createDataFrame([], "namespace string, kind string, filename string")
-    return compile_corpus(X.strip_front_matter(frame), none, CONTEXT, sources=sources, raw=frame, top=0, **more)
+    return compile_corpus(X.strip_front_matter(frame), none, CONTEXT, sources=sources, top=0, **more)
 
 
 def test_secrets_of_headers_and_labels_refuse(spark):
