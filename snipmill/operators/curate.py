@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from snipmill import fixed
 from snipmill.functions import text as T
-from snipmill.operators.running import add_rank
+from snipmill.operators.running import add_rank, join_status
 
 
 def ref_of(arg: Column) -> Column:
@@ -67,6 +67,12 @@ def _whole_request(rows: DataFrame) -> DataFrame:
     return rows.drop("fault").join(faults, "request_id", "left")
 
 
+def _tag_status(requests: DataFrame, tags: DataFrame, refs: DataFrame) -> DataFrame:
+    """A row for each asked (ref, tag): what ``refs`` (a row a ref) says, and whether the tag is there."""
+    present = tags.select("ref", "tag").distinct().withColumn("_present", F.lit(True))
+    return requests.select("ref", "tag").distinct().join(refs, "ref", "left").join(present, ["ref", "tag"], "left")
+
+
 def tag_add(tags: DataFrame, requests: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(outcomes, tags)`` after adding ``requests(request_id, ref, tag)``.
 
@@ -75,9 +81,8 @@ def tag_add(tags: DataFrame, requests: DataFrame, files: DataFrame) -> tuple[Dat
     """
     now = locate_artifact(files).select("ref", F.col("state").alias("_state"), F.col("compiled").alias("_now"))
     held = tags.groupBy("ref").agg(F.max("compiled").alias("_held"))
-    present = tags.select("ref", "tag").distinct().withColumn("_present", F.lit(True))
     rows = (
-        requests.join(now, "ref", "left").join(held, "ref", "left").join(present, ["ref", "tag"], "left")
+        join_status(requests, _tag_status(requests, tags, now.join(held, "ref", "full")), ["ref", "tag"])
         .withColumn("fault", T.first_of([
             (~F.col("tag").rlike(fixed.NAME_RULE), "invalid-name"),
             (F.col("_state").isNull(), "unknown-artifact"),
@@ -107,9 +112,8 @@ def tag_remove(tags: DataFrame, requests: DataFrame, files: DataFrame) -> tuple[
     known = tags.select("ref").distinct().withColumn("_tagged", F.lit(True))
     alive = locate_artifact(files).where(F.col("compiled").isNotNull()).select(
         "ref", F.lit(True).alias("_alive"))
-    present = tags.select("ref", "tag").distinct().withColumn("_present", F.lit(True))
-    rows = requests.join(known, "ref", "left").join(alive, "ref", "left").join(
-        present, ["ref", "tag"], "left"
+    rows = join_status(
+        requests, _tag_status(requests, tags, known.join(alive, "ref", "full")), ["ref", "tag"]
     ).withColumn("fault", T.first_of([
         (~F.col("tag").rlike(fixed.NAME_RULE), "invalid-name"),
         (F.col("_tagged").isNull() & F.col("_alive").isNull(), "unknown-artifact"),

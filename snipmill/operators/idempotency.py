@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snipmill.functions import text as T
+from snipmill.operators.running import join_status
 
 
 def fingerprint(document: Column) -> Column:
@@ -52,9 +53,10 @@ def decide(requests: DataFrame, store: DataFrame) -> DataFrame:
     """
     stored = store.select(
         "idempotency_key", F.col("request_fingerprint").alias("_print"), "disposition", "result_json")
-    opener = requests.groupBy("idempotency_key").agg(
+    opener = requests.where(F.col("idempotency_key").isNotNull()).groupBy("idempotency_key").agg(
         F.min(F.struct("arrival", "request_fingerprint")).alias("_first"))
-    rows = requests.join(stored, "idempotency_key", "left").join(opener, "idempotency_key", "left")
+    # One row for each key that is asked, then one join with the requests.
+    rows = join_status(requests, opener.join(stored, "idempotency_key", "left"), ["idempotency_key"])
     own = F.col("request_fingerprint")
     unseen = F.col("_print").isNull()
     decision = (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from snipmill import fixed
 from snipmill.functions import text as T
+from snipmill.operators.running import join_status
 from snipmill.session import cut_lineage
 
 SCHEMAS = "record"  # prefix of schema names in manifests
@@ -184,7 +185,7 @@ def bound_record(requests: DataFrame, revisions: DataFrame, integrity: DataFrame
     known = revisions.select(F.col("id").alias("revision_id"), "content_hash").join(
         integrity.select(F.col("id").alias("revision_id"), "failure"), "revision_id", "left")
     asked = requests.select("revision_id").distinct()
-    rows = _with_status(requests, asked.join(known, "revision_id", "left"), ["revision_id"]).withColumn("code", T.first_of([
+    rows = join_status(requests, asked.join(known, "revision_id", "left"), ["revision_id"]).withColumn("code", T.first_of([
         (~is_id(F.col("revision_id"), "rev"), "validation_error"),
         (~is_id(F.col("created_by"), "act"), "validation_error"),
         (F.col("content_hash").isNull(), "revision_not_found"),
@@ -239,19 +240,6 @@ def asked_by_publication(requests: DataFrame, publications: DataFrame, revisions
     return pubs, some, verify_manifest(some, stored)
 
 
-def _with_status(requests: DataFrame, status: DataFrame, keys: list[str]) -> DataFrame:
-    """``requests`` with the one row that ``status`` has for their keys; null keys are keys.
-
-    ``status`` is written first: the join is then the only one on its exchange, and adaptive execution can split a
-    key that very many requests share.
-    """
-    held = cut_lineage(status).withColumnsRenamed({k: f"_k_{k}" for k in keys})
-    same = F.lit(True)
-    for k in keys:
-        same = same & requests[k].eqNullSafe(F.col(f"_k_{k}"))
-    return requests.join(held, same, "left").drop(*[f"_k_{k}" for k in keys])
-
-
 def _channel_status(requests: DataFrame, known: DataFrame, publications: DataFrame) -> DataFrame:
     """A row for each asked (revision_id, channel): what is known of the revision, and its publication there."""
     pairs = requests.select("revision_id", "channel").distinct()
@@ -304,7 +292,7 @@ def publish(requests: DataFrame, revisions: DataFrame, integrity: DataFrame, gov
     known = revisions.select(F.col("id").alias("revision_id"), "artifact_id", "content_hash").join(
         integrity.select(F.col("id").alias("revision_id"), "failure"), "revision_id", "left").join(
         governance.withColumnRenamed("id", "revision_id"), "revision_id", "left")
-    rows = _with_status(requests, _channel_status(requests, known, publications), ["revision_id", "channel"])
+    rows = join_status(requests, _channel_status(requests, known, publications), ["revision_id", "channel"])
     state_ok = F.coalesce(F.col("verification_state").isin(*fixed.EXECUTABLE_STATES), F.lit(False))
     judged = rows.withColumn("code", T.first_of([
         (~is_id(F.col("revision_id"), "rev"), "validation_error"),
@@ -321,7 +309,7 @@ def publish(requests: DataFrame, revisions: DataFrame, integrity: DataFrame, gov
     first = judged.where(F.col("code").isNull()).groupBy("revision_id", "channel").agg(
         F.min("request_id").alias("_first"))
     made_id = new_id("pub", F.col("_first").cast("string"))
-    settled = _with_status(judged, first, ["revision_id", "channel"])
+    settled = join_status(judged, first, ["revision_id", "channel"])
     outcomes = settled.select(
         "request_id",
         F.when(F.col("code").isNull(), F.when(F.col("_first") == F.col("request_id"), "published")
@@ -379,7 +367,7 @@ def resolve_publication(requests: DataFrame, publications: DataFrame, revisions:
     revs = revisions.select(F.col("id").alias("revision_id"), "content_hash", "manifest").join(
         integrity.select(F.col("id").alias("revision_id"), "failure"), "revision_id", "left")
     asked = requests.select("publication_id").distinct()
-    rows = _with_status(requests, asked.join(pubs, "publication_id", "left").join(revs, "revision_id", "left"), ["publication_id"])
+    rows = join_status(requests, asked.join(pubs, "publication_id", "left").join(revs, "revision_id", "left"), ["publication_id"])
     code = T.first_of([
         (~is_id(F.col("publication_id"), "pub"), "validation_error"),
         (F.col("publication_state").isNull(), "artifact_not_published"),
@@ -404,7 +392,7 @@ def execution_eligibility(requests: DataFrame, revisions: DataFrame, integrity:
         F.col("id").alias("revision_id"), "artifact_type", "entries", F.col("content_hash").alias("_hash")
     ).join(integrity.select(F.col("id").alias("revision_id"), "failure"), "revision_id", "left").join(
         governance.withColumnRenamed("id", "revision_id"), "revision_id", "left")
-    rows = _with_status(requests, _channel_status(requests, revs, publications), ["revision_id", "channel"])
+    rows = join_status(requests, _channel_status(requests, revs, publications), ["revision_id", "channel"])
     state_ok = F.coalesce(F.col("verification_state").isin(*fixed.EXECUTABLE_STATES), F.lit(False))
     runs = F.exists("entries", lambda e: (e["path"] == F.col("entrypoint")) & e["executable"])
     code = T.first_of([

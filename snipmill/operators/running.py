@@ -92,6 +92,19 @@ def add_total(df: DataFrame, key: list[str], spec: Running, top: int,
     return df.join(df.groupBy(*key).agg(_total(spec).alias(spec.name)), key, "left")
 
 
+def join_status(rows: DataFrame, status: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the one row that ``status`` has for their keys; null keys are keys.
+
+    ``status`` is written first: the join is then the only one on its exchange, and adaptive execution can split a
+    key that very many rows share.
+    """
+    held = cut_lineage(status).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(held, same, "left").drop(*[f"_k_{k}" for k in keys])
+
+
 def add_rank(df: DataFrame, key: list[str], order: list[str], name: str,
              partitions: int | None = None) -> DataFrame:
     """1-based rank per key in an order that has no integer position.
