@@ -150,9 +150,58 @@ def _front_matter(rows: list[tuple[str, Column]]) -> Column:
     return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n"))
 
 
+@dataclass(frozen=True)
+class Parts:
+    """What a renderer may put together: columns of a draft and of its header."""
+
+    body: Column      # without a shebang line
+    whole: Column     # with it
+    shebang: Column   # that line with its end, or nothing
+    dialect: Column
+    rows: list[tuple[str, Column]]  # header rows in order
+
+    def comments(self, prefix: str, rows: list[tuple[str, Column]] | None = None) -> Column:
+        return _comment_header(prefix, self.rows if rows is None else rows)
+
+    def matter(self, kind: str, extra: list[tuple[str, Column]] | None = None) -> Column:
+        """Front matter with JSON values."""
+        fields = [("kind", T.json_string(F.lit(kind)))]
+        for key, value in self.rows[:-1]:
+            fields.append((key, _json_list(F.col("flags")) if key == "risk-flags" else T.json_string(value)))
+        return _front_matter([*fields, *(extra or []), ("verify-with", T.json_string(F.lit(fixed.FILL_IN)))])
+
+
+def _bash(p: Parts) -> Column:
+    return F.concat(F.lit(fixed.BASH_SHEBANG), p.comments("#"), F.lit(fixed.BASH_PREAMBLE + "\n"), p.body)
+
+
+def _python(p: Parts) -> Column:
+    return F.concat(F.lit(fixed.PYTHON_SHEBANG), p.comments("#"), F.lit("\n"), p.body)
+
+
+def _powershell(p: Parts) -> Column:
+    return F.concat(p.shebang, p.comments("#"), F.lit("\n"), p.body)
+
+
+def _sql(p: Parts) -> Column:
+    return F.concat(p.comments("--", [p.rows[0], ("dialect", p.dialect), *p.rows[1:]]), F.lit("\n"), p.whole)
+
+
+def _prompt(p: Parts) -> Column:
+    return F.concat(p.matter("prompt", [("placeholders", _json_list(find_placeholders(p.whole)))]), F.lit("\n"), p.whole)
+
+
+def _runbook(p: Parts) -> Column:
+    return F.concat(p.matter("runbook"), F.lit("\n"), p.whole)
+
+
+#: Text of a draft by the name of its emitter.
+RENDERERS = {"bash": _bash, "python": _python, "powershell": _powershell, "sql": _sql, "prompt": _prompt, "runbook": _runbook}
+
+
 @T.built_once
-def render(context: RenderContext) -> Column:
-    """Whole text of a draft, from the columns of ``name_drafts`` and ``source``."""
+def render(context: RenderContext, renderers: tuple) -> Column:
+    """Whole text of a draft, from the columns of ``name_drafts`` and ``source``; ``renderers`` are (name, function)."""
     body, flags = F.col("body"), F.col("flags")
     compiled = F.lit(f"{context.tool} {context.compiled_at}")
     rows = [
@@ -164,37 +213,20 @@ def render(context: RenderContext) -> Column:
         ("risk-flags", F.when(F.size(flags) > 0, F.array_join(flags, ", ")).otherwise("none")),
         ("verify-with", F.lit(fixed.FILL_IN)),
     ]
-    dialect = F.coalesce("dialect", F.lit(context.default_dialect), F.lit("unspecified"))
-    bare = T.artifact_body(body, strip_shebang=True)
-    whole = T.artifact_body(body)
     shebang = T.rstrip(F.regexp_extract(T.unix_newlines(body), r"\A#![^\n]*\n?", 0))
-    hoisted = F.when(shebang != "", F.concat(shebang, F.lit("\n"))).otherwise("")
-
-    def quoted(kind: str, extra: list[tuple[str, Column]]) -> Column:
-        fields = [("kind", T.json_string(F.lit(kind)))]
-        for key, value in rows[:-1]:
-            fields.append((key, _json_list(flags) if key == "risk-flags" else T.json_string(value)))
-        return _front_matter([*fields, *extra, ("verify-with", T.json_string(F.lit(fixed.FILL_IN)))])
-
-    hashed = _comment_header("#", rows)
-    emitter = F.col("emitter")
-    return (
-        F.when(emitter == "bash", F.concat(
-            F.lit(fixed.BASH_SHEBANG), hashed, F.lit(fixed.BASH_PREAMBLE + "\n"), bare))
-        .when(emitter == "python", F.concat(F.lit(fixed.PYTHON_SHEBANG), hashed, F.lit("\n"), bare))
-        .when(emitter == "powershell", F.concat(hoisted, hashed, F.lit("\n"), bare))
-        .when(emitter == "sql", F.concat(
-            _comment_header("--", [rows[0], ("dialect", dialect), *rows[1:]]), F.lit("\n"), whole))
-        .when(emitter == "prompt", F.concat(
-            quoted("prompt", [("placeholders", _json_list(find_placeholders(whole)))]),
-            F.lit("\n"), whole))
-        .when(emitter == "runbook", F.concat(quoted("runbook", []), F.lit("\n"), whole))
-    )
+    parts = Parts(
+        body=T.artifact_body(body, strip_shebang=True), whole=T.artifact_body(body),
+        shebang=F.when(shebang != "", F.concat(shebang, F.lit("\n"))).otherwise(""),
+        dialect=F.coalesce("dialect", F.lit(context.default_dialect), F.lit("unspecified")), rows=rows)
+    chain = None
+    for name, make in renderers:
+        chain = (F if chain is None else chain).when(F.col("emitter") == name, make(parts))
+    return chain
 
 
-def render_drafts(named: DataFrame, context: RenderContext) -> DataFrame:
+def render_drafts(named: DataFrame, context: RenderContext, renderers: tuple = tuple(RENDERERS.items())) -> DataFrame:
     """Drafts with ``content``; needs ``source`` and the columns of ``name_drafts``."""
-    return named.withColumn("content", render(context))
+    return named.withColumn("content", render(context, tuple(renderers)))
 
 
 # ---- check plans ---------------------------------------------------------------------
@@ -226,25 +258,28 @@ def _plan_notes(default_dialect: str | None) -> Column:
     ))
 
 
-def plans(drafts: DataFrame, default_dialect: str | None = None) -> DataFrame:
+def plans(drafts: DataFrame, default_dialect: str | None = None,
+          incomplete: tuple[str, ...] = fixed.INCOMPLETE_PLANS) -> DataFrame:
     """One plan per draft: whether it can establish a pass, and its notes."""
     return drafts.withColumns({
-        "complete": ~F.col("emitter").isin(*fixed.INCOMPLETE_PLANS),
+        "complete": ~F.col("emitter").isin(*incomplete),
         "notes": _plan_notes(default_dialect),
     })
 
 
-def plan_checks(drafts: DataFrame, default_dialect: str | None = None) -> DataFrame:
-    """Each draft with its checks in order, one row per check."""
-    return plans(drafts, default_dialect).select("*", F.inline(_check_rows(default_dialect)))
+def plan_checks(drafts: DataFrame, default_dialect: str | None = None, checks: Sequence[tuple] = fixed.CHECKS,
+                incomplete: tuple[str, ...] = fixed.INCOMPLETE_PLANS) -> DataFrame:
+    """Each draft with its checks in order, one row per check of ``checks`` (emitter, seq, name, kind, required, tool, argv)."""
+    table = tuple((*row[:6], tuple(row[6])) for row in checks)
+    return plans(drafts, default_dialect, incomplete).select("*", F.inline(_check_rows(default_dialect, table)))
 
 
 @T.built_once
-def _check_rows(default_dialect: str | None) -> Column:
+def _check_rows(default_dialect: str | None, checks: tuple) -> Column:
     dialect = F.coalesce(F.col("dialect"), F.lit(default_dialect))
     linter = T.lookup(fixed.SQL_LINT_DIALECTS, F.lower(dialect), F.lit(fixed.SQL_LINT_FALLBACK))
     listed = None
-    for emitter in dict.fromkeys(row[0] for row in fixed.CHECKS):
+    for emitter in dict.fromkeys(row[0] for row in checks):
         rows = [
             F.struct(
                 F.lit(seq).alias("seq"), F.lit(name).alias("check_name"),
@@ -253,7 +288,7 @@ def _check_rows(default_dialect: str | None) -> Column:
                 (F.array(*[linter if a == "{dialect}" else F.lit(a) for a in argv])
                  if argv else F.array().cast("array<string>")).alias("argv"),
             )
-            for owner, seq, name, kind, required, tool, argv in fixed.CHECKS if owner == emitter
+            for owner, seq, name, kind, required, tool, argv in checks if owner == emitter
         ]
         listed = (F if listed is None else listed).when(F.col("emitter") == emitter, F.array(*rows))
     return listed

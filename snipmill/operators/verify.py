@@ -6,6 +6,8 @@ tools that run outside (linters, parsers) arrive as rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,10 +60,10 @@ def split_ref(artifacts: DataFrame) -> DataFrame:
     })
 
 
-def emitter_of(kind: Column, filename: Column) -> Column:
-    """The one built-in rule that makes files of this kind and extension."""
+def emitter_of(kind: Column, filename: Column, rules: Sequence[tuple] = fixed.EMITTERS) -> Column:
+    """The first rule that makes files of this kind and extension."""
     chain = None
-    for name, _, _, extension, _, folder in fixed.EMITTERS:
+    for name, _, _, extension, _, folder in rules:
         chain = (F if chain is None else chain).when(
             (kind == folder) & (F.regexp_extract(filename, r"[^.](\.[^.]*)\z", 1) == extension),
             F.lit(name),
@@ -69,13 +71,13 @@ def emitter_of(kind: Column, filename: Column) -> Column:
     return chain
 
 
-def header_fields(artifacts: DataFrame) -> DataFrame:
+def header_fields(artifacts: DataFrame, rules: Sequence[tuple] = fixed.EMITTERS) -> DataFrame:
     """Emitter, dialect and risk flags as recovered from the file itself."""
     matter = F.col("_fm")
     raw = F.element_at(matter["fields"], F.lit("risk-flags"))
     listed = F.when(_is_string_list(raw), F.from_json(raw, "array<string>"))
     is_md = F.col("filename").endswith(".md")
-    named = split_ref(artifacts).withColumn("emitter", emitter_of(F.col("kind"), F.col("filename")))
+    named = split_ref(artifacts).withColumn("emitter", emitter_of(F.col("kind"), F.col("filename"), rules))
     return named.withColumn(
         "_fm", F.when(is_md, _front_matter())
     ).withColumns({
@@ -85,10 +87,11 @@ def header_fields(artifacts: DataFrame) -> DataFrame:
     }).drop("_fm")
 
 
-def rebuild_plan(artifacts: DataFrame) -> DataFrame:
+def rebuild_plan(artifacts: DataFrame, rules: Sequence[tuple] = fixed.EMITTERS, checks: Sequence[tuple] = fixed.CHECKS,
+                 incomplete: tuple[str, ...] = fixed.INCOMPLETE_PLANS) -> DataFrame:
     """The check plan of a file, from its name and header alone."""
-    fields = header_fields(artifacts).withColumn("body", F.col("text"))
-    return emit.plan_checks(fields.where(F.col("emitter").isNotNull()))
+    fields = header_fields(artifacts, rules).withColumn("body", F.col("text"))
+    return emit.plan_checks(fields.where(F.col("emitter").isNotNull()), checks=checks, incomplete=incomplete)
 
 
 # ---- front matter ------------------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from snipmill import fixed
 from snipmill.functions import secrets as S
 from snipmill.operators import emit, events, extract, imports, refuse, verify
+from snipmill.plans.extensions import BUILT_IN, Extensions
 from snipmill.session import cut_lineage
 
 
@@ -72,7 +73,7 @@ def compile_corpus(segments: DataFrame, taken: DataFrame, context: emit.RenderCo
                    languages: Collection[str] = fixed.LANGUAGES, include_user: bool = False,
                    similarity: bool = True, patterns: S.Patterns | None = None,
                    raw: DataFrame | None = None, namespace: Column | None = None,
-                   top: int | None = None) -> Compiled:
+                   top: int | None = None, extensions: Extensions = BUILT_IN) -> Compiled:
     """Scan, refuse, extract, assign, name and render every document of a corpus.
 
     ``sources(doc_key, source)`` gives the header's source label; it is scanned too, as is the front matter that
@@ -95,7 +96,7 @@ def compile_corpus(segments: DataFrame, taken: DataFrame, context: emit.RenderCo
     if library is not None:
         revised = extract.dedup_against_library(revised, library)
     # Everything below reads the candidates several times: write them once.
-    assigned = cut_lineage(emit.assign_emitter(revised, emit.enabled_rules(enabled)))
+    assigned = cut_lineage(emit.assign_emitter(revised, emit.enabled_rules(enabled, extensions.rules)))
     skipped = assigned.where(F.col("reason").isNotNull()).select(
         "doc_key", "fence_no", "reason",
         F.when(F.col("reason").isin("superseded", "dupe-in-library", "unsupported-emitter"),
@@ -107,7 +108,7 @@ def compile_corpus(segments: DataFrame, taken: DataFrame, context: emit.RenderCo
         named = named.withColumn("source", F.lit("-"))
     else:
         named = named.join(sources.select("doc_key", "source"), "doc_key", "left")
-    drafts = emit.render_drafts(named, context)
+    drafts = emit.render_drafts(named, context, extensions.renderers)
     unsupported = F.col("reason") == "unsupported-emitter"
     outcomes = drafts.select("doc_key", F.lit("draft").alias("outcome")).unionByName(
         skipped.select("doc_key", F.when(unsupported, "unsupported").otherwise("skipped").alias("outcome")))
@@ -117,26 +118,16 @@ def compile_corpus(segments: DataFrame, taken: DataFrame, context: emit.RenderCo
     )
 
 
-def run_checks(artifacts: DataFrame, external: DataFrame | None = None) -> DataFrame:
+def run_checks(artifacts: DataFrame, external: DataFrame | None = None, extensions: Extensions = BUILT_IN) -> DataFrame:
     """Plan rows of every artifact with the status of each check.
 
-    Built-in checks run here; ``external(ref, check_name, status, detail)``
+    The checks of ``extensions`` run here; ``external(ref, check_name, status, detail)``
     brings what linters and parsers found. A check nobody ran is ``not-run``.
     """
-    planned = verify.rebuild_plan(artifacts)
-
-    def of(kind: str, extension: str) -> DataFrame:
-        return artifacts.where(F.col("ref").startswith(f"{kind}/") & F.col("ref").endswith(extension))
-
-    prompts, runbooks = of("prompts", ".md"), of("runbooks", ".md")
+    planned = verify.rebuild_plan(artifacts, extensions.rules, extensions.plan_rows, extensions.incomplete)
     outcomes = [
-        verify.lint_front_matter(prompts, "prompt"),
-        verify.lint_prompt_body(prompts),
-        verify.lint_placeholders(prompts),
-        verify.lint_front_matter(runbooks, "runbook"),
-        verify.lint_runbook_title(runbooks),
-        verify.lint_unlabeled_fences(runbooks),
-        verify.sql_lexical_profile(of("scripts", ".sql")).drop("dialect", "statements"),
+        check.run(artifacts.where(F.col("ref").startswith(f"{check.kind}/") & F.col("ref").endswith(check.extension)))
+        for check in extensions.checks
     ]
     if external is not None:
         outcomes.append(external.select("ref", "check_name", "status", "detail"))
@@ -147,11 +138,11 @@ def run_checks(artifacts: DataFrame, external: DataFrame | None = None) -> DataF
     })
 
 
-def verify_corpus(artifacts: DataFrame, verified_at: str, external: DataFrame | None = None
-                  ) -> DataFrame:
+def verify_corpus(artifacts: DataFrame, verified_at: str, external: DataFrame | None = None,
+                  extensions: Extensions = BUILT_IN) -> DataFrame:
     """One verification record per artifact ``(ref, text, state, compiled)``."""
-    results = run_checks(artifacts, external)
-    planned = verify.rebuild_plan(artifacts).select("ref", "emitter", "complete", "notes").distinct()
+    results = run_checks(artifacts, external, extensions)
+    planned = verify.rebuild_plan(artifacts, extensions.rules, extensions.plan_rows, extensions.incomplete).select("ref", "emitter", "complete", "notes").distinct()
     verdicts = verify.decide_verdict(results, planned)
     return artifacts.select(
         "ref", "state", "compiled", F.sha2("text", 256).alias("sha256"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 import io
 import tomllib
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
@@ -98,7 +98,7 @@ def _array(text: Column) -> Column:
     return F.when(text.rlike(r"\A\s*\["), F.from_json(text, "array<variant>"))
 
 
-def importer_scores(inputs: DataFrame) -> DataFrame:
+def importer_scores(inputs: DataFrame, importers: Mapping[str, tuple] = fixed.ADAPTER_KEYS) -> DataFrame:
     """Long table ``(path, adapter, score)``: how well each importer fits an input.
 
     JSON importers look at the keys of the first element only.
@@ -112,7 +112,7 @@ def importer_scores(inputs: DataFrame) -> DataFrame:
         markdown = markdown | low.endswith(ending)
     scores = [F.struct(F.lit(fixed.MARKDOWN_ADAPTER).alias("adapter"),
                        F.when(markdown, 1.0).otherwise(0.0).alias("score"))]
-    for adapter, needed in fixed.ADAPTER_KEYS.items():
+    for adapter, needed in importers.items():
         fits = suffix & F.size(F.array_intersect("keys", F.array(*[F.lit(k) for k in needed]))).eqNullSafe(
             F.lit(len(needed)))
         scores.append(F.struct(F.lit(adapter).alias("adapter"), F.when(fits, 1.0).otherwise(0.0).alias("score")))
@@ -120,14 +120,15 @@ def importer_scores(inputs: DataFrame) -> DataFrame:
         "path", F.inline(F.array(*scores)))
 
 
-def detect_format(inputs: DataFrame, adapter: str | None = None, scores: DataFrame | None = None) -> DataFrame:
+def detect_format(inputs: DataFrame, adapter: str | None = None, scores: DataFrame | None = None,
+                  keys: Mapping[str, tuple] = fixed.ADAPTER_KEYS) -> DataFrame:
     """``(path, adapter, error)``; no fit is unsupported, a tie at the top ambiguous."""
-    known = [fixed.MARKDOWN_ADAPTER, *fixed.ADAPTER_KEYS]
+    known = [fixed.MARKDOWN_ADAPTER, *keys]
     if adapter is not None:
         if adapter not in known:
             raise ValueError(f"unknown adapter {adapter!r}; known are {known}")
         return inputs.select("path", F.lit(adapter).alias("adapter"), F.lit(None).cast("string").alias("error"))
-    scored = importer_scores(inputs) if scores is None else scores
+    scored = importer_scores(inputs, keys) if scores is None else scores
     best = scored.groupBy("path").agg(
         F.max("score").alias("top"),
         F.max_by("adapter", "score").alias("adapter"),
