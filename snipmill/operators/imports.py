@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,16 +76,21 @@ def export_header(entries: DataFrame, adapter: str) -> DataFrame:
 
 
 # ---- tree-shaped exports -----------------------------------------------------------
-def tree_nodes(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(nodes, heads, errors)`` of tree-shaped entries."""
+def _shaped(entries: DataFrame) -> DataFrame:
+    """(conv_key, entry, error): what a tree-shaped entry must have."""
     entry = F.col("entry")
     mapping = _at(entry, "$.mapping")
     has_head = F.array_contains(F.map_keys(F.try_variant_get(entry, "$", "map<string,variant>")), "current_node")
-    shaped = entries.select(
+    return entries.select(
         "conv_key", "entry",
         F.when(~_is(mapping, "OBJECT"), "missing mapping").when(
             ~F.coalesce(has_head, F.lit(False)), "missing current_node").alias("error"),
     )
+
+
+def tree_nodes(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(nodes, heads, errors)`` of tree-shaped entries."""
+    shaped = _shaped(entries)
     good = shaped.where(F.col("error").isNull())
     nodes = good.select(
         "conv_key", F.explode(F.try_variant_get("entry", "$.mapping", "map<string,variant>"))
@@ -226,14 +232,59 @@ def flat_turns(messages: DataFrame) -> DataFrame:
 TURN_COLUMNS = ["idx", "role", "content_md", "ts", "metadata"]
 
 
+def _walks(ids: pa.Array, parents: pa.Array, talks: pa.Array, heads: pa.Array) -> pa.Array:
+    """For each tree the 1-based turn of every node, 0 off the active path or without a message; or what is wrong."""
+    out = []
+    for names, above, spoken, at in zip(*(c.to_pylist() for c in (ids, parents, talks, heads)), strict=True):
+        place = {name: i for i, name in enumerate(names or ())}
+        turns, path, error = [0] * len(place), {}, None
+        while at is not None and error is None:
+            i = place.get(at)
+            if i is None:
+                error = "missing mapping node" if path else "current_node is not in mapping"
+            elif i in path:
+                error = "cycle in mapping"
+            else:
+                path[i], at = None, above[i]
+        if error is None:  # a broken tree has no turns
+            for turn, i in enumerate((i for i in reversed(path) if spoken[i]), 1):
+                turns[i] = turn
+        out.append({"turns": turns, "error": error})
+    return pa.array(out, pa.struct([("turns", pa.list_(pa.int32())), ("error", pa.string())]))
+
+
+@T.built_once
+def _walk_udf():
+    return F.arrow_udf(_walks, "turns array<int>, error string")
+
+
+def walk_entries(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(messages, errors)`` of tree-shaped entries: the nodes of the active path with ``idx`` and ``message``.
+
+    An entry holds its whole tree, so it is walked where it lies, without a shuffle. Trees that come as tables of
+    nodes go through ``linearize_tree``.
+    """
+    shaped = _shaped(entries)
+    nodes = F.filter(F.map_entries(F.try_variant_get("entry", "$.mapping", "map<string,variant>")), lambda e: _is(e["value"], "OBJECT"))
+    trees = shaped.where(F.col("error").isNull()).select(
+        "conv_key", nodes.alias("nodes"), F.try_variant_get("entry", "$.current_node", "string").alias("head"))
+    walked = trees.select("conv_key", "nodes", _walk_udf()(
+        F.transform("nodes", lambda e: e["key"]),
+        F.transform("nodes", lambda e: F.try_variant_get(e["value"], "$.parent", "string")),
+        F.transform("nodes", lambda e: _is(_at(e["value"], "$.message"), "OBJECT")), F.col("head")).alias("walk"))
+    placed = walked.select("conv_key", F.explode(F.arrays_zip(F.col("nodes"), F.col("walk.turns").alias("idx"))).alias("n")).where("n.idx > 0")
+    messages = placed.select("conv_key", F.col("n.nodes.key").alias("node_id"), F.col("n.idx").alias("idx"),
+                             _at(F.col("n.nodes.value"), "$.message").alias("message"))
+    errors = walked.where("walk.error IS NOT NULL").select("conv_key", F.col("walk.error").alias("error"))
+    wrong = errors.unionByName(shaped.where(F.col("error").isNotNull()).select("conv_key", "error"))
+    return messages, wrong
+
+
 def import_tree(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(headers, turns, errors)`` of tree-shaped exports."""
-    nodes, heads, shape_errors = tree_nodes(entries)
-    linked = nodes.withColumn("has_message", F.col("message").isNotNull())
-    placed, walk_errors = linearize_tree(linked, heads)
-    messages = placed.join(nodes.select("conv_key", "node_id", "message"), ["conv_key", "node_id"])
+    messages, errors = walk_entries(entries)
     turns = tree_messages(messages).select(F.col("conv_key").alias("doc_key"), *TURN_COLUMNS)
-    return _settled(export_header(entries, fixed.TREE_ADAPTER), turns, shape_errors.unionByName(walk_errors))
+    return _settled(export_header(entries, fixed.TREE_ADAPTER), turns, errors)
 
 
 def import_flat(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -94,6 +94,22 @@ def linearize_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linearize(spark, sf_dir)[1]
 
 
+def walk_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same trees as entries of an export, each walked in its row; (conv_key, node_id, idx) or the error."""
+    nodes = derived(spark, sf_dir, NODES, "conversations")
+    message = F.when(F.col("has_message"), F.struct(F.lit("x").alias("id")))
+    node = F.struct("node_id", F.struct("parent", message.alias("message")).alias("node"))
+    trees = nodes.groupBy("conv_key").agg(F.map_from_entries(F.collect_list(node)).alias("mapping"))
+    heads = derived(spark, sf_dir, HEADS, "conversations")
+    entry = F.to_json(F.struct(F.coalesce("mapping", F.create_map().cast(trees.schema["mapping"].dataType)).alias("mapping"), "current_node"),
+                      {"ignoreNullFields": "false"})
+    entries = heads.join(trees, "conv_key", "left").select("conv_key", F.parse_json(entry).alias("entry"))
+    messages, errors = I.walk_entries(entries)
+    none = F.lit(None).cast("string")
+    return messages.select("conv_key", "node_id", "idx", none.alias("error")).unionByName(
+        errors.select("conv_key", none.alias("node_id"), F.lit(None).cast("int").alias("idx"), "error"))
+
+
 def _variant(spark: SparkSession, sf_dir: str, column: str, sql: str) -> DataFrame:
     rows = derived(spark, sf_dir, sql, "conversations")
     return rows.withColumn(column, F.parse_json("doc")).drop("doc")
@@ -203,6 +219,7 @@ QUERIES = {
     "import_corpus": import_corpus,
     "linearize_tree": linearize_tree,
     "linearize_errors": linearize_errors,
+    "walk_entries": walk_entries,
     "export_messages_a": export_messages_a,
     "export_messages_b": export_messages_b,
     "export_header": export_header,
@@ -348,3 +365,7 @@ ORACLES = {
         FROM ({CANONICAL})""",
     "transcript_slug": f"WITH {_slugs('TRUE')} SELECT * FROM placed",
 }
+
+ORACLES["walk_entries"] = f"""
+    SELECT conv_key, node_id, idx, NULL AS error FROM ({ORACLES["linearize_tree"]})
+    UNION ALL SELECT conv_key, NULL, NULL, error FROM ({ORACLES["linearize_errors"]})"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import zipfile
 
 import pytest
@@ -232,3 +233,23 @@ def test_transcript_files_are_whole(spark, tmp_path):
         assert (written[name].n_parts, written[name].n_bytes) == (5 if d < 7 else 1, len(text.encode()))
     assert not list(tmp_path.rglob("*.part"))
     assert sinks.sink_transcript_files(pieces.limit(0), places, str(tmp_path)).collect() == []
+
+
+def test_walk_in_a_row_equals_the_walk_by_joins(spark):
+    rng = random.Random(3)
+    entries = [("none", {"mapping": {}, "current_node": None}), ("bad", {"mapping": [], "current_node": "a"}), ("headless", {"mapping": {}}),
+               ("odd", {"mapping": {"a": 1, "b": {"parent": "a", "message": {}}}, "current_node": "b"}),
+               ("long", {"mapping": {str(i): {"parent": str(i - 1) if i else None, "message": {"id": i}} for i in range(5000)}, "current_node": "4999"})]
+    for k in range(60):
+        n = rng.randint(1, 12)
+        mapping = {f"n{i}": {"parent": rng.choice([None, f"n{rng.randrange(n + 1)}"]), **({"message": {"id": i}} if rng.random() < 0.8 else {})}
+                   for i in range(n)}
+        entries.append((f"k{k}", {"mapping": mapping, "current_node": rng.choice([None, f"n{rng.randrange(n + 1)}"])}))
+    frame = spark.createDataFrame([(k, json.dumps(e)) for k, e in entries], "conv_key string, json string").select(
+        "conv_key", F.parse_json("json").alias("entry")).cache()
+    messages, errors = I.walk_entries(frame)
+    nodes, heads, shape = I.tree_nodes(frame)
+    turns, walk = I.linearize_tree(nodes.withColumn("has_message", F.col("message").isNotNull()), heads)
+    assert sorted(map(tuple, messages.select("conv_key", "node_id", "idx").collect())) == sorted(map(tuple, turns.select("conv_key", "node_id", "idx").collect()))
+    assert sorted(map(tuple, errors.collect())) == sorted(map(tuple, shape.unionByName(walk).collect()))
+    assert "Exchange" not in messages._jdf.queryExecution().executedPlan().toString()
