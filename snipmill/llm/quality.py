@@ -158,8 +158,8 @@ def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        F.col(f"`{key}`").alias("key"), F.col(f"`{stratum}`").alias("stratum"),
                        measures(F.col(text)).alias("x")).select("row", "key", "stratum", "x.*")
-    thin = staged(rows.drop("row"), "quality")
-    cutoffs = staged(learn(thin, labels.select(F.col(key).alias("key"), "quality")), "cutoffs")
+    rows = staged(rows, "quality")  # each text is measured once, for the cutoffs and for its verdict
+    cutoffs = staged(learn(rows.drop("row"), labels.select(F.col(key).alias("key"), "quality")), "cutoffs")
     out = judge(rows, cutoffs)
     columns = [c for c in docs.columns if c != name]
     return out.select(*[F.col(f"row.`{c}`") for c in columns], F.struct(
