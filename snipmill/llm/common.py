@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -158,6 +160,19 @@ class Remembered(dict):
         return new.difference(self.old)
 
 
+_LOADED: dict[str, object] = {}
+
+
+def alone(name: str, make: Callable):
+    """What this worker process keeps for one operator; what another one kept goes before it is made."""
+    if name not in _LOADED:
+        _LOADED.clear()
+        gc.collect()
+        made = make()  # may load what it is made of, which then stays with it
+        _LOADED[name] = made
+    return _LOADED[name]
+
+
 def frequent_from(counts: DataFrame, most: int) -> int:
     """The least ``n`` at which at most ``most`` rows of ``counts`` have that much or more.
 

@@ -21,7 +21,6 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 from itertools import pairwise
 
 import numpy as np
@@ -30,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snipmill.llm.common import Remembered, table, tokenizer_file
+from snipmill.llm.common import Remembered, alone, table, tokenizer_file
 
 MARK = "▁"
 #: Characters of cuts that are matched at once, and cuts of a generation that a worker remembers.
 AT_ONCE, REMEMBERED, LONG = 400_000, 1 << 17, 256
 #: Characters of texts that are encoded together.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -271,9 +270,8 @@ class Vocabulary:
         return text[1:] if text.startswith(" ") else text
 
 
-@cache
 def vocabulary(name: str) -> Vocabulary:
-    return Vocabulary(name)
+    return alone(f"vocabulary {name}", lambda: Vocabulary(name))
 
 
 #: No piece goes from a letter to one of these signs.
@@ -318,10 +316,9 @@ class Memory(Remembered):
         return [b"".join(map(self.__getitem__, cuts)) for cuts in cut]
 
 
-@cache
 def memory(name: str) -> Memory:
     """One memory for all tasks of a worker process."""
-    return Memory(name)
+    return alone(f"pieces {name}", lambda: Memory(name))
 
 
 def encode(docs: DataFrame, name: str, text: str = "text", to: str = "piece_ids") -> DataFrame:
@@ -374,6 +371,34 @@ def decode(rows: DataFrame, name: str, ids: str = "piece_ids", to: str = "decode
         "row.*", F.col("decoded").alias(to))
 
 
+def coded(docs: DataFrame, name: str, columns: list[str], text: str = "text") -> DataFrame:
+    """``columns`` of ``docs`` with n_pieces, piece_ids and round_trip: encoded, decoded and compared in one pass.
+
+    The texts do not come back from the workers. Null and empty texts have an empty array, which gives them back.
+    Repeated rows are rows like any other, and an empty table gives none.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = memory(name)
+        back = found.vocabulary.decode
+        for batch in batches:
+            at = 0
+            for texts in _groups(batch.column(1)):
+                ids = found.encode(texts)
+                sizes = [len(x) // 4 for x in ids]
+                lists = pa.ListArray.from_arrays(np.cumsum([0, *sizes]).astype(np.int32), np.frombuffer(b"".join(ids), "<i4"))
+                same = [back(np.frombuffer(x, "<u4").tolist()) == t for x, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(texts)), pa.array(sizes, pa.int32()), lists, pa.array(same)],
+                    ["row", "n_pieces", "piece_ids", "round_trip"])
+                at += len(texts)
+
+    schema = (rows.select("row").schema.add("n_pieces", "integer").add("piece_ids", T.ArrayType(T.IntegerType()))
+              .add("round_trip", "boolean"))
+    return rows.mapInArrow(of, schema).select("row.*", "n_pieces", "piece_ids", "round_trip")
+
+
 def digests(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_pieces, ids_crc32, round_trip) of every row: encoded, decoded and compared in one pass."""
     kind = docs.schema[key].dataType.simpleString()

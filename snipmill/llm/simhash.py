@@ -457,13 +457,15 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8,
                 key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near duplicates, the one with the smallest key.
 
-    Of rows that repeat a key one stays; rows without a key all stay.
+    Of rows that repeat a key one stays, the same in every run; rows without a key all stay.
     """
     found = near_duplicates(docs, words, least=least, key=key, text=text)
     gone = staged(found.where(f"`{key}` <> component_id").select(key).distinct(), "duplicates")
     named = docs.where(F.col(f"`{key}`").isNotNull())
-    # Dropping repeated keys needs the rows by key, as the join brings them.
-    left = named.join(gone, key, "left_anti").dropDuplicates([key]).select(docs.columns)
+    # One of repeated keys needs the rows by key, as the join brings them; a hash of the row says which one.
+    row = [F.col(f"`{c}`") for c in docs.columns]
+    left = named.join(gone, key, "left_anti").groupBy(F.col(f"`{key}`").alias("_key")).agg(
+        F.min_by(F.struct(*row), F.xxhash64(*row)).alias("_row")).select("_row.*")
     return left.unionByName(docs.where(F.col(f"`{key}`").isNull()))
 
 

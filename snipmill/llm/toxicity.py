@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snipmill.llm.common import Remembered, staged, table
+from snipmill.llm.common import Remembered, alone, staged, table
 from snipmill.llm.token_files import chunks
 
 #: Lengths of n-grams in characters, with the marks of word ends.
@@ -101,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from ``docs`` (key, text) with ``labels`` (key, toxic); without both classes all score alike."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Grams(GENERATION)
+        known = alone("toxicity grams", lambda: Grams(GENERATION))
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 some = batch.slice(at, ROWS)
@@ -183,12 +183,16 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "toxic
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES numbers
     columns = [c for c in docs.columns if c != name]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(text).cast("string").alias("text"))
+    # The text goes to the workers once, inside its row, if the row has it as text.
+    inside = columns.index(text) if text in columns and docs.schema[text].dataType.typeName() == "string" else None
+    other = F.lit(None).cast("string") if inside is not None else F.col(f"`{text}`").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), other.alias("text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = scorer(shared.value)
         for batch in batches:
-            out = [found.of(texts) for texts in chunks(batch.column(1))]
+            column = batch.column(1) if inside is None else batch.column(0).field(inside)
+            out = [found.of(texts) for texts in chunks(column)]
             values = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["row", "score"])
 
@@ -214,14 +218,9 @@ class Scorer(Remembered):
         return 1 / (1 + np.exp(-np.clip(self.model.bias + values, -700, 700)))
 
 
-_SCORER: list[Scorer] = []
-
-
 def scorer(model: Model) -> Scorer:
-    """One memory for all tasks of a worker process that have the same model."""
-    if not _SCORER or _SCORER[0].model is not model:
-        _SCORER[:] = [Scorer(model)]
-    return _SCORER[0]
+    """One memory for all tasks of a worker process that have the same model; it holds the model, so its id is its own."""
+    return alone(f"toxicity {id(model)}", lambda: Scorer(model))
 
 
 def held_out(key) -> "F.Column":

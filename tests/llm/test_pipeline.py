@@ -78,3 +78,38 @@ def test_the_entry_works_without_this_subpackage(monkeypatch):
     for name in [m for m in sys.modules if m.startswith("snipmill.llm.")]:
         monkeypatch.delitem(sys.modules, name)
     assert not any(q.startswith("op1") or q == "pipeline" for q in importlib.reload(entry).queries())
+
+
+def odd_documents(spark):
+    """Nulls in every column, repeats, a long text, and columns with the names that the stages use themselves."""
+    good = " ".join(f"word{i} about things number{i * 7}." for i in range(40))
+    rows = [(i, good + f" own{i} " * 30, "en", "web", 9, "mine", "mine", "mine", "mine", "mine", 0.5) for i in range(12)]
+    rows += [(0, *rows[0][1:]), (0, rows[1][1] + " more", *rows[0][2:]), (20, None, "en", "web", 0, *rows[0][5:]),
+             (21, "", "en", "web", 0, *rows[0][5:]), (None, good, None, None, None, None, None, None, None, None, None),
+             (None, good, None, None, None, None, None, None, None, None, None), (22, good + " tail" + " long text here" * 30_000, None, "books", 1, *rows[0][5:])]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, verdict string, mix string, "
+                                       "copy string, row string, key string, toxic_score double").repartition(3)
+
+
+def test_stages_take_odd_rows_and_clashing_names(spark, sf_dir):
+    docs = odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = staged(stage(spark, docs, sf_dir), "odd")
+        assert out.columns == docs.columns, name
+        assert {r.verdict for r in out.collect()} <= {"mine", None}
+        assert {r.toxic_score for r in out.collect()} <= {0.5, None}
+        empty = stage(spark, docs.limit(0), sf_dir)
+        assert empty.columns == docs.columns and empty.collect() == []
+    coded = corpus_pipeline.encode_pieces(spark, docs, sf_dir).collect()
+    assert len(coded) == docs.count()
+    assert all(r.round_trip for r in coded)
+    assert corpus_pipeline.encode_pieces(spark, docs.limit(0), sf_dir).collect() == []
+
+
+def test_near_duplicates_of_repeated_keys_agree(spark, sf_dir):
+    docs = odd_documents(spark)
+    runs = [sorted(map(str, corpus_pipeline.drop_copies(spark, d, sf_dir).collect())) for d in (docs, docs.repartition(7), docs.coalesce(1))]
+    assert runs[0] == runs[1] == runs[2]
+    kept = corpus_pipeline.drop_copies(spark, docs, sf_dir).groupBy("doc_id").count().collect()
+    assert all(r["count"] == 1 for r in kept if r.doc_id is not None)
+    assert [r["count"] for r in kept if r.doc_id is None] == [2]
