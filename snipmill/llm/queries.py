@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from snipmill.llm import (
     byte_pieces, embedding_pairs, fill_middle, language_model, mixing, pieces, quality, simhash, term_search, token_counts,
     token_files, toxicity, warc,
@@ -13,6 +12,3 @@ _MODULES = [token_files, pieces, warc, token_counts, language_model, quality, mi
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
-QUERIES["pipeline"] = corpus_pipeline.run
-if corpus_pipeline.ORACLE_SQL is not None:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -75,11 +75,20 @@ def test_the_entry_works_without_this_subpackage(monkeypatch):
     full = set(entry.queries())
     assert {"pipeline", *(q for q in full if q.startswith("op"))} <= full
     monkeypatch.setitem(sys.modules, "snipmill.llm", None)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     for name in [m for m in sys.modules if m.startswith("snipmill.llm.")]:
         monkeypatch.delitem(sys.modules, name)
     assert not any(q.startswith("op1") or q == "pipeline" for q in importlib.reload(entry).queries())
 
 
+def test_the_operators_stay_without_the_pipeline(monkeypatch):
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    found = set(importlib.reload(entry).queries())
+    assert "pipeline" not in found and sum(q.startswith("op") and q[2].isdigit() for q in found) == 13
+
+
 def odd_documents(spark):
     """Nulls in every column, repeats, a long text, and columns with the names that the stages use themselves."""
     good = " ".join(f"word{i} about things number{i * 7}." for i in range(40))
