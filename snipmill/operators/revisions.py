@@ -5,9 +5,10 @@ opens a group. What "alike" is, ``similarity`` says; three bounds, each dearer t
 pairs that sum: lengths, counts of letters (for all open groups at once) and the longest common
 subsequence in bit-parallel form.
 
-A sequence is cut into chunks. One round settles one chunk of every sequence: the latest bodies of the
-groups so far, in tiles, are compared with the chunk by as many tasks as there are tiles, and a walk over the chunk
-then needs only the few matches that come out. Sequences of one chunk take one round.
+A sequence is cut into chunks, each twice as long as the one before until they have ``CHUNK`` bodies. One round settles
+one chunk of every sequence: the latest bodies of the groups so far, in tiles, are compared with the chunk by as many
+tasks as there are tiles, and a walk over the chunk then needs only the few matches that come out. Sequences of one chunk
+take one round.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from snipmill import fixed
 from snipmill.operators.running import add_rank
-from snipmill.session import cut_lineage
+from snipmill.session import written
 
-#: Bodies of a chunk, and groups of a tile.
+#: Bodies of a chunk at most, if the first one is not longer, and groups of a tile.
 CHUNK = 1024
 #: Classes of letters whose counts are compared. Letters that share a class only loosen the bound.
 _CLASSES = 256
@@ -159,6 +160,18 @@ def _counts(body: str) -> np.ndarray:
 _BLOCKS = "doc_key, lang, place, chunk, fence_no, name_proposal, body_norm"
 
 
+def _doublings(first: int) -> int:
+    return max(CHUNK // first, 1).bit_length() - 1
+
+
+def _chunk_of(place: Column, first: int) -> Column:
+    """The chunk of each place; the sizes are ``first`` times 1, 2, 4, ... and stay at the last one within ``CHUNK``."""
+    doublings = _doublings(first)
+    start, size = first * ((1 << doublings) - 1), first << doublings
+    growing = F.length(F.bin(F.floor(place / first) + 1)) - 1
+    return F.when(place < start, growing).otherwise(doublings + F.floor((place - start) / size)).cast("int")
+
+
 def revision_groups(found: DataFrame, limit: float = fixed.SIMILARITY_THRESHOLD, chunk: int = CHUNK) -> DataFrame:
     """(doc_key, fence_no, revision_group) of the rows without a ``reason``; numbers count from 0 in a (doc_key, lang).
 
@@ -168,9 +181,9 @@ def revision_groups(found: DataFrame, limit: float = fixed.SIMILARITY_THRESHOLD,
     keys = {c: found.schema[c].dataType.simpleString() for c in ("doc_key", "lang")}
     ordered = add_rank(found.where("reason IS NULL").select("doc_key", "lang", "fence_no", "name_proposal", "body_norm"),
                        ["doc_key", "lang"], ["fence_no"], "place")
-    blocks = cut_lineage(ordered.select("doc_key", "lang", (F.col("place") - 1).alias("place"),
-                                        F.floor((F.col("place") - 1) / chunk).cast("int").alias("chunk"), F.col("fence_no").cast("long"),
-                                        "name_proposal", F.coalesce("body_norm", F.lit("")).alias("body_norm")))
+    blocks = written(ordered.select("doc_key", "lang", (F.col("place") - 1).alias("place"),
+                                    _chunk_of(F.col("place") - 1, chunk).alias("chunk"), F.col("fence_no").cast("long"),
+                                    "name_proposal", F.coalesce("body_norm", F.lit("")).alias("body_norm")), "revision-blocks")
     head = f"doc_key {keys['doc_key']}, lang {keys['lang']}"
     last = blocks.agg(F.max("chunk")).first()[0] or 0
     done, latest = [], None
@@ -178,13 +191,14 @@ def revision_groups(found: DataFrame, limit: float = fixed.SIMILARITY_THRESHOLD,
         now = blocks.where(F.col("chunk") == number)
         matches = now.sparkSession.createDataFrame([], f"{head}, place long, revision_group long")
         if latest is not None:
-            matches = _tiles(now, latest, limit, chunk, head)
+            matches = _tiles(now, latest, limit, chunk << _doublings(chunk), head)
             sizes = latest.groupBy("doc_key", "lang").agg(F.max("revision_group").alias("top"))
             now = now.join(sizes, ["doc_key", "lang"])
         else:
             now = now.withColumn("top", F.lit(-1).cast("long"))
-        settled = cut_lineage(now.groupBy("doc_key", "lang").cogroup(matches.groupBy("doc_key", "lang")).applyInArrow(
-            _walk(limit), f"{head}, fence_no long, revision_group long, latest boolean, name_proposal string, body_norm string"))
+        settled = written(_spread(now, "doc_key", "lang").cogroup(_spread(matches, "doc_key", "lang")).applyInArrow(
+            _walk(limit), f"{head}, fence_no long, revision_group long, latest boolean, name_proposal string, body_norm string"),
+            "revision-round")
         done.append(settled.select("doc_key", "lang", "fence_no", "revision_group"))
         if number < last:
             moved = settled.where("latest").select("doc_key", "lang", "revision_group", "name_proposal", "body_norm")
@@ -192,13 +206,19 @@ def revision_groups(found: DataFrame, limit: float = fixed.SIMILARITY_THRESHOLD,
             more = blocks.where(F.col("chunk") == number + 1).select("doc_key", "lang").distinct()
             kept = moved if latest is None else moved.unionByName(
                 latest.join(moved, ["doc_key", "lang", "revision_group"], "left_anti"))
-            latest = cut_lineage(kept.join(more, ["doc_key", "lang"], "left_semi"))
+            latest = written(kept.join(more, ["doc_key", "lang"], "left_semi"), "revision-open")
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
     return out.select("doc_key", "fence_no", "revision_group")
 
 
+def _spread(df: DataFrame, *keys: str) -> GroupedData:
+    """Groups over all shuffle partitions: they are small in bytes, so they would be put together, but dear to compare."""
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(count, *keys).groupBy(*keys)
+
+
 def _tiles(now: DataFrame, latest: DataFrame, limit: float, chunk: int, head: str) -> DataFrame:
     """(doc_key, lang, place, revision_group): matches of a chunk with the groups before it, a task for each tile of groups."""
     tiled = latest.withColumn("tile", F.floor(F.col("revision_group") / chunk))
@@ -221,7 +241,7 @@ def _tiles(now: DataFrame, latest: DataFrame, limit: float, chunk: int, head: st
         return key.take(take).append_column("place", pa.array(places, pa.int64())).append_column(
             "revision_group", pa.array(found, pa.int64()))
 
-    return sent.groupBy("doc_key", "lang", "against").cogroup(tiled.groupBy("doc_key", "lang", "tile")).applyInArrow(
+    return _spread(sent, "doc_key", "lang", "against").cogroup(_spread(tiled, "doc_key", "lang", "tile")).applyInArrow(
         compare, f"{head}, place long, revision_group long")
 
 

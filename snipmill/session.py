@@ -62,3 +62,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder as Parquet and read back, for state that goes round a loop.
+
+    A checkpoint keeps the size that the optimizer guessed. Joins multiply such guesses, so in a loop the number gets
+    twice as many digits or more in each round until the driver has no memory for it. Files have the size they have.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from snipmill.operators import revisions as R
 
@@ -78,3 +79,23 @@ def test_nulls_equal_bodies_and_empty_tables(spark):
     got = {(r.doc_key, r.fence_no): r.revision_group for r in R.revision_groups(spark.createDataFrame(rows, ROWS)).collect()}
     assert got == {(1, 1): 0, (1, 2): 0, (1, 3): 1, (1, 4): 1}
     assert R.revision_groups(spark.createDataFrame([], ROWS)).collect() == []
+
+
+@pytest.mark.parametrize("first, most", [(1, 1), (1, 4), (2, 5), (3, 16)])
+def test_chunks_that_grow_equal_first_fit(spark, monkeypatch, first, most):
+    monkeypatch.setattr(R, "CHUNK", most)  # several tiles of groups too
+    rng = random.Random(11)
+    rows = [(1, "sql", fence, f"n{rng.randrange(30)}", "".join(rng.choices("abcdefgh", k=rng.randint(3, 9))), None)
+            for fence in range(11 if most == 1 else 45)]
+    found = R.revision_groups(spark.createDataFrame(rows, ROWS).repartition(3), chunk=first)
+    assert {(r.doc_key, r.fence_no): r.revision_group for r in found.collect()} == first_fit(rows)
+    # Guessed sizes of joins would multiply from round to round, up to numbers that no driver holds.
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**100
+
+
+def test_places_are_cut_into_doubling_chunks(spark, monkeypatch):
+    monkeypatch.setattr(R, "CHUNK", 12)
+    sizes = {}
+    for r in spark.range(60).select(R._chunk_of(F.col("id"), 3).alias("c")).collect():
+        sizes[r.c] = sizes.get(r.c, 0) + 1
+    assert [sizes[c] for c in sorted(sizes)] == [3, 6, 12, 12, 12, 12, 3]
