@@ -10,9 +10,9 @@ than the threshold, and the full distance verifies each candidate.
 Equal fingerprints are merged first. Candidates are compared within tiles of bounded
 size, and a tile returns a forest of its links, never all pairs.
 
-Where the similarity of texts counts, fingerprints miss too much: at a similarity of 0.8 one pair in six is
-more than 12 bits apart. There candidates share one band at least of minimal shingle hashes (MinHash). They only
-say which texts meet; those are compared pair by pair.
+Where the similarity of texts counts, the links of fingerprints are candidates, and fingerprints alone miss some: at a
+similarity of 0.8 one pair in six is more than 12 bits apart. So texts that share a band of minimal shingle hashes
+(MinHash) are candidates too. They only say which texts meet; those are compared pair by pair.
 """
 
 from __future__ import annotations
@@ -421,8 +421,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_distance: int = 4, leas
                     key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fingerprint, component_id) of every row of ``docs``.
 
-    With ``least``, texts link if they share that much of their shingles, as sets, whatever the distance of their
-    fingerprints. Bands find candidates, and all pairs among texts that those connect are checked.
+    With ``least``, texts link if they share that much of their shingles, as sets. Fingerprints within ``max_distance``
+    are candidates, and so are texts farther apart that share a band; all pairs among texts that those connect are checked.
 
     Null and empty texts have fingerprint zero and link like any other. Rows with a
     null key get a fingerprint, link with nothing and have a null component. Rows that
@@ -439,7 +439,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_distance: int = 4, leas
     else:  # equal words have equal bands
         classes = staged(known.groupBy(*by).agg(F.min("node").alias("node"), F.first("bands").alias("bands")), "classes")
         texts = docs.select(F.col(key).alias("node"), F.col(text).cast("string").alias("text"))
-        edges = similar(band_links(classes), texts, words, least)
+        near = near_links(classes.select("fp", "node").distinct(), max_distance)
+        edges = similar(near.unionByName(band_links(classes)), texts, words, least)
     # A key that repeats with another text links the classes of its texts.
     twice = known.groupBy("node").agg(F.countDistinct(*by).alias("n")).where("n > 1").select("node")
     more = (known.join(twice, "node").select(*by, F.col("node").alias("a"))
@@ -454,12 +455,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_distance: int = 4, leas
 
 
 def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8,
-                key: str = "doc_id", text: str = "text") -> DataFrame:
+                key: str = "doc_id", text: str = "text", max_distance: int = 12) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, the one with the smallest key.
 
+    SimHash within ``max_distance`` bits, and bands for what lies farther apart, say which texts are compared.
+
     Of rows that repeat a key one stays, the same in every run; rows without a key all stay.
     """
-    found = near_duplicates(docs, words, least=least, key=key, text=text)
+    found = near_duplicates(docs, words, max_distance, least, key, text)
     gone = staged(found.where(f"`{key}` <> component_id").select(key).distinct(), "duplicates")
     named = docs.where(F.col(f"`{key}`").isNotNull())
     # One of repeated keys needs the rows by key, as the join brings them; a hash of the row says which one.

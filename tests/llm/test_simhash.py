@@ -83,6 +83,19 @@ def test_the_stage_keeps_one_of_each_similar_group(documents):
     assert sorted(k or 0 for k in kept) == [0, 0, 1, 3, 4]
 
 
+def test_the_stage_finds_candidates_by_fingerprints(documents, monkeypatch):
+    """Without a band, SimHash alone brings close texts together."""
+    monkeypatch.setattr(simhash, "band_links", lambda classes: classes.select(
+        classes.node.alias("a"), classes.node.alias("b")).limit(0))
+    texts = {}
+    for b in range(12):
+        base = text_of(b, 200)
+        texts |= {2 * b: base, 2 * b + 1: changed(base, 11 + b, 1)}
+    assert all((plain_fingerprint(texts[2 * b], 5) ^ plain_fingerprint(texts[2 * b + 1], 5)).bit_count() <= 12 for b in range(12))
+    kept = [r.doc_id for r in simhash.one_of_each(documents(texts.items())).collect()]
+    assert sorted(kept) == [2 * b for b in range(12)]
+
+
 def shingles_of(text, words=5):
     found = text.encode().lower().split()
     return {tuple(found[i:i + words]) for i in range(max(1, len(found) - words + 1))}
