@@ -120,10 +120,11 @@ def block_events(segments: DataFrame, *, whole_paragraphs: bool = False, top: in
     sizes = {"slice_size": slice_size or SLICE}
     top = top_position(segments, "seg_no") if top is None else top
     sliced = top >= sizes["slice_size"]
-    # The automaton of containers is a function of its own column, so it comes before the generator.
+    # The automaton of containers is a function of its own column, so it comes before the generator. For a generator
+    # that drops empty arrays the optimizer would add a filter on their size, and with it the automaton a second time.
     exploded = segments.select("doc_key", "seg_no", "line_base", _events().alias("_events")).select(
-        "doc_key", "seg_no", "line_base", F.posexplode("_events").alias("ev_no", "e")
-    )
+        "doc_key", "seg_no", "line_base", F.posexplode_outer("_events").alias("ev_no", "e")
+    ).where("ev_no IS NOT NULL")
     text = F.col("e.text")
     if not whole_paragraphs:
         text = F.when(F.col("e.kind") == "para", T.first_sentence(text)).otherwise(text)

@@ -116,3 +116,20 @@ def test_nested_headings_and_paragraphs_are_context(spark):
     rows = X.candidate_description(X.document_fences(docs)).orderBy("fence_no").collect()
     assert [r.description for r in rows] == ["Third step", "In a quote"]
     assert [r.heading_path for r in rows] == [["In a quote"]] * 2
+
+
+def test_the_automaton_runs_once_for_a_text(spark):
+    docs = spark.createDataFrame([(1, "> ```sh\n> a\n> ```"), (2, "```sh\nb\n```"), (3, "none")], "doc_key long, text string").repartition(2)
+    found = X.document_fences(docs)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("blocks_of(") == 1
+    assert sorted((r.doc_key, r.body) for r in found.collect()) == [(1, "a\n"), (2, "b\n")]
+
+
+def test_a_batch_is_cut_a_few_texts_at_a_time(monkeypatch):
+    texts = ["> ```sh\n> a\n> ```\nb", None, "", "- a\n\n  ```sh\n  x\n  ```", None, "# T\n\np", "> q"]
+    whole, read = C.blocks_of(pa.array(texts)), []
+    monkeypatch.setattr(C, "TEXTS", 3)
+    monkeypatch.setattr(C, "_texts", lambda part, of=C._texts: read.append(len(part)) or of(part))
+    assert C.blocks_of(pa.array(texts)) == whole and len(whole) == 7
+    assert read == [3, 3, 1]
+    assert C.blocks_of(pa.array([], pa.string())).to_pylist() == []
