@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from snipmill import fixed
 from snipmill.functions import text as T
 from snipmill.operators.running import join_status
-from snipmill.session import cut_lineage
+from snipmill.session import cut_lineage, written
 
+#: Ids of a batch that are broadcast to cut the stores down.
+FEW = 20_000
 SCHEMAS = "record"  # prefix of schema names in manifests
 
 
@@ -218,16 +220,21 @@ def asked_records(requests: DataFrame, revisions: DataFrame, contents: DataFrame
                   approvals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(revisions, integrity, governance)`` of the revisions that ``requests`` name, and of no others.
 
-    The stores are cut down before anything is hashed or folded, so a batch costs what it asks for. Null
-    ids ask for nothing.
+    A few ids (``FEW``) are broadcast and cut the stores down before anything is hashed or folded, so a small batch costs
+    what it asks for. For more of them a cut would send whole records to the ids; so records are folded, and contents
+    hashed, where they lie, and only what comes out meets the ids. Null ids ask for nothing.
     """
-    asked = cut_lineage(requests.select("revision_id").where(F.col("revision_id").isNotNull()).distinct())
-    some = revisions.join(asked.withColumnRenamed("revision_id", "id"), "id", "left_semi")
+    asked = written(requests.select("revision_id").where(F.col("revision_id").isNotNull()).distinct(), "asked")
+    ids = asked.withColumnRenamed("revision_id", "id")
+    if asked.count() <= FEW:
+        some = revisions.join(F.broadcast(ids), "id", "left_semi")
 
-    def of(records: DataFrame) -> DataFrame:
-        return records.join(asked, "revision_id", "left_semi")
+        def of(records: DataFrame) -> DataFrame:
+            return records.join(F.broadcast(asked), "revision_id", "left_semi")
 
-    return some, verify_manifest(some, of(contents)), governance_binding(some, of(verifications), of(approvals))
+        return some, verify_manifest(some, of(contents)), governance_binding(some, of(verifications), of(approvals))
+    return tuple(rows.join(ids, "id", "left_semi") for rows in (
+        revisions, verify_manifest(revisions, contents), governance_binding(revisions, verifications, approvals)))
 
 
 def asked_by_publication(requests: DataFrame, publications: DataFrame, revisions: DataFrame, contents: DataFrame
@@ -241,9 +248,12 @@ def asked_by_publication(requests: DataFrame, publications: DataFrame, revisions
 
 
 def _channel_status(requests: DataFrame, known: DataFrame, publications: DataFrame) -> DataFrame:
-    """A row for each asked (revision_id, channel): what is known of the revision, and its publication there."""
+    """A row for each asked (revision_id, channel): what is known of the revision, and its publication there.
+
+    Publications are folded where they lie, and only then meet the pairs.
+    """
     pairs = requests.select("revision_id", "channel").distinct()
-    published = publication_lookup(publications.join(pairs.select("revision_id").distinct(), "revision_id", "left_semi")).select(
+    published = publication_lookup(publications).select(
         "revision_id", "channel", F.col("id").alias("_pub"), F.col("publication_state").alias("_pub_state"),
         F.col("content_hash").alias("_pub_hash"))
     return pairs.join(known, "revision_id", "left").join(published, ["revision_id", "channel"], "left")
@@ -253,9 +263,11 @@ def _channel_status(requests: DataFrame, known: DataFrame, publications: DataFra
 def latest_record(records: DataFrame) -> DataFrame:
     """Per revision the record with the greatest (created_at, id), compared as strings."""
     others = [c for c in records.columns if c != "revision_id"]
+    # One struct that starts with the order: rows are sorted for this, so nothing should be in them twice.
+    ahead = ["created_at", "id"]
     return records.groupBy("revision_id").agg(
-        F.max_by(F.struct(*others), F.struct("created_at", "id")).alias("r")
-    ).select("revision_id", "r.*")
+        F.max(F.struct(*ahead, *[c for c in others if c not in ahead])).alias("r")
+    ).select("revision_id", *[F.col("r")[c].alias(c) for c in others])
 
 
 def governance_binding(revisions: DataFrame, verifications: DataFrame, approvals: DataFrame) -> DataFrame:
