@@ -37,7 +37,9 @@ LEAST = 50
 #: Words whose counts are broadcast; the rest, unless it has vectors, is joined by shuffle.
 HEAD = 200_000
 #: Numbers of a model that travel in one row, and of scores held at once.
-BLOCK, SCORES = 1 << 14, 1 << 21
+BLOCK, SCORES = 1 << 14, 1 << 17
+#: Scores up to which no maximum is taken out before the exponentials are summed.
+SAFE = 60.0
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 400_000
 #: Smoothing of counts, rounds of training, tokens of a step, noise symbols of a step, step size.
@@ -214,13 +216,22 @@ class Model:
 def log_sum(hidden: np.ndarray, target: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Logarithm of the sum of exponentials of all scores, for each row of ``hidden``."""
     out = np.empty(len(hidden), np.float32)
-    rows = max(1, SCORES // max(1, len(bias)))
+    # The bias is one more number of each vector; a block of scores stays in the cache and in one piece of memory.
+    wide = np.concatenate([target, bias[:, None]], axis=1, dtype=np.float32).T.copy()
+    rows = max(1, min(len(hidden), SCORES // max(1, len(bias))))
+    block, room, ones = np.ones((rows, wide.shape[0]), np.float32), np.empty((rows, len(bias)), np.float32), np.ones(len(bias), np.float32)
+    # No score is beyond this; up to there exponentials and their sums are numbers as they are.
+    steep = np.sqrt(np.einsum("ij,ij->i", target, target).max(initial=0)), np.abs(bias).max(initial=0)
     for at in range(0, len(hidden), rows):
-        scores = hidden[at:at + rows] @ target.T
-        scores += bias
-        top = scores.max(axis=1)
-        scores -= top[:, None]
-        out[at:at + rows] = top + np.log(np.exp(scores, out=scores).sum(axis=1))
+        own = hidden[at:at + rows]
+        block[:len(own), :-1] = own
+        scores = np.matmul(block[:len(own)], wide, out=room[:len(own)])
+        if np.sqrt(np.einsum("ij,ij->i", own, own).max()) * steep[0] + steep[1] < SAFE:
+            out[at:at + rows] = np.log(np.exp(scores, out=scores) @ ones)
+        else:
+            top = scores.max(axis=1)
+            scores -= top[:, None]
+            out[at:at + rows] = top + np.log(np.exp(scores, out=scores) @ ones)
     return out
 
 

@@ -200,3 +200,14 @@ def test_language_scores_of_odd_rows(documents):
     only_held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     row = language_model.language_scores(documents([(only_held, "a b")])).first()
     assert (row.train_tokens, row.n_known, row.base_score) == (0, 0, 0.0)
+
+
+@pytest.mark.parametrize("scale", [0.1, 1.0, 40.0])
+def test_logarithms_of_sums_of_scores_however_steep(monkeypatch, scale):
+    monkeypatch.setattr(language_model, "SCORES", 200)  # several blocks
+    random = np.random.default_rng(3)
+    hidden, target = random.normal(0, scale, (23, 16)).astype(np.float32), random.normal(0, 1, (70, 16)).astype(np.float32)
+    bias = random.normal(0, scale, 70).astype(np.float32)
+    exact = np.logaddexp.reduce(hidden.astype(float) @ target.T.astype(float) + bias, axis=1)
+    assert np.allclose(language_model.log_sum(hidden, target, bias), exact, rtol=1e-5, atol=1e-5)
+    assert language_model.log_sum(hidden[:0], target, bias).shape == (0,)
