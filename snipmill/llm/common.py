@@ -8,8 +8,9 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snipmill.session import new_folder
@@ -140,6 +141,37 @@ def with_component(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
             .withColumn("component_id", F.coalesce("root", key)).drop("root"))
 
 
+#: Bits of a Bloom filter at most; with more values it lets more others through.
+FILTER = 1 << 28
+
+
+def among(keys: DataFrame) -> Callable[[str], Column]:
+    """A test of a column: true where its value is in the one column of ``keys``, and for few others (1.4 %).
+
+    It comes before a join with ``keys`` that would shuffle wide rows. The Bloom filter has 16 bits or more for
+    each value, up to ``FILTER`` (32 MB).
+    """
+    bits = min(FILTER, 1 << max(16, (16 * keys.count()).bit_length()))
+    hashed = F.xxhash64(*keys.columns)
+    places = keys.select(F.explode(F.array(hashed, F.shiftrightunsigned(hashed, 32))).alias("at")).select(
+        F.col("at").bitwiseAND(bits - 1).alias("at"))
+    words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS int))")).alias("set")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[words.column("word").to_numpy()] = words.column("set").to_numpy()
+    shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    def may(hashes: pa.Array) -> pa.Array:
+        held, out = shared.value.view(np.uint64), True
+        for at in (hashes.to_numpy().view(np.uint64), hashes.to_numpy().view(np.uint64) >> np.uint64(32)):
+            at = at & np.uint64(bits - 1)
+            out = out & ((held[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1)
+        return pa.array(out)
+
+    may = F.arrow_udf(may, "boolean")
+    return lambda column: may(F.xxhash64(column))
+
+
 class Remembered(dict):
     """What a worker process has found, in two generations of about ``most`` entries.
 

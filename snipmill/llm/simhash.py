@@ -3,16 +3,18 @@
 The 64 bits are cut into groups of correlated bits. Each group gets a threshold of
 its own, so that two fingerprints within ``max_distance`` must come within the
 threshold of one group at least: the thresholds add up to ``max_distance - groups + 1``
-(-1 leaves a group out). Dynamic programming chooses them by estimated work. A
-fingerprint is then probed, per group, against those that differ in no more bits
-than the threshold, and the full distance verifies each candidate.
+(-1 leaves a group out). Dynamic programming chooses them by estimated work. Some
+bits of a group name buckets. Two fingerprints meet halfway: each goes to the buckets
+within half the threshold of its own. The full distance verifies each candidate.
 
 Equal fingerprints are merged first. Candidates are compared within tiles of bounded
 size, and a tile returns a forest of its links, never all pairs.
 
 Where the similarity of texts counts, the links of fingerprints are candidates, and fingerprints alone miss some: at a
 similarity of 0.8 one pair in six is more than 12 bits apart. So texts that share a band of minimal shingle hashes
-(MinHash) are candidates too. They only say which texts meet; those are compared pair by pair.
+(MinHash) are candidates too. They only say which texts meet; those are compared pair by pair. By chance more and more
+fingerprints of a growing table come close, so a link of fingerprints also needs sketches that agree: one bit for each of
+64 minima.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snipmill.llm.common import Forest, components, staged, table
+from snipmill.llm.common import Forest, among, components, staged, table
 
 BITS = 64
 #: Members of a tile; a bucket with more is cut into several.
@@ -39,6 +41,9 @@ PAIRS = 1 << 21
 SHINGLES, CHUNKS = 1 << 15, 16
 #: Bands and minima of each; texts of similarity s share none with probability (1 - s ** ROWS) ** BANDS: 5e-8 at 0.8.
 BANDS, ROWS = 32, 4
+#: Differing bits of two sketches from which their texts are no candidates: at a similarity of 0.8, 6.4 are expected, more than this
+#: have a probability of 5e-7, and a band shows nearly all of those; of 32 that chance expects, one pair in 600 has no more.
+SKETCH = 20
 _draw = np.random.default_rng(17).integers(0, 1 << 63, (3, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -65,8 +70,8 @@ def majority(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.n
     return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def bands_of(hashes: np.ndarray) -> np.ndarray:
-    """A number for each band of the minima of ``hashes`` in BANDS * ROWS orders."""
+def bands_of(hashes: np.ndarray) -> tuple[np.ndarray, np.int64]:
+    """A number for each band of the minima of ``hashes`` in BANDS * ROWS orders, and a sketch: a bit of each of 64 minima."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
     for at in range(0, len(hashes), 1024):
         mixed = hashes[None, at:at + 1024] ^ _draw[0][:, None]
@@ -76,14 +81,15 @@ def bands_of(hashes: np.ndarray) -> np.ndarray:
     for row in least.reshape(BANDS, ROWS).T:
         out = (out ^ row) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+    bits = (least[:BITS] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
+    return out.view(np.int64), np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)[0]
 
 
 def fingerprints(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """(key, fp long) of every row; texts that are null or without a word get fingerprint zero.
 
-    With ``digest`` a column ``words`` names the sequence of lower-cased words, and ``bands`` has those of the
-    shingles, null without a word; else both are null.
+    With ``digest`` a column ``words`` names the sequence of lower-cased words, and ``bands`` and ``sketch`` have those of the
+    shingles, null without a word; else all three are null.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,6 +97,7 @@ def fingerprints(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str
             out = np.zeros(batch.num_rows, np.uint64)
             rows, counts, held = [], [], []
             bands: list = [None] * batch.num_rows
+            sketches: list = [None] * batch.num_rows
 
             def settle(out=out, rows=rows, counts=counts, held=held):
                 if rows:
@@ -103,7 +110,7 @@ def fingerprints(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str
                 if hashes:
                     rows.append(i), counts.append(len(hashes)), held.extend(hashes)
                     if digest:
-                        bands[i] = bands_of(np.array(hashes, np.uint64))
+                        bands[i], sketches[i] = bands_of(np.array(hashes, np.uint64))
                     if len(held) > 100_000:
                         settle()
             settle()
@@ -111,11 +118,11 @@ def fingerprints(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str
                      if digest else None for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(out.view(np.int64)), pa.array(names, pa.binary()),
-                 pa.array(bands, pa.list_(pa.int64()))], ["key", "fp", "words", "bands"])
+                 pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.int64())], ["key", "fp", "words", "bands", "sketch"])
 
     kind = docs.schema[key].dataType.simpleString()
     thin = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return thin.mapInArrow(of, f"key {kind}, fp long, words binary, bands array<long>").withColumnRenamed("key", key)
+    return thin.mapInArrow(of, f"key {kind}, fp long, words binary, bands array<long>, sketch long").withColumnRenamed("key", key)
 
 
 # --- plan -------------------------------------------------------------------------------
@@ -238,9 +245,9 @@ def _hot(classes: DataFrame, groups: list[Group]) -> dict[int, int]:
 
 
 def _routed(classes: DataFrame, groups: list[Group], hot: dict[int, int]) -> DataFrame:
-    """A row for each tile that holds a fingerprint as a member (left -1) or probes with it.
+    """A row for each tile that a fingerprint is in: its bucket and those within half the threshold.
 
-    ``left``: the differing bits that the bucket's name leaves of the threshold.
+    ``off``: the bits in which the bucket's name differs from the fingerprint. Of a hot bucket each two chunks meet.
     """
 
     def chunks(of: np.ndarray, many: int) -> np.ndarray:
@@ -248,45 +255,46 @@ def _routed(classes: DataFrame, groups: list[Group], hot: dict[int, int]) -> Dat
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signed = batch.column(0).to_numpy(zero_copy_only=False)
-            fps, nodes = signed.view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False)
+            signed, nodes, sketches = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+            fps = signed.view(np.uint64)
             for g, group in enumerate(groups):
                 own = group.values(fps) >> (len(group.bits) - group.high)
-                jobs = [(own, -1)] + [
-                    (own ^ m, group.threshold - int(m).bit_count()) for m in masks(group.high, group.threshold)]
-                for buckets, left in jobs:
-                    keys = _bucket_key(g, buckets)
+                for m in masks(group.high, (group.threshold + 1) // 2).tolist():
+                    keys = _bucket_key(g, own ^ m)
                     many = np.array([hot.get(k, 1) for k in keys.tolist()]) if hot else np.ones(len(keys), np.int64)
                     for k in np.unique(many).tolist():
                         at = np.flatnonzero(many == k)
                         mine = chunks(fps[at], k)
-                        for other in range(k):  # members meet the probes of every chunk of their bucket
-                            member, probe = (mine, other) if left < 0 else (other, mine)
+                        for other in range(k):
                             yield pa.RecordBatch.from_arrays(
-                                [pa.array(keys[at]), pa.array(np.asarray(member * k + probe) + np.zeros(len(at), np.int64)),
-                                 pa.array(np.full(len(at), left, np.int32)),
-                                 pa.array(signed[at]), pa.array(nodes[at])],
-                                ["bucket", "tile", "left", "fp", "node"])
+                                [pa.array(keys[at]), pa.array(np.minimum(mine, other) * k + np.maximum(mine, other)),
+                                 pa.array(mine.astype(np.int32)), pa.array(np.full(len(at), m.bit_count(), np.int32)),
+                                 pa.array(signed[at]), pa.array(nodes[at]), pa.array(sketches[at])],
+                                ["bucket", "tile", "chunk", "off", "fp", "node", "sketch"])
 
-    return classes.select("fp", "node").mapInArrow(
-        route, "bucket long, tile long, left int, fp long, node long")
+    return classes.select("fp", "node", "sketch").mapInArrow(
+        route, "bucket long, tile long, chunk int, off int, fp long, node long, sketch long")
 
 
 def link_tile(table: pa.Table, groups: list[Group], max_distance: int) -> pa.Table:
-    """Edges of a forest of the links between the probes and the members of a tile."""
+    """Edges of a forest of the links between the fingerprints of a tile; a tile of two chunks links across them only.
+
+    Two that differ in ``d`` bits of the bucket's name are both in a bucket halfway, ``d // 2`` bits from one and the rest
+    from the other. The other bits of the group have what is left of the threshold.
+    """
     get = lambda name: table.column(name).to_numpy()
-    left, fps, nodes = get("left"), get("fp").view(np.uint64), get("node")
+    off, fps, nodes, sketch, chunk = get("off"), get("fp").view(np.uint64), get("node"), get("sketch"), get("chunk")
     group = groups[int(get("bucket")[0]) >> 48]
     width = len(group.bits) - group.high
     low = group.values(fps) & ((1 << width) - 1)
-    members = np.flatnonzero(left < 0)
-    members = members[np.argsort(low[members], kind="stable")]
     items, number = np.unique(nodes, return_inverse=True)
-    forest, sorted_low = Forest(len(items)), low[members]
-    for most in np.unique(left[left >= 0]).tolist():
-        probes = np.flatnonzero(left == most)
-        probes = probes[np.argsort(low[probes], kind="stable")]
-        for mask in masks(width, most).tolist():
+    forest, across = Forest(len(items)), chunk.min() != chunk.max()
+    by_off = [np.flatnonzero(off == i) for i in range((group.threshold + 1) // 2 + 1)]
+    by_off = [x[np.argsort(low[x], kind="stable")] for x in by_off]
+    for apart_in_name in range(group.threshold + 1):
+        members, probes = by_off[apart_in_name // 2], by_off[(apart_in_name + 1) // 2]
+        sorted_low = low[members]
+        for mask in masks(width, group.threshold - apart_in_name).tolist():
             value = low[probes] ^ mask
             first = np.searchsorted(sorted_low, value, "left")
             many = np.searchsorted(sorted_low, value, "right") - first
@@ -302,6 +310,9 @@ def link_tile(table: pa.Table, groups: list[Group], max_distance: int) -> pa.Tab
                 b = members[np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 apart = np.bitwise_count(fps[a] ^ fps[b])
                 near = np.flatnonzero(apart <= max_distance)
+                near = near[np.bitwise_count((sketch[a[near]] ^ sketch[b[near]]).view(np.uint64)) <= SKETCH]
+                if across:
+                    near = near[chunk[a[near]] != chunk[b[near]]]
                 a, b, apart = number[a[near]], number[b[near]], apart[near]
                 for distance in np.unique(apart).tolist():  # the closest links first
                     forest.join(a[apart == distance], b[apart == distance])
@@ -311,7 +322,11 @@ def link_tile(table: pa.Table, groups: list[Group], max_distance: int) -> pa.Tab
 
 
 def near_links(classes: DataFrame, max_distance: int) -> DataFrame:
-    """Links (a, b) that connect all ``classes`` (fp, node; node unique) within ``max_distance`` bits."""
+    """Links (a, b) that connect all ``classes`` (fp, node, sketch; those three unique) within ``max_distance`` bits.
+
+    Links whose sketches differ in more than ``SKETCH`` bits are left out; where fingerprints alone count, sketches are null or equal.
+    """
+    classes = classes.select("fp", "node", F.coalesce("sketch", F.lit(0).cast("long")).alias("sketch"))
     n = classes.count()
     groups = plan(_together(classes), n, max_distance)
     routed = _routed(classes, groups, _hot(classes, groups))
@@ -400,7 +415,8 @@ def similar(edges: DataFrame, docs: DataFrame, words: int, least: float) -> Data
     roots = components(edges)
     members = staged(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "members")
     # Rows that repeat an id and a text are one; all texts of an id count.
-    texts = docs.join(members, "node").groupBy("node", "root", "text").agg(F.lit(1))
+    some = docs.where(among(members.select("node"))("node"))
+    texts = some.join(members, "node").groupBy("node", "root", "text").agg(F.lit(1))
     sets = staged(_sets(texts, words), "shingles")
     weights = staged(sets.groupBy("root").agg(F.sum(F.size("hashes")).alias("n")), "weights")
     tiles = (weights.agg(F.sum("n")).first()[0] or 0) // SHINGLES + 1
@@ -435,11 +451,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_distance: int = 4, leas
     by = ["fp"] if least is None else ["fp", "words"]
     if least is None:
         classes = staged(known.groupBy(*by).agg(F.min("node").alias("node")), "classes")
-        edges = near_links(classes.select("fp", "node").distinct(), max_distance)
-    else:  # equal words have equal bands
-        classes = staged(known.groupBy(*by).agg(F.min("node").alias("node"), F.first("bands").alias("bands")), "classes")
+        edges = near_links(classes.select("fp", "node", F.lit(None).cast("long").alias("sketch")).distinct(), max_distance)
+    else:  # equal words have equal bands and sketches
+        classes = staged(known.groupBy(*by).agg(F.min("node").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
         texts = docs.select(F.col(key).alias("node"), F.col(text).cast("string").alias("text"))
-        near = near_links(classes.select("fp", "node").distinct(), max_distance)
+        near = near_links(classes.select("fp", "node", "sketch").distinct(), max_distance)
         edges = similar(near.unionByName(band_links(classes)), texts, words, least)
     # A key that repeats with another text links the classes of its texts.
     twice = known.groupBy("node").agg(F.countDistinct(*by).alias("n")).where("n > 1").select("node")
@@ -462,14 +478,17 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8,
 
     Of rows that repeat a key one stays, the same in every run; rows without a key all stay.
     """
-    found = near_duplicates(docs, words, max_distance, least, key, text)
-    gone = staged(found.where(f"`{key}` <> component_id").select(key).distinct(), "duplicates")
-    named = docs.where(F.col(f"`{key}`").isNotNull())
+    found = near_duplicates(docs, words, max_distance, least, key, text).select(key, "component_id")
+    known = staged(found.where(F.col(f"`{key}`").isNotNull()).groupBy(key).agg(
+        F.max(F.col(f"`{key}`") != F.col("component_id")).alias("gone"), F.count("*").alias("n")).where("gone OR n > 1"), "duplicates")
+    gone = known.where("gone").select(key)
+    # Only rows that a duplicate's or a repeated key may have are shuffled; all others are as they came.
+    asked = F.col(f"`{key}`").isNotNull() & among(known.select(key))(f"`{key}`")
     # One of repeated keys needs the rows by key, as the join brings them; a hash of the row says which one.
     row = [F.col(f"`{c}`") for c in docs.columns]
-    left = named.join(gone, key, "left_anti").groupBy(F.col(f"`{key}`").alias("_key")).agg(
+    left = docs.where(asked).join(gone, key, "left_anti").groupBy(F.col(f"`{key}`").alias("_key")).agg(
         F.min_by(F.struct(*row), F.xxhash64(*row)).alias("_row")).select("_row.*")
-    return left.unionByName(docs.where(F.col(f"`{key}`").isNull()))
+    return left.unionByName(docs.where(~asked))
 
 
 # --- queries ----------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from snipmill.llm import simhash
-from snipmill.llm.common import Forest, components
+from snipmill.llm.common import Forest, among, components
 
 
 def plain_fingerprint(text, words):
@@ -170,6 +171,74 @@ def test_thresholds_reach_every_pair(pair, distance, flips):
     assert any(sum((a ^ b) >> bit & 1 for bit in g.bits) <= g.threshold for g in groups)
 
 
+CLASSES = "fp long, node long, sketch long"
+
+
+def signed(n):
+    return n - (1 << 64) if n >> 63 else n
+
+
+@pytest.mark.parametrize("tile", [4, 40, 1 << 15])
+def test_fingerprints_meet_halfway(spark, monkeypatch, tile):
+    """All links of 12 bits or fewer, from groups with thresholds of several bits, in hot buckets and in none."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    draw = random.Random(tile)
+    fps = [draw.getrandbits(64) for _ in range(30)]
+    for fp in fps[:30]:
+        for flips in range(1, 15):
+            bits = draw.sample(range(64), flips)
+            fps.append(fp ^ sum(1 << b for b in bits))
+    want = groups_of(dict(enumerate(fps)), 12)
+    classes = spark.createDataFrame([(signed(fp), i, None) for i, fp in enumerate(fps)], CLASSES).repartition(3)
+    forest = Forest(len(fps))
+    for a, b in simhash.near_links(classes, 12).collect():
+        assert (fps[a] ^ fps[b]).bit_count() <= 12
+        forest.join(np.array([a]), np.array([b]))
+    assert forest.label.tolist() == [want[i] for i in range(len(fps))]
+
+
+def test_a_fingerprint_goes_to_few_buckets(spark):
+    """Names of buckets get longer as the table grows; the rows for each fingerprint must not grow with their powers."""
+    classes = spark.createDataFrame([(signed(7 ** 25 * i % (1 << 64)), i, 0) for i in range(50)], CLASSES)
+    for threshold, most in ((0, 1), (1, 12), (2, 12), (3, 12 + 55), (4, 12 + 55)):
+        routed = simhash._routed(classes, [simhash.Group(tuple(range(16)), threshold, 11)], {})
+        assert routed.count() == 50 * most
+
+
+def test_chance_links_are_no_candidates(spark):
+    """Fingerprints that come close by chance, as their sketches show, do not tie groups together."""
+    same, half = 0b1011 << 20, (1 << 32) - 1
+    classes = spark.createDataFrame([(5, 1, 0), (7, 2, same), (4, 3, half)], CLASSES)
+    assert {frozenset(r) for r in simhash.near_links(classes, 12).collect()} == {frozenset((1, 2))}
+
+
+def test_sketches_of_similar_texts_agree():
+    apart = lambda a, b: ((int(a) ^ int(b)) & ((1 << 64) - 1)).bit_count()
+    sketch = lambda t: simhash.bands_of(np.array(simhash.shingle_hashes(t, 5), np.uint64))[1]
+    texts = [text_of(s, 150) for s in range(60)]
+    assert max(apart(sketch(t), sketch(changed(t, 11 + i % 10, 3))) for i, t in enumerate(texts)) <= simhash.SKETCH
+    assert sum(apart(sketch(a), sketch(b)) <= simhash.SKETCH for a, b in itertools.combinations(texts, 2)) < 30
+    assert 20 < np.mean([apart(sketch(a), sketch(b)) for a, b in itertools.combinations(["a", "b", "c d", *texts], 2)]) < 40
+
+
+def test_what_is_among_the_keys_is_found(spark):
+    keys = spark.range(-3000, 3000, 2).select("id")
+    rows = spark.range(-60_000, 60_000)
+    found = {r.id for r in rows.where(among(keys)("id")).collect()}
+    assert set(range(-3000, 3000, 2)) <= found and len(found) < 3000 + 120_000 * 0.03
+    assert rows.where(among(keys.limit(0))("id")).count() == 0
+    assert rows.limit(0).where(among(keys)("id")).count() == 0
+
+
+def test_repeated_keys_and_duplicates_among_rows_that_stay(documents):
+    texts = [text_of(s, 80) for s in range(40)]
+    docs = documents([*enumerate(texts), (100, texts[3]), (7, texts[8]), (None, "a"), (None, "a")])
+    rows = simhash.one_of_each(docs).collect()
+    # 7 repeats with the text of 8, so 8 goes; of the two rows of 7 one stays.
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in rows) == [-1, -1, *(i for i in range(40) if i != 8)]
+    assert all(r.text == texts[r.doc_id] for r in rows if r.doc_id not in (None, 7))
+
+
 def test_components_over_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(200)]
     star = [(1000, 1001 + i) for i in range(300)]
