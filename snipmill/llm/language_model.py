@@ -9,7 +9,8 @@ weighted by position, with the symbol's own; then the word within its class in t
 A rarer word gets its smoothed share of the rest of its class.
 
 Counts and training go over all documents outside the held-out tenth. In a round each task
-trains on its share, from the same start, and the results are averaged by tokens. Noise
+trains on its share, from the same start, and the results are averaged by tokens. Shares are
+so large that their models together take less room than the symbols they learn from. Noise
 comes from the symbol counts and is shared by a batch, so that scores are matrix products.
 The sums that normalise are exact: over all symbols, and over the words of one class.
 """
@@ -46,6 +47,8 @@ HELD = 400_000
 ADD, ROUNDS, STEP, NOISE, RATE = 0.1, 2, 4096, 48, 0.15
 #: What the histories of vectors that move by single occurrences begin with.
 PAST = {"context": 1e2, "fine": 1e2, "fine_bias": 1e4}
+#: Bytes of symbols that a share of the training has at least for each byte of the model that it passes on.
+SHARE = 2
 #: The end of a text, also in front of its first word; no word is empty.
 END = b""
 
@@ -331,11 +334,18 @@ def _texts(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), "<u4") for x in column]
 
 
+def shares(tokens: int, numbers: int) -> int:
+    """Into how many shares ``tokens`` symbols may be cut, for a model of so many numbers; both take four bytes."""
+    return max(1, tokens // (SHARE * numbers))
+
+
 def train(symbols: DataFrame, lex_shared) -> Model:
     """Rounds of training on all rows of ``symbols``; a task gives its model as blocks of numbers with its tokens."""
     spark = symbols.sparkSession
     lex = lex_shared.value
     model = start(lex.log_noise, lex.symbol, lex.log_fine)
+    # Each share passes a whole model on, and there are more and larger ones for a larger table if each task is a share.
+    learnt = symbols.select("symbols").coalesce(shares(lex.total, len(model.flat())))
     for number in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model.flat())
 
@@ -364,7 +374,7 @@ def train(symbols: DataFrame, lex_shared) -> Model:
             x = np.stack([np.frombuffer(v.as_buffer(), np.float32) for v in t.column("x")])
             return pa.table({"i": t.column("i")[:1], "x": pa.array([((n / n.sum()) @ x).astype(np.float32).tobytes()], pa.binary())})
 
-        rows = symbols.select("symbols").mapInArrow(of, "i long, x binary, n long").groupBy("i").applyInArrow(
+        rows = learnt.mapInArrow(of, "i long, x binary, n long").groupBy("i").applyInArrow(
             mean, "i long, x binary").collect()  # the model, in blocks
         if rows:
             model = Model.of(np.concatenate([np.frombuffer(r.x, np.float32) for r in sorted(rows, key=lambda r: r.i)]))

@@ -169,6 +169,18 @@ def test_words_of_all_classes_sum_to_one():
         assert np.exp(found).sum() == pytest.approx(1, rel=1e-4)
 
 
+def test_shares_pass_on_less_than_they_learn_from(spark, documents):
+    """Tasks with few words each do not pass a model each on: a small table, however many partitions, is one share."""
+    assert language_model.shares(0, 1000) == language_model.shares(3999, 1000) == 1
+    assert language_model.shares(10_000, 1000) == 5
+    docs = documents((i, f"w{i % 7} w{i % 5} w{i % 3}") for i in range(200)).selectExpr("doc_id AS key", "false AS held_out", "text")
+    lex, _, _ = language_model.lexicon(language_model.counts_of(docs))
+    shared = spark.sparkContext.broadcast(lex)
+    symbols = language_model.symbols_of(docs, shared).repartition(6, "key").sortWithinPartitions("key").localCheckpoint()
+    many, one = (language_model.train(x, shared).flat() for x in (symbols, symbols.coalesce(1)))
+    assert np.array_equal(many, one)
+
+
 @pytest.mark.parametrize("head", [10, 200_000])
 def test_base_scores_equal_brute_force_and_the_model_beats_them(documents, by_id, monkeypatch, head):
     monkeypatch.setattr(language_model, "HEAD", head)
