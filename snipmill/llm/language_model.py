@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,8 @@ HEAD = 200_000
 BLOCK, SCORES = 1 << 14, 1 << 17
 #: Scores up to which no maximum is taken out before the exponentials are summed.
 SAFE = 60.0
+#: Symbols of texts that a task trains on or scores at once, and characters of those it turns into symbols; a text stays whole.
+AT_ONCE, CHARS = 1 << 20, 1 << 21
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 400_000
 #: Smoothing of counts, rounds of training, tokens of a step, noise symbols of a step, step size.
@@ -138,13 +141,28 @@ def lexicon(counts: DataFrame) -> tuple[Lexicon, int, np.ndarray]:
         np.log(noise / noise.sum()), vocabulary, symbol, np.log(fine / fine.sum()), 0), cut, share
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, some at a time: as many as have ``size`` bytes in ``column``, and one at least.
+
+    A batch has thousands of rows whatever their length; what a task makes of it at once is many times its bytes.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = 0
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + size, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def symbols_of(docs: DataFrame, shared) -> DataFrame:
     """Each document as numbers of words and rests of classes, with what the frequent words add, and its other words."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
         get, row = lex.place.get, TaskContext.get().partitionId() << 33  # one attempt of each partition counts
-        for batch in batches:
+        for batch in parts(batches, 2, CHARS):
             out: dict[str, list] = {name: [] for name in ("row", "n_tokens", "known", "base", "within", "symbols", "words", "classes", "freqs")}
             for value in batch.column(2):
                 words = words_of(value.as_py() or "")
@@ -250,14 +268,13 @@ def start(log_noise: np.ndarray, symbol: np.ndarray | None = None, log_fine: np.
 
 def triples(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(second last, last, next) of every symbol; ends stand before the first."""
-    pad = np.array([end, end], np.uint32)
-    line = np.concatenate([x for t in texts for x in (pad, t)])
+    pad = np.array([end, end], np.int32)
+    line = np.concatenate([x for t in texts for x in (pad, t.view(np.int32))])
     sizes = np.array([len(t) + 2 for t in texts])
     starts = np.cumsum(sizes) - sizes
     keep = np.ones(len(line), bool)
     keep[starts] = keep[starts + 1] = False
-    at = np.flatnonzero(keep)
-    return line[at - 2].astype(np.int32), line[at - 1].astype(np.int32), line[at].astype(np.int32)
+    return line[:-2][keep[2:]], line[1:-1][keep[2:]], line[2:][keep[2:]]
 
 
 class Trainer:
@@ -354,7 +371,7 @@ def train(symbols: DataFrame, lex_shared) -> Model:
             trainer = Trainer(Model.of(shared.value.copy()), lex.log_noise, 1000 * number + TaskContext.get().partitionId(),
                               lex.symbol, lex.log_fine)
             seen = 0
-            for batch in batches:
+            for batch in parts(batches, 0, 4 * AT_ONCE):
                 if not batch.num_rows:
                     continue
                 data = triples(_texts(batch.column(0)), lex.end)
@@ -427,7 +444,7 @@ def language_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, lex = shared.value, lex_shared.value
-        for batch in batches:
+        for batch in parts(batches, 1, 4 * AT_ONCE):
             if batch.num_rows:
                 values = score_texts(_texts(batch.column(1)), found, lex.symbol, lex.end)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["row", "model"])

@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from snipmill.llm import embedding_pairs, language_model, toxicity
@@ -181,6 +182,26 @@ def test_shares_pass_on_less_than_they_learn_from(spark, documents):
     assert np.array_equal(many, one)
 
 
+def test_a_task_takes_few_bytes_at_once_and_every_row():
+    """Batches have thousands of rows however long these are."""
+    sizes = [3, 0, None, 40, 5, 5, 5, 0, 100, 100, 1]
+    column = pa.array([None if n is None else b"x" * n for n in sizes], pa.binary())
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), column], ["i", "x"])
+    batches = [whole, whole.slice(0, 0), whole.slice(4)]
+    found = list(language_model.parts(iter(batches), 1, 16))
+    assert [i for b in found for i in b.column(0).to_pylist()] == [*range(11), *range(4, 11)]
+    held = [[len(x.as_py() or b"") for x in b.column(1)] for b in found]
+    assert all(sum(x) <= 16 or sum(1 for n in x if n) == 1 for x in held)
+    assert len(found) < 14
+
+
+def test_triples_of_texts():
+    texts = [np.array(t, "<u4") for t in ([5, 6, 9], [9], [7, 9])]
+    before, last, nxt = language_model.triples(texts, 9)
+    assert (before.tolist(), last.tolist(), nxt.tolist()) == ([9, 9, 5, 9, 9, 9], [9, 5, 6, 9, 9, 7], [5, 6, 9, 9, 7, 9])
+    assert {x.dtype for x in (before, last, nxt)} == {np.dtype(np.int32)}
+
+
 @pytest.mark.parametrize("head", [10, 200_000])
 def test_base_scores_equal_brute_force_and_the_model_beats_them(documents, by_id, monkeypatch, head):
     monkeypatch.setattr(language_model, "HEAD", head)
