@@ -29,17 +29,18 @@ from snipmill.llm.common import NewFile, Remembered, open_folder, staged, table,
 from snipmill.session import new_folder
 
 #: Pre-tokens of a generation that a worker remembers.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
 #: What the last piece of each word ends with in the vocabulary.
 END = "</w>"
 
 _SPECIAL = "<|"
 _RUN = re.compile(r"[^ \t\n\r]+")
 #: Pre-tokens of a text of Latin-1 characters, as the tokenizer file's own pattern finds them:
-#: contractions, letters, single digits, runs of anything else. White space is dropped.
+#: letters, single digits, contractions, runs of anything else. White space is dropped. Letters are first as most
+#: pre-tokens are; only contractions and the last kind can start alike.
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
-_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^ \t\n\x0b\x0c\r\x85\xa0{_LETTER}{_DIGIT}Ā-\U0010ffff]+")
+_LATIN = re.compile(rf"[{_LETTER}]++|[{_DIGIT}]|'s|'t|'re|'ve|'m|'ll|'d|[^ \t\n\x0b\x0c\r\x85\xa0{_LETTER}{_DIGIT}Ā-\U0010ffff]+")
 
 
 def pre_tokens(text: str) -> list[str]:

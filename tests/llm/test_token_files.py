@@ -38,6 +38,21 @@ def test_pre_tokens_give_the_ids_of_the_library(library):
     assert [np.frombuffer(x, "<u2").tolist() for x in found] == [ids_of(library, t) for t in texts]
 
 
+def test_words_of_a_share_are_encoded_once():
+    ids = token_files.Ids(NAME)
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(200_000)]
+    shares = [set(words[at:at + 20_000]) for at in range(0, len(words), 20_000)]
+    for share in [*shares, shares[0]]:
+        ids.learn(share)
+    ids.tokenizer = None  # whatever is not remembered can't be encoded
+    for share in shares:
+        ids.learn(share)
+
+
+def test_contractions_are_cut_as_the_pattern_of_the_file_does():
+    assert token_files.pre_tokens("It's 42!'ll' 's'the'") == ["it", "'s", "4", "2", "!'", "ll", "'", "'s", "'t", "he", "'"]
+
+
 def test_a_tokenizer_that_keeps_blanks_is_refused():
     with pytest.raises(ValueError):
         token_files.tokenizer("byte_bpe_50k.json")
