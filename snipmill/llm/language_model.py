@@ -6,13 +6,16 @@ being the words with the same hash of their last bytes. Every word with ``LEAST`
 of its own, so the model grows with the corpus; the rarer words of a class stand as one word.
 The model predicts a symbol from the two words before it: the product of their vectors,
 weighted by position, with the symbol's own; then the word within its class in the same way.
-A rarer word gets its smoothed share of the rest of its class.
+A class with many words is cut into groups, each with the mean of its words' vectors: the model predicts the group
+in the class, then the word in its group, so that sums grow with the square root of the words. A rarer word gets
+its smoothed share of the rest of its class.
 
 Counts and training go over all documents outside the held-out tenth. In a round each task
 trains on its share, from the same start, and the results are averaged by tokens. Shares are
 so large that their models together take less room than the symbols they learn from. Noise
 comes from the symbol counts and is shared by a batch, so that scores are matrix products.
-The sums that normalise are exact: over all symbols, and over the words of one class.
+The sums that normalise are exact: over all symbols, over the groups of a class, and over the words of
+one class or group.
 """
 
 from __future__ import annotations
@@ -38,12 +41,16 @@ SYMBOLS = WORDS + CLASSES
 LEAST = 50
 #: Words whose counts are broadcast; the rest, unless it has vectors, is joined by shuffle.
 HEAD = 200_000
+#: Words of a class, its rest among them, from which on they are cut into groups, about as many as a group has words.
+LARGE = 256
 #: Numbers of a model that travel in one row, and of scores held at once.
-BLOCK, SCORES = 1 << 14, 1 << 17
+BLOCK, SCORES = 1 << 14, 1 << 16
 #: Scores up to which no maximum is taken out before the exponentials are summed.
 SAFE = 60.0
 #: Symbols of texts that a task trains on or scores at once, and characters of those it turns into symbols; a text stays whole.
 AT_ONCE, CHARS = 1 << 20, 1 << 21
+#: Symbols whose probabilities are found together; contexts that occur twice among them are normalised once.
+TOGETHER = 1 << 19
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 400_000
 #: Smoothing of counts, rounds of training, tokens of a step, noise symbols of a step, step size.
@@ -69,6 +76,32 @@ def held_out(key: str):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, some at a time: as many as have ``size`` bytes in ``column``, and one at least.
+
+    A batch has thousands of rows whatever their length; what a task makes of it at once is many times its bytes.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = 0
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + size, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def cut_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """``words_of`` of all ``texts``, one after the other, by number of distinct words, and how many each text has."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found = pc.ascii_split_whitespace(texts)
+    sizes, empty = pc.list_value_length(found).to_numpy(), pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    words = found.flatten()
+    if empty.any():  # one empty word each
+        words = words.filter(pc.not_equal(pc.binary_length(words), 0))
+    return words.cast(pa.binary()).dictionary_encode(), np.where(empty, 0, sizes)
+
+
 def counts_of(docs: DataFrame) -> DataFrame:
     """(word, class, n) of all words and ends of ``text``; a task passes sums on, not occurrences."""
 
@@ -82,12 +115,14 @@ def counts_of(docs: DataFrame) -> DataFrame:
             found.clear()
             return batch
 
-        for batch in batches:
-            for value in batch.column(0):
-                found.update(words_of(value.as_py() or ""))
-                found[END] += 1
-                if len(found) > HELD:
-                    yield out()
+        for batch in parts(batches, 0, 4 * CHARS):
+            words, sizes = cut_words(batch.column(0))
+            n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+            for word, more in zip(words.dictionary.to_pylist(), n.tolist(), strict=True):
+                found[word] += more
+            found[END] += len(sizes)
+            if len(found) > HELD:
+                yield out()
         yield out()
 
     return docs.select("text").mapInArrow(of, "word binary, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n"))
@@ -141,21 +176,6 @@ def lexicon(counts: DataFrame) -> tuple[Lexicon, int, np.ndarray]:
         np.log(noise / noise.sum()), vocabulary, symbol, np.log(fine / fine.sum()), 0), cut, share
 
 
-def parts(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in order, some at a time: as many as have ``size`` bytes in ``column``, and one at least.
-
-    A batch has thousands of rows whatever their length; what a task makes of it at once is many times its bytes.
-    """
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(sizes, dtype=np.int64)
-        at = 0
-        while at < len(ends):
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + size, "right")))
-            yield batch.slice(at, to - at)
-            at = to
-
-
 def symbols_of(docs: DataFrame, shared) -> DataFrame:
     """Each document as numbers of words and rests of classes, with what the frequent words add, and its other words."""
 
@@ -163,31 +183,41 @@ def symbols_of(docs: DataFrame, shared) -> DataFrame:
         lex = shared.value
         get, row = lex.place.get, TaskContext.get().partitionId() << 33  # one attempt of each partition counts
         for batch in parts(batches, 2, CHARS):
-            out: dict[str, list] = {name: [] for name in ("row", "n_tokens", "known", "base", "within", "symbols", "words", "classes", "freqs")}
-            for value in batch.column(2):
-                words = words_of(value.as_py() or "")
-                at = np.array([get(w, -1) for w in words], np.int64)
-                rare = np.flatnonzero(at < 0).tolist()
-                symbol = lex.number[at] if len(lex.number) else at.copy()
-                for i in rare:
-                    symbol[i] = lex.vocabulary + class_of(words[i])
-                others = Counter(words[i] for i in rare)
-                at = at[at >= 0]
-                end = len(lex.number) > 0
-                row += 1
-                for name, x in (("row", row), ("n_tokens", len(words) + 1), ("known", len(at) + end),
-                                ("base", float(lex.base[at].sum() + (lex.base[0] if end else 0))),
-                                ("within", float(lex.within[at].sum())),
-                                ("symbols", np.append(symbol, lex.end).astype("<u4").tobytes()),
-                                ("words", list(others)), ("classes", list(map(class_of, others))),
-                                ("freqs", list(others.values()))):
-                    out[name].append(x)
+            words, sizes = cut_words(batch.column(2))
+            kind, texts = words.indices.to_numpy(), batch.num_rows
+            of_text = np.repeat(np.arange(texts), sizes)
+            kinds = words.dictionary.to_pylist()
+            place = np.array([get(w, -1) for w in kinds], np.int64)
+            classes = np.zeros(len(kinds), np.int32)
+            number, base, within = np.empty(len(kinds), np.int64), np.zeros(len(kinds)), np.zeros(len(kinds))
+            known, rare = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+            number[known], base[known], within[known] = lex.number[place[known]], lex.base[place[known]], lex.within[place[known]]
+            classes[rare] = [class_of(kinds[i]) for i in rare.tolist()]
+            number[rare] = lex.vocabulary + classes[rare]
+            end = len(lex.number) > 0
+            # Each text's numbers, and the end.
+            stops = np.cumsum(sizes + 1)
+            symbols = np.empty(len(kind) + texts, "<u4")
+            symbols[stops - 1] = lex.end
+            among = np.ones(len(symbols), bool)
+            among[stops - 1] = False
+            symbols[among] = number[kind]
+            # Each text's other words, and how often it has them.
+            is_rare = place[kind] < 0
+            pairs, freqs = np.unique(of_text[is_rare] * len(kinds) + kind[is_rare], return_counts=True)
+            other = pairs % max(1, len(kinds))
+            lists = pa.array(np.searchsorted(pairs, np.arange(texts + 1) * len(kinds)), pa.int32())
+            total = lambda x: np.bincount(of_text, x[kind], texts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(out["row"], pa.int64()), pa.array(out["n_tokens"], pa.int64()),
-                 pa.array(out["known"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(out["within"], pa.float64()),
-                 pa.array(out["symbols"], pa.binary()), pa.array(out["words"], pa.list_(pa.binary())),
-                 pa.array(out["classes"], pa.list_(pa.int32())), pa.array(out["freqs"], pa.list_(pa.int32()))],
-                ["key", "held_out", *out])
+                [batch.column(0), batch.column(1), pa.array(np.arange(row + 1, row + texts + 1)), pa.array(sizes.astype(np.int64) + 1),
+                 pa.array(total(place >= 0).astype(np.int64) + end), pa.array(total(base) + (lex.base[0] if end else 0)),
+                 pa.array(total(within)),
+                 pa.Array.from_buffers(pa.binary(), texts, [None, pa.py_buffer(np.append(0, 4 * stops).astype(np.int32)), pa.py_buffer(symbols)]),
+                 pa.ListArray.from_arrays(lists, words.dictionary.take(pa.array(other))),
+                 pa.ListArray.from_arrays(lists, pa.array(classes[other], pa.int32())),
+                 pa.ListArray.from_arrays(lists, pa.array(freqs, pa.int32()))],
+                ["key", "held_out", "row", "n_tokens", "known", "base", "within", "symbols", "words", "classes", "freqs"])
+            row += texts
 
     kind = docs.schema["key"].dataType.simpleString()
     return docs.select("key", "held_out", "text").mapInArrow(
@@ -226,7 +256,12 @@ class Model:
         return Model(a.reshape(-1, WIDTH), b.reshape(SYMBOLS, WIDTH), c.reshape(2, WIDTH), d, e.reshape(-1, WIDTH), f)
 
     def hidden(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
-        return self.context[before] * self.position[0] + self.context[last] * self.position[1]
+        out = self.context.take(before, axis=0)
+        out *= self.position[0]
+        more = self.context.take(last, axis=0)
+        more *= self.position[1]
+        out += more
+        return out
 
     def normaliser(self) -> np.ndarray:
         """Logarithm of the sum over all symbols, for every pair of the first SYMBOLS words."""
@@ -282,69 +317,104 @@ class Trainer:
 
     def __init__(self, model: Model, log_noise: np.ndarray, seed: int, symbol: np.ndarray | None = None,
                  log_fine: np.ndarray | None = None) -> None:
-        self.model, self.log_noise = model, log_noise.astype(np.float32)
+        self.model = model
         self.random = np.random.default_rng(seed)
+        self.symbol = (np.arange(SYMBOLS) if symbol is None else symbol).astype(np.uint16)
+        self.log_noise = log_noise.astype(np.float32)
         self.cumulated = np.cumsum(np.exp(log_noise))
-        self.symbol = np.arange(SYMBOLS) if symbol is None else symbol
         self.log_fine = model.fine_bias.copy() if log_fine is None else log_fine.astype(np.float32)
         self.cumulated_fine = np.cumsum(np.exp(self.log_fine.astype(float)))
         self.past = {name: np.full_like(getattr(model, name), PAST.get(name, 1e-2)) for name in NAMES}
+        self.room, self.ones = np.empty((STEP, NOISE), np.float32), np.ones(STEP, np.float32)
 
     def _move(self, name: str, gradient: np.ndarray) -> None:
         past, value = self.past[name], getattr(self.model, name)
         past += gradient * gradient
         value += RATE * gradient / np.sqrt(past)
 
-    def _move_rows(self, name: str, index: np.ndarray, rows: np.ndarray) -> None:
+    def _move_rows(self, index: np.ndarray, **rows: np.ndarray) -> None:
         """As ``_move`` for the rows that occur: a rare word moves by its own occurrences, whatever the step's size."""
-        found, at = np.unique(index, return_inverse=True)
-        gradient = _sums(at, rows, len(found)).astype(np.float32)
-        gradient = gradient if getattr(self.model, name).ndim > 1 else gradient[:, 0]
-        past = self.past[name][found] + gradient * gradient
-        self.past[name][found] = past
-        getattr(self.model, name)[found] += RATE * gradient / np.sqrt(past)
+        order, starts, found = _equal(index)
+        for name, x in rows.items():
+            gradient = _sums(x.take(order, axis=0), starts)
+            past, value = self.past[name], getattr(self.model, name)
+            history = past.take(found, axis=0)
+            history += gradient * gradient
+            past[found] = history
+            gradient *= np.float32(RATE)
+            gradient /= np.sqrt(history, out=history)
+            gradient += value.take(found, axis=0)
+            value[found] = gradient
 
     def _contrast(self, hidden, nxt, target, bias, log_noise, cumulated):
-        """Noise symbols, and by how much the true ones and the noise should rise and fall."""
+        """Noise symbols, how much the true ones rise, the noise and its vectors fall, and what moves ``hidden``."""
         noise = np.minimum(np.searchsorted(cumulated, self.random.random(NOISE)), len(bias) - 1)
-        right, log_k = target[nxt], np.float32(np.log(NOISE))
-        true = np.einsum("ij,ij->i", hidden, right) + bias[nxt] - log_noise[nxt] - log_k
-        false = hidden @ target[noise].T + bias[noise] - log_noise[noise] - log_k
+        right, wrong, log_k = target.take(nxt, axis=0), target.take(noise, axis=0), np.float32(np.log(NOISE))
+        true = np.einsum("ij,ij->i", hidden, right)
+        true += bias.take(nxt)
+        true -= log_noise.take(nxt)
+        true -= log_k
         up = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        down = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
-        return noise, up, down, up[:, None] * right - down @ target[noise]
+        # 1 / (1 + exp(-score)) for the noise, in one piece of memory.
+        down = np.matmul(hidden, -wrong.T, out=self.room[:len(nxt)])
+        down -= bias[noise] - log_noise[noise] - log_k
+        np.minimum(down, 30, out=down)
+        np.exp(down, out=down)
+        down += 1
+        np.reciprocal(down, out=down)
+        right *= up[:, None]
+        right -= down @ wrong
+        return noise, up, self.ones[:len(nxt)] @ down, (hidden.T @ down).T, right
 
     def step(self, before: np.ndarray, last: np.ndarray, nxt: np.ndarray) -> None:
         m, size = self.model, len(nxt)
-        context_0, context_1 = m.context[before], m.context[last]
-        hidden = context_0 * m.position[0] + context_1 * m.position[1]
-        symbol = self.symbol[nxt]
-        noise, up, down, to_hidden = self._contrast(hidden, symbol, m.target, m.bias, self.log_noise, self.cumulated)
-        to_target = _sums(symbol, up[:, None] * hidden, SYMBOLS)
-        np.subtract.at(to_target, noise, down.T @ hidden)
-        to_bias = np.bincount(symbol, up, SYMBOLS)
-        np.subtract.at(to_bias, noise, down.sum(axis=0))
-        inside = np.flatnonzero(nxt >= WORDS)
-        if len(inside):
+        if size > len(self.room):
+            self.room, self.ones = np.empty((size, NOISE), np.float32), np.ones(size, np.float32)
+        symbol = self.symbol.take(nxt)
+        order = symbol.argsort(kind="stable")  # a step sums over all; those with classes come last
+        symbol, before, last, nxt = symbol.take(order), before.take(order), last.take(order), nxt.take(order)
+        starts = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
+        context_0, context_1 = m.context.take(before, axis=0), m.context.take(last, axis=0)
+        hidden = context_0 * m.position[0]
+        hidden += context_1 * m.position[1]
+        noise, up, fall, fall_rows, to_hidden = self._contrast(hidden, symbol, m.target, m.bias, self.log_noise, self.cumulated)
+        to_target, to_bias = np.zeros_like(m.target), np.zeros_like(m.bias)
+        to_target[symbol[starts]] = _sums(up[:, None] * hidden, starts)
+        to_bias[symbol[starts]] = _sums(up, starts)
+        np.subtract.at(to_target, noise, fall_rows)
+        np.subtract.at(to_bias, noise, fall)
+        inside = int(np.searchsorted(symbol, WORDS))
+        if inside < size:
             # Contrasted with all words after WORDS: what is right up to a factor is right within a class.
-            own, word = hidden[inside], nxt[inside] - WORDS
-            noise, up, down, more = self._contrast(own, word, m.fine, m.fine_bias, self.log_fine, self.cumulated_fine)
-            to_hidden[inside] += more
-            index = np.concatenate([word, noise])
-            self._move_rows("fine", index, np.concatenate([up[:, None] * own, -(down.T @ own)]))
-            self._move_rows("fine_bias", index, np.concatenate([up, -down.sum(axis=0)])[:, None])
-        to_position = np.stack([(to_hidden * context_0).sum(axis=0), (to_hidden * context_1).sum(axis=0)])
-        self._move_rows("context", np.concatenate([before, last]),
-                        np.concatenate([to_hidden * m.position[0], to_hidden * m.position[1]]))
+            own, word = hidden[inside:], nxt[inside:] - WORDS
+            noise, up, fall, fall_rows, more = self._contrast(own, word, m.fine, m.fine_bias, self.log_fine, self.cumulated_fine)
+            to_hidden[inside:] += more
+            self._move_rows(np.concatenate([word, noise]), fine=np.concatenate([up[:, None] * own, -fall_rows]),
+                            fine_bias=np.concatenate([up, -fall]))
+        to_position = np.stack([np.einsum("ij,ij->j", to_hidden, context_0), np.einsum("ij,ij->j", to_hidden, context_1)])
+        self._move_rows(np.concatenate([before, last]),
+                        context=np.concatenate([to_hidden * m.position[0], to_hidden * m.position[1]]))
         for name, gradient in (("target", to_target), ("bias", to_bias), ("position", to_position)):
-            self._move(name, (gradient / size).astype(np.float32))
+            self._move(name, gradient / np.float32(size))
 
 
-def _sums(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """Rows added up by index."""
-    width = rows.shape[1]
-    flat = (index[:, None] * width + np.arange(width, dtype=index.dtype)).ravel()
-    return np.bincount(flat, rows.ravel(), size * width).reshape(size, width)
+def _equal(index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of ``index`` by value, where each value starts among them, and the values."""
+    bits = max(1, len(index)).bit_length()
+    keys = index.astype(np.int64) << bits
+    keys |= np.arange(len(index))
+    keys.sort()
+    own = keys >> bits
+    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    keys &= (1 << bits) - 1
+    return keys, starts, own.take(starts)
+
+
+def _sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Rows added up from each start to the next; two numbers of a row are added as one complex number."""
+    if rows.ndim == 1:
+        return np.add.reduceat(rows, starts)
+    return np.add.reduceat(rows.view(np.complex64), starts, axis=0).view(np.float32)
 
 
 def _texts(column: pa.Array) -> list[np.ndarray]:
@@ -377,7 +447,7 @@ def train(symbols: DataFrame, lex_shared) -> Model:
                 data = triples(_texts(batch.column(0)), lex.end)
                 order = trainer.random.permutation(len(data[0]))
                 for at in range(0, len(order), STEP):
-                    trainer.step(*(x[order[at:at + STEP]] for x in data))
+                    trainer.step(*(x.take(order[at:at + STEP]) for x in data))
                 seen += len(order)
             if seen:
                 flat = trainer.model.flat()
@@ -398,30 +468,99 @@ def train(symbols: DataFrame, lex_shared) -> Model:
     return model
 
 
-def log_probabilities(before: np.ndarray, last: np.ndarray, nxt: np.ndarray, model: Model, symbol: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the probability of each number ``nxt``: its symbol, then the word in its class."""
-    hidden, of = model.hidden(before, last), symbol[nxt]
-    out = np.einsum("ij,ij->i", hidden, model.target[of]) + model.bias[of] - log_sum(hidden, model.target, model.bias)
+def groups_of(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each number after WORDS, or -1 in a class that is not cut, and the class of each group.
+
+    Words of one group are about equally frequent. The rest of a class, its last number, is a group of its own.
+    """
     members = np.argsort(symbol[WORDS:], kind="stable")
     cuts = np.searchsorted(symbol[WORDS:][members], np.arange(WORDS, SYMBOLS + 1))
-    order = np.argsort(of, kind="stable")
-    ends = np.searchsorted(of[order], np.arange(WORDS, SYMBOLS + 1))
+    group, of = np.full(len(members), -1, np.int32), []
     for c in range(CLASSES):
-        at, own = order[ends[c]:ends[c + 1]], members[cuts[c]:cuts[c + 1]]
-        if len(at) and len(own) > 1:
-            word = nxt[at] - WORDS
-            out[at] += (np.einsum("ij,ij->i", hidden[at], model.fine[word]) + model.fine_bias[word]
-                        - log_sum(hidden[at], model.fine[own], model.fine_bias[own]))
-    return out
+        own = members[cuts[c]:cuts[c + 1]]
+        if len(own) >= LARGE:
+            at = np.arange(len(own)) // int(np.ceil(np.sqrt(len(own))))
+            at[-1] = at[-2] + 1
+            group[own] = len(of) + at
+            of += [c] * int(at[-1] + 1)
+    return group, np.array(of, np.int32)
+
+
+class Probabilities:
+    """Natural logarithms of the probabilities of numbers: of the symbol, the group in its class, the word in its group or class."""
+
+    def __init__(self, model: Model, symbol: np.ndarray) -> None:
+        self.model, self.symbol = model, symbol.astype(np.uint16)
+        group, of = groups_of(symbol)
+        # A word lies in a group, or in a class that is not cut.
+        cell = np.where(group < 0, len(of) + symbol[WORDS:] - WORDS, group)
+        fine = _Level(model.fine, model.fine_bias, cell, len(of) + CLASSES)
+        self.levels = [(fine, cell, np.arange(len(cell)))]
+        if len(of):
+            mean, bias = fine.means(len(of))
+            self.levels.append((_Level(mean, bias, of, CLASSES), np.append(of, -1)[group], group))
+
+    def __call__(self, before: np.ndarray, last: np.ndarray, nxt: np.ndarray) -> np.ndarray:
+        model = self.model
+        hidden, of = model.hidden(before, last), self.symbol.take(nxt)
+        out = np.einsum("ij,ij->i", hidden, model.target.take(of, axis=0))
+        out += model.bias.take(of)
+        # Contexts that are equal have equal sums.
+        order, starts, _ = _equal(before.astype(np.int64) * len(self.symbol) + last)
+        sums = log_sum(hidden.take(order.take(starts), axis=0), model.target, model.bias)
+        out[order] -= sums.repeat(np.diff(starts, append=len(order)))
+        inside = np.flatnonzero(nxt >= WORDS)
+        word = nxt.take(inside) - WORDS
+        for level, cell, own in self.levels:
+            among = cell.take(word)
+            at = np.flatnonzero((among >= 0) & level.several.take(among))
+            if len(at):
+                out[inside.take(at)] += level(hidden.take(inside.take(at), axis=0), among.take(at), own.take(word.take(at)))
+        return out
+
+
+class _Level:
+    """Softmax over the rows of ``target`` that lie in one cell."""
+
+    def __init__(self, target: np.ndarray, bias: np.ndarray, cell: np.ndarray, cells: int) -> None:
+        self.order = np.argsort(cell, kind="stable")
+        self.cuts = np.searchsorted(cell[self.order], np.arange(cells + 1))
+        self.several = np.diff(self.cuts) > 1
+        self.target, self.bias, self.by_cell, self.bias_by_cell = target, bias, target[self.order], bias[self.order]
+
+    def means(self, cells: int) -> tuple[np.ndarray, np.ndarray]:
+        """For the first ``cells``, none of which is empty: the mean of the vectors by exponentials of biases, and the logarithm of these' sum."""
+        starts, stop = self.cuts[:cells], self.cuts[cells]
+        top = self.bias_by_cell[:stop].max()
+        weight = np.exp(self.bias_by_cell[:stop].astype(float) - top)
+        sums = np.add.reduceat(weight, starts)
+        mean = np.add.reduceat(weight[:, None] * self.by_cell[:stop], starts, axis=0) / sums[:, None]
+        return mean.astype(np.float32), (np.log(sums) + top).astype(np.float32)
+
+    def __call__(self, hidden: np.ndarray, cell: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """For each row of ``hidden``: logarithm of the share that row ``own`` of ``target`` has in its ``cell``."""
+        order, starts, found = _equal(cell)
+        hidden, own = hidden.take(order, axis=0), own.take(order)
+        value = np.einsum("ij,ij->i", hidden, self.target.take(own, axis=0))
+        value += self.bias.take(own)
+        for c, a, b in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+            x, y = self.cuts[c], self.cuts[c + 1]
+            value[a:b] -= log_sum(hidden[a:b], self.by_cell[x:y], self.bias_by_cell[x:y])
+        out = np.empty_like(value)
+        out[order] = value
+        return out
+
+
+def log_probabilities(before: np.ndarray, last: np.ndarray, nxt: np.ndarray, model: Model, symbol: np.ndarray) -> np.ndarray:
+    return Probabilities(model, symbol)(before, last, nxt)
 
 
-def score_texts(texts: list[np.ndarray], model: Model, symbol: np.ndarray, end: int) -> np.ndarray:
+def score_texts(texts: list[np.ndarray], found: Probabilities, end: int) -> np.ndarray:
     """Logarithm to base 10 of the probability of the words and rests of classes of each text."""
     before, last, nxt = triples(texts, end)
     values = np.empty(len(nxt))
-    for at in range(0, len(nxt), 1 << 16):
-        x, y, z = (v[at:at + (1 << 16)] for v in (before, last, nxt))
-        values[at:at + (1 << 16)] = log_probabilities(x, y, z, model, symbol)
+    for at in range(0, len(nxt), TOGETHER):
+        values[at:at + TOGETHER] = found(*(v[at:at + TOGETHER] for v in (before, last, nxt)))
     sizes = np.array([len(t) for t in texts])
     return np.add.reduceat(values, np.cumsum(sizes) - sizes) / np.log(10)
 
@@ -443,10 +582,11 @@ def language_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     shared = spark.sparkContext.broadcast(model)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, lex = shared.value, lex_shared.value
+        lex = lex_shared.value
+        found = Probabilities(shared.value, lex.symbol)
         for batch in parts(batches, 1, 4 * AT_ONCE):
             if batch.num_rows:
-                values = score_texts(_texts(batch.column(1)), found, lex.symbol, lex.end)
+                values = score_texts(_texts(batch.column(1)), found, lex.end)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["row", "model"])
 
     by_row = staged(symbols.select("row", "symbols").mapInArrow(of, "row long, model double"), "model-scores")

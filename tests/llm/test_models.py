@@ -170,6 +170,40 @@ def test_words_of_all_classes_sum_to_one():
         assert np.exp(found).sum() == pytest.approx(1, rel=1e-4)
 
 
+def test_words_of_large_classes_are_normalised_over_few_scores(monkeypatch):
+    """Groups of about equally frequent words stand between a large class and its words; probabilities still sum to one."""
+    random_ = np.random.default_rng(7)
+    n = 10_000
+    inside = np.concatenate([np.full(n, 3), random_.integers(4, 60, 2000), np.arange(64)])
+    symbol = np.concatenate([np.arange(language_model.WORDS), language_model.WORDS + inside])
+    model = language_model.start(np.log(np.full(language_model.SYMBOLS, 1 / language_model.SYMBOLS)), symbol)
+    model.fine += random_.normal(size=model.fine.shape).astype(np.float32)
+    model.fine_bias += random_.normal(size=len(inside)).astype(np.float32)
+    everyone, made, log_sum = np.arange(len(symbol)), [], language_model.log_sum
+
+    def counted(hidden, target, bias):
+        made.append(len(hidden) * len(bias))
+        return log_sum(hidden, target, bias)
+
+    monkeypatch.setattr(language_model, "log_sum", counted)
+    for before, last in ((0, 0), (3, 9000), (12_000, 450)):
+        made.clear()
+        found = language_model.log_probabilities(np.full(len(symbol), before), np.full(len(symbol), last), everyone, model, symbol)
+        assert np.exp(found.astype(float)).sum() == pytest.approx(1, rel=1e-3)
+        assert sum(made) < len(symbol) * (language_model.SYMBOLS + 4 * n ** 0.5)
+
+
+def test_words_cut_by_columns_equal_those_of_each_text():
+    random.seed(1)
+    letters = " \t\n\x0b\x0c\r\x1c\x85\xa0AZazÄé퟿x,."
+    texts = pa.array(["".join(random.choices(letters, k=random.randint(0, 30))) for _ in range(3000)] + [None, "", " ", "\x1c \t"])
+    for given in (texts, texts.slice(7, 1000), texts.slice(0, 0), pa.array([None, ""], pa.string())):
+        words, sizes = language_model.cut_words(given)
+        want = [language_model.words_of(x or "") for x in given.to_pylist()]
+        assert sizes.tolist() == [len(x) for x in want]
+        assert words.to_pylist() == [w for x in want for w in x]
+
+
 def test_shares_pass_on_less_than_they_learn_from(spark, documents):
     """Tasks with few words each do not pass a model each on: a small table, however many partitions, is one share."""
     assert language_model.shares(0, 1000) == language_model.shares(3999, 1000) == 1
