@@ -21,7 +21,6 @@ one class or group.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,6 +50,8 @@ SAFE = 60.0
 AT_ONCE, CHARS = 1 << 20, 1 << 21
 #: Symbols whose probabilities are found together; contexts that occur twice among them are normalised once.
 TOGETHER = 1 << 19
+#: Words of which a task keeps the exponentials of their scores with all symbols.
+KEPT = 8192
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 400_000
 #: Smoothing of counts, rounds of training, tokens of a step, noise symbols of a step, step size.
@@ -71,6 +72,12 @@ def class_of(word: bytes) -> int:
     return zlib.crc32(word.rstrip(b".,;:!?")[-2:]) % CLASSES
 
 
+def classes_of(words: pa.Array) -> np.ndarray:
+    """``class_of`` of all ``words``; there are few different ends."""
+    ends = pc.binary_slice(pc.ascii_rtrim(words.view(pa.string()), ".,;:!?").view(pa.binary()), -2, None).dictionary_encode()
+    return np.array([class_of(x) for x in ends.dictionary.to_pylist()], np.int32)[ends.indices.to_numpy()]
+
+
 def held_out(key: str):
     """Whether crc32 of the key as text leaves 0 by 10; a null key is not."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 10 == 0, F.lit(False))
@@ -106,24 +113,29 @@ def counts_of(docs: DataFrame) -> DataFrame:
     """(word, class, n) of all words and ends of ``text``; a task passes sums on, not occurrences."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.binary()), pa.array(list(map(class_of, found)), pa.int32()),
-                 pa.array(list(found.values()), pa.int64())], ["word", "class", "n"])
-            found.clear()
-            return batch
+        held, rows = [], 0
+
+        def out(least: int) -> Iterator[pa.RecordBatch]:
+            """What is held as one, which is passed on if that is more than ``least`` rows."""
+            nonlocal held, rows
+            one = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+            held, rows = [one], one.num_rows
+            if rows > least:
+                word = one.column("word").combine_chunks()
+                yield pa.RecordBatch.from_arrays(
+                    [word, pa.array(classes_of(word)), one.column("n").combine_chunks()], ["word", "class", "n"])
+                held, rows = [], 0
 
         for batch in parts(batches, 0, 4 * CHARS):
             words, sizes = cut_words(batch.column(0))
             n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
-            for word, more in zip(words.dictionary.to_pylist(), n.tolist(), strict=True):
-                found[word] += more
-            found[END] += len(sizes)
-            if len(found) > HELD:
-                yield out()
-        yield out()
+            held += [pa.table({"word": words.dictionary, "n": n}),
+                     pa.table({"word": pa.array([END], pa.binary()), "n": np.array([len(sizes)])})]
+            rows += len(n)
+            if rows > 2 * HELD:
+                yield from out(HELD)
+        if held:
+            yield from out(0)
 
     return docs.select("text").mapInArrow(of, "word binary, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n"))
 
@@ -181,18 +193,18 @@ def symbols_of(docs: DataFrame, shared) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
-        get, row = lex.place.get, TaskContext.get().partitionId() << 33  # one attempt of each partition counts
-        for batch in parts(batches, 2, CHARS):
+        row = TaskContext.get().partitionId() << 33  # one attempt of each partition counts
+        frequent = pa.array(list(lex.place), pa.binary())
+        for batch in parts(batches, 2, 2 * CHARS):
             words, sizes = cut_words(batch.column(2))
             kind, texts = words.indices.to_numpy(), batch.num_rows
             of_text = np.repeat(np.arange(texts), sizes)
-            kinds = words.dictionary.to_pylist()
-            place = np.array([get(w, -1) for w in kinds], np.int64)
-            classes = np.zeros(len(kinds), np.int32)
+            kinds = words.dictionary
+            place = pc.fill_null(pc.index_in(kinds, value_set=frequent), -1).to_numpy()
+            classes = classes_of(kinds)
             number, base, within = np.empty(len(kinds), np.int64), np.zeros(len(kinds)), np.zeros(len(kinds))
             known, rare = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
             number[known], base[known], within[known] = lex.number[place[known]], lex.base[place[known]], lex.within[place[known]]
-            classes[rare] = [class_of(kinds[i]) for i in rare.tolist()]
             number[rare] = lex.vocabulary + classes[rare]
             end = len(lex.number) > 0
             # Each text's numbers, and the end.
@@ -213,7 +225,7 @@ def symbols_of(docs: DataFrame, shared) -> DataFrame:
                  pa.array(total(place >= 0).astype(np.int64) + end), pa.array(total(base) + (lex.base[0] if end else 0)),
                  pa.array(total(within)),
                  pa.Array.from_buffers(pa.binary(), texts, [None, pa.py_buffer(np.append(0, 4 * stops).astype(np.int32)), pa.py_buffer(symbols)]),
-                 pa.ListArray.from_arrays(lists, words.dictionary.take(pa.array(other))),
+                 pa.ListArray.from_arrays(lists, kinds.take(pa.array(other))),
                  pa.ListArray.from_arrays(lists, pa.array(classes[other], pa.int32())),
                  pa.ListArray.from_arrays(lists, pa.array(freqs, pa.int32()))],
                 ["key", "held_out", "row", "n_tokens", "known", "base", "within", "symbols", "words", "classes", "freqs"])
@@ -325,7 +337,7 @@ class Trainer:
         self.log_fine = model.fine_bias.copy() if log_fine is None else log_fine.astype(np.float32)
         self.cumulated_fine = np.cumsum(np.exp(self.log_fine.astype(float)))
         self.past = {name: np.full_like(getattr(model, name), PAST.get(name, 1e-2)) for name in NAMES}
-        self.room, self.ones = np.empty((STEP, NOISE), np.float32), np.ones(STEP, np.float32)
+        self.room, self.ones = np.empty((STEP // 4, NOISE), np.float32), np.ones(STEP // 4, np.float32)
 
     def _move(self, name: str, gradient: np.ndarray) -> None:
         past, value = self.past[name], getattr(self.model, name)
@@ -355,21 +367,25 @@ class Trainer:
         true -= log_noise.take(nxt)
         true -= log_k
         up = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        # 1 / (1 + exp(-score)) for the noise, in one piece of memory.
-        down = np.matmul(hidden, -wrong.T, out=self.room[:len(nxt)])
-        down -= bias[noise] - log_noise[noise] - log_k
-        np.minimum(down, 30, out=down)
-        np.exp(down, out=down)
-        down += 1
-        np.reciprocal(down, out=down)
         right *= up[:, None]
-        right -= down @ wrong
-        return noise, up, self.ones[:len(nxt)] @ down, (hidden.T @ down).T, right
+        fall, fall_rows = np.zeros(NOISE, np.float32), np.zeros((NOISE, WIDTH), np.float32)
+        minus, more = -wrong.T, bias[noise] - log_noise[noise] - log_k
+        for at in range(0, len(nxt), len(self.room)):
+            own = hidden[at:at + len(self.room)]
+            # 1 / (1 + exp(-score)) for the noise, in a piece of memory that stays in the cache.
+            down = np.matmul(own, minus, out=self.room[:len(own)])
+            down -= more
+            np.minimum(down, 30, out=down)
+            np.exp(down, out=down)
+            down += 1
+            np.reciprocal(down, out=down)
+            fall += self.ones[:len(own)] @ down
+            fall_rows += down.T @ own
+            right[at:at + len(own)] -= down @ wrong
+        return noise, up, fall, fall_rows, right
 
     def step(self, before: np.ndarray, last: np.ndarray, nxt: np.ndarray) -> None:
         m, size = self.model, len(nxt)
-        if size > len(self.room):
-            self.room, self.ones = np.empty((size, NOISE), np.float32), np.ones(size, np.float32)
         symbol = self.symbol.take(nxt)
         order = symbol.argsort(kind="stable")  # a step sums over all; those with classes come last
         symbol, before, last, nxt = symbol.take(order), before.take(order), last.take(order), nxt.take(order)
@@ -491,6 +507,12 @@ class Probabilities:
 
     def __init__(self, model: Model, symbol: np.ndarray) -> None:
         self.model, self.symbol = model, symbol.astype(np.uint16)
+        # The exponential of a sum is a product, so two frequent words need none of their own.
+        first, second = (model.context[:KEPT] * x for x in model.position)
+        norm = lambda x: np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0))
+        safe = (norm(first) + norm(second)) * norm(model.target) + np.abs(model.bias).max() < SAFE
+        self.kept = len(first) if safe else 0
+        self.first, self.second = (np.exp(x[:self.kept] @ model.target.T + y) for x, y in ((first, model.bias), (second, np.float32(0))))
         group, of = groups_of(symbol)
         # A word lies in a group, or in a class that is not cut.
         cell = np.where(group < 0, len(of) + symbol[WORDS:] - WORDS, group)
@@ -507,7 +529,8 @@ class Probabilities:
         out += model.bias.take(of)
         # Contexts that are equal have equal sums.
         order, starts, _ = _equal(before.astype(np.int64) * len(self.symbol) + last)
-        sums = log_sum(hidden.take(order.take(starts), axis=0), model.target, model.bias)
+        one = order.take(starts)
+        sums = self.sums(hidden, before, last, one)
         out[order] -= sums.repeat(np.diff(starts, append=len(order)))
         inside = np.flatnonzero(nxt >= WORDS)
         word = nxt.take(inside) - WORDS
@@ -518,6 +541,21 @@ class Probabilities:
                 out[inside.take(at)] += level(hidden.take(inside.take(at), axis=0), among.take(at), own.take(word.take(at)))
         return out
 
+    def sums(self, hidden: np.ndarray, before: np.ndarray, last: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Logarithms of the sums over all symbols, for rows ``at``."""
+        out = np.empty(len(at), np.float32)
+        first, second = before.take(at), last.take(at)
+        both = (first < self.kept) & (second < self.kept)
+        near, far = np.flatnonzero(both), np.flatnonzero(~both)
+        first, second = first.take(near), second.take(near)
+        for x in range(0, len(near), SCORES // SYMBOLS):
+            y = slice(x, x + SCORES // SYMBOLS)
+            out[near[y]] = np.einsum("ij,ij->i", self.first.take(first[y], axis=0), self.second.take(second[y], axis=0))
+        out[near] = np.log(out[near])
+        if len(far):
+            out[far] = log_sum(hidden.take(at.take(far), axis=0), self.model.target, self.model.bias)
+        return out
+
 
 class _Level:
     """Softmax over the rows of ``target`` that lie in one cell."""
